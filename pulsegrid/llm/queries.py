@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, urls
-from .common import only, table
+from . import bpe, licenses, media, quality, simhash, token_files, urls
+from .common import only, table, written
 
 #: The places of public vocabularies; a parameter of every operator that reads one.
 RANKS_50K = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,12 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.store(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER_50K), end=2)
+    found = token_files.read_tokens(spark, folder)
+    return found.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = only(table(spark, sf_dir, "pages"), "page_id", "url")
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -42,3 +48,40 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(media.encode_media(only(table(spark, sf_dir, "documents"), "doc_id", "text")), "media")
+    size, payload = F.length("payload"), F.col("payload")
+    return media.decode_media(stored).select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base, own = F.col("places"), F.col("matches")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base.word).alias("first_word"),
+        F.array_max(base.word).alias("last_word"),
+        joined(base.label).alias("base_labels"),
+        joined(F.concat(base.label, own.label)).alias("labels"),
+        F.coalesce(F.array_max(own.containment), F.lit(0.0)).alias("score"),
+    )
