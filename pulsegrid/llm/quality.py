@@ -27,7 +27,7 @@ TRUSTED_DOCS = 20_000
 #: Share of raw text mixed into the trusted multinomial; bounds a single n-gram's ratio below.
 RAW_SHARE = 0.01
 #: Mean log-ratio below which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.5
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 

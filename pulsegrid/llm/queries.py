@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, quality, simhash, token_files, urls
+from . import bpe, licenses, media, mixing, quality, simhash, token_files, urls
 from .common import only, table, written
 
 #: The places of public vocabularies; a parameter of every operator that reads one.
@@ -85,3 +85,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat(base.label, own.label)).alias("labels"),
         F.coalesce(F.array_max(own.containment), F.lit(0.0)).alias("score"),
     )
+
+
+def op6_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
+    shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return mixed.select("row.doc_id", "n_tokens", *shares, "rate", "copies")
