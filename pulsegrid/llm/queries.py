@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, mixing, quality, simhash, token_files, urls
+from . import bpe, language_model, licenses, media, mixing, quality, simhash, token_files, urls
 from .common import only, table, written
 
 #: The places of public vocabularies; a parameter of every operator that reads one.
@@ -92,3 +92,7 @@ def op6_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
     shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
     return mixed.select("row.doc_id", "n_tokens", *shares, "rate", "copies")
+
+
+def op10_perplexity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
