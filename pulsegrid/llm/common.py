@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points that one step of a vectorised kernel takes at once; bounds a task's memory.
 CHUNK_CHARS = 2_000_000
@@ -52,3 +55,36 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             size += len(t)
         if begin < len(texts):
             yield batch.slice(begin), texts[begin:]
+
+
+#: Bits of a filter over ids; its size is fixed, and a join checks what passes.
+FILTER_BITS = 1 << 24
+
+
+def filter_place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
+    """A bitmap of the ids' hashes as 64-bit integers: FILTER_BITS / 64 of them at most, whatever the input."""
+    words = ids.select(filter_place(column).alias("h")).groupBy(F.expr("h div 64").alias("w"))
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["w"]] = rows["bits"]
+    return bits
+
+
+def compressed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, z): texts of the documents that ids names, and of a few others, each compressed. The bitmap spares
+    the shuffle of a following join most of the other texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
+        for batch, texts in chunks(batches):
+            h = batch.column("h").to_numpy()
+            hit = np.flatnonzero(shared.value[h >> 6] >> (h & 63) & 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(hit)), pa.array([packer.compress(texts[i].encode()) for i in hit], pa.binary())], names=["doc_id", "z"])
+
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", filter_place("doc_id").alias("h"))
+    return rows.mapInArrow(run, "doc_id long, z binary")

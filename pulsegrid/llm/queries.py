@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, licenses, media, mixing, quality, simhash, token_files, urls
+from . import bpe, language_model, licenses, media, mixing, passages, quality, simhash, token_files, urls
 from .common import only, table, written
 
 #: The places of public vocabularies; a parameter of every operator that reads one.
@@ -47,7 +47,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,3 +96,7 @@ def op6_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_perplexity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))

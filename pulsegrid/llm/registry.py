@@ -11,8 +11,13 @@ from . import sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in vars(q).items() if name.startswith("op") and name[2].isdigit()}
+    import corpus_pipeline
+
+    found = {name: f for name, f in vars(q).items() if name.startswith("op") and name[2].isdigit()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, text in sql.ORACLE.items() if text}
+    import corpus_pipeline
+
+    return sql.ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -3,15 +3,20 @@
 Each of the 64 bits has a nonzero label of radius + 1 bits; table v keeps the bits whose label has an odd inner
 product with v. Up to radius differing bits have labels that span no more than radius dimensions, so some
 nonzero v is orthogonal to all of them, and that table keeps none of the differing bits: every pair within the
-radius collides in some table. Candidates are verified, so the links are exact.
+radius collides in some table. Candidates are verified, so the links are exact. A document may have several
+fingerprints (parts), each with tables of its own; two documents are linked when any part is within the radius.
 
-Equal fingerprints are one node from the start. A bucket of moderate size is linked within its task by a
-spanning forest (never all pairs as rows). A larger one goes through its midpoints: two fingerprints within
+Documents with equal fingerprints are one node from the start. A bucket of moderate size is linked within its task
+by a spanning forest (never all pairs as rows). A larger one goes through its midpoints: two fingerprints within
 radius share a value within radius/2 of both, so each emits those values and joins the smallest fingerprint
 that shares one; that is exact and linear in the bucket.
 
+Two five-word shingle sets of similarity 0.8 have fingerprints that differ in about 10 of 64 bits, for which a
+covering would need thousands of tables. Their sets of single words differ far less: about 4 of 64 bits. So
+drop_near_duplicates takes four fingerprints of the distinct words (124 tables in all).
+
 Defined results: null and empty texts have fingerprint zero and link like any other; rows that share a doc_id
-are all returned; a null doc_id takes part but is never a component's id unless there is no other.
+are all returned; a row with a null doc_id belongs to the component of its equals but links nothing itself.
 """
 
 from __future__ import annotations
@@ -76,15 +81,27 @@ def fingerprints(per_text: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprint_documents(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def _other(h: np.ndarray, part: int) -> np.ndarray:
+    """Hashes of a further part, made from the first's."""
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * part % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def fingerprint_documents(docs: DataFrame, words: int, parts: int = 1, distinct: bool = False, text: str = "text") -> DataFrame:
+    """(doc_id, fps): a document's fingerprints as signed longs; with distinct, repeated shingles count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, text):
-            found = fingerprints([hashes(t, words) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = [hashes(t, words) for t in texts]
+            if distinct:
+                found = [np.unique(h) for h in found]
+            made = [fingerprints(found), *(fingerprints([_other(h, p) for h in found]) for p in range(1, parts))]
+            flat = pa.array(np.stack(made, axis=1).view(np.int64).ravel())
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * parts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "fps"])
 
-    return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, fp long")
+    return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -118,11 +135,14 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def links(values: DataFrame, radius: int, direct: int = DIRECT) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints fp that connect exactly those within radius, directly or by others."""
+    """Edges (part, a, b) that connect exactly those of a part's distinct fingerprints (part, fp) that are within
+    radius, directly or by others."""
     spark = values.sparkSession
     masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])
-    keys = values.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp")
+    n = len(masks)
+    tables = F.array(*[F.struct((F.col("part") * n + t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])
+    dealt = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")  # each row becomes n
+    keys = dealt.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp")
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(keys.join(sizes, ["t", "k"]), "simhash-buckets")
 
@@ -130,38 +150,47 @@ def links(values: DataFrame, radius: int, direct: int = DIRECT) -> DataFrame:
         for batch in batches:
             column = batch.column("fps")
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-            edges = [e for a, b in zip(ends, ends[1:]) for e in forest(flat[a:b], radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+            edges = [(t // n, *e) for t, a, b in zip(batch.column("t").to_pylist(), ends, ends[1:]) for e in forest(flat[a:b], radius)]
+            columns = list(zip(*edges)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["part", "a", "b"])
 
-    small = members.filter(F.col("n") <= direct).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("fps")
-    small = small.mapInArrow(compare, "a long, b long")
+    small = members.filter(F.col("n") <= direct).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("t", "fps")
+    small = small.mapInArrow(compare, "part int, a long, b long")
     # of fixed size: tables x midpoints of the bits that a table doesn't keep
     flips = [(t, _signed(sum(1 << i for i in c))) for t, m in enumerate(masks) for r in range(radius // 2 + 1) for c in combinations([i for i in range(64) if not m >> i & 1], r)]
-    flips = spark.createDataFrame(flips, "t int, flip long")
-    middle = members.filter(F.col("n") > direct).join(F.broadcast(flips), "t").select("t", "k", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), "fp")
+    flips = spark.createDataFrame(flips, "table int, flip long")
+    middle = members.filter(F.col("n") > direct).withColumn("table", F.col("t") % n).join(F.broadcast(flips), "table")
+    middle = middle.select("t", "k", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), "fp")
     heads = middle.groupBy("t", "k", "mid").agg(F.min("fp").alias("head"), F.count("*").alias("c")).filter("c > 1")
-    large = middle.join(heads, ["t", "k", "mid"]).filter("fp != head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
-    return small.union(large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = middle.join(heads, ["t", "k", "mid"]).filter("fp != head").select(F.expr(f"int(t div {n})").alias("part"), F.col("head").alias("a"), F.col("fp").alias("b"))
+    return small.union(large).select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(prints: DataFrame, radius: int, direct: int = DIRECT) -> DataFrame:
-    """prints (doc_id, fp) with component_id: the smallest doc_id reachable over links within radius."""
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(values.select("fp"), radius, direct), "a", "b")
-    labelled = values.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_value = labelled.join(ids, "root").select("fp", "component_id")
-    return prints.join(of_value, "fp")
+def components(prints: DataFrame, radius: int, parts: int = 1, direct: int = DIRECT) -> DataFrame:
+    """prints (doc_id, fps) with component_id: the smallest doc_id reachable over links within radius."""
+    nodes = prints.groupBy("fps").agg(F.min("doc_id").alias("node"))
+    nodes = written(nodes, "simhash-nodes")
+    valued = nodes.filter("node IS NOT NULL").select("node", F.posexplode("fps").alias("part", "fp"))
+    heads = written(valued.groupBy("part", "fp").agg(F.min("node").alias("head")), "simhash-heads")
+    near = links(heads.select("part", "fp"), radius, direct)
+    of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("u"))
+    of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("v"))
+    edges = near.join(of_a, ["part", "a"]).join(of_b, ["part", "b"]).select("u", "v")
+    if parts > 1:  # documents that share one part's fingerprint
+        edges = edges.union(valued.join(heads, ["part", "fp"]).filter("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+    roots = connected_components(edges, "u", "v")
+    of_node = nodes.join(roots, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(written(of_node, "simhash-roots"), "fps")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs."""
-    return components(written(fingerprint_documents(docs, words), "simhash"), radius)
+def near_duplicates(docs: DataFrame, words: int, radius: int = 4, parts: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, fps, component_id) of every row of docs."""
+    return components(written(fingerprint_documents(docs, words, parts, distinct), "simhash"), radius, parts)
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, parts: int = 4) -> DataFrame:
     """docs without the documents that belong to another's component: one document of each group stays.
     Rows with a null doc_id, or one doc_id on several rows, are kept or dropped together."""
-    found = near_duplicates(docs, words, radius)
+    found = near_duplicates(docs, 1, radius, parts, distinct=True)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
