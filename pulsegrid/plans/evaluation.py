@@ -1 +1,213 @@
-"""To come."""
+"""Snapshots, targets and detections held against ground truth."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import evaluation, events, snapshots
+from pulsegrid.plans import base as b
+from pulsegrid.plans.registry import query
+from pulsegrid.plans.selections import WIDE, wide
+from pulsegrid.session import table
+
+_EV = b.with_(b.HOURLY, b.LOUD, b.event_sql(langs=2, threshold=1.2))
+DOUBLES = ("max_surprise_t", "sum_surprise_t", "excess_t", "lead_share_t", "excess_hour_t", "views_slope", "lead_views_share")
+
+_SNAPS = """
+x AS (SELECT e.event_id, e.lead_lang, l.lang, l.title, l.views, l.surprise, greatest(l.views - l.baseline_median, 0) AS ex, date_diff('hour', e.start_hour, l.ts_hour) AS h
+      FROM ev e JOIN loud l ON l.qid = e.qid AND l.ts_hour >= e.start_hour AND l.ts_hour <= e.start_hour + INTERVAL 72 HOUR),
+known AS (SELECT event_id, lang, title, min(h) AS known_from FROM x WHERE surprise >= 1.2 AND h < 24 GROUP BY ALL),
+firsts AS (SELECT event_id, lang, min(h) AS first FROM x WHERE surprise >= 1.2 AND h < 24 GROUP BY ALL),
+det AS (SELECT event_id, list_sort(list(first))[2] AS t0 FROM firsts GROUP BY event_id HAVING count(*) >= 2),
+snaps AS (SELECT event_id, k, t0 + k AS t FROM det, (VALUES (0), (1), (3)) o(k) WHERE t0 + k < 24),
+ag AS (SELECT s.event_id, s.k, count(DISTINCT lang) FILTER (WHERE surprise >= 1.2 AND h < 24) AS breadth_t, max(surprise) FILTER (WHERE surprise >= 1.2 AND h < 24) AS ms, sum(surprise) FILTER (WHERE surprise >= 1.2 AND h < 24) AS ss,
+              sum(ex) FILTER (WHERE h < 24) AS excess_t, sum(ex) FILTER (WHERE h < 24 AND lang = lead_lang) AS lead_ex, sum(ex) FILTER (WHERE h = t) AS now
+       FROM snaps s JOIN x ON x.event_id = s.event_id AND h <= t GROUP BY ALL),
+hv AS (SELECT s.event_id, s.k, t, h, sum(views) AS v, coalesce(sum(views) FILTER (WHERE x.lang = lead_lang), 0) AS lv FROM snaps s JOIN x ON x.event_id = s.event_id AND h <= t
+       JOIN known n ON n.event_id = x.event_id AND n.lang = x.lang AND n.title = x.title AND known_from <= t GROUP BY ALL),
+vf AS (SELECT event_id, k, coalesce(max(v) FILTER (WHERE h = t), 0) AS views_t, coalesce(max(v) FILTER (WHERE h = t - 2), 0) AS two_ago, max(v) AS peak, sum(lv) / sum(v) AS lvs, max(t) - first(h ORDER BY v DESC, h) AS since FROM hv GROUP BY ALL)"""
+
+
+def _snaps(spark, sf_dir):
+    return snapshots.snapshots(wide(spark, sf_dir), b.loud(spark, sf_dir), 1.2)
+
+
+@query("d20_event_snapshots", _EV + "," + _SNAPS + """SELECT s.event_id || '#' || s.k AS snapshot_id, s.k AS offset_h, s.t::BIGINT AS hours_since_start, breadth_t, round(ms, 6) AS max_surprise_t, round(ss, 6) AS sum_surprise_t, round(excess_t, 6) AS excess_t,
+round(coalesce(lead_ex / nullif(excess_t, 0), 0), 6) AS lead_share_t, round(coalesce(now, 0), 6) AS excess_hour_t, (SELECT count(*) FROM firsts f WHERE f.event_id = s.event_id AND f.first = s.t) AS new_langs_last_hour,
+CAST(coalesce(views_t, 0) AS BIGINT) AS views_t, round(coalesce(ln(1 + views_t) - ln(1 + two_ago), 0), 6) AS views_slope, CAST(coalesce(peak, 0) AS BIGINT) AS peak_views_so_far, round(coalesce(lvs, 0), 6) AS lead_views_share, coalesce(since, 0) AS hours_since_peak
+FROM snaps s LEFT JOIN ag USING (event_id, k) LEFT JOIN vf USING (event_id, k)""")
+def d20(spark, sf_dir):
+    rows = _snaps(spark, sf_dir).withColumns({c: F.round(c, b.R) for c in DOUBLES})
+    longs = {c: F.col(c).cast("long") for c in ("hours_since_start", "new_langs_last_hour", "hours_since_peak")}
+    return rows.withColumns(longs).select("snapshot_id", "offset_h", "hours_since_start", "breadth_t", "new_langs_last_hour", "views_t", "peak_views_so_far", "hours_since_peak", *DOUBLES)
+
+
+@query("d21_snapshot_targets", _EV + "," + _SNAPS + """, kx AS (SELECT x.event_id, x.h, sum(views) AS v, sum(ex) AS e FROM x JOIN known USING (event_id, lang, title) GROUP BY ALL),
+tot AS (SELECT d.event_id, i AS h, coalesce(v, 0) AS v, coalesce(e, 0) AS e FROM det d CROSS JOIN range(73) g(i) LEFT JOIN kx ON kx.event_id = d.event_id AND kx.h = i),
+pk AS (SELECT event_id, max(v) AS peak, first(h ORDER BY v DESC, h) AS ph FROM tot GROUP BY ALL)
+SELECT s.event_id || '#' || s.k AS snapshot_id, breadth >= 5 AS reach_international, breadth >= 20 AS reach_planetary,
+round((SELECT coalesce(sum(e), 0) FROM tot WHERE tot.event_id = s.event_id AND h > s.t AND h <= s.t + 24), 6) AS excess_next24,
+least(coalesce((SELECT min(h) FROM tot WHERE tot.event_id = s.event_id AND h >= greatest(s.t, ph) AND v < peak / 2) - s.t, 48), 48)::INT AS fade_hours
+FROM snaps s JOIN ev USING (event_id) JOIN pk USING (event_id)""")
+def d21(spark, sf_dir):
+    rows = snapshots.targets(_snaps(spark, sf_dir), wide(spark, sf_dir), b.loud(spark, sf_dir), 1.2)
+    return rows.withColumns({"excess_next24": F.round("excess_next24", b.R), "fade_hours": F.col("fade_hours").cast("int")})
+
+
+# ---------------------------------------------------------------- ground truth: (date, qid) pairs from orders
+GT = """
+gt AS (SELECT DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS date, o_custkey % 8 AS qid, substr(o_orderpriority, 1, 1) AS section, o_orderkey % 3 = 0 AS is_major FROM orders),
+majors AS (SELECT date, qid, string_agg(DISTINCT section, ',' ORDER BY section) AS sections FROM gt WHERE is_major AND qid < 6 AND (extract(day FROM date) + qid) % 3 = 0 GROUP BY ALL),
+portal AS (SELECT DISTINCT date, qid FROM gt WHERE (extract(day FROM date) + qid) % 4 = 1)"""
+
+
+def ground_truth(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("date"),
+        (F.col("o_custkey") % 8).alias("qid"), F.substring("o_orderpriority", 1, 1).alias("section"), (F.col("o_orderkey") % 3 == 0).alias("is_major"),
+    )
+
+
+def majors(spark, sf_dir):
+    rows = ground_truth(spark, sf_dir).filter("is_major AND qid < 6").filter((F.dayofmonth("date") + F.col("qid")) % 3 == 0)
+    return rows.groupBy("date", "qid").agg(F.concat_ws(",", F.sort_array(F.collect_set("section"))).alias("sections"))
+
+
+def portal(spark, sf_dir):
+    return ground_truth(spark, sf_dir).filter((F.dayofmonth("date") + F.col("qid")) % 4 == 1).select("date", "qid").distinct()
+
+
+def _hits(w: int) -> str:
+    return f"""hits AS (SELECT m.date, m.qid, m.sections, bool_or(e.qid IS NOT NULL) AS detected FROM majors m LEFT JOIN ev e ON e.qid = m.qid
+AND e.start_hour >= m.date - INTERVAL {w} HOUR AND e.start_hour < m.date + INTERVAL {24 + w} HOUR GROUP BY ALL)"""
+
+
+@query("e5_majors", b.with_(GT) + "SELECT date, qid, sections FROM majors")
+def e5(spark, sf_dir):
+    return majors(spark, sf_dir)
+
+
+@query("e1_recall", _EV + "," + GT + "," + _hits(24) + "SELECT count(*) AS pairs, count(*) FILTER (WHERE detected) AS detected, round(count(*) FILTER (WHERE detected) / count(*), 6) AS recall FROM hits")
+def e1(spark, sf_dir):
+    return evaluation.recall(evaluation.detected(majors(spark, sf_dir), wide(spark, sf_dir), 24)).withColumn("recall", F.round("recall", b.R))
+
+
+@query("e2_recall_by_section", _EV + "," + GT + "," + _hits(24) + "SELECT section, count(*) AS pairs, count(*) FILTER (WHERE detected) AS detected, round(count(*) FILTER (WHERE detected) / count(*), 6) AS recall FROM (SELECT unnest(string_split(sections, ',')) AS section, detected FROM hits) GROUP BY ALL")
+def e2(spark, sf_dir):
+    hits = evaluation.detected(majors(spark, sf_dir), wide(spark, sf_dir), 24)
+    return evaluation.recall(hits.withColumn("section", F.explode(F.split("sections", ","))), "section").withColumn("recall", F.round("recall", b.R))
+
+
+@query("e3_precision_proxy", _EV + "," + GT + """, p AS (SELECT event_id, bool_or(p.qid IS NOT NULL) AS hit FROM ev e LEFT JOIN portal p ON p.qid = e.qid AND p.date BETWEEN e.start_hour::DATE - 2 AND e.start_hour::DATE + 2 GROUP BY ALL)
+SELECT count(*) AS events, count(*) FILTER (WHERE hit) AS in_portal, round(count(*) FILTER (WHERE hit) / count(*), 6) AS "precision" FROM p""")
+def e3(spark, sf_dir):
+    rows = evaluation.in_portal(wide(spark, sf_dir), portal(spark, sf_dir))
+    return rows.agg(F.count("*").alias("events"), F.count_if("in_portal").alias("in_portal"), F.round(F.count_if("in_portal") / F.count("*"), b.R).alias("precision"))
+
+
+def _grid_sql() -> str:
+    parts, picks = [b.HOURLY, b.LOUD, GT], []
+    for i, (r3, n, w) in enumerate(GRID):
+        parts.append(b.event_sql(f"c{i}_", r3, n, w))
+        picks.append(f"SELECT {r3}::DOUBLE AS r3_threshold, {n} AS min_languages, {w} AS window_hours, event_id, qid, start_hour FROM c{i}_ev")
+    parts.append("every AS (" + " UNION ALL ".join(picks) + ")")
+    parts.append("configs AS (" + " UNION ALL ".join(f"SELECT {r}::DOUBLE AS r3_threshold, {n} AS min_languages, {w} AS window_hours" for r, n, w in GRID) + ")")
+    parts.append("""rec AS (SELECT c.*, count(*) AS pairs, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM every e WHERE e.r3_threshold = c.r3_threshold AND e.min_languages = c.min_languages AND e.window_hours = c.window_hours
+ AND e.qid = m.qid AND e.start_hour >= m.date - INTERVAL 24 HOUR AND e.start_hour < m.date + INTERVAL 48 HOUR)) AS found FROM configs c, majors m GROUP BY ALL)""")
+    parts.append("pre AS (SELECT r3_threshold, min_languages, window_hours, count(*) AS events, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM portal p WHERE p.qid = e.qid AND p.date BETWEEN e.start_hour::DATE - 2 AND e.start_hour::DATE + 2)) AS hits FROM every e GROUP BY ALL)")
+    return b.with_(*parts) + """SELECT r3_threshold, min_languages, window_hours, coalesce(events, 0) AS events, round(found / pairs, 6) AS recall, round(coalesce(hits / events, 0), 6) AS "precision",
+round(coalesce(2 * (found / pairs) * (hits / events) / nullif(found / pairs + hits / events, 0), 0), 6) AS harmonic_mean FROM rec LEFT JOIN pre USING (r3_threshold, min_languages, window_hours)"""
+
+
+GRID = [(r3, n, w) for r3 in (0.8, 1.2) for n in (2, 3) for w in (3, 6)]
+
+
+@query("e4_ablation_grid", _grid_sql())
+def e4(spark, sf_dir):
+    """All settings in one plan: spikes are read once, and every window begins with the setting and the entity."""
+    rows = b.loud(spark, sf_dir)
+    config = ["r3_threshold", "min_languages", "window_hours"]
+    key = ("config", "qid")
+    out = None
+    for n, w in sorted({(n, w) for _, n, w in GRID}):
+        settings = F.array(*[F.lit(r3) for r3, a, c in GRID if (a, c) == (n, w)])
+        tagged = rows.withColumn("config", F.explode(settings)).filter(F.col("surprise") >= F.col("config"))
+        p = replace(b.EVENTS, r3_threshold=0.0, min_languages=n, window_hours=w)
+        found = events.attention_events(events.event_languages(tagged, p, by=key), p, key)
+        found = found.select(F.col("config").alias("r3_threshold"), F.lit(n).alias("min_languages"), F.lit(w).alias("window_hours"), "event_id", "qid", "start_hour")
+        out = found if out is None else out.union(found)
+    grid = F.broadcast(spark.createDataFrame(GRID, "r3_threshold double, min_languages int, window_hours int"))
+    pairs = majors(spark, sf_dir).withColumn("k", F.lit(1)).join(grid.withColumn("k", F.lit(1)), "k").drop("k")
+    e = out.select(*config, "qid", "start_hour").withColumn("hit", F.lit(True))
+    near = (F.col("start_hour") >= F.col("date").cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS")) & (F.col("start_hour") < F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 48 HOURS"))
+    hits = pairs.join(e, [*config, "qid"], "left").groupBy(*config, "date", "qid").agg(F.coalesce(F.bool_or(near & F.col("hit")), F.lit(False)).alias("detected"))
+    rec = evaluation.recall(hits, *config).select(*config, "recall")
+    p = portal(spark, sf_dir).select("qid", F.col("date").alias("pd"))
+    day = F.to_date("start_hour")
+    within = (F.col("pd") >= F.date_sub(day, 2)) & (F.col("pd") <= F.date_add(day, 2))
+    pre = out.join(p, "qid", "left").groupBy(*config, "event_id").agg(F.coalesce(F.bool_or(within), F.lit(False)).alias("hit"))
+    pre = pre.groupBy(*config).agg(F.count("*").alias("events"), (F.count_if("hit") / F.count("*")).alias("precision"))
+    both = rec.join(pre, config, "left").na.fill(0, ["events", "precision"])
+    mean = F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0))
+    return both.select(*config, "events", F.round("recall", b.R).alias("recall"), F.round("precision", b.R).alias("precision"), F.round(mean, b.R).alias("harmonic_mean"))
+
+
+@query("e6_mann_whitney", b.with_(b.HOURLY, b.LOUD, b.event_sql()) + """, v AS (SELECT lang IN ('view', 'click') AS g, spread_lag_hours AS x FROM el), r AS (SELECT g, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS k FROM v),
+s AS (SELECT count(*) FILTER (WHERE g) AS n_a, count(*) FILTER (WHERE NOT g) AS n_b, sum(k) FILTER (WHERE g) AS rs FROM r), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM v GROUP BY x)),
+q AS (SELECT n_a, n_b, rs - n_a * (n_a + 1) / 2 AS u, sqrt(n_a * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS sd FROM s, t)
+SELECT n_a, n_b, round(u, 6) AS u, round((u - n_a * n_b / 2 + 0.5) / sd, 6) AS z FROM q""")
+def e6(spark, sf_dir):
+    rows = b.languages(spark, sf_dir).select(F.col("lang").isin("view", "click").alias("g"), "spread_lag_hours")
+    out = evaluation.mann_whitney_less(rows, "g", "spread_lag_hours")
+    return out.withColumns({"u": F.round("u", b.R), "z": F.round("z", b.R)})
+
+
+@query("e7_matched_events", _EV + "," + GT + "SELECT DISTINCT event_id, m.date AS portal_date FROM ev e JOIN majors m ON e.qid = m.qid AND e.start_hour >= m.date - INTERVAL 24 HOUR AND e.start_hour < m.date + INTERVAL 48 HOUR")
+def e7(spark, sf_dir):
+    m = majors(spark, sf_dir).select("qid", F.col("date").alias("portal_date"))
+    day = F.col("portal_date").cast("timestamp_ntz")
+    near = (F.col("start_hour") >= day - F.expr("INTERVAL 24 HOURS")) & (F.col("start_hour") < day + F.expr("INTERVAL 48 HOURS"))
+    return wide(spark, sf_dir).join(m, "qid").filter(near).select("event_id", "portal_date").distinct()
+
+
+@query("t5_largest_unmatched", _EV + "," + GT + "SELECT event_id, breadth FROM ev e WHERE NOT EXISTS (SELECT 1 FROM portal p WHERE p.qid = e.qid AND p.date BETWEEN e.start_hour::DATE - 2 AND e.start_hour::DATE + 2) ORDER BY breadth DESC, peak_intensity DESC, event_id LIMIT 30")
+def t5(spark, sf_dir):
+    e, p = wide(spark, sf_dir), portal(spark, sf_dir).select(F.col("qid").alias("pq"), "date")
+    day = F.to_date("start_hour")
+    near = (F.col("qid") == F.col("pq")) & (F.col("date") >= F.date_sub(day, 2)) & (F.col("date") <= F.date_add(day, 2))
+    return e.join(p, near, "left_anti").orderBy(F.desc("breadth"), F.desc("peak_intensity"), "event_id").limit(30).select("event_id", "breadth")
+
+
+@query("j14_first_match", _EV + """, tg AS (SELECT o_orderkey AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 AS INT)) AS moment, o_custkey % 8 AS a, (o_custkey + 1) % 8 AS c FROM orders WHERE o_orderstatus = 'F')
+SELECT id, first(event_id ORDER BY e.start_hour, event_id) AS event_id, min(e.start_hour) AS start_hour FROM tg LEFT JOIN ev e ON (e.qid = a OR e.qid = c) AND e.start_hour >= moment - INTERVAL 6 HOUR AND e.start_hour <= moment + INTERVAL 24 HOUR GROUP BY id""")
+def j14(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    at = F.expr("timestampadd(HOUR, int(o_orderkey % 700), TIMESTAMP_NTZ '2024-01-01 00:00:00')")
+    rows = o.select(F.col("o_orderkey").alias("id"), at.alias("at"), F.array(F.col("o_custkey") % 8, (F.col("o_custkey") + 1) % 8).alias("qids"))
+    return evaluation.first_match(rows, wide(spark, sf_dir), 6, 24).select("id", "event_id", "start_hour")
+
+
+@query("m7_ranking_metrics", """WITH s AS (SELECT round(n_chars / (n_chars + 2000.0), 3)::DOUBLE AS score, quality AS y FROM labels JOIN documents USING (doc_id)),
+a AS (SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*) AS auc FROM (SELECT * FROM s WHERE y = 1) p, (SELECT * FROM s WHERE y = 0) n),
+g AS (SELECT score, count(*) FILTER (WHERE y = 1) AS p, count(*) AS t FROM s GROUP BY score), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(t) OVER (ORDER BY score DESC) AS tt FROM g)
+SELECT round((SELECT auc FROM a), 6) AS auc, round((SELECT sum(p * tp / tt) / sum(p) FROM c), 6) AS average_precision, round((SELECT avg((score - y) * (score - y)) FROM s), 6) AS brier""")
+def m7(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    rows = rows.select(F.round(F.col("n_chars") / (F.col("n_chars") + 2000.0), 3).alias("score"), F.col("quality").alias("y"))
+    return evaluation.ranking_metrics(rows, "score", "y").select(*(F.round(c, b.R).alias(c) for c in ("auc", "average_precision", "brier")))
+
+
+@query("w9_decile_bins", """SELECT CAST(least(floor(round(n_chars / (n_chars + 2000.0), 3) * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(round(n_chars / (n_chars + 2000.0), 3)), 6) AS mean_score, round(avg(quality), 6) AS share FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")
+def w9(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + 2000.0), 3)
+    bins = F.least(F.floor(score * 10), F.lit(9)).cast("int")
+    return rows.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(score), b.R).alias("mean_score"), F.round(F.avg("quality"), b.R).alias("share"))
+
+
+@query("e24_verdicts", _EV + "," + GT + "," + _hits(24) + """SELECT sections, count(*) AS n, CASE WHEN count(*) < 5 THEN 'inconclusive' WHEN count(*) FILTER (WHERE detected) / count(*) >= 0.2 THEN 'supported' ELSE 'rejected' END AS verdict FROM hits GROUP BY ALL""")
+def e24(spark, sf_dir):
+    rows = evaluation.recall(evaluation.detected(majors(spark, sf_dir), wide(spark, sf_dir), 24), "sections")
+    return rows.select("sections", F.col("pairs").alias("n"), evaluation.verdict(F.col("recall"), 0.2, F.col("pairs"), 5).alias("verdict"))
