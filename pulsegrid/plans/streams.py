@@ -1 +1,111 @@
-"""To come."""
+"""Change streams: bursts, slots, sketches and live events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pulsegrid.functions import robust
+from pulsegrid.params import Bursts
+from pulsegrid.plans import base as b
+from pulsegrid.plans.registry import query
+from pulsegrid.session import scratch, table
+from pulsegrid.sources import canonical
+from pulsegrid.streaming import bursts
+
+P = Bursts(min_edits=4, min_editors=3, window_minutes=180, ratio=3.0)
+
+EDITS = """edits AS (SELECT event_type AS lang, 'T' || (user_id % 8) AS title, CAST(floor(epoch(ts)) AS BIGINT) AS second, 'U' || user_id AS usr FROM events),
+hm AS (SELECT lang, hour, median(n) AS m FROM (SELECT lang, title, second // 3600 AS hour, count(*) AS n FROM edits GROUP BY ALL) GROUP BY ALL),
+wb AS (SELECT lang, hour, CASE WHEN len(past) >= 24 THEN list_aggregate(past, 'median') ELSE 1.0 END AS baseline
+       FROM (SELECT lang, hour, coalesce(list(m) OVER (PARTITION BY lang ORDER BY hour ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), []) AS past FROM hm))"""
+CAND = """cand AS (SELECT a.lang, a.title, a.second, count(*) AS n_edits, count(DISTINCT b.usr) AS n_editors, any_value(baseline) AS baseline FROM (SELECT DISTINCT lang, title, second FROM edits) a
+JOIN edits b ON b.lang = a.lang AND b.title = a.title AND b.second BETWEEN a.second - 10799 AND a.second JOIN wb ON wb.lang = a.lang AND wb.hour = a.second // 3600 GROUP BY ALL),
+ok AS (SELECT * FROM cand WHERE n_edits >= 4 AND n_editors >= 3 AND 2 * n_edits >= 3 * baseline),
+pick AS (SELECT lang, title, min(second) AS second FROM ok GROUP BY ALL UNION ALL
+         SELECT p.lang, p.title, (SELECT min(o.second) FROM ok o WHERE o.lang = p.lang AND o.title = p.title AND o.second >= p.second + 21600) FROM pick p WHERE p.second IS NOT NULL)"""
+
+
+def edit_rows(spark, sf_dir) -> DataFrame:
+    rows = canonical.edits(spark, sf_dir)
+    return rows.select("lang", "title", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("second"), "user")
+
+
+@query("st3_wiki_baselines", "WITH " + EDITS + "SELECT lang, hour, round(baseline, 6)::DOUBLE AS baseline FROM wb")
+def st3(spark, sf_dir):
+    return bursts.wiki_baselines(edit_rows(spark, sf_dir), P).withColumn("baseline", F.round("baseline", b.R))
+
+
+@query("st2_edit_bursts", "WITH RECURSIVE " + EDITS + "," + CAND + "SELECT p.lang, p.title, p.second, n_edits, n_editors::INT AS n_editors FROM pick p JOIN ok USING (lang, title, second)")
+def st2(spark, sf_dir):
+    return bursts.bursts(edit_rows(spark, sf_dir), P)
+
+
+@query("st5_live_events", "WITH RECURSIVE " + EDITS + "," + CAND + """, f AS (SELECT CAST(substr(title, 2) AS BIGINT) AS qid, lang, min(second) AS s FROM pick WHERE second IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, s - lag(s) OVER (PARTITION BY qid ORDER BY s, lang) AS gap FROM f) SELECT qid, min(s) FILTER (WHERE gap <= 86400) AS second, min(s) AS first, count(*) AS languages FROM g GROUP BY qid HAVING count(*) FILTER (WHERE gap <= 86400) > 0""")
+def st5(spark, sf_dir):
+    rows = bursts.bursts(edit_rows(spark, sf_dir), P).withColumn("qid", F.substring("title", 2, 9).cast("long"))
+    return bursts.live_events(rows, 1440)
+
+
+@query("st1_filtered_edits", """SELECT event_id, event_type AS lang FROM events WHERE event_type IN ('view', 'click', 'purchase') AND NOT regexp_matches(lower(props), '"k": 1[0-9]\\}')""")
+def st1(spark, sf_dir):
+    rows = canonical.edits(spark, sf_dir).filter(F.col("lang").isin("view", "click", "purchase"))
+    return rows.filter(~bursts.maintenance(F.col("comment")) & ~F.lower("comment").rlike(r'"k": 1[0-9]\}')).select("event_id", "lang")
+
+
+def event_stream(spark, sf_dir) -> DataFrame:
+    """The events table as a file stream, with a time that watermarks accept."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("time", F.col("ts").cast("timestamp"))
+
+
+def drained(rows: DataFrame, spark, mode: str, name: str) -> DataFrame:
+    """Run a stream over what is there now, each batch's result written to the shared folder; read the last."""
+    out = scratch(spark, name)
+    empty = spark.createDataFrame([], rows.schema)
+    empty.write.parquet(out)
+    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    q = rows.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, name + "-log")).trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query("st4_stream_slots", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS slot, event_type AS lang, count(*) AS n, round(CASE WHEN bit_count(bit_or(1::BIGINT << (user_id % 63)::INT)) >= 63 THEN 63.0 ELSE -63 * ln(1 - bit_count(bit_or(1::BIGINT << (user_id % 63)::INT)) / 63) END, 6) AS editors FROM events GROUP BY ALL")
+def st4(spark, sf_dir):
+    rows = event_stream(spark, sf_dir).withWatermark("time", "1 hour").groupBy(F.window("time", "1 hour").alias("w"), F.col("event_type").alias("lang"))
+    rows = rows.agg(F.count("*").alias("n"), robust.bitmap(F.col("user_id"), 63).alias("bits"))
+    slots = drained(rows.select(F.col("w.start").alias("slot"), "lang", "n", "bits"), spark, "complete", "slots")
+    return slots.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "lang", "n", F.round(robust.linear_count(F.col("bits"), 63), b.R).alias("editors"))
+
+
+@query("st2_stream_bursts")
+def st2_stream(spark, sf_dir):
+    """The stateful stream; a test holds it against the batch form."""
+    rows = event_stream(spark, sf_dir).select(
+        F.col("event_type").alias("lang"), F.concat(F.lit("T"), F.col("user_id") % 8).alias("title"),
+        F.unix_timestamp("time").alias("second"), F.concat(F.lit("U"), "user_id").alias("user"),
+    )
+    return drained(bursts.stream_bursts(rows, P), spark, "append", "bursts")
+
+
+@query("st8_bursts_per_hour", "WITH RECURSIVE " + EDITS + "," + CAND + "SELECT lang, second // 3600 AS hour, count(*) AS n FROM pick WHERE second IS NOT NULL GROUP BY ALL")
+def st8(spark, sf_dir):
+    return bursts.bursts(edit_rows(spark, sf_dir), P).groupBy("lang", F.expr("second div 3600").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("st9_gaps", """SELECT event_type AS lang, max(gap) AS longest_gap, count(*) FILTER (WHERE gap > 21600) AS n_gaps FROM (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events) GROUP BY ALL""")
+def st9(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "events").withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    gap = F.col("s") - F.lag("s").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    return rows.withColumn("gap", gap).groupBy(F.col("event_type").alias("lang")).agg(F.max("gap").alias("longest_gap"), F.count_if(F.col("gap") > 21600).alias("n_gaps"))
+
+
+@query("st13_stream_profile", "SELECT event_type AS kind, count(*) AS n, round(count(*) / 720, 6) AS per_hour, round(avg(CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END), 6) AS bot_share, round(median(value), 6) AS middle, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY ALL")
+def st13(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"))
+    r = lambda c: F.round(c, b.R)
+    return rows.agg(F.count("*").alias("n"), r(F.count("*") / 720).alias("per_hour"), r(F.avg((F.col("user_id") % 10 == 0).cast("int"))).alias("bot_share"), r(F.median("value")).alias("middle"), r(F.expr("percentile(value, 0.95)")).alias("q95"))

@@ -26,3 +26,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "pulseg
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables; Spark's reader is the only way in, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder of spark.checkpoint.dir; a local one only where that is unset."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
