@@ -1 +1,126 @@
-"""To come."""
+"""Join kinds: coverage, reconciliation, semi and anti, bands, nearest in space and time, and maps."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pulsegrid.functions import robust
+from pulsegrid.plans import base as b
+from pulsegrid.plans.registry import query
+from pulsegrid.plans.selections import _EV, wide
+from pulsegrid.plans.streams import CAND, EDITS, P, edit_rows
+from pulsegrid.session import table
+from pulsegrid.sources import canonical, lake
+from pulsegrid.streaming import bursts
+
+
+@query("j19_join_coverage", b.with_(b.HOURLY) + "SELECT lang, CAST(sum(views) AS BIGINT) AS views, CAST(coalesce(sum(views) FILTER (WHERE qid IS NOT NULL), 0) AS BIGINT) AS matched, round(100 * coalesce(sum(views) FILTER (WHERE qid IS NOT NULL), 0) / sum(views), 6) AS percent FROM stg LEFT JOIN links USING (lang, title) GROUP BY lang")
+def j19(spark, sf_dir):
+    # views meet by item first, so the links join a row an item instead of a row an hour
+    items = b.stg(spark, sf_dir).groupBy("lang", "title").agg(F.sum("views").alias("views"))
+    rows = items.join(canonical.sitelinks(spark, sf_dir), ["lang", "title"], "left")
+    matched = F.sum(F.when(F.col("qid").isNotNull(), F.col("views")).otherwise(0))
+    return rows.groupBy("lang").agg(F.sum("views").alias("views"), matched.alias("matched"), F.round(100 * matched / F.sum("views"), b.R).alias("percent"))
+
+
+@query("j11_reconcile", b.with_(b.HOURLY) + """, lake AS (SELECT ts_hour, count(*) AS n FROM stg GROUP BY ALL), ledger AS (SELECT ts_hour, n + CASE WHEN hour(ts_hour) = 5 THEN 1 ELSE 0 END AS n FROM lake WHERE hour(ts_hour) <> 7)
+SELECT ts_hour, g.n AS n_ledger, l.n AS n_lake FROM ledger g FULL JOIN lake l USING (ts_hour) WHERE g.n IS DISTINCT FROM l.n""")
+def j11(spark, sf_dir):
+    rows = b.stg(spark, sf_dir)
+    book = lake.ledger(rows).filter(F.hour("ts_hour") != 7).withColumn("n_rows", F.col("n_rows") + (F.hour("ts_hour") == 5).cast("int"))
+    return lake.unmatched(book, rows)
+
+
+@query("j3_semi_j4_anti", b.with_(b.HOURLY) + """SELECT lang, title, count(*) AS n FROM stg s WHERE EXISTS (SELECT 1 FROM stg k WHERE k.lang = s.lang AND k.title = s.title AND k.views >= 2500)
+AND NOT EXISTS (SELECT 1 FROM stg x WHERE x.lang = s.lang AND x.title = s.title AND x.ts_hour = s.ts_hour - INTERVAL 1 HOUR) GROUP BY ALL""")
+def j3(spark, sf_dir):
+    stg = b.stg(spark, sf_dir)
+    keys = stg.filter("views >= 2500").select("lang", "title").distinct()
+    after = stg.select("lang", "title", F.expr("ts_hour + INTERVAL 1 HOUR").alias("ts_hour"))
+    rows = stg.join(keys, ["lang", "title"], "left_semi").join(after, ["lang", "title", "ts_hour"], "left_anti")
+    return rows.groupBy("lang", "title").agg(F.count("*").alias("n"))
+
+
+@query("j15_burst_to_event", "WITH RECURSIVE " + EDITS + "," + CAND + "," + b.HOURLY + "," + b.LOUD + "," + b.event_sql(langs=2, threshold=1.2) + """, bu AS (SELECT lang, title, second, CAST(substr(title, 2) AS BIGINT) AS qid, to_timestamp(second)::TIMESTAMP AS moment FROM pick WHERE second IS NOT NULL)
+SELECT bu.lang, bu.title, bu.second, min(e.start_hour) AS event_start, coalesce(bool_or(e.start_hour >= date_trunc('hour', moment)), false) AS forward FROM bu
+LEFT JOIN ev e ON e.qid = bu.qid AND e.start_hour >= date_trunc('hour', moment) - INTERVAL 2 HOUR AND e.start_hour <= date_trunc('hour', moment) + INTERVAL 24 HOUR GROUP BY ALL""")
+def j15(spark, sf_dir):
+    found = bursts.bursts(edit_rows(spark, sf_dir), P).select("lang", "title", "second", F.substring("title", 2, 9).cast("long").alias("qid"))
+    floor = F.date_trunc("hour", F.timestamp_seconds("second")).cast("timestamp_ntz")
+    found = found.withColumn("floor", floor)
+    e = wide(spark, sf_dir).select(F.col("qid").alias("eq"), "start_hour")
+    near = (F.col("qid") == F.col("eq")) & (F.col("start_hour") >= F.expr("floor - INTERVAL 2 HOURS")) & (F.col("start_hour") <= F.expr("floor + INTERVAL 24 HOURS"))
+    rows = found.join(e, near, "left").groupBy("lang", "title", "second")
+    return rows.agg(F.min("start_hour").alias("event_start"), F.coalesce(F.bool_or(F.col("start_hour") >= F.col("floor")), F.lit(False)).alias("forward"))
+
+
+_PLACES = """o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, (o_custkey * 7 % 120) - 60.0 AS lat, (o_custkey * 13 % 360) - 180.0 AS lon, o_totalprice / 100000 AS mag FROM orders WHERE o_orderkey % 50 = 1),
+c AS (SELECT o_orderkey AS cid, o_orderdate::DATE AS cday, (o_custkey * 7 % 120) - 60.0 AS clat, (o_custkey * 13 % 360) - 180.0 AS clon, o_totalprice / 100000 AS cmag FROM orders WHERE o_orderkey % 5 = 0)"""
+
+
+@query("j16_nearest_in_space_and_time", "WITH " + _PLACES + """, d AS (SELECT id, cid, 2 * 6371 * asin(least(1, sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2)))) AS km, abs(cmag - mag) AS dm
+FROM o JOIN c ON cday BETWEEN day - 1 AND day + 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, dm, cid) AS k FROM d) SELECT id, cid, round(km, 6) AS km FROM r WHERE k = 1 AND km <= 2000""")
+def j16(spark, sf_dir):
+    """Candidates share one of the days of the band, so the join has an equal key."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.to_date("o_orderdate").alias("day"), ((F.col("o_custkey") * 7) % 120 - 60.0).alias("lat"), ((F.col("o_custkey") * 13) % 360 - 180.0).alias("lon"), (F.col("o_totalprice") / 100000).alias("mag")
+    )
+    quakes = o.filter("o_orderkey % 50 = 1").withColumnRenamed("o_orderkey", "id").withColumn("d", F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 2))))
+    places = o.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("cid"), F.col("day").alias("d"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.col("mag").alias("cmag"))
+    rows = quakes.join(places, "d").withColumns({"km": robust.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), "dm": F.abs(F.col("cmag") - F.col("mag"))})
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("km", "dm", "cid")))
+    return rows.filter("k = 1 AND km <= 2000").select("id", "cid", F.round("km", b.R).alias("km"))
+
+
+@query("j18_map_join_max", b.with_(b.HOURLY) + ", m(lang, country) AS (VALUES ('view', 'A'), ('view', 'B'), ('click', 'B'), ('error', 'C')), s AS (SELECT lang, CAST(sum(views) AS BIGINT) AS views FROM stg GROUP BY lang) SELECT country, max(views) AS views FROM m JOIN s USING (lang) GROUP BY country")
+def j18(spark, sf_dir):
+    places = spark.createDataFrame([("view", "A"), ("view", "B"), ("click", "B"), ("error", "C")], "lang string, country string")
+    sums = b.stg(spark, sf_dir).groupBy("lang").agg(F.sum("views").alias("views"))
+    return sums.join(F.broadcast(places), "lang").groupBy("country").agg(F.max("views").alias("views"))
+
+
+@query("j9_dense_grid", _EV + "SELECT event_id, CAST(count(v) AS BIGINT) AS present, CAST(coalesce(sum(v), 0) AS BIGINT) AS views FROM (SELECT event_id, qid, start_hour + to_hours(i) AS t FROM ev, range(73) r(i)) g LEFT JOIN (SELECT qid, ts_hour AS t, sum(views) AS v FROM loud GROUP BY ALL) s USING (qid, t) GROUP BY event_id")
+def j9(spark, sf_dir):
+    grid = wide(spark, sf_dir).select("event_id", "qid", F.explode(F.expr("sequence(start_hour, start_hour + INTERVAL 72 HOURS, INTERVAL 1 HOUR)")).alias("ts_hour"))
+    sums = b.loud(spark, sf_dir).groupBy("qid", "ts_hour").agg(F.sum("views").alias("v"))
+    rows = grid.join(sums, ["qid", "ts_hour"], "left")
+    return rows.groupBy("event_id").agg(F.count("v").alias("present"), F.coalesce(F.sum("v"), F.lit(0)).alias("views"))
+
+
+@query("u5_deduped_links", "SELECT count(*) AS n, count(DISTINCT a) AS n_items FROM (SELECT DISTINCT o_orderdate::DATE AS d, o_custkey AS a FROM orders)")
+def u5(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"), F.col("o_custkey").alias("a")).dropDuplicates()
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("a").alias("n_items"))
+
+
+@query("s13_day_payload", _EV + """SELECT start_hour::DATE AS day, count(*) AS n_events, string_agg(event_id || ':' || languages, '|' ORDER BY breadth DESC, event_id) AS events FROM ev GROUP BY ALL""")
+def s13(spark, sf_dir):
+    item = F.struct((-F.col("breadth")).alias("b"), "event_id", F.concat_ws(",", "languages").alias("l"))
+    rows = wide(spark, sf_dir).groupBy(F.to_date("start_hour").alias("day")).agg(F.count("*").alias("n_events"), F.sort_array(F.collect_list(item)).alias("e"))
+    return rows.select("day", "n_events", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["event_id"], x["l"])), "|").alias("events"))
+
+
+@query("s11_upsert_hours", b.with_(b.HOURLY) + """, o AS (SELECT ts_hour, lang, title, views FROM stg WHERE hour_of_day < 12), n AS (SELECT ts_hour, lang, title, views + 1 AS views FROM stg WHERE hour_of_day >= 10)
+SELECT ts_hour, lang, title, views FROM o WHERE ts_hour NOT IN (SELECT ts_hour FROM n) UNION ALL SELECT * FROM n""")
+def s11(spark, sf_dir):
+    stg = b.stg(spark, sf_dir).select("ts_hour", "lang", "title", "views")
+    new = stg.filter(F.hour("ts_hour") >= 10).withColumn("views", F.col("views") + 1)
+    return lake.merged_hours(stg.filter(F.hour("ts_hour") < 12), new, overwrite=True)
+
+
+@query("e20_data_checks", b.with_(b.HOURLY) + """SELECT 'null_key' AS check_name, count(*) FILTER (WHERE lang IS NULL OR title IS NULL) AS violations FROM stg UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM stg GROUP BY lang, title, ts_hour HAVING count(*) > 1)
+UNION ALL SELECT 'unknown_language', count(*) FILTER (WHERE lang NOT IN ('view', 'click', 'error', 'purchase')) FROM stg UNION ALL SELECT 'unlinked_item', count(*) FROM (SELECT DISTINCT lang, title FROM stg) s WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.lang = s.lang AND l.title = s.title)""")
+def e20(spark, sf_dir):
+    stg = b.stg(spark, sf_dir)
+    check = lambda name, rows: rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+    parts = [
+        check("null_key", stg.filter("lang IS NULL OR title IS NULL")),
+        check("duplicate_key", stg.groupBy("lang", "title", "ts_hour").count().filter("count > 1")),
+        check("unknown_language", stg.filter(~F.col("lang").isin("view", "click", "error", "purchase"))),
+        check("unlinked_item", stg.select("lang", "title").distinct().join(canonical.sitelinks(spark, sf_dir), ["lang", "title"], "left_anti")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
