@@ -7,9 +7,10 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decoded(titles: pd.Series) -> pd.Series:
     def one(raw):
         try:

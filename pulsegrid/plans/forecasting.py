@@ -1 +1,75 @@
-"""To come."""
+"""Forecast rows, baselines and boosted trees over snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import forecast, snapshots
+from pulsegrid.plans import base as b
+from pulsegrid.plans.evaluation import _EV, _SNAPS
+from pulsegrid.plans.registry import query
+from pulsegrid.plans.selections import wide
+from pulsegrid.session import scratch
+
+CUT = "2024-01-16 00:00:00"
+
+
+def _snaps(spark, sf_dir):
+    return snapshots.snapshots(wide(spark, sf_dir), b.loud(spark, sf_dir), 1.2)
+
+
+_BASE = _EV + "," + _SNAPS + f""", rows AS (SELECT s.event_id, s.k, e.start_hour, e.breadth, coalesce(a.breadth_t, 0) AS breadth_t, e.lead_lang, coalesce(now, 0) AS now FROM snaps s JOIN ev e USING (event_id) LEFT JOIN ag a USING (event_id, k))"""
+
+
+@query("m1_chronological_split", _BASE + f"SELECT start_hour < TIMESTAMP '{CUT}' AS is_train, count(*) AS n FROM rows GROUP BY ALL")
+def m1(spark, sf_dir):
+    train, test = forecast.chronological_split(_snaps(spark, sf_dir), CUT)
+    count = lambda df, flag: df.agg(F.count("*").alias("n")).select(F.lit(flag).alias("is_train"), "n").filter("n > 0")
+    return count(train, True).union(count(test, False))
+
+
+@query("m2_target_rows", _BASE + "SELECT event_id || '#' || k AS snapshot_id, (breadth >= 4)::INT AS label FROM rows WHERE breadth_t < 4")
+def m2(spark, sf_dir):
+    return forecast.undecided(_snaps(spark, sf_dir), 4).select("snapshot_id", "label")
+
+
+@query("m8_baselines", _BASE + f""", t AS (SELECT *, (breadth >= 4)::INT AS y, start_hour < TIMESTAMP '{CUT}' AS tr FROM rows WHERE breadth_t < 4)
+SELECT round((SELECT avg(y) FROM t WHERE tr), 6) AS base_rate, count(*) FILTER (WHERE breadth_t >= 3) AS rule_calls, count(*) FILTER (WHERE breadth_t >= 3 AND y = 1) AS rule_hits, CAST(coalesce(sum(y), 0) AS BIGINT) AS positives FROM t WHERE NOT tr""")
+def m8(spark, sf_dir):
+    train, test = forecast.chronological_split(forecast.undecided(_snaps(spark, sf_dir), 4), CUT)
+    rule = F.col("breadth_t") >= 3
+    sums = test.agg(F.count_if(rule).alias("rule_calls"), F.count_if(rule & (F.col("label") == 1)).alias("rule_hits"), F.coalesce(F.sum("label"), F.lit(0)).alias("positives")).withColumn("k", F.lit(1))
+    rate = train.agg(F.round(F.avg("label"), b.R).alias("base_rate")).withColumn("k", F.lit(1))
+    return rate.join(sums, "k").drop("k")
+
+
+@query("m8_category_decay", _BASE + """, nx AS (SELECT s.event_id, s.k, coalesce(sum(ex), 0) AS later FROM snaps s LEFT JOIN (SELECT x.* FROM x JOIN known USING (event_id, lang, title)) y ON y.event_id = s.event_id AND y.h > s.t AND y.h <= s.t + 24 GROUP BY ALL),
+f AS (SELECT * FROM rows JOIN nx USING (event_id, k)), q AS (SELECT lead_lang, median(later / now) AS own FROM f WHERE now > 0 GROUP BY lead_lang HAVING count(*) >= 5)
+SELECT event_id || '#' || k AS snapshot_id, round(ln(1 + now * coalesce(own, (SELECT median(later / now) FROM f WHERE now > 0), 0)), 6) AS decay FROM f LEFT JOIN q USING (lead_lang)""")
+def m8_decay(spark, sf_dir):
+    snaps = _snaps(spark, sf_dir)
+    later = snapshots.targets(snaps, wide(spark, sf_dir), b.loud(spark, sf_dir), 1.2).select("snapshot_id", "excess_next24")
+    rows = snaps.join(later, "snapshot_id")
+    out = forecast.category_decay(rows, rows, "lead_lang", "excess_hour_t", "excess_next24", least=5)
+    return out.select("snapshot_id", F.round("decay", b.R).alias("decay"))
+
+
+@query("m11_open_events", _BASE + "SELECT event_id, max(k) AS offset_h FROM rows WHERE breadth_t < 4 AND start_hour + to_hours((SELECT t FROM snaps s WHERE s.event_id = rows.event_id AND s.k = rows.k)::INT) <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_id")
+def m11(spark, sf_dir):
+    rows = forecast.latest_open(_snaps(spark, sf_dir), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 4)
+    return rows.select("event_id", "offset_h")
+
+
+@query("m4_boosted_trees")
+def m4(spark, sf_dir):
+    """Scores of all undecided snapshots by trees fitted on the earlier ones, calibrated on those. Spark ML has no
+    monotone constraints; the reference's are left out. Rows only: the fit has no SQL twin."""
+    path = scratch(spark, "snapshots")
+    _snaps(spark, sf_dir).write.parquet(path)
+    rows = forecast.undecided(spark.read.parquet(path), 4)
+    train, _ = forecast.chronological_split(rows, CUT)
+    if train.select("label").distinct().count() < 2:
+        return rows.select("snapshot_id", "label", F.lit(None).cast("double").alias("score"))
+    model = forecast.boosted_trees(train)
+    fitted = forecast.calibrated(forecast.scores(model, rows), *forecast.calibration(forecast.scores(model, train)))
+    return fitted.select("snapshot_id", "label", F.round("score", b.R).alias("score"))
