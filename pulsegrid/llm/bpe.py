@@ -156,7 +156,7 @@ class Ranks:
     """The vocabulary of a rank file, and the rank of every pair of its tokens that joins to a token."""
 
     #: Pieces kept in the cache; it is emptied at this size, so a worker's memory is bounded.
-    CACHE = 400_000
+    CACHE = 150_000
     #: Longer pieces are merged one by one with a heap, in time n log n.
     LONG = 256
 
@@ -176,7 +176,6 @@ class Ranks:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.cache: dict[bytes, bytes] = {}
@@ -238,11 +237,16 @@ class Ranks:
                 out[i] = raw[4 * a : 4 * b]
         return out
 
+    def _rank(self, a: int, b: int) -> int | None:
+        key = a << 32 | b
+        at = int(self.keys.searchsorted(key))
+        return int(self.values[at]) if at < len(self.keys) and self.keys[at] == key else None
+
     def _merged_long(self, piece: bytes) -> bytes:
         ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
-        n, pairs = len(ids), self.pairs
+        n, rank_of = len(ids), self._rank
         right, left, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -253,7 +257,7 @@ class Ranks:
             if right[i] >= 0:
                 left[right[i]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (r := pairs.get(ids[x] << 32 | ids[y])) is not None:
+                if x >= 0 and y >= 0 and (r := rank_of(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return np.array([x for x, a in zip(ids, alive) if a], "<u4").tobytes()
 

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that one step of a vectorised kernel takes at once; bounds a task's memory.
+#: Bytes of text that one step of a vectorised kernel takes at once; bounds a task's memory.
 CHUNK_CHARS = 2_000_000
 
 
@@ -44,17 +45,17 @@ def only(df: DataFrame, *needed: str) -> DataFrame:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of record batches with their texts (null: empty), each of about limit code points or one row."""
+    """Slices of record batches with their texts (null: empty), each of about limit bytes or one row. text names a
+    column, or a field of the struct column "row". Only one slice's texts are Python objects at a time."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        begin = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        column = batch.column(text) if text in batch.schema.names else batch.column("row").field(text)
+        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = total[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, before + limit, side="right")))
+            yield batch.slice(begin, end - begin), [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+            begin = end
 
 
 #: Bits of a filter over ids; its size is fixed, and a join checks what passes.
