@@ -116,10 +116,11 @@ def _signed(x: int) -> int:
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the values that lie within radius of each other."""
+    """Edges of a spanning forest of the signed values that lie within radius of each other."""
     if len(values) == 2:
-        return [(int(values[0]), int(values[1]))] if int(np.bitwise_count(values[0] ^ values[1])) <= radius else []
-    rest, edges = values.copy(), []
+        a, b = values.tolist()
+        return [(a, b)] if (((a ^ b) & (2**64 - 1)).bit_count()) <= radius else []
+    rest, edges = values.view(np.uint64), []  # signed numbers would be counted by their absolute value
     while len(rest):
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
@@ -129,7 +130,7 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
                 new = near.any(axis=0) & (reached < 0)
                 reached[new] = k + near[:, new].argmax(axis=0)
             hit = reached >= 0
-            edges += zip(front[reached[hit]].tolist(), rest[hit].tolist())
+            edges += zip(front[reached[hit]].view(np.int64).tolist(), rest[hit].view(np.int64).tolist())
             front, rest = rest[hit], rest[~hit]
     return edges
 
