@@ -61,7 +61,8 @@ def hero(events: DataFrame, now: Column, windows: tuple[int, ...] = (24, 48, 168
         window = F.when(age < w, i) if window is None else window.when(age < w, i)
     fits = (age >= 0) & ((F.col("excess_views") >= excess) | F.col("tier").isin("international", "planetary"))
     rows = events.withColumn("window", window).filter(fits & F.col("window").isNotNull())
-    return rows.agg(F.min(F.struct("window", (-F.col("excess_views")).alias("e"), (-F.col("breadth")).alias("b"), "event_id")).alias("x")).select("x.window", "x.event_id")
+    best = rows.agg(F.min(F.struct("window", (-F.col("excess_views")).alias("e"), (-F.col("breadth")).alias("b"), "event_id")).alias("x"))
+    return best.filter("x IS NOT NULL").select("x.window", "x.event_id")
 
 
 def missing_hours(present: DataFrame, first: Column, last: Column, limit: int | None = None) -> DataFrame:
