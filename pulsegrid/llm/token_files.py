@@ -31,7 +31,7 @@ RARE_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x
 # ---------------------------------------------------------------- ids by the tokenizers library
 class Cached:
     """Ids of texts by the tokenizers library. A piece of the library's pattern never runs across a space that
-    stands between two other characters, so a text is cut before each such space, and each part is encoded once."""
+    stands between two other characters, so a text is cut at each such space, and each part is encoded once."""
 
     CACHE = 1_000_000
 
@@ -44,48 +44,55 @@ class Cached:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level: a character is a byte
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.cache: dict[str, bytes] = {}
+        self.kind = "<u2" if len(self.width) <= 1 << 16 else "<u4"
+        self.after: dict[str, bytes] = {}  # ids of a part that a space stands before
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self._parts(t) for t in texts]
-        missing = list({p for own in parts for p in own}.difference(self.cache))
-        if len(self.cache) + len(missing) > self.CACHE:
-            self.cache.clear()
-            missing = list({p for own in parts for p in own})
+        """Ids of each text as little-endian unsigned integers of self.kind."""
+        split = [self._words(t) for t in texts]
+        parts = set().union(*[own[1:] for own in split])
+        missing = [w for w in parts if w not in self.after]
+        if len(self.after) + len(missing) > self.CACHE:
+            self.after.clear()
+            missing = list(parts)
         self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, own)) for own in parts]
+        first = [self._ids(e.ids) for e in self.tokenizer.encode_batch_fast([own[0] for own in split], add_special_tokens=False)]
+        get = self.after.__getitem__
+        return [f + b"".join(map(get, own[1:])) for f, own in zip(first, split)]
 
-    def _parts(self, text: str) -> list[str]:
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _words(self, text: str) -> list[str]:
+        """A text's parts; the space before each but the first is left out."""
         if any(s in text for s in self.special):
             return [text]
         words = text.split(" ")
-        if "" not in words and " \n" not in text and "\n " not in text and not any(c in text for c in RARE_WHITE):
-            return [words[0], *(" " + w for w in words[1:])]
-        out, last = [words[0]], words[0]
-        for w in words[1:]:  # no cut beside white space
+        if "" not in words and not text[-1:].isspace() and " \n" not in text and "\n " not in text and not any(c in text for c in RARE_WHITE):
+            return words
+        out = [words[0]]
+        for w, last in zip(words[1:], words):  # no cut beside white space
             if w and last and not w[0].isspace() and not last[-1].isspace():
-                out.append(" " + w)
+                out.append(w)
             else:
                 out[-1] += " " + w
-            last = w
         return out
 
     def _learn(self, parts: list[str]) -> None:
-        """Parts that begin with a space and no white space at their ends are encoded as one text, then cut."""
-        plain = [p for p in parts if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and not any(s in p for s in self.special)]
-        other = list(set(parts).difference(plain))
-        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
-        for k in range(0, len(plain), 20_000):
-            own = plain[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in own])) + 1
-            raw = ids.tobytes()
-            for p, a, b in zip(own, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                self.cache[p] = raw[4 * a : 4 * b]
+        """All parts as one text, cut again at the bytes where they end."""
+        plain = [w for w in parts if not w[-1].isspace()] if parts else []
+        for k in range(0, len(plain), 50_000):
+            own = plain[k : k + 50_000]
+            text = " " + " ".join(own)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            sizes = np.fromiter(map(len, own if text.isascii() else [w.encode() for w in own]), np.int64, len(own))
+            cuts = (4 if self.kind == "<u4" else 2) * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes + 1)) + 1)
+            raw, ends = ids.tobytes(), cuts.tolist()
+            self.after.update(zip(own, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        if len(plain) < len(parts):
+            rest = [w for w in parts if w[-1].isspace()]
+            found = self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False)
+            self.after.update((w, self._ids(e.ids)) for w, e in zip(rest, found))
 
 
 @lru_cache(2)
@@ -98,11 +105,11 @@ def tokenize(docs: DataFrame, path: str, end: int | None = None, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cached(path)
-        kind = "<u2" if len(own.width) <= 1 << 16 else "<u4"
-        last = b"" if end is None else np.array([end], "<u4").tobytes()
+        last = b"" if end is None else np.array([end], own.kind).tobytes()
+        size = np.dtype(own.kind).itemsize
         for batch, texts in chunks(batches, text):
-            ids = [np.frombuffer(x + last, "<u4").astype(kind) for x in own.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            ids = [x + last for x in own.encode(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -320,8 +327,7 @@ def store(docs: DataFrame, path: str, end: int | None = None, folder: str | None
     """Encode docs and write them in the file format; gives the folder."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    size = max(len(cached(path).width), (end or 0) + 1)
-    kind = "<u2" if len(cached(path).width) <= 1 << 16 else "<u4"
+    size, kind = max(len(cached(path).width), (end or 0) + 1), cached(path).kind
     tokens = written(tokenize(docs, path, end), "ids")
     counts = np.zeros(size, np.int64)
     rows = id_counts(tokens, kind, size).toPandas()  # a row an id of the vocabulary
