@@ -3,9 +3,9 @@
 Labels define domains (toxic, low, clean). A softmax classifier over hashed words and bytes is fitted on a bounded sample of
 labelled documents (PER_DOMAIN of each domain, by the smallest hashes of their ids) and gives every document its
 domain posteriors. Document rates w >= 0 then minimise the squared distance between the expected totals
-sum_i w_i n_i p_id and the targets, by projected gradient from w = 1. The step in domain space is scaled by the
-matrix sum_i n_i p_i p_i' over documents whose rate is positive, and by 1 / n_i per document. A step is one
-distributed sum over all documents; rates are the fold of the steps so far, so only D numbers a step are sent.
+sum_i w_i n_i p_id and the targets, by accelerated projected gradient from w = 1, scaled by 1 / n_i per document; the
+largest eigenvalue of sum_i n_i p_i p_i' bounds the step. A step is one distributed sum over all documents; rates are
+the fold of the steps so far, so only D numbers a step are sent.
 
 Defined results: a null or empty text has no tokens and the posteriors of the intercept alone. With fewer than two
 labelled domains every posterior is that of the first domain found, and targets can still be met by one rate.
@@ -33,7 +33,7 @@ LEAST_DOCS = 10
 WORDS = 1 << 17
 BUCKETS = WORDS + (1 << 16)
 #: Target totals as multiples of what the documents hold.
-TARGETS = {"clean": 1.0, "low": 0.75, "toxic": 0.0}
+TARGETS = {"clean": 1.0, "low": 0.75, "toxic": 0.05}
 _WORD = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -41,7 +41,7 @@ class _Numbers(dict):
     """Buckets of words; emptied at a size that bounds a worker's memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = zlib.crc32(word) & (WORDS - 1)
         return out
@@ -59,10 +59,24 @@ def buckets(text: str, numbers: _Numbers) -> np.ndarray:
     return np.flatnonzero(there).astype(np.int32)
 
 
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the number of each labelled document's domain; toxic goes before low."""
+    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
+    named = labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL AND doc_id IS NOT NULL")
+    return named.groupBy("doc_id").agg(F.max("domain").alias("domain"))
+
+
+def shares(labels: DataFrame) -> np.ndarray:
+    """Each domain's share of all labels."""
+    out = np.zeros(len(DOMAINS))
+    for r in domains_of(labels).groupBy("domain").agg(F.count("*").alias("n")).collect():  # a row a domain
+        out[r["domain"]] = r["n"]
+    return out / max(out.sum(), 1)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN, text: str = "text") -> list[tuple[int, np.ndarray]]:
     """(domain, distinct buckets) of at most per_domain documents of each domain."""
-    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
-    named = labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    named = domains_of(labels)
     parts = [named.filter(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain) for d in range(len(DOMAINS))]
     chosen = only(docs, "doc_id", text).join(F.broadcast(reduce(DataFrame.union, parts)), "doc_id")
 
@@ -76,14 +90,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DO
     return [(r["domain"], np.frombuffer(r["words"], np.int32)) for r in rows]
 
 
-def fit(sample: Sequence[tuple[int, np.ndarray]], steps: int = 60, rate: float = 4.0, decay: float = 1e-6) -> np.ndarray:
-    """Weights (BUCKETS + 1, domains) of a softmax model, by gradient steps scaled by each weight's own past
-    slopes; the last row is the intercept. Domains weigh alike."""
-    weights = np.zeros((BUCKETS + 1, len(DOMAINS)))
+def fit(sample: Sequence[tuple[int, np.ndarray]], share: np.ndarray | None = None, steps: int = 60, rate: float = 4.0, decay: float = 1e-6) -> np.ndarray:
+    """Weights (BUCKETS + 2, domains) of a softmax model, by gradient steps scaled by each weight's own past
+    slopes. Domains weigh alike in the fit; the row BUCKETS is the intercept, and the last row the logarithms of the
+    domains' shares, by which posteriors follow the labels' own mix."""
+    weights = np.zeros((BUCKETS + 2, len(DOMAINS)))
+    if share is not None and share.any():
+        weights[-1] = np.log(np.maximum(share, 1e-6))
     present = sorted({d for d, _ in sample})
     absent = [d for d in range(len(DOMAINS)) if d not in present]
     if present:
-        weights[-1, absent] = -50.0
+        weights[BUCKETS, absent] = -50.0
     if len(present) < 2:
         return weights.astype(np.float32)
     y = np.array([d for d, _ in sample])
@@ -94,7 +111,7 @@ def fit(sample: Sequence[tuple[int, np.ndarray]], steps: int = 60, rate: float =
     row = np.repeat(np.arange(len(y)), sizes)
     value = 1 / np.sqrt(sizes)[row]
     used, place = np.unique(column, return_inverse=True)
-    share = 1 / np.bincount(y, minlength=len(DOMAINS))[y].astype(float) / len(present)
+    alike = 1 / np.bincount(y, minlength=len(DOMAINS))[y].astype(float) / len(present)
     own, past = np.zeros((len(used), len(DOMAINS))), np.full((len(used), len(DOMAINS)), 1e-12)
     for _ in range(steps):
         z = np.stack([np.bincount(row, value * own[place, d], len(y)) for d in range(len(DOMAINS))], axis=1)
@@ -102,12 +119,12 @@ def fit(sample: Sequence[tuple[int, np.ndarray]], steps: int = 60, rate: float =
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        p *= share[:, None]
+        p *= alike[:, None]
         slope = np.stack([np.bincount(place, value * p[row, d], len(used)) for d in range(len(DOMAINS))], axis=1) + decay * own
         past += slope * slope
         own -= rate * slope / np.sqrt(past)
     weights[used] = own
-    weights[-1, absent] = -50.0
+    weights[BUCKETS, absent] = -50.0
     return weights.astype(np.float32)
 
 
@@ -115,8 +132,8 @@ def posteriors(texts: list[str], weights: np.ndarray, numbers: _Numbers) -> np.n
     out = np.empty((len(texts), weights.shape[1]))
     for i, t in enumerate(texts):
         own = buckets(t, numbers)
-        out[i] = weights[own].sum(axis=0, dtype=np.float64) + weights[-1]
-        out[i] /= np.sqrt(len(own) + 1)
+        out[i] = weights[own].sum(axis=0, dtype=np.float64) + weights[BUCKETS]
+        out[i] = out[i] / np.sqrt(len(own) + 1) + weights[-1]
     out = np.exp(out - out.max(axis=1, keepdims=True))
     return np.round(out / out.sum(axis=1, keepdims=True), 6)
 
@@ -124,12 +141,12 @@ def posteriors(texts: list[str], weights: np.ndarray, numbers: _Numbers) -> np.n
 def memberships(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """(row, n_tokens, p): row is a struct of the input's columns; tokens are words between white space."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     schema = T.StructType([packed.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, text):
             p = posteriors(texts, shared.value, numbers)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(t.encode().split()) for t in texts], pa.int64()), lists], names=["row", "n_tokens", "p"])
@@ -137,31 +154,36 @@ def memberships(docs: DataFrame, weights: np.ndarray, text: str = "text") -> Dat
     return packed.mapInArrow(run, schema)
 
 
-def rates(p: np.ndarray, steps: Sequence[np.ndarray]) -> np.ndarray:
-    """The rate of each document after the steps: projected to w >= 0 each time."""
-    w = np.ones(len(p))
+def rates(p: np.ndarray, steps: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rate of each document after the steps, projected to w >= 0 each time, and the point, moved on by the
+    last change, at which the next gradient is taken."""
+    w = ahead = np.ones(len(p))
+    t = 1.0
     for g in steps:
-        w = np.maximum(0.0, w - p @ g)
-    return w
+        last, w = w, np.maximum(0.0, ahead - p @ g)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead = w + (before - 1) / t * (w - last)
+    return w, ahead
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, rounds: int = 40, tolerance: float = 1e-4) -> tuple[list[np.ndarray], dict[str, list[float]]]:
+def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, rounds: int = 40, tolerance: float = 1e-3) -> tuple[list[np.ndarray], dict[str, list[float]]]:
     """The steps in domain space, and the natural, target and reached totals of the domains."""
     domains = len(DOMAINS)
 
     def totals(steps: list[np.ndarray]) -> np.ndarray:
+        """Expected totals at the rates, at the point ahead, and the matrix that bounds the gradient's slope."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(domains + domains * domains)
+            out = np.zeros(2 * domains + domains * domains)
             for batch in batches:
                 p = batch.column("p").values.to_numpy().reshape(-1, domains)
                 n = batch.column("n_tokens").to_numpy().astype(float)
-                w = rates(p, steps)
-                active = n * (w > 0)
-                out += np.concatenate([(n * w) @ p, (p.T @ (p * active[:, None])).ravel()])
+                w, ahead = rates(p, steps)
+                out += np.concatenate([(n * w) @ p, (n * ahead) @ p, (p.T @ (p * n[:, None])).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["k", "x"])
 
-        out = np.zeros(domains + domains * domains)
-        for r in members.select("n_tokens", "p").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+        out = np.zeros(2 * domains + domains * domains)
+        for r in members.select("n_tokens", "p").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():  # a row a number
             out[r["k"]] = r["x"]
         return out
 
@@ -170,29 +192,40 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, rounds
     natural = sums[:domains]
     target = natural * np.array([targets.get(d, 1.0) for d in DOMAINS])
     scale = max(natural.sum(), 1.0)
+    bound = max(float(np.linalg.eigvalsh(sums[2 * domains :].reshape(domains, domains)).max()) / scale, 1e-9)
     for _ in range(rounds):
-        miss = (sums[:domains] - target) / scale
-        if np.abs(miss).max() <= tolerance:
-            break
-        curve = sums[domains:].reshape(domains, domains) / scale + 1e-6 * np.eye(domains)
-        steps.append(np.round(np.clip(np.linalg.solve(curve, miss), -2, 2), 9))
+        last = sums[:domains]
+        steps.append(np.round((sums[domains : 2 * domains] - target) / scale / bound, 9))
         sums = totals(steps)
+        if np.abs(sums[:domains] - target).max() <= tolerance * scale or np.abs(sums[:domains] - last).max() <= tolerance * scale / 100:
+            break
     return steps, {"natural": natural.tolist(), "target": target.tolist(), "reached": sums[:domains].tolist()}
 
 
+def with_rate(members: DataFrame, steps: Sequence[np.ndarray]) -> DataFrame:
+    """members with rate and copies: copies is the rate's nearest whole number."""
+    schema = T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = np.round(rates(batch.column("p").values.to_numpy().reshape(-1, len(DOMAINS)), steps)[0], 6)
+            copies = np.floor(w + 0.5).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(copies)], names=[*batch.schema.names, "rate", "copies"])
+
+    return members.mapInArrow(run, schema)
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """(row, n_tokens, p, rate, copies) of every document: copies is the rate's nearest whole number."""
-    weights = fit(labelled_sample(docs, labels))
-    members = memberships(docs, weights)
-    steps, _ = fit_rates(written(members.select("n_tokens", "p"), "memberships"), targets)
-    rate = F.lit(1.0)
-    for g in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col("p")[k] * float(x) for k, x in enumerate(g)), F.lit(0.0)))
-    return members.withColumn("rate", F.round(rate, 6)).withColumn("copies", F.floor(F.col("rate") + 0.5))
+    """(doc_id, n_tokens, p, rate, copies) of every document; texts are read once for their posteriors."""
+    found = memberships(only(docs, "doc_id", "text"), fit(labelled_sample(docs, labels), shares(labels)))
+    members = written(found.select("row.doc_id", "n_tokens", "p"), "memberships")
+    return with_rate(members, fit_rates(members, targets)[0])
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """docs, each as many times as its copies say; a rate near one leaves a document as it is."""
-    mixed = mix(docs, labels, targets).filter("copies > 0")
-    once = mixed.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """docs, each as many times as its copies say; a rate near one leaves a document as it is. Posteriors are
+    computed again rather than joined, which would shuffle the texts."""
+    members = memberships(docs, fit(labelled_sample(docs, labels), shares(labels)))
+    steps, _ = fit_rates(written(members.select("n_tokens", "p"), "memberships"), targets)
+    once = with_rate(members, steps).filter("copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return once.select("row.*")

@@ -88,10 +88,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
-    return mixed.select("row.doc_id", "n_tokens", *shares, "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
 def op10_perplexity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
