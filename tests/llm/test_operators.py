@@ -254,6 +254,24 @@ def test_one_document_of_each_group_stays(spark):
 
 
 # ---------------------------------------------------------------- 6: mixing
+def test_chaining_in_reach_equals_all_pairs_behind_a_far_run():
+    rng = random.Random(4)
+    reach = passages.GAP + passages.K + passages.WINDOW
+    for _ in range(200):
+        own = sorted(rng.sample(range(620, 900), 25))
+        x = np.array([*range(0, 500, 5), *own])
+        y = np.array([*range(1000, 1500, 5), *(a + 1000 + rng.randrange(-20, 20) for a in own)])
+        begin, end = passages.anchors(x, y)
+        x0, y0, x1, y1 = (a.tolist() for a in (x[begin], y[begin], x[end], y[end]))
+        best = []
+        for i in range(len(x0)):
+            gains = [best[j] - passages.GAP_COST * (x0[i] - x1[j] + y0[i] - y1[j]) for j in range(i) if y1[j] < y0[i] and max(x0[i] - x1[j], y0[i] - y1[j]) <= reach]
+            best.append(x1[i] - x0[i] + passages.K + max([0, *gains]))
+        assert np.allclose(passages.linked(x0, y0, x1, y1)[0], best)
+    x, y = np.array([*range(0, 496, 5), 600, 608]), np.array([*range(1000, 1496, 5), 1600, 1609])
+    assert (600, 1600, 608, 1609) in passages.chains(x, y)
+
+
 def test_rates_meet_the_targets_and_toxic_documents_go(spark):
     rng = random.Random(8)
     common = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(300)]
