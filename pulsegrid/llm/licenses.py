@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates, by containment.
 
-Blocks are lines; a line of more than WINDOW words is cut to windows of WINDOW words that overlap by half, so any
-stretch of half a window lies whole in one. A block meets a template when it holds at least THRESHOLD of the
+Blocks are lines and, across line breaks, windows of the whole text's words, as licenses stand wrapped in files. A
+window has WINDOW words, or twice those of the longest template where that is more, and overlaps the next by half,
+so any stretch of half a window, and so every template wrapped in any way, lies whole in one. A block meets a template when it holds at least THRESHOLD of the
 template's distinct words. Tokens are ordered by their frequency over all documents, rarest first. The least
 overlap a is ceil(THRESHOLD * size), so one of a template's first size - a + 1 tokens must be in a fitting block
 (prefix filter); blocks of fewer than a tokens can't fit (length filter); and the tokens that both sides still
@@ -49,15 +50,30 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().translate(_WORD).split()
 
 
+def window_of(templates: Sequence[tuple[str, str]]) -> int:
+    """Words of a window of which half holds any template."""
+    return max(WINDOW, 2 * max((len(words_of(t)) for _, t in templates), default=0))
+
+
+def windows(words: list[bytes], window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first word's number, words) of windows that overlap by half."""
+    for k in range(0, max(1, len(words) - window // 2), window // 2):
+        if words[k : k + window]:
+            yield k, words[k : k + window]
+
+
 def blocks(text: str, window: int = WINDOW) -> Iterator[tuple[int, list[bytes]]]:
-    """(first word's number, words) of each block."""
-    at = 0
+    """(first word's number, words) of each block; a window that is a block of a line already comes once."""
+    at, seen = 0, set()
     for line in text.split("\n"):
         words = words_of(line)
-        for k in range(0, max(1, len(words) - window // 2), window // 2):
-            if words[k : k + window]:
-                yield at + k, words[k : k + window]
+        for k, block in windows(words, window):
+            seen.add((at + k, len(block)))
+            yield at + k, block
         at += len(words)
+    for k, block in windows(words_of(text), window):
+        if (k, len(block)) not in seen:
+            yield k, block
 
 
 def token_frequencies(docs: DataFrame, vocabulary: Sequence[bytes], text: str = "text") -> DataFrame:
@@ -128,6 +144,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, frequency, threshold))
     sought = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in phrases]
     needed = [frozenset(words_of(p)) for p, _ in phrases]
+    window = window_of(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -139,7 +156,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
                 there = set(words)
                 hits = phrase_places(words, sought) if any(n <= there for n in needed) else []
                 places.append([{"word": a, "label": b} for a, b in hits])
-                matches.append([] if own.first_words.isdisjoint(there) else [{"label": own.labels[k], "word": at, "n_words": len(b), "containment": c} for at, b in blocks(t) if not own.first_words.isdisjoint(b) for k, c in own.matches(b).items()])
+                matches.append([] if own.first_words.isdisjoint(there) else [{"label": own.labels[k], "word": at, "n_words": len(b), "containment": c} for at, b in blocks(t, window) if not own.first_words.isdisjoint(b) for k, c in own.matches(b).items()])
             place = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
             match = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(places, place), pa.array(matches, match)], names=["doc_id", "n_words", "places", "matches"])

@@ -374,6 +374,16 @@ def test_base_phrases_and_exact_containment(spark):
     assert {m.label for m in got[5].matches} >= {"apache-2"} and {m.label for m in got[7].matches} == {"mit"}
 
 
+def test_wrapped_headers_and_long_templates_meet(spark):
+    gpl = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy */"
+    long = " ".join(f"w{i}" for i in range(150))
+    made = [gpl, bsd, mpl, "x y z\n" * 70 + bsd, long.replace(" w75", "\nw75"), None, "\n \n"]
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(frame(spark, made), [*licenses.TEMPLATES, ("long", long)]).collect()}
+    assert [got[i] for i in range(7)] == [{"gpl"}, {"bsd"}, {"mpl-2"}, {"bsd"}, {"long"}, set(), set()]
+
+
 # ---------------------------------------------------------------- 10: language model
 def test_probabilities_sum_to_one_and_equal_a_plain_model(spark):
     words = ["banana", "band", "bandana", "an", "and", "cab"] * 4 + ["nab", "a"]
