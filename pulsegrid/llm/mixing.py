@@ -7,8 +7,11 @@ sum_i w_i n_i p_id and the targets, by accelerated projected gradient from w = 1
 largest eigenvalue of sum_i n_i p_i p_i' bounds the step. A step is one distributed sum over all documents; rates are
 the fold of the steps so far, so only D numbers a step are sent.
 
+Copies are the rate rounded down, and one more where a hash of doc_id and text, as a share in [0, 1), is below the
+rest: expected totals of the rows returned are those of the rates, and the same document always has the same copies.
+
 Defined results: a null or empty text has no tokens and the posteriors of the intercept alone. With fewer than two
-labelled domains every posterior is that of the first domain found, and targets can still be met by one rate.
+labelled domains every posterior is that of the first domain found, and targets can still be met by one rate. Without any labelled document there are no domains, and all rates are 1.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,8 @@ WORDS = 1 << 17
 BUCKETS = WORDS + (1 << 16)
 #: Target totals as multiples of what the documents hold.
 TARGETS = {"clean": 1.0, "low": 0.75, "toxic": 0.05}
+#: A rate this near a whole number is that number, so that clean documents at about 1 stay whole.
+NEAR = 0.01
 _WORD = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -139,17 +145,21 @@ def posteriors(texts: list[str], weights: np.ndarray, numbers: _Numbers) -> np.n
 
 
 def memberships(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """(row, n_tokens, p): row is a struct of the input's columns; tokens are words between white space."""
+    """(row, n_tokens, p, share): row is a struct of the input's columns; tokens are words between white space; share
+    is a hash of doc_id and text in [0, 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    schema = T.StructType([packed.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([packed.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
         for batch, texts in chunks(batches, text):
             p = posteriors(texts, shared.value, numbers)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(t.encode().split()) for t in texts], pa.int64()), lists], names=["row", "n_tokens", "p"])
+            ids = batch.column("row").field("doc_id").to_pylist()
+            share = [(xxhash.xxh64_intdigest(b"%d " % (i or 0) + t.encode(), 42) >> 11) / 2**53 for i, t in zip(ids, texts)]
+            sizes = pa.array([len(t.encode().split()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), sizes, lists, pa.array(share, pa.float64())], names=["row", "n_tokens", "p", "share"])
 
     return packed.mapInArrow(run, schema)
 
@@ -203,13 +213,15 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, rounds
 
 
 def with_rate(members: DataFrame, steps: Sequence[np.ndarray]) -> DataFrame:
-    """members with rate and copies: copies is the rate's nearest whole number."""
+    """members with rate and copies: the rate rounded down, or up for as large a share of documents as its fraction."""
     schema = T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = np.round(rates(batch.column("p").values.to_numpy().reshape(-1, len(DOMAINS)), steps)[0], 6)
-            copies = np.floor(w + 0.5).astype(np.int64)
+            whole = np.floor(w + NEAR)
+            rest = np.where(w - whole <= NEAR, 0.0, w - whole)
+            copies = (whole + (batch.column("share").to_numpy() < rest)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(copies)], names=[*batch.schema.names, "rate", "copies"])
 
     return members.mapInArrow(run, schema)
@@ -217,15 +229,17 @@ def with_rate(members: DataFrame, steps: Sequence[np.ndarray]) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """(doc_id, n_tokens, p, rate, copies) of every document; texts are read once for their posteriors."""
-    found = memberships(only(docs, "doc_id", "text"), fit(labelled_sample(docs, labels), shares(labels)))
-    members = written(found.select("row.doc_id", "n_tokens", "p"), "memberships")
-    return with_rate(members, fit_rates(members, targets)[0])
+    sample = labelled_sample(docs, labels)
+    found = memberships(only(docs, "doc_id", "text"), fit(sample, shares(labels)))
+    members = written(found.select("row.doc_id", "n_tokens", "p", "share"), "memberships")
+    return with_rate(members, fit_rates(members, targets if sample else {})[0]).drop("share")
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """docs, each as many times as its copies say; a rate near one leaves a document as it is. Posteriors are
+    """docs, each as many times as its copies say. Posteriors are
     computed again rather than joined, which would shuffle the texts."""
-    members = memberships(docs, fit(labelled_sample(docs, labels), shares(labels)))
-    steps, _ = fit_rates(written(members.select("n_tokens", "p"), "memberships"), targets)
+    sample = labelled_sample(docs, labels)
+    members = memberships(docs, fit(sample, shares(labels)))
+    steps, _ = fit_rates(written(members.select("n_tokens", "p"), "memberships"), targets if sample else {})
     once = with_rate(members, steps).filter("copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return once.select("row.*")

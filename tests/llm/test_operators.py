@@ -296,6 +296,20 @@ def test_rates_meet_the_targets_and_toxic_documents_go(spark):
     assert mixing.apply_mix(docs, none).count() == 242
 
 
+def test_totals_of_the_rows_returned_meet_the_targets(spark):
+    rng = random.Random(9)
+    sets = [["".join(rng.choice(abc) for _ in range(4)) for _ in range(200)] for abc in ("abcdef", "ghijkl", "mnopqr")]
+    rows = [" ".join(rng.choice(sets[i % 3]) for _ in range(60)) for i in range(1500)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(600)], "doc_id long, quality int, toxic int")
+    for targets in (mixing.TARGETS, {"clean": 1.3, "low": 0.4, "toxic": 0.05}):
+        got = mixing.mix(docs, labels, targets).collect()
+        natural, reached = (sum(r.n_tokens * k * np.array(r.p) for r, k in zip(got, ks)) for ks in ([1] * len(got), [r.copies for r in got]))
+        want = natural * [targets[d] for d in mixing.DOMAINS]
+        assert (np.abs(reached - want) <= 0.05 * natural).all(), (targets, reached / natural)
+        assert Counter(r.doc_id for r in mixing.apply_mix(docs, labels, targets).collect()) == +Counter({r.doc_id: r.copies for r in got})
+
+
 # ---------------------------------------------------------------- 7: media
 def test_audio_round_trip(spark, texts, tmp_path):
     got = {r.doc_id: r for r in q.op7_telephony_audio(spark, write_tables(spark, tmp_path / "d", texts)).collect()}
