@@ -12,19 +12,27 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one step of a vectorised kernel takes at once; bounds a task's memory.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
+#: Bytes of an Arrow batch that goes to a Python worker, or one row.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # long rows count by their bytes
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a
+    cluster executors would each write to their own disk, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.split("[")[0] == "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder: the master is {master}")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -56,6 +64,26 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             end = max(begin + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(begin, end - begin), [t or "" for t in column.slice(begin, end - begin).to_pylist()]
             begin = end
+    released()
+
+
+def released() -> None:
+    """Give a worker's free memory back before the next stage's workers need it."""
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches, each with about limit bytes in a binary or list column, or one row."""
+    for batch in batches:
+        own = batch.column(column)
+        size = pc.list_value_length(own) if pa.types.is_list(own.type) else pc.binary_length(own)
+        total = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+    released()
 
 
 #: Bits of a filter over ids; its size is fixed, and a join checks what passes.
@@ -75,17 +103,20 @@ def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
     return bits
 
 
-def compressed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, z): texts of the documents that ids names, and of a few others, each compressed. The bitmap spares
-    the shuffle of a following join most of the other texts."""
+def compressed_texts(docs: DataFrame, ids: DataFrame, *further: str) -> DataFrame:
+    """(doc_id, z) and further columns of docs: texts of the documents that ids names, and of a few others, each
+    compressed. The bitmap spares the shuffle of a following join most of the other texts."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    names = ["doc_id", *further, "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(3)
         for batch, texts in chunks(batches):
-            h = batch.column("h").to_numpy()
+            h = batch.column("place_in_filter").to_numpy()
             hit = np.flatnonzero(shared.value[h >> 6] >> (h & 63) & 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(hit)), pa.array([packer.compress(texts[i].encode()) for i in hit], pa.binary())], names=["doc_id", "z"])
+            kept = [batch.column(c).take(pa.array(hit)) for c in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([packer.compress(texts[i].encode()) for i in hit], pa.binary())], names=names)
 
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", filter_place("doc_id").alias("h"))
-    return rows.mapInArrow(run, "doc_id long, z binary")
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", *further, "text", filter_place("doc_id").alias("place_in_filter"))
+    schema = T.StructType([*rows.select("doc_id", *further).schema.fields, T.StructField("z", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
