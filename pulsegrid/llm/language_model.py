@@ -1,24 +1,32 @@
-"""Quality by perplexity: interpolated modified Kneser-Ney over characters of words, in sharded count joins.
-
-The model's n-grams are up to ORDER characters inside a word with one space before and after it; contexts begin anew
-at each word. It is trained on all documents labelled good and not toxic. Counts, continuation counts, context totals
-and probabilities are tables keyed by n-gram, built by grouping and joins; discounts are four counts of counts a
-level. Documents are dealt to blocks by a hash of doc_id. Each block asks for the n-grams it has, the joins answer
-with probabilities, and the block's documents are scored with them: no table is broadcast, and what is shuffled grows
-with the corpus. A document is kept if its perplexity is at most MARGIN times its language's quantile QUANTILE over
-trusted documents (all languages' together where a language has fewer than LEAST trusted documents).
-
-Defined results: a null or empty text has no characters, perplexity 1 and is kept; without trusted documents all
-probabilities are uniform, no threshold exists and every document is kept. A null language is a language.
+"""Quality by perplexity: interpolated modified Kneser-Ney over characters, in sharded count joins.
+
+The model's n-grams are ORDER characters, across word ends: white space runs count as one space, and a text begins with
+ORDER - 1 marks, so every character has a whole context. An n-gram is a 64-bit key that numpy makes for all characters
+of a batch at once; keys of different lengths differ by their start value. The model is trained on the documents labelled
+good and not toxic, but for those of FOLD, which set the thresholds, so that a threshold is not that of texts the
+model has seen. Counts, continuation counts, context totals and probabilities are tables keyed by n-gram, built by
+grouping and joins; discounts are four counts of counts a level.
+
+Scoring: documents are packed, in the order in which they are read, into blocks of BLOCK_BYTES with the distinct keys that
+each block asks for. A join answers with the probabilities and back-off weights that the model has, and the
+block's documents are scored with them. No table is broadcast, nothing is dealt by a document's key, and what is
+shuffled grows with the corpus. A document is kept if its perplexity is at most MARGIN times its language's quantile
+QUANTILE over the trusted documents of FOLD (all languages' together where a language has fewer than LEAST of them).
+
+Defined results: a null or empty text, or white space alone, has no characters, perplexity 1 and is kept; without trusted
+documents all probabilities are uniform, no threshold exists and every document is kept. A null language is a
+language. A document with several labels is trusted if one says so; rows that share a doc_id, or have none, are each scored on
+their own; a null doc_id is never trusted. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import io
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -27,84 +35,121 @@ from pyspark.sql.window import Window
 
 from .common import chunks, compressed_texts, only, written
 
-ORDER = 4
-QUANTILE, MARGIN, LEAST = 0.999, 1.15, 30
-#: Documents of a block on average.
-BLOCK_DOCS = 4_000
-
-
-def grams(word: str, order: int = ORDER) -> list[str]:
-    """For each character of a word and the end after it: it and what precedes it, order characters at most."""
-    s = f" {word} "
-    return [s[:j] for j in range(2, min(order, len(s)) + 1)] + [s[j : j + order] for j in range(1, len(s) - order + 1)]
-
-
-def word_counts(texts: list[str]) -> Counter[str]:
-    found: Counter[bytes] = Counter()
-    for t in texts:
-        found.update(t.encode().split())
-    return Counter({w.decode(): n for w, n in found.items()})
+ORDER = 5
+QUANTILE, MARGIN, LEAST = 0.999, 1.0, 30
+#: One of so many trusted documents, by a hash, sets thresholds and isn't trained on.
+FOLD = 10
+#: Bytes of text of a scored block, or one document.
+BLOCK_BYTES = 6_000_000
+#: The mark before a text's first character: no code point.
+MARK = 0x110000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+# ---------------------------------------------------------------- n-gram keys
+def code_points(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each after order - 1 marks, with one space for every run of ASCII white space and none
+    at the ends; and the characters of each text."""
+    plain = [" ".join(t.split()) if t.isascii() else b" ".join(t.encode().split()).decode() for t in texts]
+    sizes = np.fromiter(map(len, plain), np.int64, len(plain))
+    points = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    starts = np.repeat(np.cumsum(sizes) - sizes, order - 1)
+    return np.insert(points, starts, np.uint64(MARK)), sizes
+
+
+def keys(texts: list[str], order: int = ORDER) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For every character of the texts: keys of the 1 .. order characters that end there, and of the 0 .. order - 1
+    before it; and the characters of each text."""
+    points, sizes = code_points(texts, order)
+    place = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(sizes) + 1) * (order - 1), sizes)
+    ends: list[np.ndarray] = []
+    key = points
+    for k in range(1, order + 1):
+        if k > 1:  # the key of the k - 1 characters one place before, and this one
+            key = np.append(np.zeros(1, np.uint64), key[:-1]) * _STEP + points
+        mixed = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
+        ends.append(mixed ^ (mixed >> np.uint64(32)))
+    before = [np.zeros(len(place), np.int64)] + [e[place - 1].view(np.int64) for e in ends[:-1]]
+    return [e[place].view(np.int64) for e in ends], before, sizes
 
 
 # ---------------------------------------------------------------- training
 def trusted_labels(labels: DataFrame) -> DataFrame:
-    return labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """(doc_id, held): trusted documents, and whether they set thresholds rather than train."""
+    good = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return good.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(FOLD)) == 0)
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(z): the trusted documents' texts, compressed."""
-    return compressed_texts(docs, trusted).join(trusted, "doc_id").select("z")
+    """(z): the texts of the documents named, compressed."""
+    return compressed_texts(docs, trusted.select("doc_id")).join(trusted.select("doc_id"), "doc_id").select("z")
 
 
-def gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(gram, a): counts of the n-grams that have their whole context."""
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(e1 .. e_order, b1 .. b_(order - 1), a): counts of the n-grams of whole length, with the keys of their ends and of
+    what stands before the last character."""
+    names = [f"e{k}" for k in range(1, order + 1)] + [f"b{k}" for k in range(1, order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        found: Counter[str] = Counter()
+        unpack, held, size = zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
-            for word, n in word_counts([unpack.decompress(z).decode() for z in batch.column("z").to_pylist()]).items():
-                for g in grams(word, order):
-                    found[g] += n
-            if len(found) > 500_000:
-                yield _counts(found)
-                found.clear()
-        yield _counts(found)
-
-    return texts.mapInArrow(run, "gram string, a long").groupBy("gram").agg(F.sum("a").alias("a"))
+            for z in batch.column("z").to_pylist():
+                held.append(unpack.decompress(z).decode())
+                size += len(held[-1])
+                if size > 2_000_000:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
+    def counted(own: list[str]) -> pa.RecordBatch:
+        ends, before, _ = keys(own, order)
+        of, _ = pd.factorize(ends[-1])
+        n = np.bincount(of)
+        first = np.empty(len(n), np.int64)
+        first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+        return pa.RecordBatch.from_arrays([pa.array(c[first]) for c in [*ends, *before[1:]]] + [pa.array(n.astype(np.int64))], names=[*names, "a"])
 
-def _counts(found: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "a"])
+    found = texts.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "a"]))
+    return found.groupBy(f"e{order}").agg(*[F.first(n).alias(n) for n in names if n != f"e{order}"], F.sum("a").alias("a"))
 
 
 class Model:
-    """Tables of a trained model: grams (gram, alpha), contexts (context, gamma), and the lowest level's gamma."""
+    """Tables of a trained model: table (gram, p, weight) has the probability of each n-gram seen and the back-off weight
+    of each context seen; floor is the probability of a character never seen."""
 
     def __init__(self, texts: DataFrame, order: int = ORDER):
         self.order = order
-        top = written(gram_counts(texts, order), "lm-top").withColumn("level", F.length("gram"))
-        now, levels = top.filter(F.col("level") == order).select("gram", "a"), []
+        now, levels = written(gram_counts(texts, order), "lm-top"), []
         for k in range(order, 0, -1):
-            levels.append(now.withColumn("level", F.lit(k)))
-            below = now.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("a"))
-            now = below.union(top.filter(F.col("level") == k - 1).select("gram", "a"))
-        every = levels[0]
-        for d in levels[1:]:
-            every = every.union(d)
-        every = written(every.withColumn("context", F.expr("left(gram, length(gram) - 1)")), "lm-counts")
+            context = F.col(f"b{k - 1}") if k > 1 else F.lit(0).cast("long")
+            end = F.col(f"e{k - 1}") if k > 1 else F.lit(0).cast("long")
+            levels.append(now.select(F.lit(k).alias("level"), F.col(f"e{k}").alias("gram"), context.alias("context"), end.alias("end"), "a"))
+            if k > 1:  # below the top, counts are of the different characters that stand before
+                rest = [f"e{j}" for j in range(1, k - 1)] + [f"b{j}" for j in range(1, k - 1)]
+                now = now.groupBy(f"e{k - 1}").agg(*[F.first(n).alias(n) for n in rest], F.count("*").alias("a"))
+        every = written(reduce(DataFrame.union, levels), "lm-counts")
         of = {(r["level"], r["c"]): r["n"] for r in every.groupBy("level", F.least("a", F.lit(5)).alias("c")).agg(F.count("*").alias("n")).collect()}  # 5 rows a level
         discount = {k: self._discounts([of.get((k, c), 0) for c in range(1, 5)]) for k in range(1, order + 1)}
         cut = self._by_level(discount, F.col("a"))
-        lost = F.sum(cut)
-        contexts = every.groupBy("level", "context").agg(F.sum("a").alias("total"), lost.alias("lost"))
-        contexts = written(contexts.withColumn("gamma", F.col("lost") / F.col("total")), "lm-contexts")
-        rows = every.join(contexts.select("level", "context", "total"), ["level", "context"])
-        self.grams = written(rows.select("gram", "level", ((F.col("a") - cut) / F.col("total")).alias("alpha")), "lm-grams")
-        self.contexts = contexts.filter("level > 1").select("context", "gamma")
+        contexts = every.groupBy("level", "context").agg(F.sum("a").alias("total"), F.sum(cut).alias("lost"))
+        contexts = written(contexts.withColumn("weight", F.col("lost") / F.col("total")), "lm-contexts")
+        rows = every.join(contexts, ["level", "context"]).select("level", "gram", "end", "weight", ((F.col("a") - cut) / F.col("total")).alias("alpha"))
+        rows = written(rows, "lm-grams")
         lowest = contexts.filter("level = 1").first()
-        self.letters = sum(n for (level, _), n in of.items() if level == 1) + 1
-        self.floor = (lowest["gamma"] if lowest else 1.0) / self.letters
+        letters = sum(n for (level, _), n in of.items() if level == 1) + 1
+        self.floor = (lowest["weight"] if lowest else 1.0) / letters
+        last = rows.filter("level = 1").select("gram", (F.col("alpha") + self.floor).alias("p"))
+        known = [last]
+        for k in range(2, order + 1):
+            below = last.select(F.col("gram").alias("end"), F.col("p").alias("below"))
+            last = rows.filter(F.col("level") == k).join(below, "end").select("gram", (F.col("alpha") + F.col("weight") * F.col("below")).alias("p"))
+            last = written(last, f"lm-p{k}")
+            known.append(last)
+        nothing = F.lit(None).cast("double")
+        weights = contexts.filter("level > 1").select(F.col("context").alias("gram"), nothing.alias("p"), "weight")
+        both = reduce(DataFrame.union, known).select("gram", "p", nothing.alias("weight")).union(weights)
+        self.table = written(both.groupBy("gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight")), "lm-table")
 
     @staticmethod
     def _discounts(n: list[int]) -> list[float]:
@@ -123,136 +168,111 @@ class Model:
             out = F.when(F.col("level") == k, F.when(a == 1, one).when(a == 2, two).otherwise(more)).otherwise(out)
         return out
 
-    def probabilities(self, wanted: DataFrame) -> DataFrame:
-        """(gram, p) for the distinct n-grams wanted and all their ends."""
-        parts, above = {}, None
-        for k in range(self.order, 0, -1):
-            own = wanted.filter(F.length("gram") == k).select("gram")
-            above = own if above is None else own.union(above.select(F.expr("substring(gram, 2)").alias("gram"))).distinct()
-            parts[k] = above
-        found, last = None, None
-        for k in range(1, self.order + 1):
-            seen = self.grams.filter(F.col("level") == k).select("gram", "alpha")
-            rows = parts[k].join(seen, "gram", "left")
-            if last is None:
-                last = rows.select("gram", (F.coalesce("alpha", F.lit(0.0)) + self.floor).alias("p"))
-            else:
-                rows = rows.withColumns({"context": F.expr("left(gram, length(gram) - 1)"), "end": F.expr("substring(gram, 2)")})
-                rows = rows.join(self.contexts, "context", "left").join(last.select(F.col("gram").alias("end"), "p"), "end")
-                last = rows.select("gram", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
-            last = written(last, f"lm-p{k}")
-            found = last if found is None else found.union(last)
-        return found
-
 
 # ---------------------------------------------------------------- scoring
-def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, payload): documents of a block that one task has read, as compressed Arrow data."""
+def packed_blocks(docs: DataFrame, order: int) -> DataFrame:
+    """(block, payload, asked): documents as compressed Arrow data, and the distinct keys that they need, as sorted bytes. A
+    block's number is a hash of its payload, and equal blocks are scored alike; a row that repeats goes with its own block."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
+        packer, held, size = zstandard.ZstdCompressor(3), [], 0
+
+        def packed() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).cast(schema).combine_chunks()
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, schema) as writer:
+                writer.write_table(rows)
+            found = []
+            for _, texts in chunks(iter(rows.to_batches())):
+                ends, before, _ = keys(texts, order)
+                of, top = pd.factorize(ends[-1])
+                first = np.empty(len(top), np.int64)
+                first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+                found.append(np.unique(np.concatenate([c[first] for c in [*ends, *before[1:]]])))
+            own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            payload = packer.compress(sink.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary()), pa.array([packer.compress(own.tobytes())], pa.binary())], names=["payload", "asked"])
+
+        for batch, texts in chunks(batches):
             held.append(batch)
-            size += batch.nbytes
-            if size > 32_000_000:
-                yield _pack(pa.Table.from_batches(held))
+            size += sum(map(len, texts))
+            if size > BLOCK_BYTES:
+                yield packed()
                 held, size = [], 0
         if held:
-            yield _pack(pa.Table.from_batches(held))
-
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), "doc_id", "lang", "text").mapInArrow(run, "block int, payload binary").repartition("block")
-
+            yield packed()
 
-def _pack(rows: pa.Table) -> pa.RecordBatch:
-    rows = rows.combine_chunks().sort_by("block")
-    block = rows.column("block").to_numpy()
-    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() if len(block) else []
-    packer, out = zstandard.ZstdCompressor(3), []
-    for a, b in zip(cuts, [*cuts[1:], len(block)]):
-        sink = io.BytesIO()
-        own = rows.slice(a, b - a).drop_columns("block").combine_chunks()
-        with pa.ipc.new_stream(sink, own.schema) as writer:
-            writer.write_table(own)
-        out.append(packer.compress(sink.getvalue()))
-    return pa.RecordBatch.from_arrays([pa.array(block[cuts], pa.int32()), pa.array(out, pa.binary())], names=["block", "payload"])
+    found = only(docs, "doc_id", "lang", "text").mapInArrow(run, "payload binary, asked binary")
+    return written(found.select(F.monotonically_increasing_id().alias("block"), "payload", "asked"), "lm-blocks", "none")
 
 
-def _unpack(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
-
-
-def block_grams(packed: DataFrame, order: int) -> DataFrame:
-    """(block, gram): the n-grams that a block's documents have. A block's payloads are in one partition."""
+def block_grams(packed: DataFrame) -> DataFrame:
+    """(block, gram): the keys that a block asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                own = seen.setdefault(block, set())
-                for word in {w for t in _unpack(payload).column("text").to_pylist() for w in (t or "").encode().split()}:
-                    own.update(grams(word.decode(), order))
-        for block, own in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(list(own), pa.string())], names=["block", "gram"])
+            for block, asked in zip(batch.column("block").to_pylist(), batch.column("asked").to_pylist()):
+                own = np.frombuffer(unpack.decompress(asked), np.int64)
+                for k in range(0, len(own), 100_000):
+                    part = own[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "gram"])
 
-    return packed.mapInArrow(run, "block int, gram string")
+    return packed.select("block", "asked").mapInArrow(run, "block long, gram long")
 
 
-def corpus_grams(docs: DataFrame, order: int) -> DataFrame:
-    """(gram): the distinct n-grams of all documents."""
+SCORES = "doc_id long, lang string, n_chars long, log_p double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: set[str] = set()
-        found: set[str] = set()
-        for _, texts in chunks(batches):
-            new = set().union(*[(t or "").encode().split() for t in texts]).difference(words)
-            for w in new:
-                found.update(grams(w.decode(), order))
-            words = words | new if len(words) < 200_000 else new
-            if len(found) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["gram"])
-                found.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["gram"])
 
-    return only(docs, "text").mapInArrow(run, "gram string").distinct()
+def log_probabilities(texts: list[str], answers: tuple[np.ndarray, np.ndarray, np.ndarray], floor: float, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and the sum of their log-probabilities for each text; answers are sorted keys with log p and log weight."""
+    known, log_p, log_w = answers
+    ends, before, sizes = keys(texts, order)
+    of, top = pd.factorize(ends[-1])
+    first = np.empty(len(top), np.int64)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
 
+    def found(values: np.ndarray, column: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.full(len(values), np.nan)
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return np.where(known[at] == values, column[at], np.nan)
 
-SCORES = "doc_id long, lang string, n_grams long, log_p double"
+    value = np.nan_to_num(found(ends[0][first], log_p), nan=np.log(floor))
+    for k in range(2, order + 1):
+        seen = found(ends[k - 1][first], log_p)
+        value = np.where(np.isnan(seen), value + np.nan_to_num(found(before[k - 1][first], log_w)), seen)
+    sums, there = np.zeros(len(sizes)), sizes > 0
+    if there.any():
+        sums[there] = np.add.reduceat(value[of], (np.cumsum(sizes) - sizes)[there])
+    return sizes, sums
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, n_grams, log_p) of every row. Probabilities of the corpus's n-grams come first; in the last
-    plan the shuffled blocks serve both their questions and their scores."""
-    known = model.probabilities(written(corpus_grams(docs, model.order), "lm-grams-asked"))
-    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    packed = packed_blocks(docs, blocks)
-    asked = block_grams(packed, model.order)
-    answers = asked.join(known, "gram").select("block", "gram", F.log("p").alias("log_p"))
-    order = model.order
+    """(doc_id, lang, n_chars, log_p) of every row."""
+    packed = packed_blocks(docs, model.order)
+    answers = block_grams(packed).join(model.table, "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"), F.log("weight").cast("float").alias("log_w"))
+    order, floor = model.order, model.floor
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = dict(zip(right.column("gram").to_pylist(), right.column("log_p").to_pylist()))
-        of_word: dict[bytes, float] = {}
+        right = right.sort_by("gram")
+        known = tuple(right.column(c).to_numpy().astype(t) for c, t in (("gram", np.int64), ("log_p", float), ("log_w", float)))
         out = []
         for payload in left.column("payload").to_pylist():
-            rows = _unpack(payload)
-            sizes, sums = [], []
-            for t in rows.column("text").to_pylist():
-                words = (t or "").encode().split()
-                for w in set(words).difference(of_word):
-                    of_word[w] = sum(map(table.__getitem__, grams(w.decode(), order)))
-                sizes.append(len(t or "") - len((t or "").encode()) + sum(map(len, words)) + len(words))
-                sums.append(sum(map(of_word.__getitem__, words)))
-            out.append(pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang"), "n_grams": pa.array(sizes, pa.int64()), "log_p": pa.array(sums, pa.float64())}))
+            rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+            for batch, texts in chunks(iter(rows.to_batches())):
+                sizes, sums = log_probabilities(texts, known, floor, order)
+                out.append(pa.table({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_chars": pa.array(sizes), "log_p": pa.array(np.round(sums, 6))}))
         return pa.concat_tables(out)
 
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
+    return packed.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
-    """(lang, limit): the quantile of each language's trusted perplexities, rounded up to hundredths. It comes
+    """(lang, limit): the quantile of each language's held trusted perplexities, rounded up to hundredths. It comes
     from a histogram, so no language's rows meet in one task."""
-    histogram = scored.filter("trusted").groupBy("lang", F.ceil(F.col("perplexity") * 100).alias("bin")).agg(F.count("*").alias("n"))
+    histogram = scored.filter("held").groupBy("lang", F.ceil(F.col("perplexity") * 100).alias("bin")).agg(F.count("*").alias("n"))
     every = histogram.groupBy(F.lit(True).alias("all"), "bin").agg(F.sum("n").alias("n"))
 
     def limit(rows: DataFrame, key: str) -> DataFrame:
@@ -265,16 +285,15 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, least: int = LEAST
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, lang, n_grams, perplexity, threshold, kept) of every row of docs."""
+    """(doc_id, lang, n_chars, perplexity, threshold, kept) of every row of docs."""
     docs = only(docs, "doc_id", "lang", "text")
-    trusted = trusted_labels(labels)
-    model = Model(trusted_texts(docs, trusted))
+    trusted = written(trusted_labels(labels), "lm-trusted")
+    model = Model(trusted_texts(docs, trusted.filter("NOT held")))
     scored = score(docs, model)
-    scored = scored.withColumn("perplexity", F.round(F.exp(-F.col("log_p") / F.greatest("n_grams", F.lit(1))), 4)).drop("log_p")
+    scored = scored.withColumn("perplexity", F.round(F.exp(-F.col("log_p") / F.greatest("n_chars", F.lit(1))), 4)).drop("log_p")
     scored = written(scored, "lm-scores")
-    marked = scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    by_language, overall = thresholds(marked, quantile)
+    by_language, overall = thresholds(scored.join(trusted.filter("held"), "doc_id"), quantile)
     whole = overall.first()
-    limits = scored.join(F.broadcast(by_language), scored["lang"].eqNullSafe(by_language["lang"]), "left").drop(by_language["lang"])
+    limits = scored.join(F.broadcast(by_language), scored["lang"].eqNullSafe(by_language["lang"]), "left").drop(by_language["lang"])  # a row a language
     threshold = F.coalesce(F.col("limit"), F.lit(whole["limit"] if whole else None).cast("double")) * margin
     return limits.withColumn("threshold", threshold).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("limit")
