@@ -6,26 +6,34 @@ by one table of 2 ** LIMIT entries: all strides of a batch advance together, one
 
 Global starts come from the totals of the file's ordered parts, one row a part, never from a single task.
 
-Defined results: a null text is an empty one and has the end id alone; rows that share a doc_id are all kept,
-the shorter ones first.
+Defined results: a null text is an empty one and has the end id alone; rows that share a doc_id, or have none (these
+come first), are all kept, in the order of a hash of their ids, and equal rows tie. An empty table gives files without rows.
+Further columns are not looked at. A very long text is one block; its ids and codes are in one task, a few times its size.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, only, shared_dir, written
+from .common import chunks, only, shared_dir, slices, written
 
 LIMIT, STRIDE = 18, 256
 #: White space apart from the space and the line feed.
 RARE_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x0A, 0x20)]
+_RARE = re.compile("[" + "".join(RARE_WHITE) + "]")
+_RARE_ASCII = "".join(c for c in RARE_WHITE if c.isascii()).encode()
+#: Bytes of text that one step encodes; larger than other operators', as equal words are then looked up once.
+STEP_BYTES = 2_000_000
 
 
 # ---------------------------------------------------------------- ids by the tokenizers library
@@ -33,7 +41,10 @@ class Cached:
     """Ids of texts by the tokenizers library. A piece of the library's pattern never runs across a space that
     stands between two other characters, so a text is cut at each such space, and each part is encoded once."""
 
-    CACHE = 1_000_000
+    #: Parts kept in each of two generations, so a worker's memory is bounded and frequent parts stay.
+    CACHE = 400_000
+    #: Longer parts are encoded each time.
+    LONG = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,56 +57,96 @@ class Cached:
             self.width[i] = len(token)
         self.kind = "<u2" if len(self.width) <= 1 << 16 else "<u4"
         self.after: dict[str, bytes] = {}  # ids of a part that a space stands before
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of self.kind."""
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, pa.Array]:
+        """The number of ids of each text, and the ids as little-endian unsigned integers of self.kind."""
         split = [self._words(t) for t in texts]
-        parts = set().union(*[own[1:] for own in split])
-        missing = [w for w in parts if w not in self.after]
-        if len(self.after) + len(missing) > self.CACHE:
-            self.after.clear()
-            missing = list(parts)
-        self._learn(missing)
-        first = [self._ids(e.ids) for e in self.tokenizer.encode_batch_fast([own[0] for own in split], add_special_tokens=False)]
-        get = self.after.__getitem__
-        return [f + b"".join(map(get, own[1:])) for f, own in zip(first, split)]
+        plain = np.array([isinstance(own, str) for own in split])
+        lists = [pa.array([own for own in split if isinstance(own, str)], pa.string()), pa.array([own for own in split if not isinstance(own, str)], pa.list_(pa.string()))]
+        lists = pa.concat_arrays([pc.split_pattern(lists[0], " "), lists[1]])
+        order = np.argsort(np.argsort(~plain, kind="stable"), kind="stable")  # the place of each text in lists
+        ends = lists.offsets.to_numpy()
+        parts = lists.flatten().dictionary_encode()
+        number, words = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        behind = np.ones(len(number), bool)
+        behind[ends[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[number[behind]] = True
+        found = self._after([w if u else None for w, u in zip(words, used.tolist())])
+        firsts = parts.take(pa.array(ends[:-1])).dictionary_decode().to_pylist() if len(ends) > 1 else []
+        found += [self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
+        found.append(b"" if end is None else np.array([end], self.kind).tobytes())
+        number[ends[:-1]] = len(words) + np.arange(len(texts))
+        number = np.insert(number, ends[1:], len(found) - 1)
+        ends = ends + np.arange(len(ends))
+        width = np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(found), self.kind)
+        own = sizes[number]
+        total = np.append(0, np.cumsum(own))
+        ids = flat[np.repeat(starts[number] - total[:-1], own) + np.arange(total[-1])]
+        bounds = total[ends]
+        lists = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(ids)])
+        return np.diff(bounds)[order], lists.take(pa.array(order))
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _words(self, text: str) -> list[str]:
-        """A text's parts; the space before each but the first is left out."""
+    def _words(self, text: str) -> str | list[str]:
+        """The text itself where it can be cut at every space; else its parts, without the space before each but the first."""
         if any(s in text for s in self.special):
             return [text]
+        rare = len(data := text.encode()) != len(data.translate(None, _RARE_ASCII)) if text.isascii() else _RARE.search(text)
+        if not (rare or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] in (" ", "\n")):
+            return text
         words = text.split(" ")
-        if "" not in words and not text[-1:].isspace() and " \n" not in text and "\n " not in text and not any(c in text for c in RARE_WHITE):
-            return words
-        out = [words[0]]
+        out = [[words[0]]]
         for w, last in zip(words[1:], words):  # no cut beside white space
             if w and last and not w[0].isspace() and not last[-1].isspace():
-                out.append(w)
+                out.append([w])
             else:
-                out[-1] += " " + w
-        return out
-
-    def _learn(self, parts: list[str]) -> None:
-        """All parts as one text, cut again at the bytes where they end."""
-        plain = [w for w in parts if not w[-1].isspace()] if parts else []
-        for k in range(0, len(plain), 50_000):
-            own = plain[k : k + 50_000]
-            text = " " + " ".join(own)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+                out[-1].append(w)
+        return [" ".join(own) for own in out]
+
+    def _after(self, words: list[str | None]) -> list[bytes]:
+        """Ids of each part with a space before it; none for None."""
+        get = self.after.get
+        found = [get(w) for w in words]
+        missing = [w for w, f in zip(words, found) if f is None and w is not None]
+        if not missing:
+            return [f or b"" for f in found]
+        if len(self.after) + len(missing) > self.CACHE:
+            self.older, self.after = self.after, {}
+            missing = [w for w in words if w is not None]
+            found = [None] * len(words)
+        old = self.older.get
+        new = {w: ids for w in missing if (ids := old(w)) is not None}
+        new |= self._learned([w for w in missing if w not in new])
+        self.after.update((w, ids) for w, ids in new.items() if len(w) <= self.LONG)
+        return [b"" if w is None else new[w] if f is None else f for w, f in zip(words, found)]
+
+    def _learned(self, parts: list[str]) -> dict[str, bytes]:
+        """Several hundred parts as one text, cut again at the bytes where they end."""
+        plain = [w for w in parts if w and not w[-1].isspace()]
+        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        texts = [" " + " ".join(own) for own in groups]
+        out: dict[str, bytes] = {}
+        width = np.dtype(self.kind).itemsize
+        for own, text, coded in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(coded.ids, self.kind)
             sizes = np.fromiter(map(len, own if text.isascii() else [w.encode() for w in own]), np.int64, len(own))
-            cuts = (4 if self.kind == "<u4" else 2) * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes + 1)) + 1)
-            raw, ends = ids.tobytes(), cuts.tolist()
-            self.after.update(zip(own, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        if len(plain) < len(parts):
-            rest = [w for w in parts if w[-1].isspace()]
-            found = self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False)
-            self.after.update((w, self._ids(e.ids)) for w, e in zip(rest, found))
+            cuts = (width * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes + 1)) + 1)).tolist()
+            raw = ids.tobytes()
+            out.update(zip(own, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        rest = [w for w in parts if not w or w[-1].isspace()]
+        found = self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False)
+        out.update((w, self._ids(e.ids)) for w, e in zip(rest, found))
+        return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def cached(path: str) -> Cached:
     return Cached(path)
 
@@ -105,11 +156,9 @@ def tokenize(docs: DataFrame, path: str, end: int | None = None, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cached(path)
-        last = b"" if end is None else np.array([end], own.kind).tobytes()
-        size = np.dtype(own.kind).itemsize
-        for batch, texts in chunks(batches, text):
-            ids = [x + last for x in own.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for batch, texts in chunks(batches, text, STEP_BYTES):
+            sizes, ids = own.encode(texts, end)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
 
     return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -119,9 +168,8 @@ def id_counts(tokens: DataFrame, kind: str, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(k, 1000).to_pylist()), kind), minlength=size)
+        for part in slices(batches, "ids"):
+            counts += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), kind), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["id", "n"])
 
@@ -244,55 +292,33 @@ def decode_blocks(rows: list[tuple[int, bytes, bytes]], table: tuple[np.ndarray,
 
 
 # ---------------------------------------------------------------- files
-CODED = ["place", "doc_id", "n_ids", "n_bits", "offsets", "payload"]
-CODED_SCHEMA = "place int, doc_id long, n_ids long, n_bits long, offsets binary, payload binary"
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_ids long, n_bits long, offsets binary, payload binary"
-#: Ordered parts of a file set for each shuffle partition; several, so that the partitions come out even.
-PARTS = 8
-
-
-def _pass_through(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(n) for n in names]
 
 
 def write_tokens(tokens: DataFrame, lengths: np.ndarray, kind: str, folder: str) -> None:
-    """Write a block a document, in ascending doc_id order, below folder, and the code table beside them.
-    Documents are coded before they are dealt to the ordered parts, so the shuffle carries the short form. Bounds
-    of the parts are quantiles of doc_id, which leaves equal doc_ids in one part."""
+    """Write a block a document, in ascending doc_id order from file to file, below folder, and the code table beside
+    them. Files are ranges of (doc_id, a hash of the ids, the row's number), so that one doc_id on very many
+    rows, or on none, spreads over files as well. tokens is a table that is read, not made anew."""
     spark = tokens.sparkSession
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = tokens.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
-    shared = spark.sparkContext.broadcast((lengths, canonical(lengths), np.unique(np.array(bounds or [], np.int64))))
+    shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, codes, cuts = shared.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids = [np.frombuffer(x, kind) for x in part.column("ids").to_pylist()]
-                doc = part.column("doc_id")
-                place = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy()).astype(np.int32)
-                rows = list(zip(*encode_blocks(ids, sizes, codes)))
-                columns = [pa.array(place), doc, pa.array([len(x) for x in ids], pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=CODED)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before = -1, 0
-        for batch in batches:
-            place, sizes = batch.column("place").to_numpy(), batch.column("n_ids").to_numpy()
-            total = np.cumsum(sizes)
-            first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-            base = np.append(0, total)[first]
-            if place[0] == last:
-                base[0] -= before
-            start = total - sizes - np.repeat(base, np.diff(np.append(first, len(place))))
-            last, before = int(place[-1]), int(start[-1] + sizes[-1])
-            columns = [batch.column("place"), batch.column("doc_id"), pa.array(start), *_pass_through(batch, CODED[2:])]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "local_start", *CODED[2:]])
-
-    coded = tokens.select("doc_id", "ids").mapInArrow(code, CODED_SCHEMA)
-    ordered = coded.repartition("place").sortWithinPartitions("place", "doc_id", "n_ids", "payload")
-    ordered.mapInArrow(number, FILE_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
+        sizes, codes = shared.value
+        place, before = TaskContext.get().partitionId(), 0
+        for part in slices(batches, "ids"):
+            ids = [np.frombuffer(x, kind) for x in part.column("ids").to_pylist()]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            rows = list(zip(*encode_blocks(ids, sizes, codes)))
+            start = before + np.cumsum(n) - n
+            before += int(n.sum())
+            columns = [pa.array(np.full(len(ids), place, np.int32)), part.column("doc_id"), pa.array(start), pa.array(n), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
+
+    order = ["doc_id", "h", "row"]
+    keyed = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids").mapInArrow(code, FILE_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
     at = np.flatnonzero(lengths)
     spark.createDataFrame(list(zip(at.tolist(), lengths[at].tolist())), "id int, length int").coalesce(1).write.parquet(f"{folder}/codes")
 
@@ -306,19 +332,18 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(shared.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                rows = list(zip(*(part.column(c).to_pylist() for c in ("n_ids", "offsets", "payload"))))
-                ids = [x.astype("<u4").tobytes() for x in decode_blocks(rows, table)]
-                yield pa.RecordBatch.from_arrays([*_pass_through(part, ["part", "doc_id", "local_start", "n_ids"]), pa.array(ids, pa.binary())], names=["part", "doc_id", "local_start", "n_ids", "ids"])
+        for part in slices(batches, "payload"):
+            rows = list(zip(*(part.column(c).to_pylist() for c in ("n_ids", "offsets", "payload"))))
+            ids = [x.astype("<u4").tobytes() for x in decode_blocks(rows, table)]
+            kept = ["part", "doc_id", "local_start", "n_ids"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
 
     blocks = spark.read.schema(FILE_SCHEMA).parquet(f"{folder}/blocks")
     before, rows = 0, []
     for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # a row a part
         rows.append((r["part"], before))
         before += r["n"]
-    bases = spark.createDataFrame(rows, "part int, base long")
+    bases = spark.createDataFrame(rows, "part int, base long")  # a row a file, at most the session's shuffle partitions
     found = blocks.mapInArrow(run, "part int, doc_id long, local_start long, n_ids long, ids binary")
     return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_ids", "ids")
 
