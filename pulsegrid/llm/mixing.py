@@ -1,9 +1,9 @@
 """Soft-membership mixing: rates of documents whose expected domain token totals meet targets.
 
-Labels define domains (toxic, low, clean). A softmax classifier over hashed words and bytes is fitted on a bounded sample of
+Labels define domains (toxic, low, clean). A softmax classifier over counts of hashed words and bytes is fitted on a bounded sample of
 labelled documents (PER_DOMAIN of each domain, by the smallest hashes of their ids) and gives every document its
 domain posteriors. Document rates w >= 0 then minimise the squared distance between the expected totals
-sum_i w_i n_i p_id and the targets, by accelerated projected gradient from w = 1, scaled by 1 / n_i per document; the
+sum_i w_i n_i p_id and the targets, each in shares of the domain's own total, by accelerated projected gradient from w = 1, scaled by 1 / n_i per document; the
 largest eigenvalue of sum_i n_i p_i p_i' bounds the step. A step is one distributed sum over all documents; rates are
 the fold of the steps so far, so only D numbers a step are sent.
 
@@ -11,12 +11,16 @@ Copies are the rate rounded down, and one more where a hash of doc_id and text,
 rest: expected totals of the rows returned are those of the rates, and the same document always has the same copies.
 
 Defined results: a null or empty text has no tokens and the posteriors of the intercept alone. With fewer than two
-labelled domains every posterior is that of the first domain found, and targets can still be met by one rate. Without any labelled document there are no domains, and all rates are 1.
+labelled domains every posterior is that of the first domain found, and targets can still be met by one rate. Without any
+labelled document there are no domains, and all rates are 1; an empty table stays empty. Of a document with several labels the
+worst counts (toxic, then low). Rows that share a doc_id are rated by their own texts, and repeated rows alike; a null doc_id
+is never labelled. Rates of equal documents tie, and so do their copies. Further columns of any name are kept in
+apply_mix and not looked at.
 """
 
 from __future__ import annotations
 
-import zlib
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -36,33 +40,55 @@ PER_DOMAIN = 1_500
 LEAST_DOCS = 10
 WORDS = 1 << 17
 BUCKETS = WORDS + (1 << 16)
-#: Target totals as multiples of what the documents hold.
-TARGETS = {"clean": 1.0, "low": 0.75, "toxic": 0.05}
+#: The last row of the weights but one: a bucket without weight.
+NOTHING = BUCKETS + 1
+#: A text's sums are divided by this power of its number of features.
+POWER = 0.75
+#: Target totals as multiples of what the documents hold. Clearly toxic documents hold four fifths of the toxic mass; the rest is a
+#: little in very many clean ones, which a lower target would thin out.
+TARGETS = {"clean": 1.0, "low": 0.75, "toxic": 0.2}
 #: A rate this near a whole number is that number, so that clean documents at about 1 stay whole.
 NEAR = 0.01
-_WORD = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-
-
-class _Numbers(dict):
-    """Buckets of words; emptied at a size that bounds a worker's memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out = zlib.crc32(word) & (WORDS - 1)
-        return out
-
-
-def buckets(text: str, numbers: _Numbers) -> np.ndarray:
-    """Sorted buckets of a text's distinct words (A-Z lower-cased) and, above WORDS, of its runs of three bytes."""
-    data = text.encode()
-    words = set(data.lower().translate(_WORD).split())
-    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
-    runs = ((raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(16)
-    there = np.zeros(BUCKETS, bool)
-    there[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))] = True
-    there[WORDS + runs.astype(np.int64)] = True
-    return np.flatnonzero(there).astype(np.int32)
+#: Word bytes of the classifier lower-cased (others become a space), and ASCII white space.
+_WORD = np.array([b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0 for b in range(256)], np.uint8)
+_WHITE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+#: Powers of an odd number, for a word's key; words repeat them after so many bytes.
+_POWERS = np.cumprod(np.append(np.uint64(1), np.full(63, 0x9E3779B97F4A7C15, np.uint64)))
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words (A-Z lower-cased) of all texts one after the other, and where each text's begin and end; the
+    bucket of the run of three bytes at every byte, NOTHING where it leaves its text; where each text begins and ends
+    there; and each text's number of words between white space. Repeats count."""
+    data = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *(len(d) + 1 for d in data)])
+    raw = np.frombuffer(b"".join([d + b" " for d in data]) + b"  ", np.uint8)  # a space ends each text
+    inside = ~_WHITE[raw]
+    tokens = np.diff(np.searchsorted(np.flatnonzero(inside & ~np.append(False, inside[:-1])), bounds))
+    low = _WORD[raw]
+    starts = np.flatnonzero((low > 0) & ~np.append(False, low[:-1] > 0))
+    words = np.zeros(0, np.int64)
+    if len(starts):
+        low = low[starts[0] :]
+        own = (starts - starts[0]).astype(np.int32)
+        part = np.arange(len(low), dtype=np.int32) - np.repeat(own, np.diff(np.append(own, np.int32(len(low)))))
+        key = np.add.reduceat(low * _POWERS[part & 63], own)
+        words = ((key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 17)).astype(np.int64)
+    wide = raw.astype(np.uint32)
+    runs = (((wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) + WORDS
+    last = bounds[1:]
+    runs[last - 1] = runs[np.maximum(last - 2, 0)] = NOTHING
+    return words, np.searchsorted(starts, bounds), runs, bounds, tokens
+
+
+def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct buckets and how often it has each."""
+    words, word_at, runs, run_at, _ = features(texts)
+    out = []
+    for i in range(len(texts)):
+        own = np.append(words[word_at[i] : word_at[i + 1]], runs[run_at[i] : run_at[i + 1]])
+        out.append(np.unique(own[own != NOTHING].astype(np.int32), return_counts=True))
+    return out
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -81,41 +107,44 @@ def shares(labels: DataFrame) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN, text: str = "text") -> list[tuple[int, np.ndarray]]:
-    """(domain, distinct buckets) of at most per_domain documents of each domain."""
+    """(domain, distinct buckets and their counts) of at most per_domain documents of each domain. Of rows that share a doc_id, the one
+    of smallest text hash counts, so the sample is bounded whatever repeats."""
     named = domains_of(labels)
     parts = [named.filter(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain) for d in range(len(DOMAINS))]
     chosen = only(docs, "doc_id", text).join(F.broadcast(reduce(DataFrame.union, parts)), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers()
         for batch, texts in chunks(batches, text):
-            found = [buckets(t, numbers).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.array(found, pa.binary())], names=["doc_id", "domain", "words"])
+            rows = [np.stack([own, n]).astype(np.int32).tobytes() for own, n in counted(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.array(rows, pa.binary())], names=["doc_id", "domain", "words"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, domain int, words binary").orderBy("doc_id", "words").collect()  # the bounded sample
-    return [(r["domain"], np.frombuffer(r["words"], np.int32)) for r in rows]
+    found = chosen.mapInArrow(run, "doc_id long, domain int, words binary")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("words").alias("h"), "domain", "words")).alias("r"))
+    rows = one.select("doc_id", "r.domain", "r.words").orderBy("doc_id").collect()  # the bounded sample
+    return [(r["domain"], np.frombuffer(r["words"], np.int32).reshape(2, -1)) for r in rows]
 
 
 def fit(sample: Sequence[tuple[int, np.ndarray]], share: np.ndarray | None = None, steps: int = 60, rate: float = 4.0, decay: float = 1e-6) -> np.ndarray:
-    """Weights (BUCKETS + 2, domains) of a softmax model, by gradient steps scaled by each weight's own past
-    slopes. Domains weigh alike in the fit; the row BUCKETS is the intercept, and the last row the logarithms of the
-    domains' shares, by which posteriors follow the labels' own mix."""
-    weights = np.zeros((BUCKETS + 2, len(DOMAINS)))
+    """Weights (BUCKETS + 3, domains) of a softmax model, by gradient steps scaled by each weight's own past
+    slopes. Domains weigh alike in the fit; the row BUCKETS is the intercept, the row NOTHING is zero, and the last row the
+    logarithms of the domains' shares, by which posteriors follow the labels' own mix."""
+    weights = np.zeros((BUCKETS + 3, len(DOMAINS)))
     if share is not None and share.any():
         weights[-1] = np.log(np.maximum(share, 1e-6))
     present = sorted({d for d, _ in sample})
     absent = [d for d in range(len(DOMAINS)) if d not in present]
     if present:
-        weights[BUCKETS, absent] = -50.0
+        weights[-1, absent] = -50.0
     if len(present) < 2:
         return weights.astype(np.float32)
     y = np.array([d for d, _ in sample])
-    often = np.bincount(np.concatenate([x for _, x in sample]), minlength=BUCKETS) >= min(LEAST_DOCS, len(y) // 4)
-    sample = [(d, x[often[x]]) for d, x in sample]
-    sizes = np.array([len(x) + 1 for _, x in sample])
-    column = np.concatenate([np.append(x, BUCKETS) for _, x in sample])
+    often = np.bincount(np.concatenate([x[0] for _, x in sample]), minlength=BUCKETS) >= min(LEAST_DOCS, len(y) // 4)
+    total = np.array([x[1].sum() + 1.0 for _, x in sample])
+    sample = [(d, x[:, often[x[0]]]) for d, x in sample]
+    sizes = np.array([x.shape[1] + 1 for _, x in sample])
+    column = np.concatenate([np.append(x[0], BUCKETS) for _, x in sample])
     row = np.repeat(np.arange(len(y)), sizes)
-    value = 1 / np.sqrt(sizes)[row]
+    value = np.concatenate([np.append(x[1], 1) for _, x in sample]) / (total**POWER)[row]
     used, place = np.unique(column, return_inverse=True)
     alike = 1 / np.bincount(y, minlength=len(DOMAINS))[y].astype(float) / len(present)
     own, past = np.zeros((len(used), len(DOMAINS))), np.full((len(used), len(DOMAINS)), 1e-12)
@@ -130,18 +159,22 @@ def fit(sample: Sequence[tuple[int, np.ndarray]], share: np.ndarray | None = Non
         past += slope * slope
         own -= rate * slope / np.sqrt(past)
     weights[used] = own
-    weights[BUCKETS, absent] = -50.0
     return weights.astype(np.float32)
 
 
-def posteriors(texts: list[str], weights: np.ndarray, numbers: _Numbers) -> np.ndarray:
-    out = np.empty((len(texts), weights.shape[1]))
-    for i, t in enumerate(texts):
-        own = buckets(t, numbers)
-        out[i] = weights[own].sum(axis=0, dtype=np.float64) + weights[BUCKETS]
-        out[i] = out[i] / np.sqrt(len(own) + 1) + weights[-1]
+def posteriors(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Domain posteriors and tokens of each text."""
+    words, word_at, runs, run_at, tokens = features(texts)
+    sizes = np.diff(word_at) + np.maximum(np.diff(run_at) - 2, 0)
+    out = np.zeros((len(texts), weights.shape[1]))
+    for found, at in ((words, word_at), (runs, run_at)):
+        there = np.diff(at) > 0
+        for d in range(weights.shape[1]) if there.any() else ():
+            column = np.ascontiguousarray(weights[:, d])
+            out[there, d] += np.add.reduceat(column[found[: at[-1]]], at[:-1][there], dtype=np.float64)
+    out = (out + weights[BUCKETS]) / ((sizes + 1.0) ** POWER)[:, None] + weights[-1]
     out = np.exp(out - out.max(axis=1, keepdims=True))
-    return np.round(out / out.sum(axis=1, keepdims=True), 6)
+    return np.round(out / out.sum(axis=1, keepdims=True), 6), tokens
 
 
 def memberships(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
@@ -152,14 +185,12 @@ def memberships(docs: DataFrame, weights: np.ndarray, text: str = "text") -> Dat
     schema = T.StructType([packed.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers()
         for batch, texts in chunks(batches, text):
-            p = posteriors(texts, shared.value, numbers)
+            p, tokens = posteriors(texts, shared.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
             ids = batch.column("row").field("doc_id").to_pylist()
             share = [(xxhash.xxh64_intdigest(b"%d " % (i or 0) + t.encode(), 42) >> 11) / 2**53 for i, t in zip(ids, texts)]
-            sizes = pa.array([len(t.encode().split()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), sizes, lists, pa.array(share, pa.float64())], names=["row", "n_tokens", "p", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(tokens.astype(np.int64)), lists, pa.array(share, pa.float64())], names=["row", "n_tokens", "p", "share"])
 
     return packed.mapInArrow(run, schema)
 
@@ -176,7 +207,7 @@ def rates(p: np.ndarray, steps: Sequence[np.ndarray]) -> tuple[np.ndarray, np.nd
     return w, ahead
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, rounds: int = 40, tolerance: float = 1e-3) -> tuple[list[np.ndarray], dict[str, list[float]]]:
+def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, rounds: int = 60, tolerance: float = 5e-3) -> tuple[list[np.ndarray], dict[str, list[float]]]:
     """The steps in domain space, and the natural, target and reached totals of the domains."""
     domains = len(DOMAINS)
 
@@ -201,14 +232,16 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, rounds
     sums = totals(steps)
     natural = sums[:domains]
     target = natural * np.array([targets.get(d, 1.0) for d in DOMAINS])
-    scale = max(natural.sum(), 1.0)
-    bound = max(float(np.linalg.eigvalsh(sums[2 * domains :].reshape(domains, domains)).max()) / scale, 1e-9)
+    size = np.maximum(natural, 1.0)  # distances count in shares of a domain's own total
+    bound = max(float(np.linalg.eigvalsh(sums[2 * domains :].reshape(domains, domains) / np.outer(size, size)).max()), 1e-9 / size.max())
     for _ in range(rounds):
         last = sums[:domains]
-        steps.append(np.round((sums[domains : 2 * domains] - target) / scale / bound, 9))
+        steps.append((sums[domains : 2 * domains] - target) / size / size / bound)
         sums = totals(steps)
-        if np.abs(sums[:domains] - target).max() <= tolerance * scale or np.abs(sums[:domains] - last).max() <= tolerance * scale / 100:
+        if np.abs((sums[:domains] - target) / size).max() <= tolerance or np.abs((sums[:domains] - last) / size).max() <= tolerance / 100:
             break
+    else:
+        warnings.warn(f"rates not settled after {rounds} rounds: {sums[:domains]} for {target}", stacklevel=2)
     return steps, {"natural": natural.tolist(), "target": target.tolist(), "reached": sums[:domains].tolist()}
 
 
