@@ -6,8 +6,12 @@ the state before every position is a prefix product, found by a blocked associat
 and symbol then tells where a piece begins. Pieces go through a cache; those not in it are merged together,
 round by round, by rank.
 
-Defined results: a null text is an empty one; an empty text has no ids and decodes to no bytes. Columns of
-the input named as an output column are replaced.
+Decoding copies the bytes of all ids of a batch at once; by the retained offsets it gives where each piece ends in them.
+
+Defined results: a null text is an empty one; an empty text has no ids and decodes to no bytes. Rows are coded one by one:
+repeated rows alike, with or without a doc_id, and an empty table gives none. Of pairs of equal rank the leftmost merges first.
+A very long text is coded in one step, in time n log n and memory some fifty times its size. Columns of the input named as an
+output column are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, slices
 
 # ---------------------------------------------------------------- classes, symbols, automaton
 LETTER, NUMBER, OTHER, BLANK, WHITE, END = range(6)
@@ -156,7 +160,7 @@ class Ranks:
     """The vocabulary of a rank file, and the rank of every pair of its tokens that joins to a token."""
 
     #: Pieces kept in the cache; it is emptied at this size, so a worker's memory is bounded.
-    CACHE = 150_000
+    CACHE = 100_000
     #: Longer pieces are merged one by one with a heap, in time n log n.
     LONG = 256
 
@@ -178,6 +182,8 @@ class Ranks:
                     pairs[a << 32 | b] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self.bytes_of = np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
         self.cache: dict[bytes, bytes] = {}
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
@@ -279,11 +285,37 @@ def encode_texts(texts: list[str], vocabulary: Ranks) -> Iterator[tuple[np.ndarr
         yield np.frombuffer(b"".join(own), "<u4"), np.cumsum(np.fromiter(map(len, own), np.int64, n)) // 4
 
 
+def decode_ids(ids: np.ndarray, vocabulary: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after the other, and the byte at which each id ends."""
+    flat, starts, sizes = vocabulary.bytes_of
+    size = sizes[ids]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[ids] - (ends - size), size) + np.arange(total)], ends
+
+
+def decode_rows(rows: list[tuple[np.ndarray, np.ndarray]], vocabulary: Ranks) -> tuple[pa.Array, pa.Array]:
+    """For (ids, piece ends) of each text: its bytes, and the byte at which each of its pieces ends, by the offsets retained."""
+    sizes = np.cumsum([0, *(len(ids) for ids, _ in rows)])
+    data, ends = decode_ids(np.concatenate([ids for ids, _ in rows]).astype(np.int64), vocabulary)
+    ends = np.append(0, ends)
+    bounds = ends[sizes]
+    decoded = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+    counts = np.cumsum([0, *(len(e) for _, e in rows)])
+    own = np.concatenate([e.astype(np.int64) for _, e in rows])
+    shift = np.diff(counts)
+    spans = ends[own + np.repeat(sizes[:-1], shift)] - np.repeat(bounds[:-1], shift)
+    return decoded, pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.array(spans.astype(np.int32)))
+
+
 # ---------------------------------------------------------------- DataFrame operators
-def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -> DataFrame:
-    """df with ids (array of int), n_tokens and, with offsets, piece_ends: ids up to the end of each piece."""
-    added = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), **({"piece_ends": T.ArrayType(T.IntegerType())} if offsets else {})}
-    kept = [f for f in df.schema.fields if f.name not in added]
+def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """df with ids (array of int), n_tokens and, with offsets, piece_ends: ids up to the end of each piece. With decoded,
+    the ids are decoded again in the same pass, to the columns of decode, and text goes."""
+    added = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
+    added |= {"piece_ends": T.ArrayType(T.IntegerType())} if offsets else {}
+    added |= {"decoded": T.BinaryType(), "piece_bytes": T.ArrayType(T.IntegerType())} if decoded else {}
+    kept = [f for f in df.schema.fields if f.name not in added and not (decoded and f.name == text)]
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,28 +328,30 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
                 flat = np.concatenate([r[k] for r in rows]).astype(np.int32)
                 ends = np.cumsum([0, *(len(r[k]) for r in rows)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            if decoded:
+                columns += decode_rows(rows, vocabulary)
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+        vocabulary.cache.clear()
 
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the bytes that its ids stand for; null ids give no bytes."""
-    kept = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
+def decode(df: DataFrame, path: str, ids: str = "ids", ends: str = "piece_ends", out: str = "decoded") -> DataFrame:
+    """df with the bytes that its ids stand for, and piece_bytes: where each piece ends in them. Null ids give no bytes."""
+    kept = [f for f in df.schema.fields if f.name not in (out, "piece_bytes")]
+    schema = T.StructType([*kept, T.StructField(out, T.BinaryType()), T.StructField("piece_bytes", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = ranks(path).tokens.__getitem__
-        for batch in batches:
-            column = batch.column(ids)
-            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-            data = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(data, pa.binary())], names=[f.name for f in schema.fields])
+        vocabulary = ranks(path)
+        for batch in slices(batches, ids):
+            rows = [tuple(np.array([] if x is None else x, np.int64) for x in r) for r in zip(batch.column(ids).to_numpy(zero_copy_only=False), batch.column(ends).to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *decode_rows(rows, vocabulary)], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the two digests of encoded and decoded documents."""
+    """doc_id, n_tokens, the two digests of encoded and decoded documents, and the number of their pieces."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return df.select("doc_id", "n_tokens", F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    pieces = F.size("piece_bytes").cast("long").alias("n_pieces")
+    return df.select("doc_id", "n_tokens", F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), pieces)

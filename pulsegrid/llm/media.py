@@ -3,12 +3,16 @@
 mu-law and A-law samples expand by lookup tables. ADPCM blocks are independent, so one step decodes the next
 sample of every block of a batch at once. The stored form is a complete WAV file in a binary column.
 
-Defined results: null media decode to null PCM; a payload that isn't whole ADPCM blocks is padded with zeros.
+Defined results: null media, and bytes that are no such WAV file, decode to a null payload, null PCM and a null feature; a
+payload that isn't whole ADPCM blocks is padded with zeros. A null or empty text is a payload of zeros. Each row is
+coded by itself: repeated rows alike, also those without a doc_id, and an empty table gives none. Steps take some 500 KB of media or one
+row, so a very long text costs memory in proportion to itself alone. Columns of the input named as an output are replaced.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import CHUNK_CHARS, chunks, only, shared_dir, slices
+
 #: Format tags of WAV files (fixed values).
 MULAW, ALAW, IMA_ADPCM = 7, 6, 17
 RATE = 8000
@@ -104,19 +110,20 @@ def wav(payload: bytes, tag: int = MULAW, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
-def parse_wav(media: bytes) -> tuple[int, int, bytes]:
-    """(format tag, rate, payload) of a WAV file, whatever other parts it has."""
+def parse_wav(media: bytes) -> tuple[int, int, bytes] | None:
+    """(format tag, rate, payload) of a WAV file, whatever other parts it has. None if it isn't one, has no samples or a
+    format or rate unknown here; a payload that is cut off is what there is of it."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
+        return None
     at, tag, rate = 12, 0, 0
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 16 <= len(media):
             tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
         if name == b"data":
-            return tag, rate, media[at + 8 : at + 8 + size]
+            return (tag, rate, media[at + 8 : at + 8 + size]) if tag in (MULAW, ALAW, IMA_ADPCM) and rate > 0 else None
         at += 8 + size + size % 2
-    raise ValueError("no data in the WAV file")
+    return None
 
 
 def decoded(tag: int, payload: bytes) -> np.ndarray:
@@ -132,62 +139,75 @@ def text_payload(text: str | None, unit: int = 64) -> tuple[int, bytes]:
     return len(data), data + bytes(unit - len(data) if len(data) < unit else -len(data) % unit)
 
 
-def encode_media(df: DataFrame, text: str = "text", tag: int = MULAW, rate: int = RATE) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's bytes as the samples of a WAV file."""
+def tag_of(payload: bytes) -> int:
+    """The format by a checksum of the payload, so equal payloads are stored alike: mu-law and A-law, and one of 32 as
+    ADPCM, whose PCM takes several times the room."""
+    k = zlib.crc32(payload) % 32
+    return IMA_ADPCM if k == 0 else ALAW if k < 12 else MULAW
+
+
+def encode_media(df: DataFrame, text: str = "text", tag: int | None = None, rate: int = RATE) -> DataFrame:
+    """(doc_id, n_bytes, media): each text's bytes as the samples of a WAV file, of the format tag or else that of tag_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                rows = [text_payload(t) for t in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(p, tag, rate) for _, p in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for part, texts in chunks(batches, text):
+            rows = [text_payload(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(p, tag or tag_of(p), rate) for _, p in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return df.select("doc_id", text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return only(df, "doc_id", text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_media(df: DataFrame, to: int = 16000, media: str = "media", features: bool = True) -> DataFrame:
-    """df with payload (the stored samples), pcm (16-bit, little-endian, resampled to a rate), its pcm_rate and
-    feature: peak, root mean square and sign changes of the payload as mu-law, A-law and ADPCM, and a checksum
-    of the PCM."""
-    added = [T.StructField("payload", T.BinaryType()), T.StructField("pcm", T.BinaryType()), T.StructField("pcm_rate", T.IntegerType()), T.StructField("feature", T.StringType())]
+def decode_media(df: DataFrame, to: int = 16000, media: str = "media") -> DataFrame:
+    """df with payload (the stored samples), format (the WAV file's tag), pcm (16-bit, little-endian, resampled to a rate)."""
+    added = [T.StructField("payload", T.BinaryType()), T.StructField("format", T.IntegerType()), T.StructField("pcm", T.BinaryType())]
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                files = [None if m is None else parse_wav(m) for m in part.column(media).to_pylist()]
-                pcm = [None if f is None else resample(decoded(f[0], f[2]), f[1], to).astype("<i2").tobytes() for f in files]
-                made = feature_strings([None if f is None else f[2] for f in files], pcm) if features else [None] * len(files)
-                columns = [pa.array([f and f[2] for f in files], pa.binary()), pa.array(pcm, pa.binary()), pa.array([f and to for f in files], pa.int32()), pa.array(made, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns], names=[f.name for f in schema.fields])
+        for part in slices(batches, media):
+            files = [None if m is None else parse_wav(m) for m in part.column(media).to_pylist()]
+            pcm = [f and resample(decoded(f[0], f[2]), f[1], to).astype("<i2").tobytes() for f in files]
+            columns = [pa.array([f and f[2] for f in files], pa.binary()), pa.array([f and f[0] for f in files], pa.int32()), pa.array(pcm, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
-def _measures(samples: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Peak, root mean square and sign changes of runs of samples that lie one after the other."""
-    wide = samples.astype(np.int64)
-    negative = samples < 0
-    change = np.append(False, negative[1:] != negative[:-1])
-    change[starts] = False
-    peak = np.maximum.reduceat(np.abs(wide), starts)
-    rms = np.sqrt(np.add.reduceat(wide * wide, starts) / sizes)
-    return np.stack([peak, np.round(rms), np.add.reduceat(change.astype(np.int64), starts)]).astype(np.int64)
+def store_pcm(df: DataFrame, name: str = "pcm") -> DataFrame:
+    """df with its pcm column, written to the shared folder in a compact form and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_features(df: DataFrame, pcm: str = "pcm") -> DataFrame:
+    """df with feature instead of pcm: peak, root mean square and sign changes of the stored PCM, and its checksum."""
+    kept = [f for f in df.schema.fields if f.name not in (pcm, "feature")]
+    schema = T.StructType([*kept, T.StructField("feature", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, pcm, 4 * CHUNK_CHARS):
+            made = feature_strings(part.column(pcm).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(made, pa.string())], names=[f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)
 
 
-def feature_strings(payloads: list[bytes | None], pcm: list[bytes | None]) -> list[str | None]:
-    out: list[str | None] = [None] * len(payloads)
-    there = [i for i, p in enumerate(payloads) if p]
+def feature_strings(pcm: list[bytes | None]) -> list[str | None]:
+    out: list[str | None] = [None if p is None else "" for p in pcm]
+    there = [i for i, p in enumerate(pcm) if p]
     if not there:
-        return ["" if p is not None else None for p in payloads]
-    whole = [payloads[i] + bytes(-len(payloads[i]) % BLOCK) for i in there]
-    data = np.frombuffer(b"".join(whole), np.uint8)
-    sizes = np.array([len(p) for p in whole], np.int64)
+        return out
+    samples = np.frombuffer(b"".join([pcm[i] for i in there]), "<i2")
+    sizes = np.array([len(pcm[i]) // 2 for i in there], np.int64)
     starts = np.cumsum(sizes) - sizes
-    per = 2 * BLOCK - 7
-    rows = {"mulaw": _measures(mulaw_table()[data], starts, sizes), "alaw": _measures(alaw_table()[data], starts, sizes), "adpcm": _measures(adpcm_blocks(data).ravel(), starts // BLOCK * per, sizes // BLOCK * per)}
+    wide, negative = samples.astype(np.int64), samples < 0
+    change = np.append(False, negative[1:] != negative[:-1])
+    change[starts] = False
+    peak = np.maximum.reduceat(np.abs(wide), starts).tolist()
+    rms = np.rint(np.sqrt(np.add.reduceat(wide * wide, starts) / sizes)).astype(np.int64).tolist()
+    crossings = np.add.reduceat(change.astype(np.int64), starts).tolist()
     for k, i in enumerate(there):
-        out[i] = ";".join(f"{name} peak={m[0, k]} rms={m[1, k]} zc={m[2, k]}" for name, m in rows.items()) + f";pcm={zlib.crc32(pcm[i]):08x}"
-    return ["" if o is None and p is not None else o for o, p in zip(out, payloads)]
+        out[i] = f"peak={peak[k]};rms={rms[k]};zc={crossings[k]};pcm={zlib.crc32(pcm[i]):08x}"
+    return out

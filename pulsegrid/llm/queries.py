@@ -30,8 +30,7 @@ def vocabulary(name: str) -> str:
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     path = vocabulary(RANKS_50K)
-    encoded = bpe.encode(docs, path, offsets=False).drop("text")
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.encode(docs, path, offsets=False, decoded=True))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.encode_media(only(table(spark, sf_dir, "documents"), "doc_id", "text")), "media")
     size, payload = F.length("payload"), F.col("payload")
-    return media.decode_media(stored).select(
+    digests = media.decode_media(stored).select(
         "doc_id",
         "n_bytes",
         size.cast("long").alias("payload_bytes"),
@@ -61,8 +60,10 @@ def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        "feature",
+        "format",
+        "pcm",
     )
+    return media.with_features(media.store_pcm(digests))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,20 @@ fingerprints (parts), each with tables of its own; two documents are linked when
 
 Documents with equal fingerprints are one node from the start. A bucket of moderate size is linked within its task
 by a spanning forest (never all pairs as rows). A larger one goes through its midpoints: two fingerprints within
-radius share a value within radius/2 of both, so each emits those values and joins the smallest fingerprint
-that shares one; that is exact and linear in the bucket.
+radius share a value that is within half the radius, rounded down, of one and rounded up of the other. So each emits those
+values, and joins the smallest fingerprint that has one in the smaller distance; that is exact and linear in the bucket.
 
 Two five-word shingle sets of similarity 0.8 have fingerprints that differ in about 10 of 64 bits, for which a
-covering would need thousands of tables. Their sets of single words differ far less: about 4 of 64 bits. So
-drop_near_duplicates takes four fingerprints of the distinct words (124 tables in all).
-
-Defined results: null and empty texts have fingerprint zero and link like any other; rows that share a doc_id
-are all returned; a row with a null doc_id belongs to the component of its equals but links nothing itself.
+covering would need thousands of tables. Sets of single words differ far less where edits are scattered: about 4 of 64 bits. Where a
+block was added or cut, one end of the text is as it was. So drop_near_duplicates takes fingerprints of the distinct words
+of the whole text (WHOLE, radius 4) and of the first and the last words (EDGES of either, radius 2), as many words as the largest
+numbers of a geometric scale below half the text's; texts that differ by a fifth in length share such a number. What these tables
+link are candidates: each link is verified by the exact similarity of the five-word shingle sets, 0.8 or more.
+
+Defined results: null and empty texts have fingerprint zero and link like any other; texts that have no shingle in common but are both
+without words are alike. Rows that share a doc_id are all returned, each by its own text; a row with a null doc_id belongs to the
+component of its equals but links nothing itself. Ties of hashes at half a text's shingles give a zero bit. An empty table gives
+none; further columns are not looked at, or kept in drop_near_duplicates. Very long texts are hashed whole, in one step each.
 """
 
 from __future__ import annotations
@@ -27,10 +32,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, only, written
+from .common import chunks, compressed_texts, only, written
 from .components import connected_components
 
 #: Fingerprints of a bucket that one task compares directly.
@@ -88,17 +94,13 @@ def _other(h: np.ndarray, part: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def fingerprint_documents(docs: DataFrame, words: int, parts: int = 1, distinct: bool = False, text: str = "text") -> DataFrame:
-    """(doc_id, fps): a document's fingerprints as signed longs; with distinct, repeated shingles count once."""
+def fingerprint_documents(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """(doc_id, fps): a document's fingerprint as a list of one signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, text):
-            found = [hashes(t, words) for t in texts]
-            if distinct:
-                found = [np.unique(h) for h in found]
-            made = [fingerprints(found), *(fingerprints([_other(h, p) for h in found]) for p in range(1, parts))]
-            flat = pa.array(np.stack(made, axis=1).view(np.int64).ravel())
-            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * parts)
+            flat = pa.array(fingerprints([hashes(t, words) for t in texts]).view(np.int64))
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "fps"])
 
     return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, fps array<long>")
@@ -158,16 +160,16 @@ def links(values: DataFrame, radius: int, direct: int = DIRECT) -> DataFrame:
     small = members.filter(F.col("n") <= direct).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("t", "fps")
     small = small.mapInArrow(compare, "part int, a long, b long")
     # of fixed size: tables x midpoints of the bits that a table doesn't keep
-    flips = [(t, _signed(sum(1 << i for i in c))) for t, m in enumerate(masks) for r in range(radius // 2 + 1) for c in combinations([i for i in range(64) if not m >> i & 1], r)]
-    flips = spark.createDataFrame(flips, "table int, flip long")
+    flips = [(t, _signed(sum(1 << i for i in c)), r <= radius // 2) for t, m in enumerate(masks) for r in range(-(-radius // 2) + 1) for c in combinations([i for i in range(64) if not m >> i & 1], r)]
+    flips = spark.createDataFrame(flips, "table int, flip long, near boolean")
     middle = members.filter(F.col("n") > direct).withColumn("table", F.col("t") % n).join(F.broadcast(flips), "table")
-    middle = middle.select("t", "k", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), "fp")
-    heads = middle.groupBy("t", "k", "mid").agg(F.min("fp").alias("head"), F.count("*").alias("c")).filter("c > 1")
+    middle = middle.select("t", "k", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), "fp", "near")
+    heads = middle.groupBy("t", "k", "mid").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("head"), F.count("*").alias("c")).filter("c > 1 AND head IS NOT NULL")
     large = middle.join(heads, ["t", "k", "mid"]).filter("fp != head").select(F.expr(f"int(t div {n})").alias("part"), F.col("head").alias("a"), F.col("fp").alias("b"))
     return small.union(large).select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(prints: DataFrame, radius: int, parts: int = 1, direct: int = DIRECT) -> DataFrame:
+def components(prints: DataFrame, radius: int, direct: int = DIRECT) -> DataFrame:
     """prints (doc_id, fps) with component_id: the smallest doc_id reachable over links within radius."""
     nodes = prints.groupBy("fps").agg(F.min("doc_id").alias("node"))
     nodes = written(nodes, "simhash-nodes")
@@ -177,21 +179,118 @@ def components(prints: DataFrame, radius: int, parts: int = 1, direct: int = DIR
     of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("u"))
     of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("v"))
     edges = near.join(of_a, ["part", "a"]).join(of_b, ["part", "b"]).select("u", "v")
-    if parts > 1:  # documents that share one part's fingerprint
-        edges = edges.union(valued.join(heads, ["part", "fp"]).filter("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")))
     roots = connected_components(edges, "u", "v")
     of_node = nodes.join(roots, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
     return prints.join(written(of_node, "simhash-roots"), "fps")
 
 
-def near_duplicates(docs: DataFrame, words: int, radius: int = 4, parts: int = 1, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int, radius: int = 4) -> DataFrame:
     """(doc_id, fps, component_id) of every row of docs."""
-    return components(written(fingerprint_documents(docs, words, parts, distinct), "simhash"), radius, parts)
+    return components(written(fingerprint_documents(docs, words), "simhash"), radius)
+
+
+# ---------------------------------------------------------------- near duplicates by verified similarity
+WHOLE, EDGES, EDGE_RADIUS = 4, 3, 2
+SHINGLE, SIMILARITY = 5, 0.8
+#: Ratio of the scale of word numbers for the ends of a text: EDGES steps span a difference of a quarter in length.
+SCALE = 1.12
+_STEPS = np.unique(np.rint(SCALE ** np.arange(260)).astype(np.int64))
+
+
+def edge_sizes(n: int) -> list[int]:
+    """The EDGES largest numbers of the scale up to half of n words; fewer for very short texts."""
+    at = int(np.searchsorted(_STEPS, n / 2, side="right"))
+    return _STEPS[max(0, at - EDGES) : at].tolist() if n >= 8 else []
+
+
+def candidate_prints(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """(part, fingerprint) of each text: parts below WHOLE are of all its words, then come one of its first and one of its last
+    words; the number of those words is mixed into the fingerprint's words, so only equal numbers meet."""
+    sets, of, part = [], [], []
+    for i, t in enumerate(texts):
+        found = t.encode().lower().split()
+        h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+        whole = np.unique(h)
+        for p in range(WHOLE):
+            sets.append(_other(whole, p) if p else whole)
+            of.append(i)
+            part.append(p)
+        for size in edge_sizes(len(h)):
+            for p, own in ((WHOLE, h[:size]), (WHOLE + 1, h[-size:])):
+                sets.append(_other(np.unique(own), p + 2 * size))
+                of.append(i)
+                part.append(p)
+    prints = fingerprints(sets).view(np.int64).tolist()
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for i, p, f in zip(of, part, prints):
+        out[i].append((p, f))
+    return out
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles; of all words where there are fewer."""
+    return np.unique(hashes(text, SHINGLE))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets; of two empty ones it is 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1) if len(a) + len(b) else 1.0
+
+
+def verified(edges: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The edges (u, v) whose texts (doc_id, z) have shingle sets at least so similar. The texts of an edge meet in one
+    row; a document in many edges spreads over partitions by the edge."""
+    both = edges.join(texts.withColumnsRenamed({"doc_id": "u", "z": "zu"}), "u").repartition("u", "v").join(texts.withColumnsRenamed({"doc_id": "v", "z": "zv"}), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last, own = zstandard.ZstdDecompressor(), None, None
+        for batch in batches:
+            keep = []
+            for zu, zv in zip(batch.column("zu"), batch.column("zv")):
+                zu, zv = zu.as_py(), zv.as_py()
+                if zv != last:
+                    last, own = zv, shingle_set(unpack.decompress(zv).decode())
+                keep.append(alike(own, shingle_set(unpack.decompress(zu).decode())) >= least)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of the documents that belong to the component of another, smaller doc_id: components of links between
+    texts of at least so similar five-word shingle sets. Of rows that share a doc_id, the one of smallest text hash stands for all."""
+    docs = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            rows = candidate_prints(texts)
+            ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+            flat = pa.StructArray.from_arrays([pa.array([p for r in rows for p, _ in r], pa.int32()), pa.array([f for r in rows for _, f in r], pa.int64())], names=["part", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "h", "prints"])
+
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    prints = written(hashed.mapInArrow(run, "doc_id long, h long, prints array<struct<part:int,fp:long>>"), "simhash-prints")
+    one = prints.groupBy("doc_id").agg(F.min("h").alias("h"))
+    firsts = written(one.groupBy("h").agg(F.min("doc_id").alias("node")), "simhash-texts")  # equal texts are one node
+    nodes = prints.join(firsts, "h").filter("doc_id = node").dropDuplicates(["node"])
+    valued = written(nodes.select("node", F.explode("prints").alias("x")).select("node", "x.part", "x.fp").distinct(), "simhash-values")
+    heads = written(valued.groupBy("part", "fp").agg(F.min("node").alias("head")), "simhash-heads")
+    of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("u"))
+    of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("v"))
+    near = links(heads.filter(F.col("part") < WHOLE), 4).union(links(heads.filter(F.col("part") >= WHOLE), EDGE_RADIUS))
+    edges = near.join(of_a, ["part", "a"]).join(of_b, ["part", "b"]).select("u", "v")
+    edges = edges.union(valued.join(heads, ["part", "fp"]).filter("node != head").select("node", "head"))
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "simhash-candidates")
+    named = compressed_texts(hashed, edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "h")
+    texts = named.join(firsts.withColumnRenamed("node", "doc_id"), ["doc_id", "h"]).select("doc_id", "z").dropDuplicates(["doc_id"])
+    roots = connected_components(verified(edges, written(texts, "simhash-named"), least), "u", "v")
+    of_text = firsts.join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("component_id"))
+    return one.join(of_text, "h").filter("doc_id != component_id").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, parts: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs without the documents that belong to another's component: one document of each group stays.
-    Rows with a null doc_id, or one doc_id on several rows, are kept or dropped together."""
-    found = near_duplicates(docs, 1, radius, parts, distinct=True)
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
+    Rows that share a doc_id are kept or dropped together, rows without one are kept."""
+    gone = similar_documents(docs, least).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
