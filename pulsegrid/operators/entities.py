@@ -30,3 +30,8 @@ def titles_by_language(links: DataFrame) -> DataFrame:
     """(qid, titles): a map from language to title."""
     first = links.groupBy("qid", "lang").agg(F.min("title").alias("title"))
     return first.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("lang", "title"))).alias("titles"))
+
+
+def category(entity_class: Column, is_human: Column, dates: Column, start: Column) -> Column:
+    """What an event is filed under: a death near its start, else the class of its entity."""
+    return F.when(died_near(is_human, dates, start), "death").otherwise(entity_class)

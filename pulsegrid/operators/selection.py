@@ -70,3 +70,22 @@ def missing_hours(present: DataFrame, first: Column, last: Column, limit: int |
     expected = present.sparkSession.range(1).select(F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))).alias("ts_hour"))
     gaps = expected.join(present.select("ts_hour").distinct(), "ts_hour", "left_anti").orderBy(F.desc("ts_hour"))
     return gaps.limit(limit) if limit else gaps
+
+
+def latest(events: DataFrame, hours: int) -> DataFrame:
+    """Events that start within so many hours before the last one."""
+    last = events.agg(F.max("start_hour").alias("last"))  # one row
+    return events.join(F.broadcast(last), F.col("start_hour") > F.timestamp_add("HOUR", F.lit(-hours), F.col("last"))).drop("last")
+
+
+def catch_up(present: DataFrame, last: Column, hours: int, limit: int) -> DataFrame:
+    """The hours to load next: those missing of the last so many, newest first, no more than limit at once."""
+    return missing_hours(present, F.timestamp_add("HOUR", F.lit(1 - hours), last), last, limit)
+
+
+def top_shares(rows: DataFrame, key: str, sizes: tuple[int, ...], value: str = "views") -> DataFrame:
+    """The share of a value that the so many largest keys hold; keys are few (languages), a row each."""
+    sums = rows.groupBy(key).agg(F.sum(value).alias("v")).withColumn("whole", F.lit(1))
+    ranked = sums.withColumn("k", F.row_number().over(Window.partitionBy("whole").orderBy(F.desc("v"), key)))
+    shares = [F.struct(F.lit(n).alias("top"), (F.sum(F.when(F.col("k") <= n, F.col("v"))) / F.sum("v")).alias("share")) for n in sizes]
+    return ranked.agg(F.explode(F.array(*shares)).alias("x")).select("x.top", "x.share")

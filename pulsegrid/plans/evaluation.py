@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import evaluation, events, snapshots
@@ -56,32 +57,32 @@ def d21(spark, sf_dir):
     return rows.withColumns({"excess_next24": F.round("excess_next24", b.R), "fade_hours": F.col("fade_hours").cast("int")})
 
 
-# ---------------------------------------------------------------- ground truth: (date, qid) pairs from orders
+# ---------------------------------------------------------------- ground truth: (date, qid) pairs from all orders; most entities have no views
 GT = """
-gt AS (SELECT DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS date, o_custkey % 8 AS qid, substr(o_orderpriority, 1, 1) AS section, o_orderkey % 3 = 0 AS is_major FROM orders),
-majors AS (SELECT date, qid, string_agg(DISTINCT section, ',' ORDER BY section) AS sections FROM gt WHERE is_major AND qid < 6 AND (extract(day FROM date) + qid) % 3 = 0 GROUP BY ALL),
-portal AS (SELECT DISTINCT date, qid FROM gt WHERE (extract(day FROM date) + qid) % 4 = 1)"""
+gt AS (SELECT DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS date, o_custkey % 40 AS qid, substr(o_orderpriority, 1, 1) AS section, o_orderstatus = 'P' AS is_major FROM orders),
+majors AS (SELECT date, qid, string_agg(DISTINCT section, ',' ORDER BY section) AS sections FROM gt WHERE is_major GROUP BY ALL),
+portal AS (SELECT DISTINCT date, qid FROM gt WHERE is_major AND section = '1')"""
 
 
 def ground_truth(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("date"),
-        (F.col("o_custkey") % 8).alias("qid"), F.substring("o_orderpriority", 1, 1).alias("section"), (F.col("o_orderkey") % 3 == 0).alias("is_major"),
+        (F.col("o_custkey") % 40).alias("qid"), F.substring("o_orderpriority", 1, 1).alias("section"), (F.col("o_orderstatus") == "P").alias("is_major"),
     )
 
 
 def majors(spark, sf_dir):
-    rows = ground_truth(spark, sf_dir).filter("is_major AND qid < 6").filter((F.dayofmonth("date") + F.col("qid")) % 3 == 0)
+    rows = ground_truth(spark, sf_dir).filter("is_major")
     return rows.groupBy("date", "qid").agg(F.concat_ws(",", F.sort_array(F.collect_set("section"))).alias("sections"))
 
 
 def portal(spark, sf_dir):
-    return ground_truth(spark, sf_dir).filter((F.dayofmonth("date") + F.col("qid")) % 4 == 1).select("date", "qid").distinct()
+    """Major pairs of the first section."""
+    return ground_truth(spark, sf_dir).filter("is_major AND section = '1'").select("date", "qid").distinct()
 
 
 def _hits(w: int) -> str:
-    return f"""hits AS (SELECT m.date, m.qid, m.sections, bool_or(e.qid IS NOT NULL) AS detected FROM majors m LEFT JOIN ev e ON e.qid = m.qid
-AND e.start_hour >= m.date - INTERVAL {w} HOUR AND e.start_hour < m.date + INTERVAL {24 + w} HOUR GROUP BY ALL)"""
+    return f"""hits AS (SELECT *, EXISTS (FROM ev WHERE ev.qid = majors.qid AND date_diff('hour', majors.date::TIMESTAMP, ev.start_hour) BETWEEN {-w} AND {23 + w}) AS detected FROM majors)"""
 
 
 @query("e5_majors", b.with_(GT) + "SELECT date, qid, sections FROM majors")
@@ -100,58 +101,60 @@ def e2(spark, sf_dir):
     return evaluation.recall(hits.withColumn("section", F.explode(F.split("sections", ","))), "section").withColumn("recall", F.round("recall", b.R))
 
 
-@query("e3_precision_proxy", _EV + "," + GT + """, p AS (SELECT event_id, bool_or(p.qid IS NOT NULL) AS hit FROM ev e LEFT JOIN portal p ON p.qid = e.qid AND p.date BETWEEN e.start_hour::DATE - 2 AND e.start_hour::DATE + 2 GROUP BY ALL)
-SELECT count(*) AS events, count(*) FILTER (WHERE hit) AS in_portal, round(count(*) FILTER (WHERE hit) / count(*), 6) AS "precision" FROM p""")
+@query("e3_precision_proxy", _EV + "," + GT + """, marked AS (SELECT event_id, EXISTS (FROM portal WHERE portal.qid = ev.qid AND abs(date_diff('day', portal.date, ev.start_hour::DATE)) <= 2) AS linked FROM ev)
+SELECT count(*) AS events, sum(linked::INT)::BIGINT AS in_portal, round(avg(linked::INT), 6) AS "precision" FROM marked""")
 def e3(spark, sf_dir):
     rows = evaluation.in_portal(wide(spark, sf_dir), portal(spark, sf_dir))
     return rows.agg(F.count("*").alias("events"), F.count_if("in_portal").alias("in_portal"), F.round(F.count_if("in_portal") / F.count("*"), b.R).alias("precision"))
 
 
+GRID = [(r3, n, w) for r3 in (0.8, 1.2, 1.6) for n in (2, 3, 5) for w in (3, 6, 12)]
+
+
 def _grid_sql() -> str:
+    """Recall within 6 and 24 hours, precision, their harmonic mean and the winner, of each setting."""
     parts, picks = [b.HOURLY, b.LOUD, GT], []
     for i, (r3, n, w) in enumerate(GRID):
         parts.append(b.event_sql(f"c{i}_", r3, n, w))
-        picks.append(f"SELECT {r3}::DOUBLE AS r3_threshold, {n} AS min_languages, {w} AS window_hours, event_id, qid, start_hour FROM c{i}_ev")
-    parts.append("every AS (" + " UNION ALL ".join(picks) + ")")
-    parts.append("configs AS (" + " UNION ALL ".join(f"SELECT {r}::DOUBLE AS r3_threshold, {n} AS min_languages, {w} AS window_hours" for r, n, w in GRID) + ")")
-    parts.append("""rec AS (SELECT c.*, count(*) AS pairs, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM every e WHERE e.r3_threshold = c.r3_threshold AND e.min_languages = c.min_languages AND e.window_hours = c.window_hours
- AND e.qid = m.qid AND e.start_hour >= m.date - INTERVAL 24 HOUR AND e.start_hour < m.date + INTERVAL 48 HOUR)) AS found FROM configs c, majors m GROUP BY ALL)""")
-    parts.append("pre AS (SELECT r3_threshold, min_languages, window_hours, count(*) AS events, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM portal p WHERE p.qid = e.qid AND p.date BETWEEN e.start_hour::DATE - 2 AND e.start_hour::DATE + 2)) AS hits FROM every e GROUP BY ALL)")
-    return b.with_(*parts) + """SELECT r3_threshold, min_languages, window_hours, coalesce(events, 0) AS events, round(found / pairs, 6) AS recall, round(coalesce(hits / events, 0), 6) AS "precision",
-round(coalesce(2 * (found / pairs) * (hits / events) / nullif(found / pairs + hits / events, 0), 0), 6) AS harmonic_mean FROM rec LEFT JOIN pre USING (r3_threshold, min_languages, window_hours)"""
-
-
-GRID = [(r3, n, w) for r3 in (0.8, 1.2) for n in (2, 3) for w in (3, 6)]
+        near = f"SELECT count(*) FROM majors m WHERE EXISTS (SELECT 1 FROM c{i}_ev e WHERE e.qid = m.qid AND date_diff('hour', m.date::TIMESTAMP, e.start_hour) BETWEEN"
+        linked = f"SELECT count(*) FROM c{i}_ev e WHERE EXISTS (SELECT 1 FROM portal p WHERE p.qid = e.qid AND abs(date_diff('day', p.date, e.start_hour::DATE)) <= 2)"
+        picks.append(f"SELECT {r3}::DOUBLE AS r3_threshold, {n} AS min_languages, {w} AS window_hours, (SELECT count(*) FROM c{i}_ev) AS events, ({near} -6 AND 29)) AS n6, ({near} -24 AND 47)) AS n24, ({linked}) AS n_linked")
+    parts.append("each AS (" + " UNION ALL ".join(picks) + ")")
+    parts.append("""rates AS (SELECT *, n6 / (SELECT count(*) FROM majors) AS r6, n24 / (SELECT count(*) FROM majors) AS r24, coalesce(n_linked / nullif(events, 0), 0) AS pr FROM each),
+means AS (SELECT *, round(coalesce(2 * r24 * pr / nullif(r24 + pr, 0), 0), 6) AS hm FROM rates)""")
+    return b.with_(*parts) + """SELECT r3_threshold, min_languages, window_hours, events, round(r6, 6) AS recall_6h, round(r24, 6) AS recall, round(pr, 6) AS "precision", hm AS harmonic_mean,
+1 = row_number() OVER (ORDER BY hm DESC, r3_threshold, min_languages, window_hours) AS winner FROM means"""
 
 
 @query("e4_ablation_grid", _grid_sql())
 def e4(spark, sf_dir):
-    """All settings in one plan: spikes are read once, and every window begins with the setting and the entity."""
+    """All 27 settings from one read of the spikes: thresholds and languages are columns, so only the three windows need plans of
+    their own, and every window function begins with the setting and the entity."""
     rows = b.loud(spark, sf_dir)
-    config = ["r3_threshold", "min_languages", "window_hours"]
-    key = ("config", "qid")
+    config, key = ["r3_threshold", "min_languages", "window_hours"], ("r3_threshold", "min_languages", "qid")
     out = None
-    for n, w in sorted({(n, w) for _, n, w in GRID}):
-        settings = F.array(*[F.lit(r3) for r3, a, c in GRID if (a, c) == (n, w)])
-        tagged = rows.withColumn("config", F.explode(settings)).filter(F.col("surprise") >= F.col("config"))
-        p = replace(b.EVENTS, r3_threshold=0.0, min_languages=n, window_hours=w)
-        found = events.attention_events(events.event_languages(tagged, p, by=key), p, key)
-        found = found.select(F.col("config").alias("r3_threshold"), F.lit(n).alias("min_languages"), F.lit(w).alias("window_hours"), "event_id", "qid", "start_hour")
+    for w in sorted({w for _, _, w in GRID}):
+        settings = F.array(*[F.struct(F.lit(r3).alias("r3_threshold"), F.lit(n).alias("min_languages")) for r3, n, c in GRID if c == w])
+        tagged = rows.withColumn("c", F.explode(settings)).select(*rows.columns, "c.*").filter(F.col("surprise") >= F.col("r3_threshold"))
+        p = replace(b.EVENTS, r3_threshold=0.0, min_languages=F.col("min_languages"), window_hours=w)
+        found = events.event_languages(tagged, p, by=key).select("r3_threshold", "min_languages", F.lit(w).alias("window_hours"), "event_id", "qid", "start_hour").distinct()
         out = found if out is None else out.union(found)
-    grid = F.broadcast(spark.createDataFrame(GRID, "r3_threshold double, min_languages int, window_hours int"))
-    pairs = majors(spark, sf_dir).withColumn("k", F.lit(1)).join(grid.withColumn("k", F.lit(1)), "k").drop("k")
-    e = out.select(*config, "qid", "start_hour").withColumn("hit", F.lit(True))
-    near = (F.col("start_hour") >= F.col("date").cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS")) & (F.col("start_hour") < F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 48 HOURS"))
-    hits = pairs.join(e, [*config, "qid"], "left").groupBy(*config, "date", "qid").agg(F.coalesce(F.bool_or(near & F.col("hit")), F.lit(False)).alias("detected"))
-    rec = evaluation.recall(hits, *config).select(*config, "recall")
-    p = portal(spark, sf_dir).select("qid", F.col("date").alias("pd"))
-    day = F.to_date("start_hour")
-    within = (F.col("pd") >= F.date_sub(day, 2)) & (F.col("pd") <= F.date_add(day, 2))
-    pre = out.join(p, "qid", "left").groupBy(*config, "event_id").agg(F.coalesce(F.bool_or(within), F.lit(False)).alias("hit"))
-    pre = pre.groupBy(*config).agg(F.count("*").alias("events"), (F.count_if("hit") / F.count("*")).alias("precision"))
-    both = rec.join(pre, config, "left").na.fill(0, ["events", "precision"])
-    mean = F.coalesce(F.try_divide(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")), F.lit(0.0))
-    return both.select(*config, "events", F.round("recall", b.R).alias("recall"), F.round("precision", b.R).alias("precision"), F.round(mean, b.R).alias("harmonic_mean"))
+    # the settings: 27 rows; the pairs of a setting are counted once, as they are the same for all
+    grid = spark.createDataFrame(GRID, "r3_threshold double, min_languages int, window_hours int")
+    m = majors(spark, sf_dir).select("qid", "date")
+    near = m.join(out, "qid").withColumn("h", F.timestamp_diff("HOUR", F.col("date").cast("timestamp_ntz"), F.col("start_hour"))).filter("h BETWEEN -24 AND 47")
+    hits = near.groupBy(*config, "date", "qid").agg(F.bool_or(F.col("h").between(-6, 29)).alias("within_6"))
+    hits = hits.groupBy(*config).agg(F.count_if("within_6").alias("n6"), F.count("*").alias("n24"))
+    linked = evaluation.in_portal(out.withColumn("event_id", F.concat_ws("|", *config, "event_id")).select("event_id", "qid", "start_hour"), portal(spark, sf_dir))
+    part = F.split("event_id", r"\|")
+    linked = linked.groupBy(part[0].cast("double").alias("r3_threshold"), part[1].cast("int").alias("min_languages"), part[2].cast("int").alias("window_hours")).agg(F.count("*").alias("events"), F.count_if("in_portal").alias("n_linked"))
+    total = F.broadcast(m.agg(F.count("*").alias("pairs")).withColumn("k", F.lit(1)))  # one row
+    both = grid.withColumn("k", F.lit(1)).join(total, "k").join(hits, config, "left").join(linked, config, "left").na.fill(0)
+    recall, precision = F.col("n24") / F.col("pairs"), F.coalesce(F.try_divide("n_linked", "events"), F.lit(0.0))
+    mean = F.round(F.coalesce(F.try_divide(2 * recall * precision, recall + precision), F.lit(0.0)), b.R)
+    rows = both.select(*config, "events", F.round(F.col("n6") / F.col("pairs"), b.R).alias("recall_6h"), F.round(recall, b.R).alias("recall"), F.round(precision, b.R).alias("precision"), mean.alias("harmonic_mean"), "k")
+    order = Window.partitionBy("k").orderBy(F.desc("harmonic_mean"), *config)  # 27 rows
+    return rows.withColumn("winner", F.row_number().over(order) == 1).drop("k")
 
 
 @query("e6_mann_whitney", b.with_(b.HOURLY, b.LOUD, b.event_sql()) + """, v AS (SELECT lang IN ('view', 'click') AS g, spread_lag_hours AS x FROM el), r AS (SELECT g, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS k FROM v),
@@ -180,12 +183,12 @@ def t5(spark, sf_dir):
     return e.join(p, near, "left_anti").orderBy(F.desc("breadth"), F.desc("peak_intensity"), "event_id").limit(30).select("event_id", "breadth")
 
 
-@query("j14_first_match", _EV + """, tg AS (SELECT o_orderkey AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 AS INT)) AS moment, o_custkey % 8 AS a, (o_custkey + 1) % 8 AS c FROM orders WHERE o_orderstatus = 'F')
+@query("j14_first_match", _EV + """, tg AS (SELECT o_orderkey AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 AS INT)) AS moment, o_custkey % 40 AS a, (o_custkey + 1) % 40 AS c FROM orders)
 SELECT id, first(event_id ORDER BY e.start_hour, event_id) AS event_id, min(e.start_hour) AS start_hour FROM tg LEFT JOIN ev e ON (e.qid = a OR e.qid = c) AND e.start_hour >= moment - INTERVAL 6 HOUR AND e.start_hour <= moment + INTERVAL 24 HOUR GROUP BY id""")
 def j14(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    o = table(spark, sf_dir, "orders")
     at = F.expr("timestampadd(HOUR, int(o_orderkey % 700), TIMESTAMP_NTZ '2024-01-01 00:00:00')")
-    rows = o.select(F.col("o_orderkey").alias("id"), at.alias("at"), F.array(F.col("o_custkey") % 8, (F.col("o_custkey") + 1) % 8).alias("qids"))
+    rows = o.select(F.col("o_orderkey").alias("id"), at.alias("at"), F.array(F.col("o_custkey") % 40, (F.col("o_custkey") + 1) % 40).alias("qids"))
     return evaluation.first_match(rows, wide(spark, sf_dir), 6, 24).select("id", "event_id", "start_hour")
 
 

@@ -42,3 +42,21 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", F.col("event_type").alias("lang"), F.concat(F.lit("T"), F.col("user_id") % ENTITIES).alias("title"),
         F.concat(F.lit("U"), F.col("user_id")).alias("user"), F.col("props").alias("comment"), F.col("value"),
     )
+
+
+#: Comments of edits, by the event's number.
+COMMENTS = ["Reverted edits by A", "expand history", "fix typo", "add source", "rv vandalism", "new section", "HotCat: +category", "answer", "he died today"]
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change stream before any filter: wiki, namespace, type, bot, title, user, comment, tags and both times."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    return e.select(
+        "event_id", F.concat("event_type", F.lit("wiki")).alias("wiki"), F.when(n % 5 == 0, 1).otherwise(0).alias("namespace"),
+        F.when(n % 13 == 0, "log").when(n % 7 == 0, "new").otherwise("edit").alias("type"), (F.col("user_id") % 10 == 0).alias("bot"),
+        F.concat(F.lit("T"), F.col("user_id") % ENTITIES).alias("title"), F.concat(F.lit("U"), "user_id", F.when(F.col("user_id") % 12 == 0, "Bot").otherwise("")).alias("user"),
+        F.element_at(F.array(*map(F.lit, COMMENTS)), (n % len(COMMENTS) + 1).cast("int")).alias("comment"),
+        F.when(n % 11 == 0, F.array(F.lit("mw-reverted"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+        F.when(n % 3 != 0, F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("timestamp"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("dt"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,9 +38,8 @@ def parse_sitelinks(lines: DataFrame, sites: DataFrame, value: str = "value") ->
 
 def scan_hourly(spark, path: str) -> DataFrame:
     """Hourly dump files with the hour they cover: one before the stamp in the file's name."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name())
-    stamp = F.regexp_extract("file", r"(\d{8}-\d{6})", 1)
-    lines = lines.withColumn("ts_hour", F.to_timestamp_ntz(stamp, F.lit("yyyyMMdd-HHmmss")) - F.expr("INTERVAL 1 HOUR"))
+    stamp = F.regexp_extract(F.input_file_name(), r"pageviews-(\d{8}-\d{6})", 1)
+    lines = spark.read.text(path).withColumn("ts_hour", F.to_timestamp_ntz(stamp, F.lit("yyyyMMdd-HHmmss")) - F.expr("INTERVAL 1 HOUR"))
     part = F.split("value", " ")
     rows = lines.filter(F.size(part) == 4).select("ts_hour", part[0].alias("project"), part[1].alias("title"), part[2].try_cast("long").alias("views"))
     return rows.filter("views IS NOT NULL")
@@ -66,3 +65,50 @@ def links_of_wikitext(days: DataFrame) -> DataFrame:
     skipped = r"^(?i)(file|image|category|wikt|portal|template)?:"
     own = F.filter(own, lambda x: (x["title"] != "") & ~x["title"].rlike(skipped))
     return rows.select("date", "section", "entry", "depth", F.explode(F.array_distinct(F.concat(own, other))).alias("l")).select("date", "section", "entry", "depth", "l.lang", "l.title")
+
+
+def scan_daily(spark, path: str) -> DataFrame:
+    """(ts_hour, wiki, title, access, daily_total, views) of daily files; the day is in the file's name."""
+    lines = spark.read.text(path).withColumn("day", F.to_date(F.regexp_extract(F.input_file_name(), r"pageviews-(\d{8})", 1), "yyyyMMdd"))
+    part = F.split("value", " ")
+    rows = lines.filter(F.size(part).isin(5, 6)).select(
+        "day", part[0].alias("wiki"), part[1].alias("title"), F.element_at(part, -3).alias("access"), F.element_at(part, -2).try_cast("long").alias("daily_total"),
+        F.explode(F.regexp_extract_all(F.element_at(part, -1), F.lit("([A-X][0-9]+)"), F.lit(1))).alias("cell"),
+    )
+    hour = F.expr("timestampadd(HOUR, ascii(cell) - 65, CAST(day AS TIMESTAMP_NTZ))")
+    return rows.select(hour.alias("ts_hour"), "wiki", "title", "access", "daily_total", F.substring("cell", 2, 12).cast("long").alias("views"))
+
+
+def access_kind(wiki: Column, access: Column) -> Column:
+    """struct(lang, is_mobile) of a row of a daily file; null for other projects and other kinds of access."""
+    known = wiki.endswith(".wikipedia") & access.isin("desktop", "mobile-web", "mobile-app")
+    return F.when(known, F.struct(F.regexp_replace(wiki, r"\.wikipedia$", "").alias("lang"), (access != "desktop").alias("is_mobile")))
+
+
+def write_dump(lines: DataFrame, path: str, compression: str) -> None:
+    """Text files by the name in the column file; one folder a name, so that readers find it in the path."""
+    lines.repartition("file").write.partitionBy("file").option("compression", compression).text(path)
+
+
+def read_manifest(spark, path: str) -> DataFrame:
+    """(ts_hour, n_rows, source) of a JSON map from hours to their entries."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<rows:long,source:string>>")).alias("hour", "x"))
+    return rows.select(F.to_timestamp_ntz("hour", F.lit("yyyy-MM-dd'T'HH")).alias("ts_hour"), F.col("x.rows").alias("n_rows"), "x.source")
+
+
+BURSTS = "lang string, title string, second long, n_edits long, n_editors int"
+
+
+def read_bursts(spark, path: str, day: str | None = None) -> DataFrame:
+    """Bursts of JSON lines, those of one day or all."""
+    rows = spark.read.schema(BURSTS).json(path)
+    return rows if day is None else rows.filter(F.to_date(F.timestamp_seconds("second")) == F.lit(day).cast("date"))
+
+
+def read_labels(spark, path: str, units: DataFrame) -> DataFrame:
+    """(unit_id, label) of a CSV file with a header; an error if a unit of the sheet (unit_id) has no label."""
+    rows = spark.read.option("header", True).schema("unit_id long, label int").csv(path)
+    missing = units.select("unit_id").join(rows, "unit_id", "left_anti").limit(1).count()
+    if missing:
+        raise ValueError("units of the sheet without a label")
+    return rows

@@ -84,3 +84,24 @@ def stream_bursts(edits: DataFrame, p: Bursts = Bursts()) -> DataFrame:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     return edits.groupBy("lang", "title").applyInPandasWithState(step, STREAM_OUT, STREAM_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def article_edits(changes: DataFrame, wikis: DataFrame) -> DataFrame:
+    """Edits and new pages of articles by people: known wikis (wiki, lang; a fixed table), no bots, no maintenance."""
+    rows = changes.filter((F.col("namespace") == 0) & F.col("type").isin("edit", "new") & ~F.col("bot") & ~_reverted(F.col("tags")) & ~maintenance(F.col("comment")))
+    rows = rows.join(F.broadcast(wikis), "wiki")
+    return rows.withColumn("time", F.coalesce(F.timestamp_seconds("timestamp"), F.to_timestamp("dt")))
+
+
+def _reverted(tags) -> F.Column:
+    return F.arrays_overlap(tags, F.array(*map(F.lit, ("mw-reverted", "mw-rollback", "mw-undo", "mw-manual-revert"))))
+
+
+def historical_revisions(rows: DataFrame) -> DataFrame:
+    """Past revisions that count as edits of people: no user named as a bot, no revert, no maintenance."""
+    return rows.filter(~F.lower(F.coalesce("user", F.lit(""))).endswith("bot") & ~_reverted(F.col("tags")) & ~maintenance(F.col("comment")))
+
+
+def hashed_user(user, salt: str) -> F.Column:
+    """What is kept of a user: a salted hash, never the name."""
+    return F.sha2(F.concat(F.lit(salt), user), 256)
