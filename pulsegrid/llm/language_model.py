@@ -29,18 +29,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import chunks, compressed_texts, only, written
 
-ORDER = 5
+ORDER = 4
 QUANTILE, MARGIN, LEAST = 0.999, 1.0, 30
 #: One of so many trusted documents, by a hash, sets thresholds and isn't trained on.
 FOLD = 10
-#: Bytes of text of a scored block, or one document.
-BLOCK_BYTES = 6_000_000
+#: Bytes of a scored block, or one document: large, so that a block asks for few n-grams a byte.
+BLOCK_BYTES = 24_000_000
 #: The mark before a text's first character: no code point.
 MARK = 0x110000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -57,20 +58,27 @@ def code_points(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(points, starts, np.uint64(MARK)), sizes
 
 
-def keys(texts: list[str], order: int = ORDER) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For every character of the texts: keys of the 1 .. order characters that end there, and of the 0 .. order - 1
-    before it; and the characters of each text."""
+def distinct_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """The number of each character's n-gram among the distinct ones; for each distinct one, keys of its last 1 .. order
+    characters, and of the 0 .. order - 1 before its last; and the characters of each text."""
     points, sizes = code_points(texts, order)
     place = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(sizes) + 1) * (order - 1), sizes)
-    ends: list[np.ndarray] = []
     key = points
-    for k in range(1, order + 1):
-        if k > 1:  # the key of the k - 1 characters one place before, and this one
-            key = np.append(np.zeros(1, np.uint64), key[:-1]) * _STEP + points
-        mixed = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
-        ends.append(mixed ^ (mixed >> np.uint64(32)))
-    before = [np.zeros(len(place), np.int64)] + [e[place - 1].view(np.int64) for e in ends[:-1]]
-    return [e[place].view(np.int64) for e in ends], before, sizes
+    for k in range(1, order):
+        key = np.append(np.zeros(1, np.uint64), key[:-1]) * _STEP + points
+    of, top = pd.factorize(key[place])
+    first = np.empty(len(top), np.int64)
+    first[of[::-1]] = place[::-1]  # the first of a number's places is written last
+
+    def ending(at: np.ndarray, k: int) -> np.ndarray:
+        own = np.zeros(len(at), np.uint64)
+        for j in range(k - 1, -1, -1):
+            own = own * _STEP + points[at - j]
+        own = (own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
+        return (own ^ own >> np.uint64(32)).view(np.int64)
+
+    ends = [ending(first, k) for k in range(1, order + 1)]
+    return of, ends, [np.zeros(len(first), np.int64), *(ending(first - 1, k) for k in range(1, order))], sizes
 
 
 # ---------------------------------------------------------------- training
@@ -103,12 +111,9 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             yield counted(held)
 
     def counted(own: list[str]) -> pa.RecordBatch:
-        ends, before, _ = keys(own, order)
-        of, _ = pd.factorize(ends[-1])
-        n = np.bincount(of)
-        first = np.empty(len(n), np.int64)
-        first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
-        return pa.RecordBatch.from_arrays([pa.array(c[first]) for c in [*ends, *before[1:]]] + [pa.array(n.astype(np.int64))], names=[*names, "a"])
+        of, ends, before, _ = distinct_grams(own, order)
+        n = np.bincount(of, minlength=len(ends[0])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in [*ends, *before[1:], n]], names=[*names, "a"])
 
     found = texts.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "a"]))
     return found.groupBy(f"e{order}").agg(*[F.first(n).alias(n) for n in names if n != f"e{order}"], F.sum("a").alias("a"))
@@ -171,55 +176,49 @@ class Model:
 
 # ---------------------------------------------------------------- scoring
 def packed_blocks(docs: DataFrame, order: int) -> DataFrame:
-    """(block, payload, asked): documents as compressed Arrow data, and the distinct keys that they need, as sorted bytes. A
-    block's number is a hash of its payload, and equal blocks are scored alike; a row that repeats goes with its own block."""
+    """(block, payload, asked): documents as compressed Arrow data, and the distinct keys that they need, as bytes. A block is
+    a run of rows of one task, so its number follows from the task's and a task that runs again makes the same blocks; each is one row.
+    They are dealt by number once: questions and scores read the same shuffle."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, held, size = zstandard.ZstdCompressor(3), [], 0
+        packer, held, asked, size = zstandard.ZstdCompressor(3), [], [], 0
+        number = TaskContext.get().partitionId() << 24
 
         def packed() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).cast(schema).combine_chunks()
+            rows = pa.Table.from_batches(held).cast(schema)
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, schema) as writer:
                 writer.write_table(rows)
-            found = []
-            for _, texts in chunks(iter(rows.to_batches())):
-                ends, before, _ = keys(texts, order)
-                of, top = pd.factorize(ends[-1])
-                first = np.empty(len(top), np.int64)
-                first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
-                found.append(np.unique(np.concatenate([c[first] for c in [*ends, *before[1:]]])))
-            own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            payload = packer.compress(sink.getvalue())
-            return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary()), pa.array([packer.compress(own.tobytes())], pa.binary())], names=["payload", "asked"])
+            own = np.unique(np.concatenate(asked))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packer.compress(sink.getvalue())], pa.binary()), pa.array([own.tobytes()], pa.binary())], names=["block", "payload", "asked"])
 
         for batch, texts in chunks(batches):
+            _, ends, before, _ = distinct_grams(texts, order)
+            asked.append(np.unique(np.concatenate([*ends, *before[1:]])))
             held.append(batch)
-            size += sum(map(len, texts))
+            size += batch.nbytes
             if size > BLOCK_BYTES:
                 yield packed()
-                held, size = [], 0
+                held, asked, size, number = [], [], 0, number + 1
         if held:
             yield packed()
 
-    found = only(docs, "doc_id", "lang", "text").mapInArrow(run, "payload binary, asked binary")
-    return written(found.select(F.monotonically_increasing_id().alias("block"), "payload", "asked"), "lm-blocks", "none")
+    return only(docs, "doc_id", "lang", "text").mapInArrow(run, "block long, payload binary, asked binary").repartition("block")
 
 
 def block_grams(packed: DataFrame) -> DataFrame:
     """(block, gram): the keys that a block asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for block, asked in zip(batch.column("block").to_pylist(), batch.column("asked").to_pylist()):
-                own = np.frombuffer(unpack.decompress(asked), np.int64)
+                own = np.frombuffer(asked, np.int64)
                 for k in range(0, len(own), 100_000):
                     part = own[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "gram"])
 
-    return packed.select("block", "asked").mapInArrow(run, "block long, gram long")
+    return packed.mapInArrow(run, "block long, gram long")
 
 
 SCORES = "doc_id long, lang string, n_chars long, log_p double"
@@ -228,10 +227,7 @@ SCORES = "doc_id long, lang string, n_chars long, log_p double"
 def log_probabilities(texts: list[str], answers: tuple[np.ndarray, np.ndarray, np.ndarray], floor: float, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Characters and the sum of their log-probabilities for each text; answers are sorted keys with log p and log weight."""
     known, log_p, log_w = answers
-    ends, before, sizes = keys(texts, order)
-    of, top = pd.factorize(ends[-1])
-    first = np.empty(len(top), np.int64)
-    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+    of, ends, before, sizes = distinct_grams(texts, order)
 
     def found(values: np.ndarray, column: np.ndarray) -> np.ndarray:
         if not len(known):
@@ -239,10 +235,10 @@ def log_probabilities(texts: list[str], answers: tuple[np.ndarray, np.ndarray, n
         at = np.minimum(np.searchsorted(known, values), len(known) - 1)
         return np.where(known[at] == values, column[at], np.nan)
 
-    value = np.nan_to_num(found(ends[0][first], log_p), nan=np.log(floor))
+    value = np.nan_to_num(found(ends[0], log_p), nan=np.log(floor))
     for k in range(2, order + 1):
-        seen = found(ends[k - 1][first], log_p)
-        value = np.where(np.isnan(seen), value + np.nan_to_num(found(before[k - 1][first], log_w)), seen)
+        seen = found(ends[k - 1], log_p)
+        value = np.where(np.isnan(seen), value + np.nan_to_num(found(before[k - 1], log_w)), seen)
     sums, there = np.zeros(len(sizes)), sizes > 0
     if there.any():
         sums[there] = np.add.reduceat(value[of], (np.cumsum(sizes) - sizes)[there])
@@ -266,7 +262,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(pa.table({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_chars": pa.array(sizes), "log_p": pa.array(np.round(sums, 6))}))
         return pa.concat_tables(out)
 
-    return packed.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
