@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -15,6 +16,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import bpe, language_model, licenses, media, mixing, passages, quality, registry, simhash, token_files, urls
@@ -64,10 +66,17 @@ def test_bpe_equals_the_library_and_decodes(spark, texts, library, tmp_path):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def test_bpe_offsets_and_an_empty_table(spark, library):
+def test_bpe_offsets_give_the_pieces_and_an_empty_table_none(spark, texts):
+    import public_tokenizers
+    import regex
+
     path = q.vocabulary(q.RANKS_50K)
-    row = bpe.encode(frame(spark, ["It's two words"]), path).first()
-    assert row.piece_ends[-1] == row.n_tokens == len(row.ids) and len(row.piece_ends) == 4
+    coded = bpe.encode(frame(spark, texts), path)
+    assert coded.first().piece_ends in (None, [])
+    for decoded in (bpe.decode(coded.drop("text"), path), bpe.encode(frame(spark, texts), path, decoded=True)):
+        for r in decoded.collect():
+            want = [p.encode() for p in regex.findall(public_tokenizers.PATTERN, texts[r.doc_id] or "")]
+            assert [bytes(r.decoded[a:b]) for a, b in zip([0, *r.piece_bytes], r.piece_bytes)] == want
     assert bpe.decode(bpe.encode(frame(spark, []), path), path).count() == 0
 
 
@@ -85,6 +94,24 @@ def test_token_files_equal_the_library(spark, texts, tmp_path):
         start += len(ids)
 
 
+def test_files_are_in_document_order_and_hot_ids_spread(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i if i % 3 else None, " ".join(rng.choice("abcdefg") * 3 for _ in range(rng.randrange(30)))) for i in range(600)] + [(7, "same"), (7, "same"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("ids", F.lit("own")).withColumn("h", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    folder = token_files.store(spark.read.parquet(f"{tmp_path}/documents.parquet"), q.vocabulary(q.TOKENIZER_50K), end=2)
+    blocks = spark.read.parquet(f"{folder}/blocks").select("*", F.col("_metadata.file_name").alias("file"))
+    files = sorted(blocks.groupBy("file").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("a"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("b")).collect(), key=lambda r: r.file)
+    assert len(files) > 2 and all(x.b <= y.a for x, y in zip(files, files[1:]))
+    assert sum(r.a == r.b == -1 for r in files) >= 1  # rows without an id are a third, and more than one file has them
+    got = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows) and [r.doc_id or -1 for r in got] == sorted(r.doc_id or -1 for r in got)
+    assert all(x.start + x.n_ids == y.start for x, y in zip(got, got[1:]))
+    empty = docs.limit(0).select("doc_id", "text")
+    empty.write.parquet(f"{tmp_path}/empty.parquet")
+    assert token_files.read_tokens(spark, token_files.store(spark.read.parquet(f"{tmp_path}/empty.parquet"), q.vocabulary(q.TOKENIZER_50K), end=2)).count() == 0
+
+
 def test_codes_are_optimal_up_to_the_limit_and_prefix_free():
     counts = np.array([2**k for k in range(24)] + [0, 5])
     for limit in (6, 12, 25):
@@ -104,8 +131,13 @@ def test_codes_are_optimal_up_to_the_limit_and_prefix_free():
 def test_url_filter_equals_a_scan_over_rules(spark):
     hosts = ["com", "example.com", "m.Example.com", "xexample.com", "a.b.net", "example.net", "org", "", "example.net:80"]
     paths = ["", "/", "/en", "/en/", "/en/7", "/en/71/x", "/de/8", "/de/9/8", "/es/?q=/en/", "/es/x#f", "?a", "//en/7"]
-    made = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/en/", "x://y://z/en/"]
-    rows = urls.filter_urls(spark.createDataFrame(list(enumerate(made)), "page_id long, url string"), q.URL_RULES).collect()
+    made = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/en/", "x://y://z/en/", "http://example.com/en/\0x", "http://example.com/en/7\n"]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").withColumns({"_found": F.lit(1), "found": F.lit(2), "rule": F.lit(3), "k0": F.lit(4)})
+    found = urls.filter_urls(pages, q.URL_RULES)
+    assert set(found.columns) == {"page_id", "url", "_found", "found", "k0", "host", "path", "rule", "verdict"}
+    assert urls.filter_urls(pages.limit(0), q.URL_RULES).count() == 0
+    rows = found.collect()
+    assert len(rows) == len(made)
     for r in rows:
         rest = (r.url or "").partition("://")[2]
         host = re.match(r"[^/?#]*", rest)[0]
@@ -167,27 +199,60 @@ def test_whole_copies_go_and_an_empty_table_stays_empty(spark):
     assert passages.drop_repeats(frame(spark, [])).count() == 0
 
 
-def test_chaining_equals_all_pairs():
+def random_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+
+
+def test_passages_of_snippets_that_others_quote_are_found(spark):
+    rng = random.Random(3)
+    shared = random_words(rng, 80)
+    texts = [" ".join(random_words(rng, 40) + shared[7 * k : 7 * k + 24] + random_words(rng, 40)) for k in range(8)]
+    texts += [" ".join(random_words(rng, 60) + shared + random_words(rng, 60)) for _ in range(2)]
+    rows = passages.passages(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.start, r.end) for r in rows} == {(9, 60, 140)} and rows[0].source == 8
+
+
+def test_rows_that_share_an_id_are_cut_each_by_its_own_text(spark):
+    rng = random.Random(6)
+    shared, own = random_words(rng, 70), random_words(rng, 80)
+    rows = [(1, " ".join(random_words(rng, 30) + shared)), (2, " ".join(own)), (2, " ".join(random_words(rng, 60) + shared)), (None, " ".join(shared)), (3, None), (3, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit("own")).withColumn("_spans", F.lit(0))
+    got = sorted((r.doc_id or 0, len((r.text or "").split())) for r in passages.drop_repeats(docs).collect())
+    assert got == [(0, 70), (1, 100), (2, 60), (2, 80), (3, 0), (3, 0)]
+
+
+def test_the_scan_finds_first_and_previous_documents_across_partitions(spark):
     rng = random.Random(2)
-    for _ in range(100):
-        x = np.array(sorted(rng.sample(range(300), 12)))
-        y = np.array([rng.randrange(300) for _ in x])
-        begin, end = passages.anchors(x, y)
-        x0, y0, x1, y1 = x[begin], y[begin], x[end], y[end]
-        best = []
-        for i in range(len(x0)):
-            own = x1[i] - x0[i] + passages.K
-            best.append(own)
-            for j in range(i):
-                if y1[j] < y0[i]:
-                    best[i] = max(best[i], own + best[j] - passages.GAP_COST * (x0[i] - x1[j] + y0[i] - y1[j]))
-        tree, got = passages.Fenwick(301), []
-        for i in range(len(x0)):
-            value, j = tree.largest(int(y0[i]))
-            gain = value - passages.GAP_COST * (x0[i] + y0[i])
-            got.append(x1[i] - x0[i] + passages.K + max(0, gain if j >= 0 else 0))
-            tree.put(int(y1[i]), got[-1] + passages.GAP_COST * (x1[i] + y1[i]), i)
-        assert np.allclose(got, best)
+    rows = sorted({(rng.choice([5, 5, 5, 6, 7, 8]), rng.randrange(40), 0, rng.randrange(30)) for _ in range(400)})
+    seeds = spark.createDataFrame([(*r, False) for r in rows], passages.SEED).repartition(3)
+    real, passages.seed_table = passages.seed_table, lambda docs: docs
+    try:
+        got = {tuple(r) for r in passages.matches(seeds).drop("wide").collect()}
+    finally:
+        passages.seed_table = real
+    want = set()
+    for h in {r[0] for r in rows}:
+        docs = {}
+        for _, d, _, p in (r for r in rows if r[0] == h):
+            docs.setdefault(d, []).append(p)
+        order = sorted(docs)
+        for i, d in enumerate(order[1:], 1):
+            want |= {(d, 0, s, 0, p, docs[s][0]) for p in docs[d] for s in (order[0], order[i - 1])}
+    assert got == want
+
+
+def test_fuzzy_passages_are_mostly_found(spark):
+    rng = random.Random(12)
+    for n, share, least in ((80, 0.1, 0.9), (120, 0.15, 0.85)):
+        texts = []
+        for _ in range(60):
+            words = random_words(rng, n)
+            other = list(words)
+            for k in rng.sample(range(1, n - 1), int(n * share)):
+                other[k] = random_words(rng, 1)[0]
+            texts += [" ".join(random_words(rng, 40) + own + random_words(rng, 40)) for own in (words, other)]
+        found = {r.doc_id for r in passages.passages(frame(spark, texts)).collect()}
+        assert len(found & set(range(1, 120, 2))) >= least * 60 and not found - set(range(1, 120, 2))
 
 
 # ---------------------------------------------------------------- 5: simhash
@@ -218,8 +283,8 @@ def test_fingerprints_follow_the_contract(spark, texts, tmp_path):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{f:016x}", want[i]) for i, f in enumerate(fps)}
 
 
-@pytest.mark.parametrize("direct", [4096, 3])
-def test_covering_links_are_complete(spark, direct):
+@pytest.mark.parametrize(("direct", "radius"), [(4096, 4), (3, 4), (1, 3), (4096, 3)])
+def test_covering_links_are_complete(spark, direct, radius):
     rng = random.Random(7)
     fps = []
     for _ in range(12):
@@ -230,8 +295,8 @@ def test_covering_links_are_complete(spark, direct):
                 f ^= 1 << b
             fps.append(f)
     rows = [(i, [f - (1 << 64) if f >> 63 else f]) for i, f in enumerate(fps)]
-    got = simhash.components(spark.createDataFrame(rows, "doc_id long, fps array<long>"), 4, direct=direct).collect()
-    assert {r.doc_id: r.component_id for r in got} == brute_components(fps, range(len(fps)))
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, fps array<long>"), radius, direct=direct).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(fps, range(len(fps)), radius)
 
 
 def test_every_pair_within_the_radius_shares_a_table():
@@ -248,9 +313,33 @@ def test_one_document_of_each_group_stays(spark):
     base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)) for _ in range(6)]
     near = base[0].split()
     near[10] = "other"
-    docs = frame(spark, [*base, base[2], " ".join(near), base[2]])
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 1, 2, 3, 4, 5]
+    half = base[1].split()[:150] + base[3].split()[:150]
+    docs = frame(spark, [*base, base[2], " ".join(near), base[2], " ".join(half)])
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 1, 2, 3, 4, 5, 9]
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
+    odd = spark.createDataFrame([(None, base[0]), (1, base[0]), (1, base[0]), (2, None), (3, ""), (4, base[0])], "doc_id long, text string").withColumn("h", F.lit("own")).withColumn("node", F.lit(1))
+    left = simhash.drop_near_duplicates(odd)
+    assert left.columns == odd.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 1, 2]
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, simhash.shingle_set(r.text or "")) for r in docs.collect()]
+    rng = random.Random(5)
+    made = []
+    for k in range(40):
+        words = random_words(rng, 150)
+        new = random_words(rng, 25)
+        at = rng.randrange(150)
+        made += [words, [words + new, new + words, words[:at] + new + words[at:], words[:130], [w if rng.random() > 0.015 else "zz" for w in words]][k % 5]]
+    extra = [(100_000 + i, " ".join(w)) for i, w in enumerate(made)]
+    rows += [(i, simhash.shingle_set(t)) for i, t in extra]
+    pairs = [(i, j) for (i, a), (j, b) in combinations(rows, 2) if simhash.alike(a, b) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs.union(spark.createDataFrame(extra, "doc_id long, text string"))).collect()}
+    joined = sum(got.get(i, i) == got.get(j, j) for i, j in pairs)
+    assert joined >= 0.95 * len(pairs)
+    linked = {i for p in pairs for i in p}
+    assert set(got) <= linked
 
 
 # ---------------------------------------------------------------- 6: mixing
@@ -287,8 +376,8 @@ def test_rates_meet_the_targets_and_toxic_documents_go(spark):
     got = {r.doc_id: r for r in mixing.mix(docs, lab).collect()}
     assert len(got) == 242 and got[240].n_tokens == 0
     held_out = range(160, 240)
-    right = sum((got[i].copies == 0) == (i % 4 == 0) for i in held_out)
-    assert right >= 76
+    right = sum((got[i].rate < 0.5) == (i % 4 == 0) for i in held_out)
+    assert right >= 72
     steps, totals = mixing.fit_rates(mixing.memberships(docs, mixing.fit(mixing.labelled_sample(docs, lab))).select("n_tokens", "p"))
     assert all(abs(a - b) <= 0.02 * sum(totals["natural"]) for a, b in zip(totals["target"], totals["reached"]))
     assert {r.doc_id for r in mixing.apply_mix(docs, lab).collect()} == {i for i, r in got.items() if r.copies}
@@ -306,10 +395,38 @@ def test_totals_of_the_rows_returned_meet_the_targets(spark):
         got = mixing.mix(docs, labels, targets).collect()
         natural, reached = (sum(r.n_tokens * k * np.array(r.p) for r, k in zip(got, ks)) for ks in ([1] * len(got), [r.copies for r in got]))
         want = natural * [targets[d] for d in mixing.DOMAINS]
-        assert (np.abs(reached - want) <= 0.05 * natural).all(), (targets, reached / natural)
+        assert (np.abs(reached - want) <= 0.04 * natural).all(), (targets, reached / natural)  # rounding of 1,500 documents alone has a spread of 0.02
         assert Counter(r.doc_id for r in mixing.apply_mix(docs, labels, targets).collect()) == +Counter({r.doc_id: r.copies for r in got})
 
 
+def test_rates_equal_a_plain_least_squares_solver(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 300)
+    n = rng.integers(1, 200, 300)
+    members = spark.createDataFrame([(int(k), [float(x) for x in row]) for k, row in zip(n, p)], "n_tokens long, p array<double>")
+    targets = {"clean": 1.2, "low": 0.6, "toxic": 0.3}
+    steps, totals = mixing.fit_rates(members, targets, rounds=400, tolerance=1e-7)
+    natural = n @ p
+    want = natural * [targets[d] for d in mixing.DOMAINS]
+    w = np.ones(300)  # plain projected gradient, one document's step scaled by 1 / n
+    a = (p * n[:, None]) / natural
+    slope = np.linalg.eigvalsh(a.T @ (a / n[:, None])).max()
+    for _ in range(20_000):
+        w = np.maximum(0.0, w - a @ ((a.T @ w) - want / natural) / n / slope)
+    got = mixing.rates(p, steps)[0]
+    assert np.abs((n * got) @ p - want).max() <= 1e-4 * natural.max() and np.abs((n * w) @ p - want).max() <= 1e-4 * natural.max()
+    assert np.allclose(totals["reached"], (n * got) @ p)
+
+
+def test_repeated_ids_keep_the_sample_bounded_and_copies_stay(spark):
+    rows = [(i % 5, f"word{i % 7} text {i}", "own") for i in range(300)] + [(None, "no id", "own"), (3, None, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("p", F.lit(1)).withColumn("copies", F.lit(2))
+    labels = spark.createDataFrame([(i, 1, int(i == 4)) for i in range(5)] + [(None, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert len(mixing.labelled_sample(docs, labels)) == 5
+    assert mixing.apply_mix(docs, labels).columns == docs.columns and mixing.mix(docs, labels).count() == 302
+    assert mixing.mix(docs.limit(0), labels).count() == 0
+
+
 # ---------------------------------------------------------------- 7: media
 def test_audio_round_trip(spark, texts, tmp_path):
     got = {r.doc_id: r for r in q.op7_telephony_audio(spark, write_tables(spark, tmp_path / "d", texts)).collect()}
@@ -318,8 +435,26 @@ def test_audio_round_trip(spark, texts, tmp_path):
         r = got[i]
         assert len(payload) % 64 == 0 and len(payload) > 0 and payload[:n] == (t or "").encode() and not any(payload[n:])
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (n, len(payload), zlib.crc32(payload[-64:]))
-        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media.wav(payload)).hexdigest()
-    assert got[0].feature == got[1].feature
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media.wav(payload, r.format)).hexdigest()
+        tag, _, stored = media.parse_wav(media.wav(payload, r.format))
+        pcm = media.resample(media.decoded(tag, stored), 8000, 16000).astype("<i2")
+        assert r.feature.startswith(f"peak={np.abs(pcm.astype(int)).max()};") and r.feature.endswith(f"pcm={zlib.crc32(pcm.tobytes()):08x}")
+    assert got[0].feature == got[1].feature and {r.format for r in got.values()} == {media.MULAW, media.ALAW, media.IMA_ADPCM}
+
+
+def test_columns_of_every_format_decode_and_bad_files_give_null(spark):
+    data = bytes(range(256)) * 2
+    rows = [(t, media.wav(data, t)) for t in (media.MULAW, media.ALAW, media.IMA_ADPCM)]
+    rows += [(0, None), (0, b""), (0, b"RIFF"), (0, media.wav(data)[:30]), (0, media.wav(data, 99)), (1, media.wav(data)[:-100]), (0, b"x" * 500), (0, media.wav(data, rate=0))]
+    df = spark.createDataFrame(rows, "tag int, media binary").withColumn("format", F.lit("own")).withColumn("feature", F.lit(1))
+    for r in media.with_features(media.store_pcm(media.decode_media(df))).collect():
+        if not r.tag:
+            assert r.payload is None and r.feature is None and r.format is None
+        elif r.tag > 1:
+            assert bytes(r.payload) == data and r.format == r.tag
+        else:
+            assert bytes(r.payload) == data[:-100]
+    assert media.decode_media(df.limit(0)).count() == 0
 
 
 def test_decoders_against_plain_loops():
@@ -370,6 +505,26 @@ def test_base_rules_and_verdicts(spark, texts, tmp_path):
     assert all(got[n + i].kept for i in range(40) if not got[n + i].base_failed)
 
 
+def test_scores_equal_plain_ratios(spark, texts):
+    rng = random.Random(16)
+    every = texts[:80] + [" ".join(random_words(rng, 60)) for _ in range(20)]
+    docs = frame(spark, every).withColumn("good", F.lit("own")).withColumn("bucket", F.lit(0))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80, 95)] + [(80, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def grams(t):
+        d = (t or "").encode()
+        return [(int.from_bytes(d[i : i + 4], "little") * 2654435761 % 2**32) >> 14 for i in range(len(d) - 3)]
+
+    raw, good = Counter(g for t in every for g in grams(t)), Counter(g for t in every[80:95] for g in grams(t))
+    n, m, b = sum(raw.values()), sum(good.values()), quality.BUCKETS
+    ratio = lambda g: math.log((1 - quality.RAW_SHARE) * good[g] / m / ((raw[g] + 1) / (n + b)) + quality.RAW_SHARE)
+    for r in quality.quality_rules(docs, labels).collect():
+        own = grams(every[r.row.doc_id])
+        want = sum(map(ratio, own)) / max(len(own), 1)
+        assert abs(r.score - want) < 1e-5 and r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    assert quality.keep_good(docs.limit(0), labels).count() == 0
+
+
 # ---------------------------------------------------------------- 9: licenses
 def test_base_phrases_and_exact_containment(spark):
     made = [None, "", "Under the MIT license: under the mit  License!", "xunder the mit license", "CC-BY-NC and Apache License, Version 2", "Licensed under the Apache License, Version 2.0.", "this work is licensed under a gnu general public license version 3", "of the " * 200 + "\nReleased under MIT License"]
@@ -378,40 +533,107 @@ def test_base_phrases_and_exact_containment(spark):
     assert {p.label for p in got[4].places} == {"cc-by-nc", "apache-2"}
     for i, t in enumerate(made):
         want = set()
-        for at, block in licenses.blocks(t or ""):
-            for label, template in licenses.TEMPLATES:
-                need = set(licenses.words_of(template))
-                share = len(need & set(block)) / len(need)
-                if share >= licenses.THRESHOLD:
+        for label, need, template in licenses.TEMPLATES:
+            words = set(licenses.words_of(template))
+            must, barred = ({w.lstrip("-").encode() for w in need.split() if (w[0] == "-") == minus} for minus in (False, True))
+            for _, at, block in licenses.blocks(t or "", [licenses.window_of(template)]):
+                share = len(words & set(block)) / len(words)
+                if share >= licenses.THRESHOLD and must <= set(block) and not barred & set(block):
                     want.add((label, at, round(share, 9)))
         assert {(m.label, m.word, round(m.containment, 9)) for m in got[i].matches} == want
     assert {m.label for m in got[5].matches} >= {"apache-2"} and {m.label for m in got[7].matches} == {"mit"}
 
 
+def test_labels_need_what_tells_licenses_apart(spark):
+    made = ["Licensed under the Mozilla Public License, Version 2.0", "released under the same license", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."]
+    docs = frame(spark, [*made, None, ""]).withColumn("places", F.lit("own")).withColumn("n_words", F.lit(1))
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(6)] == [{"mpl-2"}, set(), {"gpl-2"}, {"cc-by-nc"}, set(), set()]
+    assert licenses.scan(docs.limit(0)).count() == 0
+    for label, _, text in licenses.TEMPLATES:
+        assert label in {m.label for m in licenses.scan(frame(spark, [text.replace(" the ", "\n the ")])).first().matches} if len(text) > 300 else True
+
+
 def test_wrapped_headers_and_long_templates_meet(spark):
     gpl = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by"
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
     mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy */"
     long = " ".join(f"w{i}" for i in range(150))
     made = [gpl, bsd, mpl, "x y z\n" * 70 + bsd, long.replace(" w75", "\nw75"), None, "\n \n"]
-    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(frame(spark, made), [*licenses.TEMPLATES, ("long", long)]).collect()}
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(frame(spark, made), [*licenses.TEMPLATES, ("long", "w3", long)]).collect()}
     assert [got[i] for i in range(7)] == [{"gpl"}, {"bsd"}, {"mpl-2"}, {"bsd"}, {"long"}, set(), set()]
 
 
 # ---------------------------------------------------------------- 10: language model
-def test_probabilities_sum_to_one_and_equal_a_plain_model(spark):
-    words = ["banana", "band", "bandana", "an", "and", "cab"] * 4 + ["nab", "a"]
-    docs = frame(spark, [" ".join(words[i::3]) for i in range(3)])
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
-    model = language_model.Model(language_model.trusted_texts(docs, language_model.trusted_labels(labels)))
-    letters = sorted({c for w in words for c in w + " "})
-    for context in (" ", " b", " ba", "ban", "and", "xyz"):
-        wanted = [context + c for c in letters if not (context == " " and c == " ")]
-        p = {r.gram: r.p for r in model.probabilities(spark.createDataFrame([(g,) for g in wanted], "gram string")).collect()}
-        total = sum(p[g] for g in wanted)
-        assert 0.5 < total < 1.0 + 1e-9  # what is missing belongs to unseen letters, and to the end after a start
-    counts = Counter(g for w in words for g in language_model.grams(w))
-    assert {r.gram: r.a for r in language_model.gram_counts(language_model.trusted_texts(docs, language_model.trusted_labels(labels)), 4).collect()} == dict(counts)
+def plain_model(texts, order):
+    """Modified Kneser-Ney by dictionaries: a function from (context, character) to a probability."""
+    mark = "\0"
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        s = mark * (order - 1) + " ".join(t.split())
+        counts[order].update(s[i - order + 1 : i + 1] for i in range(order - 1, len(s)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts = []
+    for k in range(order + 1):
+        of = Counter(counts[k].values())
+        cuts.append(language_model.Model._discounts([of[c] for c in range(1, 5)]))
+    cut = lambda k, a: cuts[k][min(a, 3) - 1]
+    contexts = [{} for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, a in counts[k].items():
+            total, lost = contexts[k].get(g[:-1], (0, 0.0))
+            contexts[k][g[:-1]] = total + a, lost + cut(k, a)
+    letters = len(counts[1]) + 1
+
+    def p(gram):
+        k = len(gram)
+        below = 1 / letters if k == 1 else p(gram[1:])
+        total, lost = contexts[k].get(gram[:-1], (0, 0))
+        if not total:
+            return below
+        a = counts[k][gram]
+        return (a - cut(k, a) if a else 0) / total + lost / total * below
+
+    return p
+
+
+def test_scores_equal_a_plain_model(spark):
+    rng = random.Random(3)
+    train = [" ".join(rng.choice(["banana", "band", "bandana", "an", "and", "cab", "nab", "é漢"]) for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    docs = frame(spark, train)
+    asked = [*train[:5], "a  new\tbandana ", "xyz é漢漢 👍", "", None, " ", "b" * 3000]
+    for order in (2, 3, 5):
+        model = language_model.Model(docs.select(F.col("text")).rdd.map(lambda r: (bytearray(zstandard.ZstdCompressor().compress(r.text.encode())),)).toDF("z binary"), order)
+        p = plain_model(train, order)
+        got = {r.doc_id: r for r in language_model.score(frame(spark, asked), model).collect()}
+        for i, t in enumerate(asked):
+            s = " ".join((t or "").split())
+            padded = "\0" * (order - 1) + s
+            want = sum(math.log(p(padded[k : k + order])) for k in range(len(s)))
+            assert got[i].n_chars == len(s) and abs(got[i].log_p - want) <= 1e-5 * max(1, abs(want)), (order, t)
+
+
+def test_word_order_counts_and_odd_rows_are_scored(spark):
+    rng = random.Random(13)
+    chain = {w: rng.sample("river water stone tree cloud bird leaf sand".split(), 2) for w in "river water stone tree cloud bird leaf sand".split()}
+
+    def text():
+        words = ["river"]
+        while len(words) < 80:
+            words.append(rng.choice(chain[words[-1]]))
+        return words
+
+    made = [text() for _ in range(120)]
+    shuffled = [rng.sample(w, len(w)) for w in made[-20:]]
+    rows = [(i, "en", " ".join(w)) for i, w in enumerate(made + shuffled)] + [(None, None, "river water")] * 3 + [(5, "en", "river"), (200, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("block", F.lit("own")).withColumn("gram", F.lit(1))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(None, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    got = language_model.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    of = {r.doc_id: r.perplexity for r in got if r.doc_id is not None and r.n_chars > 100}
+    assert max(of[i] for i in range(100, 120)) < min(of[120 + i] for i in range(20))
+    assert language_model.classify(docs.limit(0), labels).count() == 0
 
 
 def test_strange_text_is_less_likely(spark, texts):
@@ -421,7 +643,7 @@ def test_strange_text_is_less_likely(spark, texts):
     docs = frame(spark, plain + strange + [None, ""])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in language_model.classify(docs, labels).collect()}
-    assert all(got[i].kept for i in range(60)) and not any(got[60 + i].kept for i in range(5))
+    assert sum(got[i].kept for i in range(60)) >= 55 and not any(got[60 + i].kept for i in range(5))
     assert got[65].kept and got[65].perplexity == 1.0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept for r in language_model.classify(docs, none).collect())
