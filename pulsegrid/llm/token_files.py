@@ -13,6 +13,7 @@ Further columns are not looked at. A very long text is one block; its ids and co
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ RARE_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x
 _RARE = re.compile("[" + "".join(RARE_WHITE) + "]")
 _RARE_ASCII = "".join(c for c in RARE_WHITE if c.isascii()).encode()
 #: Bytes of text that one step encodes; larger than other operators', as equal words are then looked up once.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 8_000_000
 
 
 # ---------------------------------------------------------------- ids by the tokenizers library
@@ -41,12 +42,13 @@ class Cached:
     """Ids of texts by the tokenizers library. A piece of the library's pattern never runs across a space that
     stands between two other characters, so a text is cut at each such space, and each part is encoded once."""
 
-    #: Parts kept in each of two generations, so a worker's memory is bounded and frequent parts stay.
-    CACHE = 400_000
-    #: Longer parts are encoded each time.
-    LONG = 64
+    #: Parts kept; the cache is emptied at this size, so a worker's memory is bounded.
+    CACHE = 600_000
+    #: Bytes of the longest part that is kept; longer ones hardly come again.
+    LONG = 14
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,7 +59,6 @@ class Cached:
             self.width[i] = len(token)
         self.kind = "<u2" if len(self.width) <= 1 << 16 else "<u4"
         self.after: dict[str, bytes] = {}  # ids of a part that a space stands before
-        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, pa.Array]:
         """The number of ids of each text, and the ids as little-endian unsigned integers of self.kind."""
@@ -68,16 +69,19 @@ class Cached:
         order = np.argsort(np.argsort(~plain, kind="stable"), kind="stable")  # the place of each text in lists
         ends = lists.offsets.to_numpy()
         parts = lists.flatten().dictionary_encode()
-        number, words = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number, words = parts.indices.to_numpy().astype(np.int64), parts.dictionary
         behind = np.ones(len(number), bool)
         behind[ends[:-1]] = False
         used = np.zeros(len(words), bool)
         used[number[behind]] = True
-        found = self._after([w if u else None for w, u in zip(words, used.tolist())])
+        at = np.flatnonzero(used)
+        found = self._after(words.to_numpy(zero_copy_only=False)[at].tolist(), pc.binary_length(words).to_numpy()[at], plain.all())
         firsts = parts.take(pa.array(ends[:-1])).dictionary_decode().to_pylist() if len(ends) > 1 else []
         found += [self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
         found.append(b"" if end is None else np.array([end], self.kind).tobytes())
-        number[ends[:-1]] = len(words) + np.arange(len(texts))
+        place = np.cumsum(used) - 1  # of each word in found
+        number = place[number] if len(place) else number
+        number[ends[:-1]] = len(at) + np.arange(len(texts))
         number = np.insert(number, ends[1:], len(found) - 1)
         ends = ends + np.arange(len(ends))
         width = np.dtype(self.kind).itemsize
@@ -110,40 +114,32 @@ class Cached:
                 out[-1].append(w)
         return [" ".join(own) for own in out]
 
-    def _after(self, words: list[str | None]) -> list[bytes]:
-        """Ids of each part with a space before it; none for None."""
-        get = self.after.get
-        found = [get(w) for w in words]
-        missing = [w for w, f in zip(words, found) if f is None and w is not None]
-        if not missing:
-            return [f or b"" for f in found]
+    def _after(self, words: list[str], sizes: np.ndarray, plain: bool) -> list[bytes]:
+        """Ids of each part of so many bytes with a space before it; plain: no part ends with white space."""
+        found = list(map(self.after.get, words))
+        missing = [i for i, f in enumerate(found) if f is None]
         if len(self.after) + len(missing) > self.CACHE:
-            self.older, self.after = self.after, {}
-            missing = [w for w in words if w is not None]
-            found = [None] * len(words)
-        old = self.older.get
-        new = {w: ids for w in missing if (ids := old(w)) is not None}
-        new |= self._learned([w for w in missing if w not in new])
-        self.after.update((w, ids) for w, ids in new.items() if len(w) <= self.LONG)
-        return [b"" if w is None else new[w] if f is None else f for w, f in zip(words, found)]
-
-    def _learned(self, parts: list[str]) -> dict[str, bytes]:
-        """Several hundred parts as one text, cut again at the bytes where they end."""
-        plain = [w for w in parts if w and not w[-1].isspace()]
-        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        texts = [" " + " ".join(own) for own in groups]
-        out: dict[str, bytes] = {}
-        width = np.dtype(self.kind).itemsize
-        for own, text, coded in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.after.clear()
+        odd = [] if plain else [i for i in missing if not words[i] or words[i][-1].isspace()]
+        if odd:
+            out = set(odd)
+            missing = [i for i in missing if i not in out]
+            for i, e in zip(odd, self.tokenizer.encode_batch_fast([" " + words[i] for i in odd], add_special_tokens=False)):
+                found[i] = self._ids(e.ids)
+        groups = [missing[k : k + 500] for k in range(0, len(missing), 500)]
+        texts = [" " + " ".join([words[i] for i in own]) for own in groups]
+        width, new = np.dtype(self.kind).itemsize, []
+        for own, coded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            # several hundred parts are one text, cut again at the bytes where they end
             ids = np.array(coded.ids, self.kind)
-            sizes = np.fromiter(map(len, own if text.isascii() else [w.encode() for w in own]), np.int64, len(own))
-            cuts = (width * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes + 1)) + 1)).tolist()
-            raw = ids.tobytes()
-            out.update(zip(own, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
-        rest = [w for w in parts if not w or w[-1].isspace()]
-        found = self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False)
-        out.update((w, self._ids(e.ids)) for w, e in zip(rest, found))
-        return out
+            cuts = (width * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes[own] + 1)) + 1)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for i, stop in zip(own, cuts):
+                found[i] = raw[begin:stop]
+                begin = stop
+            new += own
+        self.after.update((words[i], found[i]) for i in np.array(new, np.int64)[sizes[new] <= self.LONG].tolist())
+        return found
 
 
 @lru_cache(1)
@@ -155,10 +151,21 @@ def tokenize(docs: DataFrame, path: str, end: int | None = None, text: str = "te
     """(doc_id, n_tokens, ids): ids as unsigned 16-bit integers where the vocabulary allows, else 32-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = cached(path)
-        for batch, texts in chunks(batches, text, STEP_BYTES):
-            sizes, ids = own.encode(texts, end)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+        own, held, many, size = cached(path), [], [], 0
+
+        def coded() -> pa.RecordBatch:
+            sizes, ids = own.encode(many, end)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(held), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+
+        for batch, texts in chunks(batches, text):
+            held.append(batch.column("doc_id"))
+            many += texts
+            size += sum(map(len, texts))
+            if size > STEP_BYTES:
+                yield coded()
+                held, many, size = [], [], 0
+        if held:
+            yield coded()
 
     return only(docs, "doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
