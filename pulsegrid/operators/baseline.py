@@ -43,9 +43,9 @@ def language_priors(stg: DataFrame, p: Baseline = Baseline()) -> DataFrame:
     fed = sample.groupBy("lang", "title", "day").agg(F.collect_list("views").alias("hours")).withColumn("for_day", ahead)
     seen = fed.groupBy("lang", "title", "for_day").agg(F.count("*").alias("days"), F.flatten(F.collect_list("hours")).alias("hours"))
     rows = seen.filter(F.col("days") >= p.prior_min_days_seen).join(days, "for_day", "left_semi").select("lang", "for_day", F.explode("hours").alias("views"))
-    middle = rows.groupBy("lang", "for_day").agg(F.median("views").alias("prior_median"))
-    spread = rows.groupBy("lang", "for_day", "views").agg(F.count("*").alias("n")).join(middle, ["lang", "for_day"])
-    spread = spread.groupBy("lang", "for_day", "prior_median").agg(F.expr("percentile(abs(views - prior_median), 0.5, n)").alias("prior_mad"))
+    counts = rows.groupBy("lang", "for_day", "views").agg(F.count("*").alias("n"))
+    middle = counts.groupBy("lang", "for_day").agg(F.expr("percentile(views, 0.5, n)").alias("prior_median"))
+    spread = counts.join(middle, ["lang", "for_day"]).groupBy("lang", "for_day", "prior_median").agg(F.expr("percentile(abs(views - prior_median), 0.5, n)").alias("prior_mad"))
     return spread.select(F.col("for_day").alias("day"), "lang", "prior_median", "prior_mad")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +47,12 @@ def boosted_trees(train: DataFrame, features: tuple[str, ...] = NUMERIC, categor
     """Gradient-boosted trees over numeric and indexed features; unknown categories are a value of their own."""
     index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
     inputs = [*features, *(f"{c}_i" for c in categorical)]
-    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, maxIter=10, maxDepth=3, **params)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **{"maxIter": 10, "maxDepth": 3, **params})
     return Pipeline(stages=[*index, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), trees]).fit(weighted(train))
 
 
 def scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "lead_lang_i")
 
 
 def calibration(scored: DataFrame) -> tuple[float, float]:
@@ -93,3 +96,85 @@ def latest_open(snaps: DataFrame, last_hour, tier_breadth: int) -> DataFrame:
     known = snaps.filter((F.col("snapshot_ts") <= last_hour) & (F.col("breadth_t") < tier_breadth))
     top = known.groupBy("event_id").agg(F.max("offset_h").alias("offset_h"))
     return known.join(top, ["event_id", "offset_h"], "left_semi")
+
+
+def boosted_regression(train: DataFrame, target: str, features: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = ("lead_lang",), seed: int = 7, **params) -> PipelineModel:
+    """Gradient-boosted trees for a number, in logarithms: predictions are of log1p(target)."""
+    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
+    inputs = [*features, *(f"{c}_i" for c in categorical)]
+    trees = GBTRegressor(featuresCol="features", labelCol="y", seed=seed, **{"maxIter": 10, "maxDepth": 3, **params})
+    rows = train.withColumn("y", F.log1p(target))
+    return Pipeline(stages=[*index, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
+
+
+def trials(n: int, seed: int = 11) -> list[dict]:
+    """A seeded list of settings to try."""
+    rng = random.Random(seed)
+    return [{"maxDepth": rng.randint(2, 5), "maxIter": rng.choice((5, 10, 20)), "stepSize": rng.choice((0.05, 0.1, 0.2)), "subsamplingRate": rng.choice((0.7, 1.0))} for _ in range(n)]
+
+
+def random_search(train: DataFrame, valid: DataFrame, n: int = 50, seed: int = 11) -> list[tuple[int, dict, float]]:
+    """(trial, setting, average precision on the validation rows); one fit a trial."""
+    out = []
+    for i, setting in enumerate(trials(n, seed)):
+        model = boosted_trees(train, **setting)
+        out.append((i, setting, ranking_metrics(scores(model, valid), "score", "label").first()["average_precision"] or 0.0))
+    return out
+
+
+def rolling_folds(rows: DataFrame, cuts: list[str]) -> DataFrame:
+    """rows with fold and part: fold k trains on all that starts before cut k and tests on what starts before the next."""
+    at = [F.lit(c).cast("timestamp_ntz") for c in cuts]
+    parts = [F.when(F.col("start_hour") < a, F.struct(F.lit(k).alias("fold"), F.lit("train").alias("part"))).when(F.col("start_hour") < z, F.struct(F.lit(k).alias("fold"), F.lit("test").alias("part"))) for k, (a, z) in enumerate(zip(at, at[1:]), 1)]
+    return rows.withColumn("f", F.explode(F.array_compact(F.array(*parts)))).select(*rows.columns, "f.fold", "f.part")
+
+
+def assembled(parts: list[DataFrame], now: str, label_days: int = 3) -> DataFrame:
+    """Training rows of several parts by the columns that all have; an event counts once, in the first part that has it, and only if
+    its labels are known: it started label_days before now."""
+    common = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+    out = None
+    for i, p in enumerate(parts):
+        own = p.select(common).withColumn("part", F.lit(i))
+        out = own if out is None else out.unionByName(own)
+    known = out.filter(F.col("start_hour") <= F.timestamp_add("DAY", F.lit(-label_days), F.lit(now).cast("timestamp_ntz")))
+    first = known.groupBy("snapshot_id").agg(F.min("part").alias("part"))
+    return known.join(first, ["snapshot_id", "part"], "left_semi")
+
+
+def widening_calibration(scored: DataFrame, ends: str, days: tuple[int, ...] = (7, 14, 28, 56), positives: int = 5) -> DataFrame:
+    """The rows of the shortest window before ends that has enough positives; of the longest where none has."""
+    end = F.lit(ends).cast("timestamp_ntz")
+    since = lambda d: F.timestamp_add("DAY", F.lit(-d), end)
+    before = scored.filter(F.col("start_hour") < end)
+    counts = before.agg(*[F.count_if((F.col("start_hour") >= since(d)) & (F.col("label") == 1)).alias(f"d{d}") for d in days]).first()  # one row
+    chosen = next((d for d in days if counts[f"d{d}"] >= positives), days[-1])
+    return before.filter(F.col("start_hour") >= since(chosen)).withColumn("window_days", F.lit(chosen))
+
+
+def examples(scored: DataFrame, target: str) -> DataFrame:
+    """(kind, snapshot_id): the surest hit, the surest false alarm, the worst miss, the call nearest one half, the largest target."""
+    best = lambda when, *order: F.min(F.when(when, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "snapshot_id")))["snapshot_id"]
+    hit, yes = F.col("label") == 1, F.lit(True)
+    picks = {
+        "top_hit": best(hit, -F.col("score")), "false_alarm": best(~hit, -F.col("score")), "worst_miss": best(hit, F.col("score")),
+        "middle": best(yes, F.abs(F.col("score") - 0.5)), "largest": best(yes, -F.col(target)),
+    }
+    row = scored.agg(*[c.alias(k) for k, c in picks.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("snapshot_id")) for k in picks])).alias("x")).select("x.*").filter("snapshot_id IS NOT NULL")
+
+
+def regression_metrics(rows: DataFrame, predicted: str, target: str) -> DataFrame:
+    """Mean absolute error of log1p, and the median of |exp(error) - 1|."""
+    error = F.abs(F.log1p(predicted) - F.log1p(target))
+    return rows.agg(F.count("*").alias("n"), F.avg(error).alias("mae_log"), F.percentile_approx(F.expm1(error), 0.5, 10_000).alias("middle_ratio"))
+
+
+def lift(rows: DataFrame, score: str, label: str, share: float = 0.1) -> DataFrame:
+    """How much more often the label holds in the best share of rows by score than in all; ties at the limit are all taken. Scores meet as
+    counts by value."""
+    counts = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
+    limit = counts.agg(F.expr(f"percentile({score}, {1 - share}, n)").alias("limit")).withColumn("k", F.lit(1))  # one row
+    marked = counts.withColumn("k", F.lit(1)).join(F.broadcast(limit), "k").withColumn("top", F.col(score) >= F.col("limit"))
+    top = lambda c: F.sum(F.when(F.col("top"), F.col(c)))
+    return marked.agg(top("n").alias("n_top"), (top("p") / top("n") / (F.sum("p") / F.sum("n"))).alias("lift"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import baseline, events, staging
 from pulsegrid.params import Automation, Events, Spike
+from pulsegrid.session import scratch
 from pulsegrid.sources import canonical
 
 START = "2024-01-01"
@@ -21,15 +22,24 @@ def stg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.stage(canonical.hourly(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stg_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged hours written once, for plans that read them several times."""
+    path = scratch(spark, "stg")
     rows = stg(spark, sf_dir)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = stg_files(spark, sf_dir) if rows is None else rows
     days = baseline.calendar(rows.select("day").distinct(), START)
     return baseline.score_candidates(rows, baseline.language_priors(rows), days, s=SPIKE)
 
 
 def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = staging.automation_flags(stg(spark, sf_dir), AUTOMATION)
-    return baseline.spikes(scored(spark, sf_dir), flags, canonical.sitelinks(spark, sf_dir), SPIKE)
+    rows = stg_files(spark, sf_dir)
+    flags = staging.automation_flags(rows, AUTOMATION)
+    return baseline.spikes(scored(spark, sf_dir, rows), flags, canonical.sitelinks(spark, sf_dir), SPIKE)
 
 
 def loud(spark: SparkSession, sf_dir: str) -> DataFrame:

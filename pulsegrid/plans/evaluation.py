@@ -160,11 +160,11 @@ def e4(spark, sf_dir):
 @query("e6_mann_whitney", b.with_(b.HOURLY, b.LOUD, b.event_sql()) + """, v AS (SELECT lang IN ('view', 'click') AS g, spread_lag_hours AS x FROM el), r AS (SELECT g, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS k FROM v),
 s AS (SELECT count(*) FILTER (WHERE g) AS n_a, count(*) FILTER (WHERE NOT g) AS n_b, sum(k) FILTER (WHERE g) AS rs FROM r), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM v GROUP BY x)),
 q AS (SELECT n_a, n_b, rs - n_a * (n_a + 1) / 2 AS u, sqrt(n_a * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS sd FROM s, t)
-SELECT n_a, n_b, round(u, 6) AS u, round((u - n_a * n_b / 2 + 0.5) / sd, 6) AS z FROM q""")
+SELECT n_a, n_b, round(u, 6) AS u, round((u - n_a * n_b / 2 + 0.5) / sd, 6) AS z, (u - n_a * n_b / 2 + 0.5) / sd < -1.6448536 AS p_is_small FROM q""")
 def e6(spark, sf_dir):
     rows = b.languages(spark, sf_dir).select(F.col("lang").isin("view", "click").alias("g"), "spread_lag_hours")
     out = evaluation.mann_whitney_less(rows, "g", "spread_lag_hours")
-    return out.withColumns({"u": F.round("u", b.R), "z": F.round("z", b.R)})
+    return out.withColumns({"u": F.round("u", b.R), "z": F.round("z", b.R), "p_is_small": F.col("p") < 0.05}).drop("p")
 
 
 @query("e7_matched_events", _EV + "," + GT + "SELECT DISTINCT event_id, m.date AS portal_date FROM ev e JOIN majors m ON e.qid = m.qid AND e.start_hour >= m.date - INTERVAL 24 HOUR AND e.start_hour < m.date + INTERVAL 48 HOUR")

@@ -73,3 +73,114 @@ def m4(spark, sf_dir):
     model = forecast.boosted_trees(train)
     fitted = forecast.calibrated(forecast.scores(model, rows), *forecast.calibration(forecast.scores(model, train)))
     return fitted.select("snapshot_id", "label", F.round("score", b.R).alias("score"))
+
+
+FOLDS = ["2024-01-08", "2024-01-13", "2024-01-18", "2024-01-23", "2024-01-30"]
+
+
+@query("m10_rolling_folds", _BASE + ", c AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, TIMESTAMP '{a}', TIMESTAMP '{z}')" for k, (a, z) in enumerate(zip(FOLDS, FOLDS[1:]), 1)) + ") v(fold, a, z)) SELECT fold, CASE WHEN start_hour < a THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM rows JOIN c ON start_hour < z GROUP BY ALL")
+def m10(spark, sf_dir):
+    return forecast.rolling_folds(_snaps(spark, sf_dir), FOLDS).groupBy("fold", "part").agg(F.count("*").alias("n"))
+
+
+@query("m12_training_set", _BASE + """, p AS (SELECT event_id || '#' || k AS snapshot_id, start_hour, 0 AS part FROM rows WHERE start_hour < TIMESTAMP '2024-01-20' UNION ALL SELECT event_id || '#' || k, start_hour, 1 FROM rows WHERE start_hour >= TIMESTAMP '2024-01-12')
+SELECT snapshot_id, min(part)::INT AS part FROM p WHERE start_hour <= TIMESTAMP '2024-01-25' GROUP BY snapshot_id""")
+def m12(spark, sf_dir):
+    """A batch part with a column more, and a weekly part that overlaps it."""
+    snaps = _snaps(spark, sf_dir)
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    batch = snaps.filter(F.col("start_hour") < at("2024-01-20")).withColumn("extra", F.lit(1))
+    weekly = snaps.filter(F.col("start_hour") >= at("2024-01-12"))
+    return forecast.assembled([batch, weekly], "2024-01-28").select("snapshot_id", "part")
+
+
+_SCORED = _BASE + ", sc AS (SELECT event_id || '#' || k AS snapshot_id, start_hour, (breadth >= 4)::INT AS label, round(breadth_t / 8.0 + k / 16.0, 6)::DOUBLE AS score, now FROM rows WHERE breadth_t < 4)"
+
+
+def _ruled(spark, sf_dir):
+    """Undecided snapshots with a score by rule, so that what follows has a twin."""
+    rows = forecast.undecided(_snaps(spark, sf_dir), 4)
+    return rows.withColumn("score", F.round(F.col("breadth_t") / 8.0 + F.col("offset_h") / 16.0, 6))
+
+
+@query("m14_examples", _SCORED + """ SELECT kind, snapshot_id FROM (SELECT 'top_hit' AS kind, (SELECT snapshot_id FROM sc WHERE label = 1 ORDER BY score DESC, snapshot_id LIMIT 1) AS snapshot_id UNION ALL SELECT 'false_alarm', (SELECT snapshot_id FROM sc WHERE label = 0 ORDER BY score DESC, snapshot_id LIMIT 1)
+UNION ALL SELECT 'worst_miss', (SELECT snapshot_id FROM sc WHERE label = 1 ORDER BY score, snapshot_id LIMIT 1) UNION ALL SELECT 'middle', (SELECT snapshot_id FROM sc ORDER BY abs(score - 0.5), snapshot_id LIMIT 1)
+UNION ALL SELECT 'largest', (SELECT snapshot_id FROM sc ORDER BY now DESC, snapshot_id LIMIT 1)) WHERE snapshot_id IS NOT NULL""")
+def m14(spark, sf_dir):
+    return forecast.examples(_ruled(spark, sf_dir), "excess_hour_t")
+
+
+@query("m6_calibration_window", _SCORED + """, w AS (SELECT d, count(*) FILTER (WHERE label = 1) AS p FROM (VALUES (7), (14), (28), (56)) v(d) LEFT JOIN sc ON start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(d) GROUP BY d)
+SELECT coalesce((SELECT min(d) FROM w WHERE p >= 5), 56)::INT AS window_days, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM sc WHERE start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(coalesce((SELECT min(d) FROM w WHERE p >= 5), 56)) HAVING count(*) > 0""")
+def m6(spark, sf_dir):
+    rows = forecast.widening_calibration(_ruled(spark, sf_dir), "2024-01-26 00:00:00")
+    return rows.groupBy("window_days").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
+
+
+@query("m7_lift", """WITH s AS (SELECT round(n_chars / (n_chars + 2000.0), 3)::DOUBLE AS score, quality AS y FROM labels JOIN documents USING (doc_id)), l AS (SELECT quantile_cont(score, 0.9) AS q FROM s)
+SELECT count(*) FILTER (WHERE score >= q)::BIGINT AS n_top, round(avg(y) FILTER (WHERE score >= q) / avg(y), 6) AS lift FROM s, l""")
+def m7_lift(spark, sf_dir):
+    from pulsegrid.session import table
+
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    rows = rows.select(F.round(F.col("n_chars") / (F.col("n_chars") + 2000.0), 3).alias("score"), F.col("quality").alias("y"))
+    return forecast.lift(rows, "score", "y").select("n_top", F.round("lift", b.R).alias("lift"))
+
+
+@query("m7_regression_metrics", "SELECT count(*) AS n, round(avg(abs(ln(1 + o_totalprice) - ln(1 + o_custkey))), 6) AS mae_log FROM orders")
+def m7_regression(spark, sf_dir):
+    from pulsegrid.session import table
+
+    return forecast.regression_metrics(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey").select("n", F.round("mae_log", b.R).alias("mae_log"))
+
+
+def _parts(spark, sf_dir):
+    """Undecided snapshots, read back from files: train and test rows, and whether the train rows have both labels."""
+    path = scratch(spark, "snapshots")
+    _snaps(spark, sf_dir).write.parquet(path)
+    rows = forecast.undecided(spark.read.parquet(path), 4)
+    train, test = forecast.chronological_split(rows, CUT)
+    return rows, train, test, train.select("label").distinct().count() == 2
+
+
+@query("m5_random_search")
+def m5(spark, sf_dir):
+    """A few of the seeded trials, as rows; the fits have no SQL twin."""
+    _, train, test, fit = _parts(spark, sf_dir)
+    found = forecast.random_search(train, test, 3) if fit else []
+    return spark.createDataFrame([(i, str(sorted(s.items())), round(float(v), 6)) for i, s, v in found], "trial int, setting string, average_precision double")
+
+
+@query("m9_importance")
+def m9(spark, sf_dir):
+    _, train, test, fit = _parts(spark, sf_dir)
+    found = forecast.importance(forecast.boosted_trees(train), test, ("breadth_t", "excess_t", "views_t"), repeats=2) if fit else []
+    return spark.createDataFrame([(f, round(float(v), 6)) for f, v in found], "feature string, auc_drop double")
+
+
+@query("m13_sensitivity")
+def m13(spark, sf_dir):
+    """The ranking with all features and without those that could leak."""
+    _, train, test, fit = _parts(spark, sf_dir)
+    safe = tuple(f for f in forecast.NUMERIC if f not in ("peak_views_so_far", "lead_views_share"))
+    found = [(name, forecast.ranking_metrics(forecast.scores(forecast.boosted_trees(train, features), test), "score", "label").first()["auc"]) for name, features in (("all", forecast.NUMERIC), ("safe", safe))] if fit else []
+    return spark.createDataFrame([(n, None if a is None else round(float(a), 6)) for n, a in found], "features string, auc double")
+
+
+@query("m4_boosted_regression")
+def m4_regression(spark, sf_dir):
+    rows, train, _, fit = _parts(spark, sf_dir)
+    if not fit:
+        return rows.select("snapshot_id", F.lit(None).cast("double").alias("predicted"))
+    model = forecast.boosted_regression(train, "excess_t")
+    return model.transform(rows).select("snapshot_id", F.round(F.expm1("prediction"), b.R).alias("predicted"))
+
+
+@query("m11_scored_open_events")
+def m11_scored(spark, sf_dir):
+    """Scores of the events that are open at an hour, each at its latest snapshot."""
+    rows, train, _, fit = _parts(spark, sf_dir)
+    open_rows = forecast.latest_open(rows, F.lit("2024-01-24 00:00:00").cast("timestamp_ntz"), 4)
+    if not fit:
+        return open_rows.select("event_id", "offset_h", F.lit(None).cast("double").alias("score"))
+    return forecast.scores(forecast.boosted_trees(train), open_rows).select("event_id", "offset_h", F.round("score", b.R).alias("score"))

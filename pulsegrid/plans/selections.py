@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import robust
-from pulsegrid.operators import selection, staging
+from pulsegrid.operators import evaluation, selection, staging
 from pulsegrid.plans import base as b
 from pulsegrid.plans.registry import query
 from pulsegrid.session import table
@@ -138,9 +138,13 @@ def g16(spark, sf_dir):
 
 @query("g17_quantiles", b.with_(b.HOURLY) + "SELECT lang, median(views) AS middle, quantile_cont(views, 0.9) AS q90, list_sort(list(views))[least(floor(count(*) * 0.9)::INT + 1, count(*))] AS rank90 FROM stg GROUP BY lang")
 def g17(spark, sf_dir):
-    lower = robust.lower_rank(F.col("all"), 0.9)
-    rows = b.stg(spark, sf_dir).groupBy("lang").agg(F.median("views").alias("middle"), F.expr("percentile(views, 0.9)").alias("q90"), F.collect_list("views").alias("all"))
-    return rows.select("lang", "middle", "q90", lower.alias("rank90"))
+    """Views meet as counts by value."""
+    counts = b.stg(spark, sf_dir).groupBy("lang", "views").agg(F.count("*").alias("n"))
+    q = lambda p: F.expr(f"percentile(views, {p}, n)")
+    sums = counts.groupBy("lang").agg(q(0.5).alias("middle"), q(0.9).alias("q90"), F.sum("n").alias("total"))
+    upto = evaluation.running(counts, "views", {"upto": F.col("n")}, ("lang",)).join(F.broadcast(sums), "lang")  # a row a language
+    rank = F.least(F.floor(F.col("total") * 0.9) + 1, F.col("total"))
+    return upto.groupBy("lang", "middle", "q90").agg(F.min(F.when(F.col("upto") >= rank, F.col("views"))).alias("rank90"))
 
 
 @query("w7_sliding_edit_counts", """SELECT event_id, count(*) OVER (w RANGE BETWEEN INTERVAL 599 SECOND PRECEDING AND CURRENT ROW) AS n10, count(*) OVER (w RANGE BETWEEN INTERVAL 1799 SECOND PRECEDING AND CURRENT ROW) AS n30,
@@ -155,9 +159,11 @@ def w7(spark, sf_dir):
 round(sum(views) OVER (PARTITION BY lang ORDER BY views DESC, title ROWS UNBOUNDED PRECEDING) / sum(views) OVER (PARTITION BY lang), 6) AS share FROM s""")
 def w6(spark, sf_dir):
     rows = b.stg(spark, sf_dir).groupBy("lang", "title").agg(F.sum("views").alias("views"))
-    whole, order = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.desc("views"), "title")
-    share = F.sum("views").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("views").over(whole)
-    return rows.withColumns({"rank": F.rank().over(whole.orderBy(F.desc("views"))), "share": F.round(share, b.R)})
+    totals = F.broadcast(rows.groupBy("lang").agg(F.sum("views").alias("whole")))  # a row a language
+    down = rows.withColumn("order", -F.col("views"))
+    ranked = evaluation.running(down, "order", {"upto": F.col("views"), "k": F.lit(1)}, ("lang",), ("title",)).join(totals, "lang")
+    first = ranked.groupBy("lang", "views").agg(F.min("k").cast("int").alias("rank"))
+    return ranked.join(first, ["lang", "views"]).select("lang", "title", "views", "rank", F.round(F.col("upto") / F.col("whole"), b.R).alias("share"))
 
 
 @query("w5_top_titles_per_language", b.with_(b.HOURLY) + "SELECT * FROM (SELECT lang, title, ts_hour, views, CAST(row_number() OVER (PARTITION BY lang ORDER BY views DESC, title, ts_hour) AS INT) AS rank FROM stg) WHERE rank <= 5")

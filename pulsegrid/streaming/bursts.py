@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,24 +29,79 @@ def wiki_baselines(edits: DataFrame, p: Bursts = Bursts()) -> DataFrame:
     return rows.select("lang", "hour", F.when(F.size("past") >= p.baseline_min_hours, array_median(F.col("past"))).otherwise(1.0).alias("baseline"))
 
 
+FOUND = "lang string, title string, second long, kind string, n_edits long, n_editors int"
+
+
+class Detector:
+    """The burst rules for one article: the edits of the longest window, the last burst, and when the page was created. Its size is
+    that of one window, whatever the article's history."""
+
+    def __init__(self, p: Bursts, held: list[tuple[int, str | None]] | None = None, last: int | None = None, created: int | None = None):
+        self.p, self.held, self.last, self.created = p, deque(held or []), last, created
+        self.span, self.fresh = 60 * p.window_minutes, 60 * p.new_page_minutes
+
+    def at(self, second: int, users: list[str | None], baseline: float) -> tuple[int, str, int, int] | None:
+        """Take the edits of one second; the burst that they make, if any. Edits without a user count, but not as editors."""
+        self.held.extend((second, u) for u in users)
+        longest = max(self.span, self.fresh if self.created is not None and second - self.created <= self.fresh else 0)
+        while self.held and self.held[0][0] <= second - longest:
+            self.held.popleft()
+        if self.last is not None and second - self.last < 3600 * self.p.cooldown_hours:
+            return None
+        recent = [(s, u) for s, u in self.held if second - self.span < s <= second]
+        editors = len({u for _, u in recent if u is not None})
+        if len(recent) >= self.p.min_edits and editors >= self.p.min_editors and 2 * len(recent) >= self.p.ratio * baseline:
+            self.last = second
+            return second, "window", len(recent), editors
+        if self.created is not None and 0 <= second - self.created <= self.fresh:
+            since = [(s, u) for s, u in self.held if self.created <= s <= second]
+            editors = len({u for _, u in since if u is not None})
+            if len(since) >= self.p.new_page_edits and editors >= self.p.new_page_editors:
+                self.last = second
+                return second, "new", len(since), editors
+        return None
+
+
+def _by_second(rows: pd.DataFrame) -> Iterator[tuple[int, list, float, bool]]:
+    for second, own in rows.groupby("second", sort=True):
+        yield int(second), [None if pd.isna(u) else u for u in own["user"]], float(own["baseline"].max()), bool(own["is_new"].any())
+
+
 def bursts(edits: DataFrame, p: Bursts = Bursts()) -> DataFrame:
-    """Bursts of edits (lang, title, second, user): enough edits by enough editors within the window, against the
-    wiki's baseline, at most one in a cooldown. Anonymous edits (null user) count as edits, not as editors."""
-    base = wiki_baselines(edits, p)
-    recent = Window.partitionBy("lang", "title").orderBy("second").rangeBetween(1 - 60 * p.window_minutes, 0)
-    rows = edits.withColumns({"n_edits": F.count("*").over(recent), "users": F.collect_set("user").over(recent), "hour": F.expr("second div 3600")})
-    rows = rows.filter(F.col("n_edits") >= p.min_edits).withColumn("n_editors", F.size("users")).filter(F.col("n_editors") >= p.min_editors)
-    rows = rows.join(base, ["lang", "hour"]).filter(2 * F.col("n_edits") >= p.ratio * F.col("baseline"))
-    each = rows.groupBy("lang", "title", "second").agg(F.max("n_edits").alias("n_edits"), F.max("n_editors").alias("n_editors"))
-    found = F.sort_array(F.collect_list(F.struct("second", "n_edits", "n_editors")))
-    cool = 3600 * p.cooldown_hours
-    kept = F.aggregate(
-        found,
-        F.expr("named_struct('last', bigint(-1000000000), 'out', cast(array() as array<struct<second:bigint,n_edits:bigint,n_editors:int>>))"),
-        lambda a, x: F.when(x["second"] - a["last"] >= cool, F.struct(x["second"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    return each.groupBy("lang", "title").agg(kept.alias("b")).select("lang", "title", F.explode("b").alias("b")).select("lang", "title", "b.second", "b.n_edits", "b.n_editors")
+    """Bursts of edits (lang, title, second, user, and is_new where known): many edits by several editors within the window, against
+    the wiki's baseline, or on a page created shortly before; at most one in a cooldown. An article's edits pass in order through
+    one detector, a window of them in memory at a time."""
+    if "is_new" not in edits.columns:
+        edits = edits.withColumn("is_new", F.lit(False))
+    rows = edits.select("lang", "title", "second", "user", "is_new", F.expr("second div 3600").alias("hour")).join(wiki_baselines(edits, p), ["lang", "hour"]).drop("hour")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, detector, rest = None, None, None
+        for batch in batches:
+            if rest is not None:  # the last second of a batch may go on in the next
+                batch = pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            tail = (batch["lang"] == batch["lang"].iloc[-1]) & (batch["title"] == batch["title"].iloc[-1]) & (batch["second"] == batch["second"].iloc[-1])
+            rest, batch = batch[tail], batch[~tail]
+            out, key, detector = detected(batch, key, detector)
+            yield out
+        if rest is not None:
+            yield detected(rest, key, detector)[0]
+
+    def detected(batch: pd.DataFrame, key, detector) -> tuple[pd.DataFrame, tuple | None, Detector | None]:
+        out = []
+        for own, rows in batch.groupby(["lang", "title"], sort=False, dropna=False):
+            if own != key:
+                key, detector = own, Detector(p)
+            for second, users, baseline, is_new in _by_second(rows):
+                if is_new and detector.created is None:
+                    detector.created = second
+                if found := detector.at(second, users, baseline):
+                    out.append((*own, *found))
+        return pd.DataFrame(out, columns=["lang", "title", "second", "kind", "n_edits", "n_editors"]), key, detector
+
+    return rows.repartition("lang", "title").sortWithinPartitions("lang", "title", "second").mapInPandas(run, FOUND)
 
 
 def live_events(found: DataFrame, group_minutes: int = 120) -> DataFrame:
@@ -58,32 +114,72 @@ def live_events(found: DataFrame, group_minutes: int = 120) -> DataFrame:
     return out.filter("second IS NOT NULL")
 
 
-STREAM_OUT = "lang string, title string, second long, n_edits long, n_editors int"
-STREAM_STATE = "seconds array<long>, users array<string>, last long"
+STREAM_STATE = "seconds array<long>, users array<string>, last long, created long"
 
 
-def stream_bursts(edits: DataFrame, p: Bursts = Bursts()) -> DataFrame:
-    """The window rule on a stream of (lang, title, second, user) with a fixed baseline of one: a state an article,
-    which holds the edits of one window and the last burst."""
-    span, cool = 60 * p.window_minutes, 3600 * p.cooldown_hours
+def stream_bursts(edits: DataFrame, baselines: DataFrame | None = None, p: Bursts = Bursts(), late_minutes: int = 60) -> DataFrame:
+    """The rules on a stream of (event_id, time, lang, title, second, user, is_new). Replays of an event_id are dropped, as are rows
+    later than late_minutes; rows that come late within that are placed by their own time. baselines (lang, hour, baseline) is a table
+    of the hours before (one: where an hour has none); it is read anew with each batch. An article's state holds one window; it ends
+    once the article was idle for the longest window and its cooldown is over."""
+    idle = 1000 * max(60 * p.window_minutes, 60 * p.new_page_minutes, 3600 * p.cooldown_hours)
+    once = edits.withWatermark("time", f"{late_minutes} minutes").dropDuplicatesWithinWatermark(["event_id"])
+    if baselines is None:
+        once = once.withColumn("baseline", F.lit(1.0))
+    else:
+        once = once.withColumn("hour", F.expr("second div 3600")).join(baselines, ["lang", "hour"], "left").withColumn("baseline", F.coalesce("baseline", F.lit(1.0)))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seconds, users, last = state.get if state.exists else ([], [], None)
-        held = list(zip(seconds, users))
-        rows = pd.concat(list(batches)).sort_values(["second", "user"], kind="stable")
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["lang", "title", "second", "kind", "n_edits", "n_editors"])
+            return
+        seconds, users, last, created = state.get if state.exists else ([], [], None, None)
+        rows = pd.concat(list(batches))
+        # rows that came late go before what is held already
+        old = [(int(s), u) for s, u in zip(seconds, users)]
+        first = int(rows["second"].min())
+        detector = Detector(p, sorted([h for h in old if h[0] < first], key=lambda h: h[0]), last, created)
+        again = pd.DataFrame([(s, u) for s, u in old if s >= first], columns=["second", "user"])
+        again["baseline"], again["is_new"] = 1.0, False
         out = []
-        for second, group in rows.groupby("second", sort=True):
-            held = [h for h in held if h[0] > second - span] + [(int(second), u) for u in group["user"]]
-            editors = len({u for _, u in held if u is not None})
-            if (last is None or second - last >= cool) and len(held) >= p.min_edits and editors >= p.min_editors and 2 * len(held) >= p.ratio:
-                last = int(second)
-                out.append((*key, last, len(held), editors))
-        state.update(([h[0] for h in held], [h[1] for h in held], last))
-        yield pd.DataFrame(out, columns=["lang", "title", "second", "n_edits", "n_editors"])
+        for second, who, baseline, is_new in _by_second(pd.concat([again.astype({"second": "int64"}), rows[["second", "user", "baseline", "is_new"]]])):
+            if is_new and detector.created is None:
+                detector.created = second
+            if found := detector.at(second, who, baseline):
+                out.append((*key, *found))
+        state.update(([h[0] for h in detector.held], [h[1] for h in detector.held], detector.last, detector.created))
+        newest = 1000 * max([h[0] for h in detector.held] or [int(rows["second"].max())])
+        state.setTimeoutTimestamp(max(newest + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["lang", "title", "second", "kind", "n_edits", "n_editors"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return edits.groupBy("lang", "title").applyInPandasWithState(step, STREAM_OUT, STREAM_STATE, "append", GroupStateTimeout.NoTimeout)
+    kept = once.select("lang", "title", "second", "user", "baseline", "is_new", "time")
+    return kept.groupBy("lang", "title").applyInPandasWithState(step, FOUND, STREAM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_view(found: DataFrame, now: int, minutes: int = 60, singles: int = 5, keep_hours: int = 72) -> DataFrame:
+    """What is on now: bursts of the last minutes before now (a second), those of entities that burst in several languages as events, and
+    of the others the strongest by editors, edits and time; bursts older than keep_hours are gone. found has qid, lang, title, second, n_edits, n_editors."""
+    kept = found.filter((F.col("second") > now - 3600 * keep_hours) & (F.col("second") <= now))
+    live = live_events(kept.select("qid", "lang", "second")).select("qid", F.lit("event").alias("kind"))
+    recent = kept.filter(F.col("second") > now - 60 * minutes).join(live, "qid", "left").withColumn("kind", F.coalesce("kind", F.lit("single")))
+    top = recent.filter("kind = 'single'").orderBy(F.desc("n_editors"), F.desc("n_edits"), F.desc("second"), "lang", "title").limit(singles)
+    return recent.filter("kind = 'event'").unionByName(top)
+
+
+def with_entities(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found with qid filled in where links came later than the burst."""
+    late = links.select("lang", "title", F.col("qid").alias("found_qid"))
+    return found.join(late, ["lang", "title"], "left").withColumn("qid", F.coalesce("qid", "found_qid")).drop("found_qid")
+
+
+def hourly_counts(reads: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Closed hours of a stream of reads (time, lang, title, v, is_mobile): sums of an hour once it can't change any more."""
+    rows = reads.withWatermark("time", late).groupBy(F.window("time", "1 hour").alias("w"), "lang", "title")
+    sums = rows.agg(F.sum(F.when(~F.col("is_mobile"), F.col("v")).otherwise(0)).alias("views_desktop"), F.sum(F.when(F.col("is_mobile"), F.col("v")).otherwise(0)).alias("views_mobile"))
+    return sums.select(F.col("w.start").alias("ts_hour"), "lang", "title", "views_desktop", "views_mobile")
 
 
 def article_edits(changes: DataFrame, wikis: DataFrame) -> DataFrame:

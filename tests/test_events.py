@@ -116,16 +116,33 @@ def test_bursts_cool_down_and_anonymous_users_are_not_editors(spark):
     assert sorted((r.title, r.second, r.n_edits, r.n_editors) for r in got) == [("a", 120, 3, 2), ("a", 21_740, 3, 3)]
 
 
-def test_stream_and_batch_find_the_same_bursts(spark):
-    from pulsegrid.plans import streams
-
-    d = "/root/testdata/sf0.001"
-    key = lambda df: sorted(map(tuple, df.select("lang", "title", "second", "n_edits", "n_editors").collect()))
-    p = Bursts(min_edits=2, min_editors=2, window_minutes=600, ratio=2.0)
-    rows = streams.event_stream(spark, d).select(F.col("event_type").alias("lang"), F.concat(F.lit("T"), F.col("user_id") % 8).alias("title"), F.unix_timestamp("time").alias("second"), F.concat(F.lit("U"), "user_id").alias("user"))
-    stream = streams.drained(bursts.stream_bursts(rows, p), spark, "append", "test")
-    batch = bursts.bursts(streams.edit_rows(spark, d), p)
-    assert key(stream) == key(batch) and stream.count()
+def test_new_pages_burst_by_fewer_edits(spark):
+    p = Bursts(min_edits=9, min_editors=9, new_page_minutes=60, new_page_edits=3, new_page_editors=2)
+    edits = [("en", "a", s, u, s == 0) for s, u in [(0, "x"), (60, "x"), (3000, "y"), (3100, "z"), (30_000, "q")]]
+    edits += [("en", "b", s, u, False) for s, u in [(0, "x"), (60, "x"), (3000, "y")]]
+    got = bursts.bursts(spark.createDataFrame(edits, "lang string, title string, second long, user string, is_new boolean"), p).collect()
+    assert [(r.title, r.second, r.kind, r.n_edits, r.n_editors) for r in got] == [("a", 3000, "new", 3, 2)]
+
+
+def test_the_stream_drops_replays_and_ends_idle_states(spark, tmp_path):
+    from pulsegrid.plans.streams import drained
+
+    p = Bursts(min_edits=3, min_editors=2, window_minutes=30, ratio=2.0, new_page_minutes=0, cooldown_hours=1)
+    schema = "event_id long, lang string, title string, second long, user string, is_new boolean"
+    first = [(1, "en", "a", 100, "x", False), (2, "en", "a", 130, "y", False), (2, "en", "a", 130, "y", False), (2, "en", "a", 130, "y", False)]
+    second = [(3, "en", "a", 110, "z", False), (4, "en", "far", 400_000, "q", False)]
+    third = [(5, "en", "a", 400_100, "x", False), (6, "en", "a", 90, "late", False)]
+    for i, rows in enumerate((first, second, third)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{i}")
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in").withColumn("time", F.timestamp_seconds("second"))
+    out = bursts.stream_bursts(rows, None, p)
+    query = out.writeStream.format("memory").queryName("found").option("checkpointLocation", f"{tmp_path}/log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    # a replay is no edit: the third edit is the late one of the second file
+    assert [(r.title, r.second, r.n_edits, r.n_editors) for r in spark.table("found").collect()] == [("a", 130, 3, 3)]
+    states = [s for s in query.lastProgress["stateOperators"] if "applyInPandasWithState" in s["operatorName"] or "flatMap" in s["operatorName"]]
+    assert states and all(s["numRowsTotal"] <= 2 for s in states)
+    assert drained is not None
 
 
 def test_later_hours_never_change_features(spark):
