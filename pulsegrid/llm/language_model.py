@@ -290,6 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     scored = written(scored, "lm-scores")
     by_language, overall = thresholds(scored.join(trusted.filter("held"), "doc_id"), quantile)
     whole = overall.first()
-    limits = scored.join(F.broadcast(by_language), scored["lang"].eqNullSafe(by_language["lang"]), "left").drop(by_language["lang"])  # a row a language
+    of_language = F.broadcast(by_language.withColumnRenamed("lang", "of_lang"))  # a row a language
+    limits = scored.join(of_language, F.col("lang").eqNullSafe(F.col("of_lang")), "left").drop("of_lang")
     threshold = F.coalesce(F.col("limit"), F.lit(whole["limit"] if whole else None).cast("double")) * margin
     return limits.withColumn("threshold", threshold).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("limit")
