@@ -42,7 +42,8 @@ class Cached:
     """Ids of texts by the tokenizers library. A piece of the library's pattern never runs across a space that
     stands between two other characters, so a text is cut at each such space, and each part is encoded once."""
 
-    #: Parts kept; the cache is emptied at this size, so a worker's memory is bounded.
+    #: Parts kept at most, so a worker's memory is bounded: those that come first, as frequent ones do. The cache is emptied where it
+    #: doesn't fit the texts any more, and half of a step's parts are missing.
     CACHE = 600_000
     #: Bytes of the longest part that is kept; longer ones hardly come again.
     LONG = 14
@@ -118,7 +119,7 @@ class Cached:
         """Ids of each part of so many bytes with a space before it; plain: no part ends with white space."""
         found = list(map(self.after.get, words))
         missing = [i for i, f in enumerate(found) if f is None]
-        if len(self.after) + len(missing) > self.CACHE:
+        if len(self.after) > self.CACHE // 2 and len(missing) > len(words) // 2:
             self.after.clear()
         odd = [] if plain else [i for i in missing if not words[i] or words[i][-1].isspace()]
         if odd:
@@ -138,7 +139,8 @@ class Cached:
                 found[i] = raw[begin:stop]
                 begin = stop
             new += own
-        self.after.update((words[i], found[i]) for i in np.array(new, np.int64)[sizes[new] <= self.LONG].tolist())
+        short = np.array(new, np.int64)[sizes[new] <= self.LONG][: self.CACHE - len(self.after)]
+        self.after.update((words[i], found[i]) for i in short.tolist())
         return found
 
 
