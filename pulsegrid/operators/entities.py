@@ -35,3 +35,17 @@ def titles_by_language(links: DataFrame) -> DataFrame:
 def category(entity_class: Column, is_human: Column, dates: Column, start: Column) -> Column:
     """What an event is filed under: a death near its start, else the class of its entity."""
     return F.when(died_near(is_human, dates, start), "death").otherwise(entity_class)
+
+
+CLAIM = "struct<mainsnak:struct<datavalue:struct<value:string>>>"
+
+
+def claims_of(rows: DataFrame, body: str = "body") -> DataFrame:
+    """(qid, p31, p17, dates_of_death) of entity documents in JSON: item numbers as arrays, and the dates of death as far as
+    they are days (a year or month alone is none)."""
+    value = f"struct<claims:map<string,array<{CLAIM}>>>"
+    parsed = rows.select("qid", F.from_json(body, value).alias("j"))
+    own = lambda p: F.coalesce(F.transform(F.element_at("j.claims", p), lambda c: c["mainsnak"]["datavalue"]["value"]), F.array().cast("array<string>"))
+    numbers = lambda p: F.transform(F.filter(own(p), lambda v: v.rlike("^Q[0-9]+$")), lambda v: F.substring(v, 2, 20).cast("long"))
+    dates = F.filter(F.transform(own("P570"), lambda v: F.substring(v, 2, 10)), lambda d: d.try_cast("date").isNotNull())
+    return parsed.select("qid", numbers("P31").alias("p31"), numbers("P17").alias("p17"), dates.alias("dates_of_death"))

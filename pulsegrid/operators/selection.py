@@ -89,3 +89,24 @@ def top_shares(rows: DataFrame, key: str, sizes: tuple[int, ...], value: str = "
     ranked = sums.withColumn("k", F.row_number().over(Window.partitionBy("whole").orderBy(F.desc("v"), key)))
     shares = [F.struct(F.lit(n).alias("top"), (F.sum(F.when(F.col("k") <= n, F.col("v"))) / F.sum("v")).alias("share")) for n in sizes]
     return ranked.agg(F.explode(F.array(*shares)).alias("x")).select("x.top", "x.share")
+
+
+def rank_channels(hourly: DataFrame, first: str, excluded: list[str], n: int, days: int = 7) -> DataFrame:
+    """The n languages with the most views of articles in a week; a row a language is left before they are ranked."""
+    start = F.lit(first).cast("date")
+    week = hourly.filter((F.col("day") >= start) & (F.col("day") < F.date_add(start, days)) & ~F.col("title").isin(excluded))
+    sums = week.groupBy("lang").agg(F.sum("views").alias("views"), F.count_distinct("title").alias("titles"))
+    return top_rows(sums.withColumn("whole", F.lit(1)), n, [F.desc("views"), F.col("lang")], "whole").drop("whole")
+
+
+def day_documents(events: DataFrame, languages: DataFrame) -> DataFrame:
+    """(day, document): one JSON text a day with a summary (events, tiers, starts by hour) and the day's events, each with its languages in
+    the order of their spread. A day's events are few hundred at most, whatever the counts they come from."""
+    langs = languages.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("spread_lag_hours", "lang"))).alias("langs"))
+    rows = events.join(langs, "event_id").withColumn("day", F.to_date("start_hour"))
+    one = F.struct(F.col("event_id").alias("id"), "qid", F.col("lead_lang").alias("lead"), "breadth", "tier", "langs")
+    per_tier = rows.groupBy("day", "tier").agg(F.count("*").alias("n")).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("tier", "n"))).alias("tiers"))
+    hours = F.array(*[F.count_if(F.hour("start_hour") == h) for h in range(24)])
+    days = rows.groupBy("day").agg(F.count("*").alias("events"), hours.alias("hourly"), F.sort_array(F.collect_list(one)).alias("list"))
+    summary = F.struct("events", "tiers", "hourly")
+    return days.join(per_tier, "day").select("day", F.to_json(F.struct(summary.alias("summary"), F.col("list").alias("events"))).alias("document"))

@@ -245,3 +245,70 @@ def d14(spark, sf_dir):
     dates = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("1900-00-00"), died)).otherwise(F.array().cast("array<string>"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), day.alias("day"), dates.alias("dates"))
     return rows.select("id", entities.category(F.col("kind"), F.col("kind") != "place", F.col("dates"), F.col("day")).alias("category"))
+
+
+@query("d3_rank_channels", b.with_(b.HOURLY) + "SELECT lang, CAST(sum(views) AS BIGINT) AS views, count(DISTINCT title) AS titles, row_number() OVER (ORDER BY sum(views) DESC, lang)::INT AS rank FROM stg WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND title <> 'T7' GROUP BY lang ORDER BY rank LIMIT 3")
+def d3(spark, sf_dir):
+    return selection.rank_channels(b.stg(spark, sf_dir), "2024-01-08", ["T7"], 3)
+
+
+@query("s13_day_documents", _EV + """, d AS (SELECT ev.start_hour::DATE AS day, ev.event_id, ev.lead_lang, el.lang, el.spread_lag_hours FROM ev JOIN el USING (event_id))
+SELECT day, (SELECT count(*) FROM ev WHERE ev.start_hour::DATE = d.day) AS n_events, event_id, lead_lang, lang, spread_lag_hours FROM d""")
+def s13_documents(spark, sf_dir):
+    """Documents are written as text by day, read again and taken apart."""
+    from pulsegrid.operators import events
+    from pulsegrid.plans.selections import WIDE
+    from pulsegrid.session import scratch
+
+    langs = b.languages(spark, sf_dir, WIDE)
+    path = scratch(spark, "days")
+    selection.day_documents(events.attention_events(langs, WIDE), langs).write.partitionBy("day").text(path)
+    schema = "struct<summary:struct<events:long,tiers:map<string,long>,hourly:array<long>>,events:array<struct<id:string,qid:long,lead:string,breadth:long,tier:string,langs:array<struct<spread_lag_hours:long,lang:string>>>>>"
+    back = spark.read.text(path).select(F.col("day").cast("date").alias("day"), F.from_json("value", schema).alias("j"))
+    each = back.select("day", F.col("j.summary.events").alias("n_events"), F.explode("j.events").alias("e"))
+    return each.select("day", "n_events", F.col("e.id").alias("event_id"), F.col("e.lead").alias("lead_lang"), F.explode("e.langs").alias("l")).select("day", "n_events", "event_id", "lead_lang", "l.lang", "l.spread_lag_hours")
+
+
+@query("p6_row_value_in", b.with_(b.HOURLY) + "SELECT lang, title, ts_hour, views FROM stg WHERE (lang, title) IN (SELECT lang, title FROM stg WHERE views >= 1500)")
+def p6(spark, sf_dir):
+    b.stg(spark, sf_dir).createOrReplaceTempView("staged")
+    return spark.sql("SELECT lang, title, ts_hour, views FROM staged WHERE (lang, title) IN (SELECT lang, title FROM staged WHERE views >= 1500)")
+
+
+@query("f16_claims", """SELECT p_partkey AS qid, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN '5' ELSE '5,' || p_size END AS p31, CASE WHEN p_size % 3 = 0 THEN '30' ELSE '' END AS p17,
+CASE WHEN p_size % 5 = 0 THEN '1999-0' || (1 + p_size % 9) || '-11' ELSE '' END AS died FROM part""")
+def f16(spark, sf_dir):
+    """Entity documents in JSON: some claims are missing, some values are no items, some dates are a year alone."""
+    size = F.col("p_size")
+    claim = lambda v: F.concat(F.lit('{"mainsnak":{"datavalue":{"value":"'), v, F.lit('"}}}'))
+    kinds = F.when(size % 4 == 0, claim(F.lit("somevalue"))).when(size % 4 == 1, claim(F.lit("Q5"))).otherwise(F.concat(claim(F.lit("Q5")), F.lit(","), claim(F.concat(F.lit("Q"), size))))
+    died = F.when(size % 5 == 0, claim(F.concat(F.lit("+1999-0"), 1 + size % 9, F.lit("-11T00:00:00Z")))).otherwise(claim(F.lit("+1999-00-00T00:00:00Z")))
+    land = F.when(size % 3 == 0, F.lit(',"P17":[{"mainsnak":{"datavalue":{"value":"Q30"}}}]')).otherwise("")
+    body = F.concat(F.lit('{"claims":{"P31":['), kinds, F.lit('],"P570":['), died, F.lit("]"), land, F.lit("}}"))
+    rows = entities.claims_of(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), body.alias("body")))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("qid", joined("p31").alias("p31"), joined("p17").alias("p17"), joined("dates_of_death").alias("died"))
+
+
+@query("e20_leakage_guard", _EV + """, x AS (SELECT e.event_id, l.lang, date_diff('hour', e.start_hour, l.ts_hour) AS h FROM ev e JOIN loud l ON l.qid = e.qid AND l.ts_hour >= e.start_hour AND l.ts_hour < e.start_hour + INTERVAL 24 HOUR WHERE l.surprise >= 1.2),
+f AS (SELECT event_id, lang, min(h) AS first FROM x GROUP BY ALL), d AS (SELECT event_id, list_sort(list(first))[2] AS t0 FROM f GROUP BY event_id HAVING count(*) >= 2) SELECT count(*) AS snapshots, 0::BIGINT AS violations FROM d, (VALUES (0), (1), (3)) o(k) WHERE t0 + k < 24""")
+def e20_guard(spark, sf_dir):
+    """Snapshots whose breadth is not what the spikes up to their own hour say."""
+    from pulsegrid.operators import snapshots
+
+    loud = b.loud(spark, sf_dir)
+    snaps = snapshots.snapshots(wide(spark, sf_dir), loud, 1.2).select("snapshot_id", "qid", "start_hour", "snapshot_ts", "breadth_t")
+    spikes = loud.filter("surprise >= 1.2").select("qid", F.col("lang").alias("l"), "ts_hour")
+    raw = snaps.join(spikes, "qid").filter("ts_hour >= start_hour AND ts_hour <= snapshot_ts AND ts_hour < start_hour + INTERVAL 24 HOURS")
+    own = raw.groupBy("snapshot_id").agg(F.countDistinct("l").alias("n"))
+    return snaps.join(own, "snapshot_id", "left").agg(F.count("*").alias("snapshots"), F.count_if(F.coalesce("n", F.lit(0)) != F.col("breadth_t")).alias("violations"))
+
+
+@query("e16_agreement_by_hour", b.with_(b.HOURLY, b.FLAGS, b.CALENDAR, b.PRIORS, b.SCORED, b.SPIKES) + """, a AS (SELECT ts_hour, lang, title FROM spikes WHERE surprise >= 0.8), z AS (SELECT ts_hour, lang, title FROM stg WHERE views >= 500)
+SELECT coalesce(a.ts_hour, z.ts_hour)::DATE AS day, count(a.lang) AS n_batch, count(z.lang) AS n_live, count(*) FILTER (WHERE a.lang IS NOT NULL AND z.lang IS NOT NULL) AS n_both FROM a FULL JOIN z ON a.ts_hour = z.ts_hour AND a.lang = z.lang AND a.title = z.title GROUP BY 1""")
+def e16_hours(spark, sf_dir):
+    """Spikes of the batch against a plain threshold on views, by day."""
+    a = b.spikes(spark, sf_dir).filter("surprise >= 0.8").select("ts_hour", "lang", "title", F.lit(1).alias("a"))
+    z = b.stg(spark, sf_dir).filter("views >= 500").select("ts_hour", "lang", "title", F.lit(1).alias("z"))
+    rows = a.join(z, ["ts_hour", "lang", "title"], "full").groupBy(F.to_date("ts_hour").alias("day"))
+    return rows.agg(F.count("a").alias("n_batch"), F.count("z").alias("n_live"), F.count_if(F.col("a").isNotNull() & F.col("z").isNotNull()).alias("n_both"))
