@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, licenses, media, mixing, passages, quality, simhash, token_files, urls
+from . import bpe, language_model, licenses, media, merkle, mixing, passages, personal, quality, repetitions, simhash, token_files, urls
 from .common import only, table, written
 
 #: The places of public vocabularies; a parameter of every operator that reads one.
@@ -100,3 +100,22 @@ def op10_perplexity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(table(spark, sf_dir, "documents"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.third_of_ids())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(personal.of_kinds("spans", (k,))).cast("long").alias(f"n_{k}") for k in personal.BASE]
+    base = personal.listed(personal.of_kinds("spans", personal.BASE))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetitions.collapse_runs(table(spark, sf_dir, "documents"), rewrite=True, texts=False)
+    best = [F.col("best")[c].alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, "runs_sha256", "collapsed_sha256")
