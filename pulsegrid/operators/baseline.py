@@ -7,6 +7,8 @@ the ratio rules compare with.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,59 +110,71 @@ def spikes(scored: DataFrame, flags: DataFrame, links: DataFrame, s: Spike = Spi
 
 
 def daily_baselines(stg: DataFrame, day: str, start: str, p: Baseline = Baseline()) -> DataFrame:
-    """Stored slots of a day: items present on at least half the observations, with a median or deviation above
-    zero, and one row a language (title null) with its prior."""
-    when = F.lit(day).cast("date")
-    days = calendar(stg.sparkSession.range(1).select(when.alias("day")), start, p)
-    lookback = stg.filter((F.col("day") >= F.greatest(F.date_sub(when, p.lookback_days), F.lit(start).cast("date"))) & (F.col("day") < when))
-    weekend = F.weekday(when) >= 5
-    rows = lookback.join(F.broadcast(days.drop("day").withColumn("key", F.lit(1))), F.lit(1) == F.col("key"))
+    """Stored slots of one day."""
+    return stored_baselines(stg, [date.fromisoformat(day)], start, p)
+
+
+def stored_baselines(stg: DataFrame, for_days: list[date], start: str, p: Baseline = Baseline()) -> DataFrame:
+    """Stored slots of some days: items present on at least half the observations, with a median or deviation above
+    zero, and one row a language (title null) with its prior. A row feeds those of the days that look back on it."""
+    listed = F.array(*map(F.lit, for_days))
+    days = calendar(stg.sparkSession.createDataFrame([(d,) for d in for_days], "day date"), start, p)
+    near = stg.filter((F.col("day") >= F.greatest(F.lit(min(for_days) - timedelta(days=p.lookback_days)), F.lit(start).cast("date"))) & (F.col("day") < F.lit(max(for_days))))
+    feeds = F.filter(listed, lambda d: (d > F.col("day")) & (F.datediff(d, F.col("day")) <= p.lookback_days))
+    lookback = near.withColumn("for_day", F.explode(feeds))
+    rows = lookback.join(F.broadcast(days.withColumnRenamed("day", "for_day")), "for_day")  # a row a day asked for
+    weekend = F.weekday("for_day") >= 5
     n_dt = F.when(weekend, F.col("n_weekend")).otherwise(F.col("n_weekday"))
     by_type = n_dt >= p.min_observations
     rows = rows.withColumn("n_obs", F.when(by_type, n_dt).otherwise(F.col("n_all"))).filter(~by_type | (F.col("is_weekend") == weekend))
-    slots = rows.groupBy("lang", "title", "hour_of_day", "n_obs", F.when(by_type, "day_type").otherwise("hour").alias("baseline_level")).agg(F.collect_list("views").alias("vals"))
+    slots = rows.groupBy("for_day", "lang", "title", "hour_of_day", "n_obs", F.when(by_type, "day_type").otherwise("hour").alias("baseline_level")).agg(F.collect_list("views").alias("vals"))
     slots = slots.filter(2 * F.size("vals") >= F.col("n_obs")).withColumn("padded", zero_padded(F.col("vals"), F.col("n_obs")))
     slots = slots.withColumns({"baseline_median": array_median(F.col("padded")), "baseline_mad": array_mad(F.col("padded"))})
-    slots = slots.filter("baseline_median > 0 OR baseline_mad > 0").select("lang", "title", "hour_of_day", "baseline_median", "baseline_mad", "baseline_level", "n_obs")
+    slots = slots.filter("baseline_median > 0 OR baseline_mad > 0").select("lang", "title", "hour_of_day", "baseline_median", "baseline_mad", "baseline_level", "n_obs", F.col("for_day").alias("day"))
     none = F.lit(None)
-    priors = _prior_of(lookback, p).select("lang", none.cast("string").alias("title"), none.cast("int").alias("hour_of_day"), F.col("prior_median").alias("baseline_median"), F.col("prior_mad").alias("baseline_mad"), F.lit("prior").alias("baseline_level"), none.cast("int").alias("n_obs"))
-    return slots.unionByName(priors).withColumn("day", when)
+    priors = _prior_of(lookback, p).select("lang", none.cast("string").alias("title"), none.cast("int").alias("hour_of_day"), F.col("prior_median").alias("baseline_median"), F.col("prior_mad").alias("baseline_mad"), F.lit("prior").alias("baseline_level"), none.cast("int").alias("n_obs"), F.col("for_day").alias("day"))
+    return slots.unionByName(priors)
 
 
 def _prior_of(lookback: DataFrame, p: Baseline) -> DataFrame:
-    seen = lookback.groupBy("lang", "title").agg(F.countDistinct("day").alias("days")).filter(F.col("days") >= p.prior_min_days_seen)
-    counts = lookback.join(seen, ["lang", "title"], "left_semi").groupBy("lang", "views").agg(F.count("*").alias("n"))
-    middle = counts.groupBy("lang").agg(F.expr("percentile(views, 0.5, n)").alias("prior_median"))
-    return counts.join(middle, "lang").groupBy("lang", "prior_median").agg(F.expr("percentile(abs(views - prior_median), 0.5, n)").alias("prior_mad"))
+    seen = lookback.groupBy("for_day", "lang", "title").agg(F.countDistinct("day").alias("days")).filter(F.col("days") >= p.prior_min_days_seen)
+    counts = lookback.join(seen, ["for_day", "lang", "title"], "left_semi").groupBy("for_day", "lang", "views").agg(F.count("*").alias("n"))
+    middle = counts.groupBy("for_day", "lang").agg(F.expr("percentile(views, 0.5, n)").alias("prior_median"))
+    return counts.join(middle, ["for_day", "lang"]).groupBy("for_day", "lang", "prior_median").agg(F.expr("percentile(abs(views - prior_median), 0.5, n)").alias("prior_mad"))
 
 
 def score_hour(stg: DataFrame, baselines: DataFrame, ts: str, s: Spike = Spike(), a: Automation = Automation()) -> DataFrame:
     """Candidates of one hour against stored slots, with ratio rules and flags of the day so far."""
     at = F.lit(ts).cast("timestamp_ntz")
-    hour = F.hour(at)
     near = stg.filter((F.col("ts_hour") >= at - F.expr("INTERVAL 24 HOURS")) & (F.col("ts_hour") <= at))
-    now = F.col("ts_hour") == at
-    ago = lambda k: F.coalesce(F.max(F.when(F.col("ts_hour") == at - F.expr(f"INTERVAL {k} HOURS"), F.col("views"))), F.lit(0))
-    today = F.to_date("ts_hour") == F.to_date(at)
-    so_far = lambda c: F.sum(F.when(today, c))
-    rows = near.groupBy("lang", "title").agg(
-        F.max(F.when(now, F.col("views"))).alias("views"), F.max(F.when(now, F.col("mobile_share"))).alias("mobile_share"), F.max(F.when(now, F.col("hour_of_day"))).alias("hour_of_day"),
-        ago(24).alias("views_yesterday"), F.array(ago(1), ago(2), ago(3)).alias("prev"),
-        so_far(F.col("views")).alias("sum"), so_far(F.col("views_mobile")).alias("mobile"), so_far(F.col("views").cast("double") * F.col("views")).alias("squares"),
-    ).filter(F.col("views") >= s.min_views)
+    return score_hours(near, baselines, stg.sparkSession.range(1).select(at.alias("ts_hour")), s, a)
+
+
+def score_hours(stg: DataFrame, baselines: DataFrame, hours: DataFrame, s: Spike = Spike(), a: Automation = Automation()) -> DataFrame:
+    """Candidates of some hours (ts_hour; a row an hour) against the stored slots of their days. stg has the hours' days and
+    the 24 hours before; earlier hours and the day so far are frames over an item's hours, with one shuffle."""
+    item = Window.partitionBy("lang", "title").orderBy("h")
+    back = lambda k: F.coalesce(F.max("views").over(item.rangeBetween(-k, -k)), F.lit(0))
+    today = Window.partitionBy("lang", "title", "day").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
+    rows = stg.withColumn("h", hour_number(F.col("ts_hour"))).withColumns({
+        "views_yesterday": back(24), "prev": F.array(back(1), back(2), back(3)),
+        "sum": F.sum("views").over(today), "mobile": F.sum("views_mobile").over(today), "squares": F.sum(F.col("views").cast("double") * F.col("views")).over(today),
+    })
+    rows = rows.filter(F.col("views") >= s.min_views).join(F.broadcast(hours), "ts_hour", "left_semi")
     slots, priors = baselines.filter("title IS NOT NULL"), baselines.filter("title IS NULL")
-    known = slots.select("lang", "title").distinct().withColumn("known", F.lit(True))
-    slots = slots.select("lang", "title", "hour_of_day", F.col("baseline_median").alias("slot_median"), F.col("baseline_mad").alias("slot_mad"), F.col("baseline_level").alias("slot_level"))
-    priors = priors.select("lang", F.col("baseline_median").alias("prior_median"), F.col("baseline_mad").alias("prior_mad"))
-    rows = rows.join(known, ["lang", "title"], "left").join(slots, ["lang", "title", "hour_of_day"], "left").join(priors, "lang", "left")
+    known = slots.select("day", "lang", "title").distinct().withColumn("known", F.lit(True))
+    slots = slots.select("day", "lang", "title", "hour_of_day", F.col("baseline_median").alias("slot_median"), F.col("baseline_mad").alias("slot_mad"), F.col("baseline_level").alias("slot_level"))
+    priors = priors.select("day", "lang", F.col("baseline_median").alias("prior_median"), F.col("baseline_mad").alias("prior_mad"))
+    rows = rows.join(known, ["day", "lang", "title"], "left").join(slots, ["day", "lang", "title", "hour_of_day"], "left").join(priors, ["day", "lang"], "left")
     unseen = F.col("known").isNull()
     pick = lambda a, b: F.when(unseen, F.coalesce(a, F.lit(0.0))).otherwise(F.coalesce(b, F.lit(0.0)))
     rows = rows.withColumns({
-        "ts_hour": at, "unseen": unseen,
+        "unseen": unseen,
         "baseline_median": pick("prior_median", "slot_median"), "baseline_mad": pick("prior_mad", "slot_mad"),
         "baseline_level": F.when(unseen, "prior").otherwise(F.coalesce("slot_level", F.lit("zero"))),
         "prev3_median": array_median(F.col("prev")),
     })
+    hour = F.col("hour_of_day")
     mean = F.col("sum") / (hour + 1.0)
     cv = F.sqrt(F.greatest(F.col("squares") / (hour + 1.0) - mean * mean, F.lit(0.0))) / mean
     low = (F.col("sum") >= a.day_views_min) & (F.col("mobile") / F.col("sum").cast("double") < a.mobile_share_max)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scoring", "joins", "selections", "evaluation", "text", "forecasting", "streams", "ingest", "studies")
+MODULES = ("scoring", "joins", "selections", "evaluation", "text", "forecasting", "streams", "ingest", "studies", "live")
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 

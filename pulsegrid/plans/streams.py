@@ -139,20 +139,6 @@ def st12(spark, sf_dir):
     return hours.withColumn("ts_hour", F.col("ts_hour").cast("timestamp_ntz"))
 
 
-@query("st2_stream_bursts", "WITH RECURSIVE " + EDITS + "," + _NEW + "SELECT t.lang, t.title, t.second, found.kind AS kind, found.n AS n_edits, found.e::INT AS n_editors FROM took t JOIN fit USING (lang, title, second)")
-def st2_stream(spark, sf_dir):
-    """The stateful stream over change events in JSON files, with the batch's baselines: what it finds is what the batch form finds.
-    Every tenth event comes twice."""
-    path = scratch(spark, "changes")
-    rows = new_rows(spark, sf_dir)
-    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 10 == 0, 2).otherwise(1)))
-    rows.select("*", twice.alias("copy")).drop("copy").write.json(path)
-    edits = spark.readStream.schema("event_id long, lang string, title string, second long, user string, is_new boolean").json(path)
-    edits = edits.withColumn("time", F.timestamp_seconds("second"))
-    base = bursts.wiki_baselines(edit_rows(spark, sf_dir), P_NEW)
-    return drained(bursts.stream_bursts(edits, base, P_NEW), spark, "append", "bursts")
-
-
 @query("st8_bursts_per_hour", "WITH RECURSIVE " + EDITS + "," + CAND + "SELECT lang, second // 3600 AS hour, count(*) AS n FROM pick WHERE second IS NOT NULL GROUP BY ALL")
 def st8(spark, sf_dir):
     return bursts.bursts(edit_rows(spark, sf_dir), P).groupBy("lang", F.expr("second div 3600").alias("hour")).agg(F.count("*").alias("n"))

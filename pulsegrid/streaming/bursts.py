@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +28,75 @@ def wiki_baselines(edits: DataFrame, p: Bursts = Bursts()) -> DataFrame:
 
 
 FOUND = "lang string, title string, second long, kind string, n_edits long, n_editors int"
+#: Seconds of an article that one task counts over; a multiple of no window, only longer than each.
+BLOCK = 86400
+
+
+def window_counts(edits: DataFrame, span: int) -> DataFrame:
+    """(lang, title, second, n_edits, n_editors): the edits and distinct editors of the last span seconds, at each second that
+    has an edit. An edit counts from its second until span is over, its editor until then or until the same editor's next
+    edit; both are running sums of ones that come and go. Sums run over one block of time of an article, into which what is
+    still open at its begin is carried, so no task needs an article's history. Edits without a user count, but not as editors."""
+    block = max(BLOCK, span)
+    per = edits.groupBy("lang", "title", "second", "user").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang", "title", "user", F.when(F.col("user").isNull(), F.col("second"))).orderBy("second")
+    per = per.withColumns({"end": F.col("second") + span, "e": F.col("user").isNotNull().cast("int"), "gone": F.least(F.col("second") + span, F.lead("second").over(own))})
+    at = lambda t, n, e, edit: F.struct(F.floor(t / block).alias("block"), t.alias("second"), n.alias("n"), e.alias("e"), F.lit(edit).alias("edit"))
+    zero, s, n, e = F.lit(0).cast("long"), F.col("second"), F.col("n"), F.col("e")
+    border = (F.floor(s / block) + 1) * block
+    points = F.array(
+        at(s, n, e, True), at(F.col("end"), -n, F.lit(0), False), at(F.col("gone"), zero, -e, False),
+        F.when(F.col("end") >= border, at(border, n, F.lit(0), False)), F.when(F.col("gone") >= border, at(border, zero, e, False)),
+    )
+    rows = per.select("lang", "title", F.explode(F.filter(points, lambda x: x.isNotNull())).alias("x")).select("lang", "title", "x.*")
+    upto = Window.partitionBy("lang", "title", "block").orderBy("second").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"n_edits": F.sum("n").over(upto), "n_editors": F.sum("e").over(upto).cast("int")})
+    return rows.filter("edit").select("lang", "title", "second", "n_edits", "n_editors")
+
+
+def new_page_counts(edits: DataFrame, fresh: int) -> DataFrame:
+    """(lang, title, second, n_edits, n_editors): edits and editors since the page was created, up to fresh seconds on."""
+    made = edits.filter("is_new").groupBy("lang", "title").agg(F.min("second").alias("created"))
+    since = edits.join(made, ["lang", "title"]).filter((F.col("second") >= F.col("created")) & (F.col("second") <= F.col("created") + fresh))
+    per = since.groupBy("lang", "title", "second", "user").agg(F.count("*").alias("n"))
+    first = F.col("user").isNotNull() & (F.row_number().over(Window.partitionBy("lang", "title", "user").orderBy("second")) == 1)
+    upto = Window.partitionBy("lang", "title").orderBy("second").rangeBetween(Window.unboundedPreceding, 0)
+    rows = per.withColumn("first", first.cast("int"))
+    return rows.select("lang", "title", "second", F.sum("n").over(upto).alias("n_edits"), F.sum("first").over(upto).cast("int").alias("n_editors"))
+
+
+def after_cooldown(found: DataFrame, cooldown: int) -> DataFrame:
+    """Of the seconds that meet a rule, the first of each article and then always the next one that is a cooldown later. One that
+    comes a cooldown after the second before it is free whatever was taken before; such seconds part an article's into runs, each
+    walked in one pass. A run holds its seconds only, one at most for each second that it lasts."""
+    order = Window.partitionBy("lang", "title").orderBy("second")
+    gap = F.col("second") - F.lag("second").over(order)
+    rows = found.withColumn("run", F.sum(F.when(gap < cooldown, 0).otherwise(1)).over(order))
+    each = F.array_sort(F.collect_list(F.struct("second", "kind", "n_edits", "n_editors")))
+    runs = rows.groupBy("lang", "title", "run").agg(each.alias("xs"))
+    taken = f"""aggregate(xs, CAST(array() AS array<struct<second: bigint, kind: string, n_edits: bigint, n_editors: int>>),
+        (took, x) -> CASE WHEN size(took) = 0 OR x.second >= took[size(took) - 1].second + {cooldown} THEN concat(took, array(x)) ELSE took END)"""
+    return runs.select("lang", "title", F.inline(F.expr(taken)))
+
+
+def bursts(edits: DataFrame, p: Bursts = Bursts()) -> DataFrame:
+    """Bursts of edits (lang, title, second, user, and is_new where known): many edits by several editors within the window, against
+    the wiki's baseline, or on a page created shortly before; at most one in a cooldown."""
+    counts = window_counts(edits, 60 * p.window_minutes).filter((F.col("n_edits") >= p.min_edits) & (F.col("n_editors") >= p.min_editors))
+    counts = counts.withColumn("hour", F.expr("second div 3600")).join(wiki_baselines(edits, p), ["lang", "hour"])
+    columns = ("lang", "title", "second", "n_edits", "n_editors")
+    found = counts.filter(2 * F.col("n_edits") >= p.ratio * F.col("baseline")).select(*columns, F.lit(0).alias("rank"), F.lit("window").alias("kind"))
+    if "is_new" in edits.columns:
+        fresh = new_page_counts(edits, 60 * p.new_page_minutes)
+        fresh = fresh.filter((F.col("n_edits") >= p.new_page_edits) & (F.col("n_editors") >= p.new_page_editors))
+        found = found.unionByName(fresh.select(*columns, F.lit(1).alias("rank"), F.lit("new").alias("kind")))
+    one = found.groupBy("lang", "title", "second").agg(F.min(F.struct("rank", "kind", "n_edits", "n_editors")).alias("x"))
+    return after_cooldown(one.select("lang", "title", "second", "x.kind", "x.n_edits", "x.n_editors"), 3600 * p.cooldown_hours)
 
 
 class Detector:
-    """The burst rules for one article: the edits of the longest window, the last burst, and when the page was created. Its size is
-    that of one window, whatever the article's history."""
+    """The burst rules for one article of a stream: the edits of the longest window, the last burst, and when the page was created. Its
+    size is that of one window, whatever the article's history."""
 
     def __init__(self, p: Bursts, held: list[tuple[int, str | None]] | None = None, last: int | None = None, created: int | None = None):
         self.p, self.held, self.last, self.created = p, deque(held or []), last, created
@@ -43,67 +105,23 @@ class Detector:
     def at(self, second: int, users: list[str | None], baseline: float) -> tuple[int, str, int, int] | None:
         """Take the edits of one second; the burst that they make, if any. Edits without a user count, but not as editors."""
         self.held.extend((second, u) for u in users)
-        longest = max(self.span, self.fresh if self.created is not None and second - self.created <= self.fresh else 0)
-        while self.held and self.held[0][0] <= second - longest:
+        young = self.created is not None and 0 <= second - self.created <= self.fresh
+        begin = min(second - self.span + 1, self.created if young else second)
+        while self.held and self.held[0][0] < begin:
             self.held.popleft()
         if self.last is not None and second - self.last < 3600 * self.p.cooldown_hours:
             return None
-        recent = [(s, u) for s, u in self.held if second - self.span < s <= second]
-        editors = len({u for _, u in recent if u is not None})
-        if len(recent) >= self.p.min_edits and editors >= self.p.min_editors and 2 * len(recent) >= self.p.ratio * baseline:
-            self.last = second
-            return second, "window", len(recent), editors
-        if self.created is not None and 0 <= second - self.created <= self.fresh:
-            since = [(s, u) for s, u in self.held if self.created <= s <= second]
-            editors = len({u for _, u in since if u is not None})
-            if len(since) >= self.p.new_page_edits and editors >= self.p.new_page_editors:
+        for kind, low, edits, editors in (("window", second - self.span + 1, self.p.min_edits, self.p.min_editors), ("new", self.created, self.p.new_page_edits, self.p.new_page_editors)):
+            if kind == "new" and not young:
+                continue
+            recent = [u for s, u in self.held if s >= low]
+            people = len({u for u in recent if u is not None})
+            if len(recent) >= edits and people >= editors and (kind == "new" or 2 * len(recent) >= self.p.ratio * baseline):
                 self.last = second
-                return second, "new", len(since), editors
+                return second, kind, len(recent), people
         return None
 
 
-def _by_second(rows: pd.DataFrame) -> Iterator[tuple[int, list, float, bool]]:
-    for second, own in rows.groupby("second", sort=True):
-        yield int(second), [None if pd.isna(u) else u for u in own["user"]], float(own["baseline"].max()), bool(own["is_new"].any())
-
-
-def bursts(edits: DataFrame, p: Bursts = Bursts()) -> DataFrame:
-    """Bursts of edits (lang, title, second, user, and is_new where known): many edits by several editors within the window, against
-    the wiki's baseline, or on a page created shortly before; at most one in a cooldown. An article's edits pass in order through
-    one detector, a window of them in memory at a time."""
-    if "is_new" not in edits.columns:
-        edits = edits.withColumn("is_new", F.lit(False))
-    rows = edits.select("lang", "title", "second", "user", "is_new", F.expr("second div 3600").alias("hour")).join(wiki_baselines(edits, p), ["lang", "hour"]).drop("hour")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, detector, rest = None, None, None
-        for batch in batches:
-            if rest is not None:  # the last second of a batch may go on in the next
-                batch = pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            tail = (batch["lang"] == batch["lang"].iloc[-1]) & (batch["title"] == batch["title"].iloc[-1]) & (batch["second"] == batch["second"].iloc[-1])
-            rest, batch = batch[tail], batch[~tail]
-            out, key, detector = detected(batch, key, detector)
-            yield out
-        if rest is not None:
-            yield detected(rest, key, detector)[0]
-
-    def detected(batch: pd.DataFrame, key, detector) -> tuple[pd.DataFrame, tuple | None, Detector | None]:
-        out = []
-        for own, rows in batch.groupby(["lang", "title"], sort=False, dropna=False):
-            if own != key:
-                key, detector = own, Detector(p)
-            for second, users, baseline, is_new in _by_second(rows):
-                if is_new and detector.created is None:
-                    detector.created = second
-                if found := detector.at(second, users, baseline):
-                    out.append((*own, *found))
-        return pd.DataFrame(out, columns=["lang", "title", "second", "kind", "n_edits", "n_editors"]), key, detector
-
-    return rows.repartition("lang", "title").sortWithinPartitions("lang", "title", "second").mapInPandas(run, FOUND)
-
-
 def live_events(found: DataFrame, group_minutes: int = 120) -> DataFrame:
     """Entities that burst in two languages, one soon after the other: (qid, second, first, languages). found has
     qid, lang and second."""
@@ -114,51 +132,6 @@ def live_events(found: DataFrame, group_minutes: int = 120) -> DataFrame:
     return out.filter("second IS NOT NULL")
 
 
-STREAM_STATE = "seconds array<long>, users array<string>, last long, created long"
-
-
-def stream_bursts(edits: DataFrame, baselines: DataFrame | None = None, p: Bursts = Bursts(), late_minutes: int = 60) -> DataFrame:
-    """The rules on a stream of (event_id, time, lang, title, second, user, is_new). Replays of an event_id are dropped, as are rows
-    later than late_minutes; rows that come late within that are placed by their own time. baselines (lang, hour, baseline) is a table
-    of the hours before (one: where an hour has none); it is read anew with each batch. An article's state holds one window; it ends
-    once the article was idle for the longest window and its cooldown is over."""
-    idle = 1000 * max(60 * p.window_minutes, 60 * p.new_page_minutes, 3600 * p.cooldown_hours)
-    once = edits.withWatermark("time", f"{late_minutes} minutes").dropDuplicatesWithinWatermark(["event_id"])
-    if baselines is None:
-        once = once.withColumn("baseline", F.lit(1.0))
-    else:
-        once = once.withColumn("hour", F.expr("second div 3600")).join(baselines, ["lang", "hour"], "left").withColumn("baseline", F.coalesce("baseline", F.lit(1.0)))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=["lang", "title", "second", "kind", "n_edits", "n_editors"])
-            return
-        seconds, users, last, created = state.get if state.exists else ([], [], None, None)
-        rows = pd.concat(list(batches))
-        # rows that came late go before what is held already
-        old = [(int(s), u) for s, u in zip(seconds, users)]
-        first = int(rows["second"].min())
-        detector = Detector(p, sorted([h for h in old if h[0] < first], key=lambda h: h[0]), last, created)
-        again = pd.DataFrame([(s, u) for s, u in old if s >= first], columns=["second", "user"])
-        again["baseline"], again["is_new"] = 1.0, False
-        out = []
-        for second, who, baseline, is_new in _by_second(pd.concat([again.astype({"second": "int64"}), rows[["second", "user", "baseline", "is_new"]]])):
-            if is_new and detector.created is None:
-                detector.created = second
-            if found := detector.at(second, who, baseline):
-                out.append((*key, *found))
-        state.update(([h[0] for h in detector.held], [h[1] for h in detector.held], detector.last, detector.created))
-        newest = 1000 * max([h[0] for h in detector.held] or [int(rows["second"].max())])
-        state.setTimeoutTimestamp(max(newest + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["lang", "title", "second", "kind", "n_edits", "n_editors"])
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    kept = once.select("lang", "title", "second", "user", "baseline", "is_new", "time")
-    return kept.groupBy("lang", "title").applyInPandasWithState(step, FOUND, STREAM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def live_view(found: DataFrame, now: int, minutes: int = 60, singles: int = 5, keep_hours: int = 72) -> DataFrame:
     """What is on now: bursts of the last minutes before now (a second), those of entities that burst in several languages as events, and
     of the others the strongest by editors, edits and time; bursts older than keep_hours are gone. found has qid, lang, title, second, n_edits, n_editors."""
