@@ -7,7 +7,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.robust import array_median
+from pulsegrid.functions.robust import array_median, bitmap
 from pulsegrid.params import Bursts
 
 
@@ -174,3 +174,17 @@ def historical_revisions(rows: DataFrame) -> DataFrame:
 def hashed_user(user, salt: str) -> F.Column:
     """What is kept of a user: a salted hash, never the name."""
     return F.sha2(F.concat(F.lit(salt), user), 256)
+
+
+def sliding_windows(edits: DataFrame, user: F.Column, sizes: tuple[int, ...] = (10, 30, 60), pane: int = 5, late: str = "1 hour", bits: int = 63) -> DataFrame:
+    """(minutes, start, lang, title, n, bits) of a stream of edits (time, lang, title): counts and user bitmaps of windows of so many
+    minutes, one every pane. Edits meet once, in panes; a window sums its panes' counts and or-s their bitmaps. Windows that end
+    together are one group: the shorter ones are the last panes of the longest."""
+    panes = edits.withWatermark("time", late).groupBy(F.window("time", f"{pane} minutes").alias("w"), "lang", "title").agg(F.count("*").alias("n"), bitmap(user, bits).alias("bits"))
+    panes = panes.select(F.window_time("w").alias("time"), "lang", "title", "n", "bits").withColumn("w", F.window("time", f"{max(sizes)} minutes", f"{pane} minutes"))
+    last = {k: F.col("time") >= F.col("w.end") - F.expr(f"INTERVAL {k} MINUTES") for k in sizes}
+    sums = [x for k in sizes for x in (F.sum(F.when(last[k], F.col("n"))).alias(f"n{k}"), F.bit_or(F.when(last[k], F.col("bits"))).alias(f"b{k}"))]
+    found = panes.groupBy("w", "lang", "title").agg(*sums)
+    each = F.array(*[F.struct(F.lit(k).alias("minutes"), (F.col("w.end") - F.expr(f"INTERVAL {k} MINUTES")).alias("start"), F.col(f"n{k}").alias("n"), F.col(f"b{k}").alias("bits")) for k in sizes])
+    rows = found.select("lang", "title", F.explode(each).alias("x")).select("x.minutes", "x.start", "lang", "title", "x.n", "x.bits")
+    return rows.filter("n IS NOT NULL")
