@@ -220,7 +220,8 @@ def test_chaining_in_reach_equals_all_pairs_behind_a_far_run():
         assert np.allclose(passages.linked(x0, y0, x1, y1)[0], best)
     x, y = np.array([*range(0, 496, 5), 600, 608]), np.array([*range(1000, 1496, 5), 1600, 1609])
     _, *ends = passages.runs(np.zeros(len(x), int), x, y, np.zeros(len(x), bool))
-    assert (600, 1600, 608, 1609) in passages.chains(*(a.tolist() for a in ends))
+    lists = [a.tolist() for a in ends]
+    assert (600, 1600, 608, 1609) in [(lists[0][c[0]], lists[1][c[0]], lists[2][c[-1]], lists[3][c[-1]]) for c in passages.chains(*lists)]
 
 
 def test_runs_of_groups_equal_a_plain_walk():
@@ -280,6 +281,52 @@ def test_the_scan_finds_first_and_previous_documents_across_partitions(spark):
     assert got == want
 
 
+def test_every_exact_repeat_is_found_whatever_stands_before_it(spark):
+    """Leads of 0 to 40 shared words, gaps of 1 to 40 changed ones, then 60 shared words; and loose chains beside them."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], {}
+    for lead in range(0, 41, 4):
+        for gap in range(1, 41, 3):
+            shared, last, k = fresh(lead), fresh(60), len(texts)
+            texts += [fresh(30) + shared + fresh(gap) + last + fresh(30), fresh(20) + shared + fresh(gap) + last + fresh(20)]
+            want[k + 1] = (20 + lead + gap, 20 + lead + gap + 60)
+    for _ in range(20):  # a long loose pair whose source also holds 70 words of it elsewhere
+        loose = [fresh(18) for _ in range(12)]
+        one = [w for part in loose for w in part + fresh(12)]
+        two = [w for part in loose for w in part + fresh(12)]
+        k = len(texts)
+        texts += [one + fresh(40) + two[100:170] + fresh(40), two]
+        want[k + 1] = (100, 170)
+    for _ in range(10):  # sixty words within a text that goes on alike, but too loosely
+        parts = [fresh(7) for _ in range(20)]
+        whole = fresh(60)
+        k = len(texts)
+        texts += [[w for p in parts[:10] for w in p + fresh(9)] + whole + [w for p in parts[10:] for w in p + fresh(9)] for _ in range(2)]
+        want[k + 1] = (160, 220)
+    rows = passages.passages(frame(spark, [" ".join(t) for t in texts])).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        assert r.source < r.doc_id and r.end - r.start >= 50 and r.similarity >= 0.8
+    lost = {k: (a, b) for k, (a, b) in want.items() if len(found.get(k, set()) & set(range(a, b))) < b - a - 1}
+    assert not lost
+
+
+def test_parts_of_an_alignment_that_are_alike():
+    assert passages.alike_stretches([(60, 60, 60)], 0.8) == [(0, 1)]
+    assert passages.alike_stretches([(60, 60, 60), (15, 15, 0), (60, 60, 60)], 0.8) == [(0, 3)]
+    assert passages.alike_stretches([(5, 5, 5), (16, 16, 0), (60, 60, 60), (16, 16, 0), (5, 5, 5), (16, 16, 0), (5, 5, 5)], 0.8) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    rng = random.Random(2)
+    for _ in range(200):
+        parts = [(n, n, n) if k % 2 == 0 else (n, rng.randrange(1, 17), 0) for k, n in enumerate(rng.randrange(1, 40) for _ in range(15))]
+        for lo, hi in passages.alike_stretches(parts, 0.8):
+            left, right, equal = (sum(p[k] for p in parts[lo:hi]) for k in range(3))
+            assert equal >= 0.8 * max(left, right)
+        kept = {k for lo, hi in passages.alike_stretches(parts, 0.8) for k in range(lo, hi)}
+        assert {k for k in range(0, 15, 2)} <= kept  # every stretch of equal words is in a part
+
+
 def test_fuzzy_passages_are_mostly_found(spark):
     rng = random.Random(12)
     for n, share, least in ((80, 0.1, 0.9), (120, 0.15, 0.85)):
