@@ -258,8 +258,9 @@ def verified(edges: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
 
 def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of the documents that belong to the component of another, smaller doc_id: components of links between
-    texts of at least so similar five-word shingle sets. Of rows that share a doc_id, the one of smallest text hash stands for all."""
+    """(doc_id, h, component_id, first) of all documents with a doc_id; a document is a doc_id with a text (of hash h). Texts are
+    linked whose five-word shingle sets are at least so similar; component_id is the smallest doc_id of a component, and first is true
+    for one document of each: that doc_id's, of smallest text hash."""
     docs = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +272,10 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     prints = written(hashed.mapInArrow(run, "doc_id long, h long, prints array<struct<part:int,fp:long>>"), "simhash-prints")
-    one = prints.groupBy("doc_id").agg(F.min("h").alias("h"))
-    firsts = written(one.groupBy("h").agg(F.min("doc_id").alias("node")), "simhash-texts")  # equal texts are one node
-    nodes = prints.join(firsts, "h").filter("doc_id = node").dropDuplicates(["node"])
-    valued = written(nodes.select("node", F.explode("prints").alias("x")).select("node", "x.part", "x.fp").distinct(), "simhash-values")
+    # a text is a node by its hash, whatever documents have it; each has the prints of one of them
+    own = prints.groupBy("doc_id", "h").agg(F.first("prints").alias("prints"))
+    texts_of = written(own.groupBy("h").agg(F.min_by("prints", "doc_id").alias("prints"), F.min("doc_id").alias("named")), "simhash-texts")
+    valued = written(texts_of.select(F.col("h").alias("node"), F.explode("prints").alias("x")).select("node", "x.part", "x.fp").distinct(), "simhash-values")
     heads = written(valued.groupBy("part", "fp").agg(F.min("node").alias("head")), "simhash-heads")
     of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("u"))
     of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("v"))
@@ -282,15 +283,22 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = near.join(of_a, ["part", "a"]).join(of_b, ["part", "b"]).select("u", "v")
     edges = edges.union(valued.join(heads, ["part", "fp"]).filter("node != head").select("node", "head"))
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "simhash-candidates")
-    named = compressed_texts(hashed, edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "h")
-    texts = named.join(firsts.withColumnRenamed("node", "doc_id"), ["doc_id", "h"]).select("doc_id", "z").dropDuplicates(["doc_id"])
+    # one document of each text gives it
+    ends = edges.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(texts_of.select("h", F.col("named").alias("doc_id")), "h")
+    named = compressed_texts(hashed, ends.select("doc_id"), "h")
+    texts = named.join(ends, ["doc_id", "h"]).select(F.col("h").alias("doc_id"), "z").dropDuplicates(["doc_id"])
     roots = connected_components(verified(edges, written(texts, "simhash-named"), least), "u", "v")
-    of_text = firsts.join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("component_id"))
-    return one.join(of_text, "h").filter("doc_id != component_id").select("doc_id", "component_id")
+    of_text = texts_of.select("h", "named").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "named", F.coalesce("root", "h").alias("component"))
+    least_doc = of_text.groupBy("component").agg(F.min(F.struct(F.col("named").alias("doc_id"), "h")).alias("kept"))
+    known = of_text.join(least_doc, "component").select("h", "kept")
+    found = prints.select("doc_id", "h").distinct().join(known, "h")
+    return found.select("doc_id", "h", F.col("kept.doc_id").alias("component_id"), (F.struct("doc_id", "h") == F.col("kept")).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs without the documents that belong to another's component: one document of each group stays.
-    Rows that share a doc_id are kept or dropped together, rows without one are kept."""
-    gone = similar_documents(docs, least).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one document of each component. Rows equal in doc_id and text are one document, kept or dropped together; rows that
+    share the doc_id alone are judged each by its own text; rows without a doc_id are kept."""
+    gone = similar_documents(docs, least).filter("NOT first").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = packed.join(gone, (packed["row.doc_id"] == gone["_id"]) & (F.xxhash64(packed["row.text"]) == gone["_h"]), "left_anti")
+    return kept.select("row.*")

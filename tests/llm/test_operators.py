@@ -313,6 +313,30 @@ def test_every_exact_repeat_is_found_whatever_stands_before_it(spark):
     assert not lost
 
 
+def test_alignment_goes_on_as_a_plain_walk_does():
+    def resume(a, b, i, j, step):
+        for total in range(1, 2 * passages.GAP + 1):
+            for p in range(max(0, total - passages.GAP), min(passages.GAP, total) + 1):
+                need = passages.SAME if 2 * p == total else passages.RUN
+                at = [(i + step * (p + k), j + step * (total - p + k)) for k in range(need)]
+                if all(0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y] for x, y in at):
+                    return i + step * p, j + step * (total - p)
+        return None
+
+    rng = random.Random(17)
+    for _ in range(3000):
+        a = [rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(1, 60))]
+        b = [w for w in a if rng.random() > 0.1] if rng.random() < 0.7 else [rng.choice("abcd") for _ in range(30)]
+        i, j, step = rng.randrange(len(a)), rng.randrange(max(1, len(b))), rng.choice((1, -1))
+        n = 0
+        while 0 <= i + step * n < len(a) and 0 <= j + step * n < len(b) and a[i + step * n] == b[j + step * n]:
+            n += 1
+        if b:
+            assert passages._equal_words(a, b, i, j, step) == n
+        i, j = i + step * n, j + step * n
+        assert passages._resume(a, b, i, j, step) == resume(a, b, i, j, step), (a, b, i, j, step)
+
+
 def test_parts_of_an_alignment_that_are_alike():
     assert passages.alike_stretches([(60, 60, 60)], 0.8) == [(0, 1)]
     assert passages.alike_stretches([(60, 60, 60), (15, 15, 0), (60, 60, 60)], 0.8) == [(0, 3)]
@@ -408,6 +432,24 @@ def test_one_document_of_each_group_stays(spark):
     assert left.columns == odd.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 1, 2]
 
 
+def test_rows_that_share_an_id_are_judged_each_by_its_text(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(random_words(rng, 120)) for _ in range(3))
+    near = a.replace(a.split()[40], "other")
+    for rows in ([(1, a), (2, a), (2, b)], [(1, a), (2, b), (2, a), (3, c), (3, b)], [(5, near), (5, a), (4, a), (4, b), (4, b), (None, a)]):
+        for order in (rows, rows[::-1]):
+            left = sorted(((r.doc_id or 0), r.text) for r in simhash.drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("first", F.lit(2))).collect())
+            want, seen = [], []
+            for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+                family = "a" if t in (a, near) else t
+                if family not in [f for f, _, _ in seen] or (family, i, t) in seen:
+                    seen.append((family, i, t))
+                    want.append((i, t))
+            ids = lambda found: sorted(i for i, _ in found)
+            assert ids(left) == ids([*want, *((0, t) for i, t in rows if i is None)])
+            assert {t for _, t in left} >= {t for _, t in want if t not in (a, near)}
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, simhash.shingle_set(r.text or "")) for r in docs.collect()]
@@ -421,7 +463,7 @@ def test_near_duplicates_equal_all_pairs(spark):
     extra = [(100_000 + i, " ".join(w)) for i, w in enumerate(made)]
     rows += [(i, simhash.shingle_set(t)) for i, t in extra]
     pairs = [(i, j) for (i, a), (j, b) in combinations(rows, 2) if simhash.alike(a, b) >= 0.8]
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs.union(spark.createDataFrame(extra, "doc_id long, text string"))).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs.union(spark.createDataFrame(extra, "doc_id long, text string"))).filter("NOT first").collect()}
     joined = sum(got.get(i, i) == got.get(j, j) for i, j in pairs)
     assert joined >= 0.95 * len(pairs)
     linked = {i for p in pairs for i in p}
