@@ -66,3 +66,8 @@ def sigmoid(x: Column) -> Column:
 def log_scale(x: Column, low: float = 8.0, high: float = 5000.0) -> Column:
     """ln(x / low) / ln(high / low), held between 0 and 1."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log(x / low) / F.log(F.lit(high / low))))
+
+
+def hash_bucket(key: Column, buckets: int) -> Column:
+    """A bucket from 0 on of a text, by the first 32 bits of its MD5: the same wherever it is computed."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % buckets

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import random
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.robust import logit, sigmoid
 from pulsegrid.operators.evaluation import ranking_metrics
+from pulsegrid.session import scratch
 
 NUMERIC = (
     "breadth_t", "max_surprise_t", "sum_surprise_t", "excess_t", "lead_share_t", "new_langs_last_hour", "hours_since_start", "hour_utc", "weekday",
@@ -21,6 +24,10 @@ NUMERIC = (
 )
 
 
+#: Rows of a block in which a column's values are dealt anew, about.
+BLOCK_ROWS = 100_000
+
+
 def chronological_split(rows: DataFrame, *cuts: str) -> list[DataFrame]:
     """Rows before the first cut, between cuts, and from the last on, by start hour."""
     at = [F.lit(c).cast("timestamp_ntz") for c in cuts]
@@ -43,22 +50,53 @@ def weighted(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("weight", F.coalesce(F.try_divide(F.lit(0.5), share), F.lit(1.0))).drop("rate")
 
 
+def encoders(features: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = ("lead_lang",)) -> list:
+    """Stages that put numeric and indexed features in one vector; unknown categories are a value of their own, missing numbers
+    stay missing."""
+    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
+    return [*index, VectorAssembler(inputCols=[*features, *(f"{c}_i" for c in categorical)], outputCol="features", handleInvalid="keep")]
+
+
 def boosted_trees(train: DataFrame, features: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = ("lead_lang",), seed: int = 7, **params) -> PipelineModel:
-    """Gradient-boosted trees over numeric and indexed features; unknown categories are a value of their own."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
-    inputs = [*features, *(f"{c}_i" for c in categorical)]
+    """Gradient-boosted trees over encoded features, both classes weighted alike."""
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **{"maxIter": 10, "maxDepth": 3, **params})
-    return Pipeline(stages=[*index, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), trees]).fit(weighted(train))
+    return Pipeline(stages=[*encoders(features, categorical), trees]).fit(weighted(train))
 
 
 def scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "lead_lang_i")
 
 
-def calibration(scored: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit in logit space on held-out rows."""
-    rows = VectorAssembler(inputCols=["x"], outputCol="v").transform(scored.withColumn("x", logit(F.col("score"))))
-    fit = LogisticRegression(featuresCol="v", labelCol="label", regParam=1e-6).fit(rows)
+def monotone_scores(model: PipelineModel, rows: DataFrame, feature: str = "breadth_t", key: str = "snapshot_id") -> DataFrame:
+    """Scores that never fall as the feature, a small whole number, grows while the others stay: the largest of the model's scores
+    at all its values up to the row's own. (Spark's trees take no monotone constraints.)"""
+    lower = rows.select("*", F.explode(F.sequence(F.lit(0), F.col(feature).cast("int"))).alias("_value"))
+    found = scores(model, lower.withColumn(feature, F.col("_value").cast(rows.schema[feature].dataType)))
+    best = found.groupBy(key).agg(F.max("score").alias("score"))
+    return rows.join(best, key)
+
+
+def calibration_span(rows: DataFrame, cutoff: str, days: tuple[int, ...] = (10, 20, 30, 40), positives: int = 5) -> tuple[DataFrame, DataFrame, int]:
+    """(rows to train on, rows to calibrate on, days): what starts in the shortest span before cutoff that has enough positives is
+    held out for calibration, training rows start before it."""
+    held = widening_calibration(rows, cutoff, days, positives)
+    chosen = held.select("window_days").first()  # one row
+    n = chosen[0] if chosen else days[-1]
+    begin = F.timestamp_add("DAY", F.lit(-n), F.lit(cutoff).cast("timestamp_ntz"))
+    return rows.filter(F.col("start_hour") < begin), held.drop("window_days"), n
+
+
+def by_score(scored: DataFrame) -> DataFrame:
+    """(score, n, p): rows and positives of each score; fits take these, as equal scores count alike."""
+    return scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("p"))
+
+
+def platt(held: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit of held-out labels on the logit of their scores."""
+    counts = by_score(held).withColumn("x", logit(F.col("score")))
+    rows = counts.select("x", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("p")).alias("w")))).alias("y")).select("x", "y.*")
+    rows = VectorAssembler(inputCols=["x"], outputCol="v").transform(rows.filter("w > 0"))
+    fit = LogisticRegression(featuresCol="v", labelCol="label", weightCol="w", maxIter=200, tol=1e-12, standardization=False).fit(rows)
     return float(fit.coefficients[0]), float(fit.intercept)
 
 
@@ -66,10 +104,34 @@ def calibrated(scored: DataFrame, slope: float, intercept: float) -> DataFrame:
     return scored.withColumn("score", sigmoid(slope * logit(F.col("score")) + intercept))
 
 
-def shuffled(rows: DataFrame, column: str, seed: int, key: str = "snapshot_id") -> DataFrame:
+def isotonic(held: DataFrame) -> IsotonicRegressionModel:
+    """A step function that never falls, fitted to held-out labels by pooling adjacent violators; scores between steps
+    are interpolated. Violators are pooled within ranges of scores first, so only the pools of each range meet."""
+    counts = by_score(held).select("score", (F.col("p") / F.col("n")).alias("share"), F.col("n").cast("double").alias("w"))
+    return IsotonicRegression(featuresCol="score", labelCol="share", weightCol="w", predictionCol="isotonic").fit(counts)
+
+
+def calibration_curve(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n, mean_score, observed): mean score and share of positives in bins of equal width, empty ones left out."""
+    at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    return scored.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("label").alias("observed"))
+
+
+def calibrated_forecast(rows: DataFrame, cutoff: str, positives: int = 5, **params) -> tuple[PipelineModel, tuple[float, float] | None, IsotonicRegressionModel | None, int]:
+    """(trees, Platt's slope and intercept, isotonic steps, days held out): trees fitted on rows before the span that calibration
+    takes, both calibrations on monotone scores of the span alone; none where the span has one outcome only."""
+    train, held, days = calibration_span(rows, cutoff, positives=positives)
+    model = boosted_trees(train, **params)
+    if held.select("label").distinct().count() < 2:
+        return model, None, None, days
+    scored = monotone_scores(model, held)
+    return model, platt(scored), isotonic(scored), days
+
+
+def shuffled(rows: DataFrame, column: str, seed: int, key: str = "snapshot_id", blocks: int = 1) -> DataFrame:
     """rows with one column's values dealt anew: each row takes the value of the next row in a hashed order, the
     last of a block that of its first; blocks keep the order within partitions of bounded size."""
-    block = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(64))
+    block = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(blocks))
     order = Window.partitionBy(block).orderBy(F.xxhash64(key, F.lit(seed + 1)), key)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.withColumn(column, F.coalesce(F.lead(column).over(order), F.first(column).over(whole)))
@@ -78,8 +140,8 @@ def shuffled(rows: DataFrame, column: str, seed: int, key: str = "snapshot_id")
 def importance(model: PipelineModel, rows: DataFrame, features: tuple[str, ...], repeats: int = 1, seed: int = 5) -> list[tuple[str, float]]:
     """How much the ROC AUC falls when a feature's values are dealt anew."""
     auc = lambda df: ranking_metrics(scores(model, df), "score", "label").first()["auc"] or 0.0
-    base = auc(rows)
-    return [(f, sum(base - auc(shuffled(rows, f, seed + r)) for r in range(repeats)) / repeats) for f in features]
+    base, blocks = auc(rows), max(1, rows.count() // BLOCK_ROWS)
+    return [(f, sum(base - auc(shuffled(rows, f, seed + r, blocks=blocks)) for r in range(repeats)) / repeats) for f in features]
 
 
 def category_decay(train: DataFrame, rows: DataFrame, by: str, now: str, later: str, least: int = 20) -> DataFrame:
@@ -100,11 +162,9 @@ def latest_open(snaps: DataFrame, last_hour, tier_breadth: int) -> DataFrame:
 
 def boosted_regression(train: DataFrame, target: str, features: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = ("lead_lang",), seed: int = 7, **params) -> PipelineModel:
     """Gradient-boosted trees for a number, in logarithms: predictions are of log1p(target)."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
-    inputs = [*features, *(f"{c}_i" for c in categorical)]
     trees = GBTRegressor(featuresCol="features", labelCol="y", seed=seed, **{"maxIter": 10, "maxDepth": 3, **params})
     rows = train.withColumn("y", F.log1p(target))
-    return Pipeline(stages=[*index, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
+    return Pipeline(stages=[*encoders(features, categorical), trees]).fit(rows)
 
 
 def trials(n: int, seed: int = 11) -> list[dict]:
@@ -113,13 +173,26 @@ def trials(n: int, seed: int = 11) -> list[dict]:
     return [{"maxDepth": rng.randint(2, 5), "maxIter": rng.choice((5, 10, 20)), "stepSize": rng.choice((0.05, 0.1, 0.2)), "subsamplingRate": rng.choice((0.7, 1.0))} for _ in range(n)]
 
 
-def random_search(train: DataFrame, valid: DataFrame, n: int = 50, seed: int = 11) -> list[tuple[int, dict, float]]:
-    """(trial, setting, average precision on the validation rows); one fit a trial."""
-    out = []
-    for i, setting in enumerate(trials(n, seed)):
-        model = boosted_trees(train, **setting)
-        out.append((i, setting, ranking_metrics(scores(model, valid), "score", "label").first()["average_precision"] or 0.0))
-    return out
+def random_search(train: DataFrame, valid: DataFrame, n: int = 50, seed: int = 11, parallelism: int = 4) -> list[tuple[int, dict, float]]:
+    """(trial, setting, average precision on the validation rows), best first. Features are encoded once, and trials are fitted
+    side by side; test rows have no part in it."""
+    encoder = Pipeline(stages=encoders()).fit(train)
+    path = scratch(train.sparkSession, "encoded")
+    encoder.transform(weighted(train)).select("features", "label", "weight").write.parquet(f"{path}/train")
+    encoder.transform(valid).select("features", "label").write.parquet(f"{path}/valid")
+    fit_rows, check_rows = (train.sparkSession.read.parquet(f"{path}/{k}").persist() for k in ("train", "valid"))
+
+    def trial(setting: dict) -> float:
+        model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=7, **setting).fit(fit_rows)
+        scored = model.transform(check_rows).select("label", vector_to_array("probability")[1].alias("score"))
+        return ranking_metrics(scored, "score", "label").first()["average_precision"] or 0.0
+
+    settings = trials(n, seed)
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(inheritable_thread_target(train.sparkSession)(trial), settings)
+    fit_rows.unpersist()
+    check_rows.unpersist()
+    return sorted(zip(range(n), settings, found), key=lambda x: (-x[2], x[0]))
 
 
 def rolling_folds(rows: DataFrame, cuts: list[str]) -> DataFrame:
@@ -142,7 +215,7 @@ def assembled(parts: list[DataFrame], now: str, label_days: int = 3) -> DataFram
     return known.join(first, ["snapshot_id", "part"], "left_semi")
 
 
-def widening_calibration(scored: DataFrame, ends: str, days: tuple[int, ...] = (7, 14, 28, 56), positives: int = 5) -> DataFrame:
+def widening_calibration(scored: DataFrame, ends: str, days: tuple[int, ...] = (10, 20, 30, 40), positives: int = 5) -> DataFrame:
     """The rows of the shortest window before ends that has enough positives; of the longest where none has."""
     end = F.lit(ends).cast("timestamp_ntz")
     since = lambda d: F.timestamp_add("DAY", F.lit(-d), end)

@@ -53,6 +53,35 @@ def day_summary(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("start_hour").alias("day")).agg(F.count("*").alias("events"), *tiers, F.array(*at).alias("hourly"))
 
 
+def language_summary(events: DataFrame, languages: DataFrame) -> DataFrame:
+    """(day, lang, events, lead, excess, only_here): how many events of several languages a language took part in and led, its
+    excess views in them, and how many events stayed in it alone."""
+    day = F.to_date("start_hour").alias("day")
+    wide, single = events.filter("event_class <> 'single_language'"), events.filter("event_class = 'single_language'")
+    zero = F.lit(0).cast("long")
+    part = languages.join(wide.select("event_id", day), "event_id").select("day", "lang", F.lit(1).cast("long").alias("events"), zero.alias("lead"), F.floor("excess_views").alias("excess"), zero.alias("only_here"))
+    lead = wide.select(day, F.col("lead_lang").alias("lang"), zero.alias("events"), F.lit(1).cast("long").alias("lead"), zero.alias("excess"), zero.alias("only_here"))
+    own = single.select(day, F.col("lead_lang").alias("lang"), zero.alias("events"), zero.alias("lead"), zero.alias("excess"), F.lit(1).cast("long").alias("only_here"))
+    return part.unionByName(lead).unionByName(own).groupBy("day", "lang").agg(*[F.sum(c).alias(c) for c in ("events", "lead", "excess", "only_here")])
+
+
+def period_totals(days: DataFrame, events: int | F.Column) -> DataFrame:
+    """(lang, events, lead, excess, only_here, lead_share) over the days of language_summary; events is how many of several languages
+    the period has."""
+    sums = days.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("events", "lead", "excess", "only_here")])
+    return sums.withColumn("lead_share", F.round(F.coalesce(F.try_divide(F.col("lead").cast("double"), F.lit(events)), F.lit(0.0)), 4))
+
+
+def detected_share(links: DataFrame, events: DataFrame, days: int = 1) -> DataFrame:
+    """(bucket, links, detected, share): of ground-truth links (date, qid, n_languages), how many have an event of their entity that
+    starts within so many days, by how many languages the entity has: below 10, 25, 50, 100, or more."""
+    bucket = F.when(F.col("n_languages") < 10, "1-9").when(F.col("n_languages") < 25, "10-24").when(F.col("n_languages") < 50, "25-49").when(F.col("n_languages") < 100, "50-99").otherwise("100+")
+    near = events.select(F.col("qid").alias("_q"), F.explode(F.sequence(F.date_sub(F.to_date("start_hour"), days), F.date_add(F.to_date("start_hour"), days))).alias("_d")).distinct()
+    found = links.join(near, (links["qid"] == near["_q"]) & (links["date"] == near["_d"]), "left")
+    rows = found.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("links"), F.count("_q").alias("detected"))
+    return rows.withColumn("share", F.col("detected") / F.col("links"))
+
+
 def hero(events: DataFrame, now: Column, windows: tuple[int, ...] = (24, 48, 168), excess: float = 100_000) -> DataFrame:
     """The event to show first: the narrowest window that has a qualifying one, then excess, breadth and id."""
     age = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("start_hour").cast("timestamp"))) / 3600
@@ -91,12 +120,27 @@ def top_shares(rows: DataFrame, key: str, sizes: tuple[int, ...], value: str = "
     return ranked.agg(F.explode(F.array(*shares)).alias("x")).select("x.top", "x.share")
 
 
-def rank_channels(hourly: DataFrame, first: str, excluded: list[str], n: int, days: int = 7) -> DataFrame:
-    """The n languages with the most views of articles in a week; a row a language is left before they are ranked."""
+def rank_channels(hourly: DataFrame, first: str, excluded: DataFrame, n: int, days: int = 7, most_views: int = 1000, least_mobile: float = 0.05) -> DataFrame:
+    """The n languages that people read most in a week: (lang, rank, raw_rank, raw_views, human_views, mobile_share, automated_share,
+    non_article_share, cumulative_share). Articles are what excluded (lang, title) lacks; of those, more than most_views of a title in the
+    week with fewer than least_mobile of them mobile are no people's. Titles meet once; a row a language is left to rank."""
     start = F.lit(first).cast("date")
-    week = hourly.filter((F.col("day") >= start) & (F.col("day") < F.date_add(start, days)) & ~F.col("title").isin(excluded))
-    sums = week.groupBy("lang").agg(F.sum("views").alias("views"), F.count_distinct("title").alias("titles"))
-    return top_rows(sums.withColumn("whole", F.lit(1)), n, [F.desc("views"), F.col("lang")], "whole").drop("whole")
+    week = hourly.filter((F.col("day") >= start) & (F.col("day") < F.date_add(start, days)))
+    titles = week.groupBy("lang", "title").agg(F.sum("views").alias("v"), F.sum("views_mobile").alias("m"))
+    marked = titles.join(excluded.select("lang", "title", F.lit(False).alias("article")), ["lang", "title"], "left").withColumn("article", F.coalesce("article", F.lit(True)))
+    automated = F.col("article") & (F.col("v") > most_views) & (F.col("m") < least_mobile * F.col("v"))
+    human = F.col("article") & ~automated
+    total = lambda when, c="v": F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    sums = marked.groupBy("lang").agg(F.sum("v").alias("raw_views"), total(human).alias("human_views"), total(human, "m").alias("mobile"), total(automated).alias("auto"), total(~F.col("article")).alias("other"))
+    order = Window.orderBy(F.desc("human_views"), "lang")
+    whole = F.sum("human_views").over(Window.partitionBy())
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    ranked = sums.select(
+        "lang", F.row_number().over(order).alias("rank"), F.row_number().over(Window.orderBy(F.desc("raw_views"), "lang")).alias("raw_rank"), "raw_views", "human_views",
+        share("mobile", "human_views").alias("mobile_share"), share("auto", "raw_views").alias("automated_share"), share("other", "raw_views").alias("non_article_share"),
+        F.try_divide(F.sum("human_views").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), whole).alias("cumulative_share"),
+    )
+    return ranked.filter(F.col("rank") <= n)
 
 
 def day_documents(events: DataFrame, languages: DataFrame) -> DataFrame:

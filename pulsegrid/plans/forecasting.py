@@ -62,17 +62,23 @@ def m11(spark, sf_dir):
 
 @query("m4_boosted_trees")
 def m4(spark, sf_dir):
-    """Scores of all undecided snapshots by trees fitted on the earlier ones, calibrated on those. Spark ML has no
-    monotone constraints; the reference's are left out. Rows only: the fit has no SQL twin."""
+    """Scores of the snapshots from the cutoff on, by trees fitted on the earliest ones: monotone in breadth, and calibrated in two ways
+    on the span between, which no tree has seen. Rows only: the fit has no SQL twin."""
     path = scratch(spark, "snapshots")
     _snaps(spark, sf_dir).write.parquet(path)
     rows = forecast.undecided(spark.read.parquet(path), 4)
-    train, _ = forecast.chronological_split(rows, CUT)
+    train, _, _ = forecast.calibration_span(rows, CUT)
+    later = rows.filter(F.col("start_hour") >= F.lit(CUT).cast("timestamp_ntz"))
+    none = F.lit(None).cast("double")
     if train.select("label").distinct().count() < 2:
-        return rows.select("snapshot_id", "label", F.lit(None).cast("double").alias("score"))
-    model = forecast.boosted_trees(train)
-    fitted = forecast.calibrated(forecast.scores(model, rows), *forecast.calibration(forecast.scores(model, train)))
-    return fitted.select("snapshot_id", "label", F.round("score", b.R).alias("score"))
+        return later.select("snapshot_id", "label", none.alias("score"), none.alias("platt"), none.alias("isotonic"))
+    model, fit, steps, _ = forecast.calibrated_forecast(rows, CUT)
+    scored = forecast.monotone_scores(model, later)
+    if fit is None:
+        return scored.select("snapshot_id", "label", F.round("score", b.R).alias("score"), none.alias("platt"), none.alias("isotonic"))
+    platt = forecast.calibrated(scored, *fit).select("snapshot_id", F.col("score").alias("platt"))
+    out = steps.transform(scored).join(platt, "snapshot_id")
+    return out.select("snapshot_id", "label", *[F.round(c, b.R).alias(c) for c in ("score", "platt", "isotonic")])
 
 
 FOLDS = ["2024-01-08", "2024-01-13", "2024-01-18", "2024-01-23", "2024-01-30"]
@@ -110,13 +116,52 @@ def m14(spark, sf_dir):
     return forecast.examples(_ruled(spark, sf_dir), "excess_hour_t")
 
 
-@query("m6_calibration_window", _SCORED + """, w AS (SELECT d, count(*) FILTER (WHERE label = 1) AS p FROM (VALUES (7), (14), (28), (56)) v(d) LEFT JOIN sc ON start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(d) GROUP BY d)
-SELECT coalesce((SELECT min(d) FROM w WHERE p >= 5), 56)::INT AS window_days, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM sc WHERE start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(coalesce((SELECT min(d) FROM w WHERE p >= 5), 56)) HAVING count(*) > 0""")
+@query("m6_calibration_window", _SCORED + """, w AS (SELECT d, count(*) FILTER (WHERE label = 1) AS p FROM (VALUES (10), (20), (30), (40)) v(d) LEFT JOIN sc ON start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(d) GROUP BY d)
+SELECT coalesce((SELECT min(d) FROM w WHERE p >= 5), 40)::INT AS window_days, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM sc WHERE start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(coalesce((SELECT min(d) FROM w WHERE p >= 5), 40)) HAVING count(*) > 0""")
 def m6(spark, sf_dir):
     rows = forecast.widening_calibration(_ruled(spark, sf_dir), "2024-01-26 00:00:00")
     return rows.groupBy("window_days").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
 
 
+_HELD = _SCORED + """, w AS (SELECT d, count(*) FILTER (WHERE label = 1) AS p FROM (VALUES (10), (20), (30), (40)) v(d) LEFT JOIN sc ON start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(d) GROUP BY d),
+held AS (SELECT score, count(*) AS n, sum(label) AS p FROM sc WHERE start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(coalesce((SELECT min(d) FROM w WHERE p >= 5), 40)) GROUP BY score)"""
+
+
+def _held(spark, sf_dir):
+    return forecast.calibration_span(_ruled(spark, sf_dir), "2024-01-26 00:00:00")[1]
+
+
+@query("m6_isotonic", _HELD + """, spans AS (SELECT a.score AS lo, z.score AS hi, sum(m.p) / sum(m.n) AS share FROM held a JOIN held z ON z.score >= a.score JOIN held m ON m.score BETWEEN a.score AND z.score GROUP BY ALL)
+SELECT h.score, h.n, round((SELECT max(low) FROM (SELECT lo, min(share) AS low FROM spans WHERE lo <= h.score AND hi >= h.score GROUP BY lo)), 6) AS isotonic FROM held h""")
+def m6_isotonic(spark, sf_dir):
+    """What pooling gives each score of the held-out span; the twin is its max-min form: the largest, over spans that begin at or
+    before a score, of the least mean of those that end at or after it."""
+    held = _held(spark, sf_dir)
+    counts = forecast.by_score(held)
+    if not counts.take(1):
+        return counts.select("score", "n", F.lit(None).cast("double").alias("isotonic"))
+    return forecast.isotonic(held).transform(counts).select("score", "n", F.round("isotonic", b.R).alias("isotonic"))
+
+
+@query("m6_platt", "WITH RECURSIVE " + _HELD.strip().removeprefix("WITH") + """, pts AS (SELECT ln(greatest(least(score, 1 - 1e-6), 1e-6) / (1 - greatest(least(score, 1 - 1e-6), 1e-6))) AS x, n, p FROM held),
+nt(it, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT it + 1, a + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01), b + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01) FROM (
+  SELECT it, a, b, sum((p - n * q) * x) AS g1, sum(p - n * q) AS g0, sum(n * q * (1 - q) * x * x) AS h11, sum(n * q * (1 - q) * x) AS h01, sum(n * q * (1 - q)) AS h00
+  FROM (SELECT nt.*, pts.*, 1 / (1 + exp(-(a * x + b))) AS q FROM nt, pts WHERE it < 25) GROUP BY it, a, b) WHERE h00 * h11 - h01 * h01 > 1e-12)
+SELECT round(a, 3) AS slope, round(b, 3) AS intercept FROM nt WHERE it = 25""")
+def m6_platt(spark, sf_dir):
+    """The logistic fit on the held-out span; the twin takes Newton steps. No row where the span has one outcome or one score."""
+    held = _held(spark, sf_dir)
+    kinds = held.agg(F.countDistinct("label"), F.countDistinct("score")).first()
+    fit = [forecast.platt(held)] if min(kinds) > 1 else []
+    return spark.createDataFrame([(round(a, 3), round(c, 3)) for a, c in fit], "slope double, intercept double")
+
+
+@query("m7_calibration_curve", _SCORED + " SELECT least(floor(score * 10), 9)::INT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS observed FROM sc GROUP BY ALL")
+def m7_curve(spark, sf_dir):
+    rows = forecast.calibration_curve(_ruled(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, b.R) for c in ("mean_score", "observed")})
+
+
 @query("m7_lift", """WITH s AS (SELECT round(n_chars / (n_chars + 2000.0), 3)::DOUBLE AS score, quality AS y FROM labels JOIN documents USING (doc_id)), l AS (SELECT quantile_cont(score, 0.9) AS q FROM s)
 SELECT count(*) FILTER (WHERE score >= q)::BIGINT AS n_top, round(avg(y) FILTER (WHERE score >= q) / avg(y), 6) AS lift FROM s, l""")
 def m7_lift(spark, sf_dir):
@@ -145,16 +190,19 @@ def _parts(spark, sf_dir):
 
 @query("m5_random_search")
 def m5(spark, sf_dir):
-    """A few of the seeded trials, as rows; the fits have no SQL twin."""
-    _, train, test, fit = _parts(spark, sf_dir)
-    found = forecast.random_search(train, test, 3) if fit else []
-    return spark.createDataFrame([(i, str(sorted(s.items())), round(float(v), 6)) for i, s, v in found], "trial int, setting string, average_precision double")
+    """50 seeded trials, chosen by average precision on a span between training and test rows, best first; the fits have no SQL
+    twin."""
+    _, train, _, fit = _parts(spark, sf_dir)
+    before, valid = forecast.chronological_split(train, "2024-01-11 00:00:00")
+    found = forecast.random_search(before, valid) if fit and before.select("label").distinct().count() == 2 else []
+    return spark.createDataFrame([(k, i, str(sorted(s.items())), round(float(v), 6)) for k, (i, s, v) in enumerate(found, 1)], "rank int, trial int, setting string, average_precision double")
 
 
 @query("m9_importance")
 def m9(spark, sf_dir):
+    """Every feature, five deals each."""
     _, train, test, fit = _parts(spark, sf_dir)
-    found = forecast.importance(forecast.boosted_trees(train), test, ("breadth_t", "excess_t", "views_t"), repeats=2) if fit else []
+    found = forecast.importance(forecast.boosted_trees(train), test, (*forecast.NUMERIC, "lead_lang"), repeats=5) if fit else []
     return spark.createDataFrame([(f, round(float(v), 6)) for f, v in found], "feature string, auc_drop double")
 
 

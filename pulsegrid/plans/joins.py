@@ -73,11 +73,11 @@ def j16(spark, sf_dir):
     lat, lon = F.radians("lat"), F.radians("lon")
     axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
     cell = o.withColumns({k: F.floor(v / width).cast("int") for k, v in axes.items()})
-    near = lambda c: F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)]))
-    quakes = cell.withColumnRenamed("o_orderkey", "id").withColumn("d", F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 2))))
-    for k in axes:
-        quakes = quakes.withColumn(k, near(k))
-    places = cell.select(F.col("o_orderkey").alias("cid"), F.col("day").alias("d"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.col("mag").alias("cmag"), *axes)
+    # one side goes to the cubes around it, the other to the days that reach it
+    around = F.explode(F.array(*[F.struct(*[(F.col(c) + d).alias(c) for c, d in zip(axes, (x, y, z))]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]))
+    quakes = cell.select(F.col("o_orderkey").alias("id"), F.col("day").alias("d"), "lat", "lon", "mag", around.alias("cube")).select("*", "cube.*").drop("cube")
+    days = F.explode(F.sequence(F.date_sub("day", 2), F.date_add("day", 1)))
+    places = cell.select(F.col("o_orderkey").alias("cid"), days.alias("d"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), F.col("mag").alias("cmag"), *axes)
     rows = quakes.join(places, ["d", *axes]).filter("cid != id")
     rows = rows.withColumns({"km": F.round(robust.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), b.R), "dm": F.abs(F.col("cmag") - F.col("mag"))}).filter("km <= 2000")
     return rows.groupBy("id").agg(F.min(F.struct("km", "dm", "cid")).alias("best")).select("id", "best.cid", "best.km")

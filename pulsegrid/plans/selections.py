@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import robust
-from pulsegrid.operators import evaluation, selection, staging
+from pulsegrid.operators import evaluation, quantiles, selection, staging
 from pulsegrid.plans import base as b
 from pulsegrid.plans.registry import query
 from pulsegrid.session import table
@@ -111,10 +111,39 @@ def g12(spark, sf_dir):
     return selection.rollup_by_language(rows).withColumn("cumulative_share", F.round("cumulative_share", b.R))
 
 
-@query("g13_totals", b.with_(b.HOURLY, b.LOUD, b.event_sql(langs=2, threshold=1.2)) + "SELECT coalesce(lead_lang, 'all') AS lead_lang, coalesce(tier, 'all') AS tier, count(*) AS n FROM ev GROUP BY ROLLUP (lead_lang, tier)")
+#: Events as they come from scored rows have classes; here every third entity's stay in one language.
+_CLASSED = """, cl AS (SELECT *, CASE WHEN qid % 3 = 0 THEN 'single_language' ELSE 'multi_language' END AS kind FROM ev),
+pl AS (SELECT day, lang, sum(events) AS events, sum(lead) AS lead, sum(excess) AS excess, sum(only_here) AS only_here FROM (
+  SELECT cl.start_hour::DATE AS day, el.lang, 1 AS events, 0 AS lead, floor(el.excess_views) AS excess, 0 AS only_here FROM cl JOIN el USING (event_id) WHERE kind = 'multi_language'
+  UNION ALL SELECT start_hour::DATE, lead_lang, 0, 1, 0, 0 FROM cl WHERE kind = 'multi_language' UNION ALL SELECT start_hour::DATE, lead_lang, 0, 0, 0, 1 FROM cl WHERE kind = 'single_language') GROUP BY ALL)"""
+
+
+def classed(spark, sf_dir):
+    """Events with their classes, their languages, and the sums of each day and language."""
+    langs = b.languages(spark, sf_dir, WIDE)
+    rows = wide(spark, sf_dir).withColumn("event_class", F.when(F.col("qid") % 3 == 0, "single_language").otherwise("multi_language"))
+    return rows, selection.language_summary(rows, langs)
+
+
+@query("d23_language_summary", _EV + _CLASSED + " SELECT day, lang, CAST(events AS BIGINT) AS events, CAST(lead AS BIGINT) AS lead, CAST(excess AS BIGINT) AS excess, CAST(only_here AS BIGINT) AS only_here FROM pl")
+def d23_languages(spark, sf_dir):
+    return classed(spark, sf_dir)[1]
+
+
+@query("g13_totals", _EV + _CLASSED + """ SELECT lang, CAST(sum(events) AS BIGINT) AS events, CAST(sum(lead) AS BIGINT) AS lead, CAST(sum(excess) AS BIGINT) AS excess, CAST(sum(only_here) AS BIGINT) AS only_here,
+round(sum(lead) / (SELECT count(*) FROM cl WHERE kind = 'multi_language'), 4) AS lead_share FROM pl GROUP BY lang""")
 def g13(spark, sf_dir):
-    rows = wide(spark, sf_dir).rollup("lead_lang", "tier").agg(F.count("*").alias("n"))
-    return rows.select(F.coalesce("lead_lang", F.lit("all")).alias("lead_lang"), F.coalesce("tier", F.lit("all")).alias("tier"), "n")
+    rows, days = classed(spark, sf_dir)
+    return selection.period_totals(days, rows.filter("event_class <> 'single_language'").count())
+
+
+@query("g13_timeline", _EV + _CLASSED + """ SELECT start_hour::DATE AS day, hour(start_hour)::INT AS hour, count(*) FILTER (WHERE kind = 'multi_language') AS events, count(*) FILTER (WHERE kind = 'multi_language' AND tier = 'planetary') AS planetary,
+count(*) FILTER (WHERE kind = 'multi_language' AND tier = 'international') AS international, count(*) FILTER (WHERE kind = 'multi_language' AND tier = 'noticed') AS noticed, count(*) FILTER (WHERE kind = 'single_language') AS single_language FROM cl GROUP BY ALL""")
+def g13_timeline(spark, sf_dir):
+    rows, _ = classed(spark, sf_dir)
+    several = F.col("event_class") != "single_language"
+    tiers = [F.count_if(several & (F.col("tier") == t)).alias(t) for t in ("planetary", "international", "noticed")]
+    return rows.groupBy(F.to_date("start_hour").alias("day"), F.hour("start_hour").alias("hour")).agg(F.count_if(several).alias("events"), *tiers, F.count_if(~several).alias("single_language"))
 
 
 @query("g14_hourly_histogram", b.with_(b.HOURLY) + "SELECT h.h::INT AS hour_of_day, count(s.lang) AS n, CAST(coalesce(sum(views), 0) AS BIGINT) AS views FROM range(24) h(h) LEFT JOIN stg s ON s.hour_of_day = h.h GROUP BY ALL")
@@ -240,12 +269,44 @@ def d33(spark, sf_dir):
     return wide(spark, sf_dir).groupBy("breadth", F.floor(held / 3).alias("lag_bin")).agg(F.count("*").alias("n"))
 
 
-@query("d34_arrival_lag", "SELECT event_type AS source, round(min(m), 6) AS least, round(median(m), 6) AS middle, round(quantile_cont(m, 0.9), 6) AS q90, round(max(m), 6) AS most, count(*) FILTER (WHERE m > 1500) AS late FROM (SELECT event_type, value * 10 AS m FROM events) GROUP BY ALL")
+@query("d33_detected_share", _EV + """, gt AS (SELECT o_orderkey AS id, DATE '2024-01-01' + (o_custkey % 30)::INT AS date, o_orderkey % 8 AS qid, (o_custkey * 7 % 150 + 1)::INT AS n FROM orders),
+hit AS (SELECT gt.*, EXISTS (SELECT 1 FROM ev WHERE ev.qid = gt.qid AND ev.start_hour::DATE BETWEEN gt.date - 1 AND gt.date + 1) AS found FROM gt)
+SELECT CASE WHEN n < 10 THEN '1-9' WHEN n < 25 THEN '10-24' WHEN n < 50 THEN '25-49' WHEN n < 100 THEN '50-99' ELSE '100+' END AS bucket, count(*) AS links, count(*) FILTER (WHERE found) AS detected, round(avg(found::INT), 6) AS share FROM hit GROUP BY ALL""")
+def d33_share(spark, sf_dir):
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_custkey") % 30).cast("int"))
+    links = table(spark, sf_dir, "orders").select(date.alias("date"), (F.col("o_orderkey") % 8).alias("qid"), (F.col("o_custkey") * 7 % 150 + 1).alias("n_languages"))
+    return selection.detected_share(links, wide(spark, sf_dir)).withColumn("share", F.round("share", b.R))
+
+
+@query("d34_arrival_lag", """WITH h AS (SELECT event_type AS source, date_trunc('hour', ts) AS hour, min(ts) AS first FROM events GROUP BY ALL), a AS (SELECT source, hour, epoch(lead(first) OVER (PARTITION BY source ORDER BY hour) - (hour + INTERVAL 1 HOUR)) / 60 AS m FROM h)
+SELECT source, round(min(m), 6) AS least, round(median(m), 6) AS middle, round(quantile_cont(m, 0.9), 6) AS q90, round(max(m), 6) AS most, count(*) FILTER (WHERE m > 360) AS late FROM a WHERE m IS NOT NULL GROUP BY source""")
 def d34(spark, sf_dir):
-    m = F.col("value") * 10
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), m.alias("m"))
-    r = lambda c: F.round(c, b.R)
-    return rows.groupBy("source").agg(r(F.min("m")).alias("least"), r(F.median("m")).alias("middle"), r(F.expr("percentile(m, 0.9)")).alias("q90"), r(F.max("m")).alias("most"), F.count_if(F.col("m") > 1500).alias("late"))
+    """An hour's data arrives when the source is heard of next, after the hour's end; what takes more than six hours is late."""
+    hours = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", "ts").alias("hour")).agg(F.min("ts").alias("first"))
+    arrived = F.lead("first").over(Window.partitionBy("source").orderBy("hour"))  # a row an hour
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    rows = hours.withColumn("m", (seconds(arrived) - seconds(F.col("hour")) - 3600) / 60).filter("m IS NOT NULL")
+    sums = rows.groupBy("source").agg(F.min("m").alias("least"), F.max("m").alias("most"), F.count_if(F.col("m") > 360).alias("late"))
+    found = sums.join(quantiles.quantile_columns(rows, ["source"], "m", {"middle": 0.5, "q90": 0.9}), "source")
+    return found.withColumns({c: F.round(c, b.R) for c in ("least", "middle", "q90", "most")})
+
+
+@query("g17_exact_quantiles", """WITH x AS (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS kind, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 0 THEN exp(value / 10) ELSE -value END AS v FROM events)
+SELECT kind, share, round(CASE share WHEN 0.0 THEN quantile_cont(v, 0.0) WHEN 0.25 THEN quantile_cont(v, 0.25) WHEN 0.5 THEN quantile_cont(v, 0.5) WHEN 0.99 THEN quantile_cont(v, 0.99) ELSE quantile_cont(v, 1.0) END, 6) AS quantile
+FROM x, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) s(share) GROUP BY kind, share""")
+def g17_exact(spark, sf_dir):
+    """Doubles of any size and sign, missing ones, and a group whose key is null."""
+    n = F.col("event_id")
+    v = F.when(n % 11 == 0, None).when(n % 3 == 0, F.exp(F.col("value") / 10)).otherwise(-F.col("value"))
+    rows = table(spark, sf_dir, "events").select(F.when(n % 7 != 0, F.col("event_type")).alias("kind"), v.alias("v"))
+    return quantiles.exact_quantiles(rows, ["kind"], "v", (0.0, 0.25, 0.5, 0.99, 1.0)).withColumn("quantile", F.round("quantile", b.R))
+
+
+@query("f17_hash_sample", """WITH h AS (SELECT user_id, ('0x' || substr(md5('sample|' || user_id), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT user_id FROM events)) SELECT user_id, h % 50 AS bucket FROM h WHERE h % 50 < 10""")
+def f17(spark, sf_dir):
+    """Users of ten buckets of fifty, the same in every engine and run."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.withColumn("bucket", robust.hash_bucket(F.concat(F.lit("sample|"), "user_id"), 50)).filter("bucket < 10")
 
 
 @query("e19_hour_alignment", b.with_(b.HOURLY) + "SELECT ts_hour, CAST(sum(views) FILTER (WHERE lang IN ('view', 'click')) AS BIGINT) AS first_set, CAST(sum(views) FILTER (WHERE lang NOT IN ('view', 'click')) AS BIGINT) AS second_set FROM stg GROUP BY ALL")

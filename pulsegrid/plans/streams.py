@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import robust
+from pulsegrid.operators import quantiles
 from pulsegrid.params import Bursts
 from pulsegrid.plans import base as b
 from pulsegrid.plans.registry import query
@@ -156,8 +157,15 @@ def st9(spark, sf_dir):
     return hours.groupBy("lang").agg(F.max(F.greatest("own", "gap")).alias("longest_gap"), (F.sum("n") + F.count_if(F.col("gap") > 21600)).alias("n_gaps"))
 
 
-@query("st13_stream_profile", "SELECT event_type AS kind, count(*) AS n, round(count(*) / 720, 6) AS per_hour, round(avg(CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END), 6) AS bot_share, round(median(value), 6) AS middle, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY ALL")
+@query("st13_stream_profile", """WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), span AS (SELECT (max(s) - min(s) + 1) / 3600 AS hours FROM e)
+SELECT event_type AS kind, count(*) AS n, round(count(*) / any_value(hours), 6) AS per_hour, round(avg(CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END), 6) AS bot_share, count(DISTINCT s // 3600) AS hours_seen,
+round(median(value), 6) AS middle, round(quantile_cont(value, 0.95), 6) AS q95 FROM e, span GROUP BY ALL""")
 def st13(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"))
-    r = lambda c: F.round(c, b.R)
-    return rows.agg(F.count("*").alias("n"), r(F.count("*") / 720).alias("per_hour"), r(F.avg((F.col("user_id") % 10 == 0).cast("int"))).alias("bot_share"), r(F.median("value")).alias("middle"), r(F.expr("percentile(value, 0.95)")).alias("q95"))
+    """Rates over the time that the stream covers, and exact quantiles of what an event weighs."""
+    s = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "user_id", "value", s.alias("s"))
+    sums = rows.groupBy("kind").agg(F.count("*").alias("n"), F.avg((F.col("user_id") % 10 == 0).cast("int")).alias("bot_share"), F.countDistinct(F.expr("s div 3600")).alias("hours_seen"))
+    span = rows.agg(((F.max("s") - F.min("s") + 1) / 3600).alias("hours"))  # one row
+    found = sums.crossJoin(F.broadcast(span)).withColumn("per_hour", F.col("n") / F.col("hours")).drop("hours")
+    found = found.join(quantiles.quantile_columns(rows, ["kind"], "value", {"middle": 0.5, "q95": 0.95}), "kind")
+    return found.withColumns({c: F.round(c, b.R) for c in ("per_hour", "bot_share", "middle", "q95")})
