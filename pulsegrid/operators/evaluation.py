@@ -84,13 +84,14 @@ def first_match(targets: DataFrame, events: DataFrame, before: int, after: int)
     return targets.join(found, "id", "left").select("id", "at", F.col("first.event_id").alias("event_id"), F.col("first.start_hour").alias("start_hour"))
 
 
-def ranking_metrics(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC AUC with ties, average precision and Brier score; scores meet as counts by value, in ranges of values."""
-    counts = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    up = running(counts, score, {"p_upto": F.col("p"), "n_upto": F.col("n")}).withColumn("k", F.lit(1))
-    whole = F.broadcast(counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).withColumn("k", F.lit(1)))  # one row
-    up = up.join(whole, "k").withColumns({"tp": F.col("all_p") - F.col("p_upto") + F.col("p"), "fp": F.col("all_n") - F.col("n_upto") + F.col("n")})
+def ranking_metrics(rows: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """ROC AUC with ties, average precision and Brier score, of all rows or of each group; scores meet as counts by value, in ranges
+    of values."""
+    counts = rows.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    up = running(counts, score, {"p_upto": F.col("p"), "n_upto": F.col("n")}, by).withColumn("k", F.lit(1))
+    whole = F.broadcast(counts.withColumn("k", F.lit(1)).groupBy(*by, "k").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")))  # a row a group
+    up = up.join(whole, [*by, "k"]).withColumns({"tp": F.col("all_p") - F.col("p_upto") + F.col("p"), "fp": F.col("all_n") - F.col("n_upto") + F.col("n")})
     auc = F.sum(F.col("p") * (F.col("n_upto") - F.col("n") / 2)) / (F.sum("p") * F.sum("n"))
     precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")
     brier = F.sum(F.col("p") * F.pow(1 - F.col(score), 2) + F.col("n") * F.pow(F.col(score), 2)) / F.sum(F.col("p") + F.col("n"))
-    return up.agg(auc.alias("auc"), precision.alias("average_precision"), brier.alias("brier"))
+    return up.groupBy(*by).agg(auc.alias("auc"), precision.alias("average_precision"), brier.alias("brier"))

@@ -6,7 +6,8 @@ last one. A query without a checkpoint begins at the `position` option, or else
 the newest event, or the whole feed with `replay_minutes` "all".
 
 Options: path (a URI that pyarrow can open), position, replay_minutes (60), batch_events (events of a batch, rounded up to
-segments). A segment is one partition; events are parsed on the executors.
+segments). A segment is one partition; events are parsed on the executors. An availableNow trigger asks a Python source
+for its latest offset once, so it reads one batch: leave batch_events out there.
 
 Defined results: lines that are no JSON objects are skipped, but keep their number; unknown fields are ignored, missing
 ones null. A feed may grow while it is read; a segment may not.
