@@ -155,6 +155,20 @@ def test_sql_twins(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in q.op3_url_filter(spark, DATA).collect())
 
 
+def test_a_long_segment_takes_time_in_proportion():
+    import time
+
+    trie = urls.build_trie([("example.com", f"/en/{'7' * k}", "allow") for k in range(1, 40)])
+    assert urls.longest(trie, "example.com", "/en/" + "7" * 30 + "x") == ("example.com/en/" + "7" * 30, "allow")
+    took = []
+    for n in (100_000, 800_000):
+        began = time.process_time()
+        for _ in range(20):
+            urls.longest(trie, "a.example.com", "/en/" + "7" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.001)
+
+
 # ---------------------------------------------------------------- 4: passages
 def brute_passages(texts, n=60):
     """Documents that share n words in a row with an earlier one."""
