@@ -6,18 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def array_median(values: Column) -> Column:
-    """Interpolated median of an array without nulls; null for an empty one."""
-    ordered, n = F.sort_array(values), F.size(values)
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once: Spark would compute it anew wherever a lambda names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _middle(ordered: Column) -> Column:
+    n = F.size(ordered)
     low = F.element_at(ordered, F.greatest(F.floor((n + 1) / 2).cast("int"), F.lit(1)))
     high = F.element_at(ordered, F.greatest(F.floor(n / 2).cast("int") + 1, F.lit(1)))
     return F.when(n > 0, (low + high) / 2.0)
 
 
+def array_median(values: Column) -> Column:
+    """Interpolated median of an array without nulls; null for an empty one."""
+    return _let(F.sort_array(values), _middle)
+
+
 def array_mad(values: Column) -> Column:
     """Median absolute deviation from the median."""
-    middle = array_median(values)
-    return array_median(F.transform(values, lambda x: F.abs(x - middle)))
+    return _let(array_median(values), lambda middle: array_median(F.transform(values, lambda x: F.abs(x - middle))))
 
 
 def zero_padded(values: Column, n: Column) -> Column:

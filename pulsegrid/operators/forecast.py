@@ -91,15 +91,27 @@ def by_score(scored: DataFrame) -> DataFrame:
     return scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("p"))
 
 
-def platt(held: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit of held-out labels on the logit of their scores."""
-    counts = by_score(held).withColumn("x", logit(F.col("score")))
+def _logistic(counts: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit on counts (x, n, p): rows and positives of each value."""
     rows = counts.select("x", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("p")).alias("w")))).alias("y")).select("x", "y.*")
     rows = VectorAssembler(inputCols=["x"], outputCol="v").transform(rows.filter("w > 0"))
     fit = LogisticRegression(featuresCol="v", labelCol="label", weightCol="w", maxIter=200, tol=1e-12, standardization=False).fit(rows)
     return float(fit.coefficients[0]), float(fit.intercept)
 
 
+def platt(held: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit of held-out labels on the logit of their scores."""
+    return _logistic(by_score(held).withColumn("x", logit(F.col("score"))))
+
+
+def fame(train: DataFrame, column: str = "n_sitelinks") -> tuple[float, float] | None:
+    """Slope and intercept of a logistic fit of the label on log1p of how many languages an entity has; none where the rows have one
+    label or one value. Equal values meet as counts."""
+    counts = train.groupBy(F.log1p(column).alias("x")).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("p"))
+    whole = counts.agg(F.count("*").alias("values"), F.sum("n").alias("n"), F.sum("p").alias("p")).first()
+    return _logistic(counts) if whole["values"] > 1 and 0 < whole["p"] < whole["n"] else None
+
+
 def calibrated(scored: DataFrame, slope: float, intercept: float) -> DataFrame:
     return scored.withColumn("score", sigmoid(slope * logit(F.col("score")) + intercept))
 

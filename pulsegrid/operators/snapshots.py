@@ -83,3 +83,10 @@ def targets(snaps: DataFrame, events: DataFrame, rows: DataFrame, threshold: flo
     low = F.filter(F.sequence(F.greatest(t, peak_at), F.lit(HORIZON)), lambda i: F.element_at("v", i + 1) < peak / 2)
     fade = F.when(F.size(low) > 0, F.least(low[0] - t, F.lit(FADE_CAP))).otherwise(FADE_CAP)
     return rows.select("snapshot_id", (F.col("breadth") >= 5).alias("reach_international"), (F.col("breadth") >= 20).alias("reach_planetary"), next24.alias("excess_next24"), fade.alias("fade_hours"))
+
+
+def with_dims(snaps: DataFrame, dims: DataFrame) -> DataFrame:
+    """snaps with the class of their entity and how many languages it has, from dims (qid, entity_class, n_languages): "other" and 0
+    where it isn't there."""
+    found = snaps.join(dims.select("qid", F.col("entity_class").alias("_class"), F.col("n_languages").alias("_n")), "qid", "left")
+    return found.withColumns({"entity_class": F.coalesce("_class", F.lit("other")), "n_sitelinks": F.coalesce("_n", F.lit(0)).cast("long")}).drop("_class", "_n")

@@ -10,6 +10,7 @@ from pulsegrid.plans.evaluation import _EV, _SNAPS
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.selections import wide
 from pulsegrid.session import scratch
+from pulsegrid.sources import canonical
 
 CUT = "2024-01-16 00:00:00"
 
@@ -123,6 +124,10 @@ def m6(spark, sf_dir):
     return rows.groupBy("window_days").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
 
 
+_NEWTON = """nt(it, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT it + 1, a + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01), b + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01) FROM (
+  SELECT it, a, b, sum((p - n * q) * x) AS g1, sum(p - n * q) AS g0, sum(n * q * (1 - q) * x * x) AS h11, sum(n * q * (1 - q) * x) AS h01, sum(n * q * (1 - q)) AS h00
+  FROM (SELECT nt.*, pts.*, 1 / (1 + exp(-(a * x + b))) AS q FROM nt, pts WHERE it < 25) GROUP BY it, a, b) WHERE h00 * h11 - h01 * h01 > 1e-12)
+SELECT round(a, 3) AS slope, round(b, 3) AS intercept FROM nt WHERE it = 25"""
 _HELD = _SCORED + """, w AS (SELECT d, count(*) FILTER (WHERE label = 1) AS p FROM (VALUES (10), (20), (30), (40)) v(d) LEFT JOIN sc ON start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(d) GROUP BY d),
 held AS (SELECT score, count(*) AS n, sum(label) AS p FROM sc WHERE start_hour < TIMESTAMP '2024-01-26' AND start_hour >= TIMESTAMP '2024-01-26' - to_days(coalesce((SELECT min(d) FROM w WHERE p >= 5), 40)) GROUP BY score)"""
 
@@ -144,10 +149,7 @@ def m6_isotonic(spark, sf_dir):
 
 
 @query("m6_platt", "WITH RECURSIVE " + _HELD.strip().removeprefix("WITH") + """, pts AS (SELECT ln(greatest(least(score, 1 - 1e-6), 1e-6) / (1 - greatest(least(score, 1 - 1e-6), 1e-6))) AS x, n, p FROM held),
-nt(it, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT it + 1, a + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01), b + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01) FROM (
-  SELECT it, a, b, sum((p - n * q) * x) AS g1, sum(p - n * q) AS g0, sum(n * q * (1 - q) * x * x) AS h11, sum(n * q * (1 - q) * x) AS h01, sum(n * q * (1 - q)) AS h00
-  FROM (SELECT nt.*, pts.*, 1 / (1 + exp(-(a * x + b))) AS q FROM nt, pts WHERE it < 25) GROUP BY it, a, b) WHERE h00 * h11 - h01 * h01 > 1e-12)
-SELECT round(a, 3) AS slope, round(b, 3) AS intercept FROM nt WHERE it = 25""")
+""" + _NEWTON)
 def m6_platt(spark, sf_dir):
     """The logistic fit on the held-out span; the twin takes Newton steps. No row where the span has one outcome or one score."""
     held = _held(spark, sf_dir)
@@ -156,6 +158,29 @@ def m6_platt(spark, sf_dir):
     return spark.createDataFrame([(round(a, 3), round(c, 3)) for a, c in fit], "slope double, intercept double")
 
 
+_DIMS = """dims AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN 'human' ELSE 'place' END AS entity_class, count(*) + 4 * qid AS n_languages FROM links WHERE qid <> 5 GROUP BY qid)"""
+
+
+def _dims(spark, sf_dir):
+    """Entities' classes and languages; one entity has none."""
+    links = canonical.sitelinks(spark, sf_dir).filter("qid <> 5").groupBy("qid").agg(F.count("*").alias("n"))
+    return links.select("qid", F.when(F.col("qid") % 3 == 0, "human").otherwise("place").alias("entity_class"), (F.col("n") + 4 * F.col("qid")).alias("n_languages"))
+
+
+@query("d20_snapshot_dims", _BASE + "," + _DIMS + " SELECT event_id || '#' || k AS snapshot_id, coalesce(entity_class, 'other') AS entity_class, coalesce(n_languages, 0) AS n_sitelinks FROM rows JOIN ev USING (event_id) LEFT JOIN dims USING (qid)")
+def d20_dims(spark, sf_dir):
+    return snapshots.with_dims(_snaps(spark, sf_dir), _dims(spark, sf_dir)).select("snapshot_id", "entity_class", "n_sitelinks")
+
+
+@query("m8_sitelinks_logistic", "WITH RECURSIVE " + _BASE.strip().removeprefix("WITH") + "," + _DIMS + f""", pts AS (SELECT ln(1 + coalesce(n_languages, 0)) AS x, count(*) AS n, count(*) FILTER (WHERE rows.breadth >= 4) AS p FROM rows JOIN ev USING (event_id) LEFT JOIN dims USING (qid) WHERE breadth_t < 4 AND rows.start_hour < TIMESTAMP '{CUT}' GROUP BY ALL),
+""" + _NEWTON)
+def m8_sitelinks(spark, sf_dir):
+    """How far fame alone tells: the baseline that takes only how many languages an entity has."""
+    rows = snapshots.with_dims(forecast.undecided(_snaps(spark, sf_dir), 4), _dims(spark, sf_dir))
+    fit = forecast.fame(forecast.chronological_split(rows, CUT)[0])
+    return spark.createDataFrame([tuple(round(x, 3) for x in fit)] if fit else [], "slope double, intercept double")
+
+
 @query("m7_calibration_curve", _SCORED + " SELECT least(floor(score * 10), 9)::INT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS observed FROM sc GROUP BY ALL")
 def m7_curve(spark, sf_dir):
     rows = forecast.calibration_curve(_ruled(spark, sf_dir))
