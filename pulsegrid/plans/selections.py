@@ -13,6 +13,7 @@ from pulsegrid.plans import base as b
 from pulsegrid.plans.registry import query
 from pulsegrid.session import table
 from pulsegrid.sources import canonical
+from pulsegrid.streaming.bursts import hashed_user
 
 WIDE = replace(b.EVENTS, min_languages=2, r3_threshold=1.2)
 _EV = b.with_(b.HOURLY, b.LOUD, b.event_sql(langs=2, threshold=1.2))
@@ -160,9 +161,12 @@ def g15(spark, sf_dir):
     return rows.select("lang", "day", F.bit_count("bits").alias("ones"), F.round(robust.linear_count(F.col("bits"), 63), b.R).alias("estimate"))
 
 
-@query("g16_exact_distinct", "SELECT event_type AS lang, ts::DATE AS day, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+@query("g16_exact_distinct", "SELECT event_type AS lang, ts::DATE AS day, count(DISTINCT CASE WHEN user_id % 9 <> 0 THEN sha256('salt' || user_id) END) AS users FROM events GROUP BY ALL")
 def g16(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("lang"), F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("users"))
+    """Users are known by their salted hashes; edits without a user don't count."""
+    user = F.when(F.col("user_id") % 9 != 0, hashed_user(F.col("user_id").cast("string"), "salt"))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("lang"), F.to_date("ts").alias("day"))
+    return rows.agg(F.countDistinct(user).alias("users"))
 
 
 @query("g17_quantiles", b.with_(b.HOURLY) + "SELECT lang, median(views) AS middle, quantile_cont(views, 0.9) AS q90, list_sort(list(views))[least(floor(count(*) * 0.9)::INT + 1, count(*))] AS rank90 FROM stg GROUP BY lang")
@@ -221,11 +225,14 @@ def u4(spark, sf_dir):
     return selection.missing_hours(present, at("2024-01-01 00:00:00"), at("2024-01-31 23:00:00"), 12)
 
 
-@query("e21_completeness", b.with_(b.HOURLY) + "SELECT lang, count(DISTINCT ts_hour) AS present, round(count(DISTINCT ts_hour) / 720, 6) AS share, count(DISTINCT ts_hour) / 720 >= 0.98 AS complete FROM stg GROUP BY lang")
+@query("e21_completeness", b.with_(b.HOURLY) + """, span AS (SELECT 24 * (max(day) - min(day) + 1) AS hours FROM stg) SELECT lang, count(DISTINCT ts_hour) AS present, round(count(DISTINCT ts_hour) / any_value(hours), 6) AS share, count(DISTINCT ts_hour) / any_value(hours) >= 0.98 AS complete FROM stg, span GROUP BY lang""")
 def e21(spark, sf_dir):
-    rows = b.stg(spark, sf_dir).groupBy("lang").agg(F.countDistinct("ts_hour").alias("present"))
-    share = F.col("present") / 720
-    return rows.select("lang", "present", F.round(share, b.R).alias("share"), (share >= 0.98).alias("complete"))
+    """Hours present of those between the first and the last day of the data."""
+    stg = b.stg(spark, sf_dir)
+    rows = stg.groupBy("lang").agg(F.countDistinct("ts_hour").alias("present"))
+    span = stg.agg((24 * (F.datediff(F.max("day"), F.min("day")) + 1)).alias("hours"))  # one row
+    share = F.col("present") / F.col("hours")
+    return rows.crossJoin(F.broadcast(span)).select("lang", "present", F.round(share, b.R).alias("share"), (share >= 0.98).alias("complete"))
 
 
 @query("d28_storage_tiers", b.with_(b.HOURLY) + "SELECT t AS threshold, count(*) FILTER (WHERE views >= t) AS n_rows, CAST(coalesce(sum(views) FILTER (WHERE views >= t), 0) AS BIGINT) AS views FROM stg, (VALUES (10), (100), (500), (1000), (2500)) v(t) GROUP BY ALL")
