@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.session import scratch
+
 
 def detected(majors: DataFrame, events: DataFrame, window_hours: int) -> DataFrame:
     """majors (date, qid, ...) with detected: an event of the entity starts in [date - w, date + 24 h + w)."""
@@ -32,19 +34,27 @@ def verdict(value: Column, threshold: float, n: Column, least: int) -> Column:
     return F.when(n < least, "inconclusive").when(value >= threshold, "supported").otherwise("rejected")
 
 
-def running(rows: DataFrame, value: str, sums: dict[str, Column], by: tuple[str, ...] = (), tie: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+#: Rows of a range of values, about, and ranges at most.
+RANGE_ROWS, RANGES = 200_000, 10_000
+
+
+def running(rows: DataFrame, value: str, sums: dict[str, Column], by: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
     """rows with running sums (name -> column) in ascending order of value, the row itself and, without tie, its equals included. Values are
-    cut into ranges at their quantiles; a window never holds more than one range, and ranges meet as one total each, so neither all
-    rows nor a group of by are in one task."""
+    cut into ranges at their quantiles, as many as the rows need; a window never holds more than one range, and ranges meet as one total
+    each, so neither all rows nor a group of by are in one task. rows are written once, as they are read three times."""
+    path = scratch(rows.sparkSession, "running")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    buckets = min(RANGES, max(16, rows.count() // RANGE_ROWS))
     key = [*by, "_g"]
     rows = rows.withColumn("_g", F.lit(1))
-    bounds = rows.groupBy(*key).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_b"))  # a row a group
-    parts = rows.join(F.broadcast(bounds), key).withColumn("_r", F.size(F.filter("_b", lambda x: x < F.col(value)))).drop("_b")
+    bounds = rows.groupBy(*key).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_b"))  # a row a group
+    parts = rows.join(bounds, key).withColumn("_r", F.size(F.filter("_b", lambda x: x < F.col(value)))).drop("_b")
     totals = parts.groupBy(*key, "_r").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*key, "_r", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
     within = Window.partitionBy(*key, "_r").orderBy(value, *tie)
-    return parts.join(F.broadcast(offsets), [*key, "_r"]).select(*[c for c in rows.columns if c != "_g"], *[(F.col(f"_before_{n}") + F.sum(c).over(within)).alias(n) for n, c in sums.items()])
+    return parts.join(offsets, [*key, "_r"]).select(*[c for c in rows.columns if c != "_g"], *[(F.col(f"_before_{n}") + F.sum(c).over(within)).alias(n) for n, c in sums.items()])
 
 
 def mann_whitney_less(rows: DataFrame, group: str, value: str) -> DataFrame:

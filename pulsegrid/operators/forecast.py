@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.robust import logit, sigmoid
 from pulsegrid.operators.evaluation import ranking_metrics
+from pulsegrid.operators.quantiles import quantile_columns
 from pulsegrid.session import scratch
 
 NUMERIC = (
@@ -166,8 +167,9 @@ def importance(model: PipelineModel, rows: DataFrame, features: tuple[str, ...],
 def category_decay(train: DataFrame, rows: DataFrame, by: str, now: str, later: str, least: int = 20) -> DataFrame:
     """rows with decay: what is left by the median ratio of the row's category, or of all where it has few rows."""
     ratio = train.filter(F.col(now) > 0).select(F.col(by), (F.col(later) / F.col(now)).alias("ratio"))
-    own = ratio.groupBy(by).agg(F.median("ratio").alias("own"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
-    every = ratio.agg(F.median("ratio").alias("every")).withColumn("k", F.lit(1))
+    enough = ratio.groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    own = quantile_columns(ratio, [by], "ratio", {"own": 0.5}).join(enough.select(by), by, "left_semi")
+    every = quantile_columns(ratio, [], "ratio", {"every": 0.5}).agg(F.max("every").alias("every")).withColumn("k", F.lit(1))  # one row
     out = rows.join(own, by, "left").withColumn("k", F.lit(1)).join(F.broadcast(every), "k").drop("k")
     return out.withColumn("decay", F.log1p(F.col(now) * F.coalesce("own", "every", F.lit(0.0)))).drop("own", "every")
 
@@ -266,7 +268,7 @@ def lift(rows: DataFrame, score: str, label: str, share: float = 0.1) -> DataFra
     """How much more often the label holds in the best share of rows by score than in all; ties at the limit are all taken. Scores meet as
     counts by value."""
     counts = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    limit = counts.agg(F.expr(f"percentile({score}, {1 - share}, n)").alias("limit")).withColumn("k", F.lit(1))  # one row
+    limit = quantile_columns(rows, [], score, {"limit": 1 - share}).agg(F.max("limit").alias("limit")).withColumn("k", F.lit(1))  # one row
     marked = counts.withColumn("k", F.lit(1)).join(F.broadcast(limit), "k").withColumn("top", F.col(score) >= F.col("limit"))
     top = lambda c: F.sum(F.when(F.col("top"), F.col(c)))
     return marked.agg(top("n").alias("n_top"), (top("p") / top("n") / (F.sum("p") / F.sum("n"))).alias("lift"))

@@ -50,7 +50,9 @@ SELECT event_id || '#' || k AS snapshot_id, round(ln(1 + now * coalesce(own, (SE
 def m8_decay(spark, sf_dir):
     snaps = _snaps(spark, sf_dir)
     later = snapshots.targets(snaps, wide(spark, sf_dir), b.loud(spark, sf_dir), 1.2).select("snapshot_id", "excess_next24")
-    rows = snaps.join(later, "snapshot_id")
+    path = scratch(spark, "decay")
+    snaps.join(later, "snapshot_id").write.parquet(path)
+    rows = spark.read.parquet(path)
     out = forecast.category_decay(rows, rows, "lead_lang", "excess_hour_t", "excess_next24", least=5)
     return out.select("snapshot_id", F.round("decay", b.R).alias("decay"))
 
