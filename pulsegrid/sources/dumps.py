@@ -6,23 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_hourly_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(project, title, views) of "project title views bytes" lines; malformed ones are dropped."""
-    part = F.split(value, " ")
-    rows = lines.filter(F.size(part) == 4).select(part[0].alias("project"), part[1].alias("title"), part[2].try_cast("long").alias("views"))
+def parse_hourly_lines(lines: DataFrame, *kept: str) -> DataFrame:
+    """(kept, project, title, views) of "project title views bytes" lines in the column value; malformed ones are dropped."""
+    part = F.split("value", " ")
+    rows = lines.filter(F.size(part) == 4).select(*kept, part[0].alias("project"), part[1].alias("title"), part[2].try_cast("long").alias("views"))
     return rows.filter("views IS NOT NULL")
 
 
-def parse_daily_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(wiki, title, access, daily_total, hour, views): a row for each hour of "wiki title [page] access total
-    A3C12" lines of five or six fields, read from both ends. Letters A to X are the hours of the day."""
-    part = F.split(value, " ")
+def parse_daily_lines(lines: DataFrame, *kept: str) -> DataFrame:
+    """(kept, wiki, title, access, daily_total, hour, views): a row for each hour of "wiki title [page] access total
+    A3C12" lines of five or six fields in the column value, read from both ends. Letters A to X are the hours of the day."""
+    part = F.split("value", " ")
     rows = lines.filter(F.size(part).isin(5, 6)).select(
-        part[0].alias("wiki"), part[1].alias("title"), F.element_at(part, -3).alias("access"), F.element_at(part, -2).try_cast("long").alias("daily_total"),
+        *kept, part[0].alias("wiki"), part[1].alias("title"), F.element_at(part, -3).alias("access"), F.element_at(part, -2).try_cast("long").alias("daily_total"),
         F.explode(F.regexp_extract_all(F.element_at(part, -1), F.lit("([A-X][0-9]+)"), F.lit(1))).alias("cell"),
     )
-    rows = rows.withColumns({"hour": F.ascii("cell") - 65, "views": F.substring("cell", 2, 12).cast("long")}).drop("cell")
-    return rows.groupBy("wiki", "title", "access", "daily_total", "hour").agg(F.sum("views").alias("views"))
+    return rows.withColumns({"hour": F.ascii("cell") - 65, "views": F.substring("cell", 2, 12).cast("long")}).drop("cell")
 
 
 def parse_sitelinks(lines: DataFrame, sites: DataFrame, value: str = "value") -> DataFrame:
@@ -40,9 +39,7 @@ def scan_hourly(spark, path: str) -> DataFrame:
     """Hourly dump files with the hour they cover: one before the stamp in the file's name."""
     stamp = F.regexp_extract(F.input_file_name(), r"pageviews-(\d{8}-\d{6})", 1)
     lines = spark.read.text(path).withColumn("ts_hour", F.to_timestamp_ntz(stamp, F.lit("yyyyMMdd-HHmmss")) - F.expr("INTERVAL 1 HOUR"))
-    part = F.split("value", " ")
-    rows = lines.filter(F.size(part) == 4).select("ts_hour", part[0].alias("project"), part[1].alias("title"), part[2].try_cast("long").alias("views"))
-    return rows.filter("views IS NOT NULL")
+    return parse_hourly_lines(lines, "ts_hour")
 
 
 def links_of_wikitext(days: DataFrame) -> DataFrame:
@@ -70,13 +67,8 @@ def links_of_wikitext(days: DataFrame) -> DataFrame:
 def scan_daily(spark, path: str) -> DataFrame:
     """(ts_hour, wiki, title, access, daily_total, views) of daily files; the day is in the file's name."""
     lines = spark.read.text(path).withColumn("day", F.to_date(F.regexp_extract(F.input_file_name(), r"pageviews-(\d{8})", 1), "yyyyMMdd"))
-    part = F.split("value", " ")
-    rows = lines.filter(F.size(part).isin(5, 6)).select(
-        "day", part[0].alias("wiki"), part[1].alias("title"), F.element_at(part, -3).alias("access"), F.element_at(part, -2).try_cast("long").alias("daily_total"),
-        F.explode(F.regexp_extract_all(F.element_at(part, -1), F.lit("([A-X][0-9]+)"), F.lit(1))).alias("cell"),
-    )
-    hour = F.expr("timestampadd(HOUR, ascii(cell) - 65, CAST(day AS TIMESTAMP_NTZ))")
-    return rows.select(hour.alias("ts_hour"), "wiki", "title", "access", "daily_total", F.substring("cell", 2, 12).cast("long").alias("views"))
+    hour = F.expr("timestampadd(HOUR, hour, CAST(day AS TIMESTAMP_NTZ))")
+    return parse_daily_lines(lines, "day").select(hour.alias("ts_hour"), "wiki", "title", "access", "daily_total", "views")
 
 
 def access_kind(wiki: Column, access: Column) -> Column:
