@@ -157,8 +157,52 @@ def encode_media(df: DataFrame, text: str = "text", tag: int | None = None, rate
     return only(df, "doc_id", text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_media(df: DataFrame, to: int = 16000, media: str = "media") -> DataFrame:
-    """df with payload (the stored samples), format (the WAV file's tag), pcm (16-bit, little-endian, resampled to a rate)."""
+#: What a compact form has: its flags, samples, and values of the palette.
+HEAD = struct.Struct("<BIH")
+PALETTE, ODD = 1, 2
+
+
+def compact(pcm: np.ndarray) -> bytes:
+    """16-bit PCM without loss in less room: samples at even places, as numbers of a palette where they have 256 values at most,
+    and what those at odd places differ from the middle of their neighbours, left out where nothing does."""
+    even, odd = pcm[::2], pcm[1::2]
+    differ = odd - middles(even)[: len(odd)]
+    used = np.unique(even) if len(even) < 4096 else np.flatnonzero(np.bincount(even.view(np.uint16), minlength=1 << 16)).astype(np.uint16).view(np.int16)
+    flags = (PALETTE if len(used) <= 256 else 0) | (ODD if differ.any() else 0)
+    body = even.astype("<i2").tobytes()
+    if flags & PALETTE:
+        place = np.zeros(1 << 16, np.uint8)
+        place[used.view(np.uint16)] = np.arange(len(used))
+        body = used.astype("<i2").tobytes() + place[even.view(np.uint16)].tobytes()
+    return HEAD.pack(flags, len(pcm), len(used) if flags & PALETTE else 0) + body + (differ.astype("<i2").tobytes() if flags & ODD else b"")
+
+
+def middles(even: np.ndarray) -> np.ndarray:
+    """The middle of each sample and the next; the last one itself."""
+    wide = even.astype(np.int32)
+    return ((wide + np.append(wide[1:], wide[-1:])) >> 1).astype(np.int16)
+
+
+def expanded(data: bytes) -> np.ndarray:
+    """The PCM of a compact form."""
+    flags, n, values = HEAD.unpack_from(data)
+    at, size = HEAD.size, -(-n // 2)
+    if flags & PALETTE:
+        used = np.frombuffer(data, "<i2", values, at)
+        even = used[np.frombuffer(data, np.uint8, size, at + 2 * values)]
+        at += 2 * values + size
+    else:
+        even = np.frombuffer(data, "<i2", size, at)
+        at += 2 * size
+    out = np.empty(n, np.int16)
+    out[::2] = even
+    out[1::2] = middles(even)[: n // 2] + (np.frombuffer(data, "<i2", n // 2, at) if flags & ODD else np.int16(0))
+    return out
+
+
+def decode_media(df: DataFrame, to: int = 16000, media: str = "media", packed: bool = False) -> DataFrame:
+    """df with payload (the stored samples), format (the WAV file's tag), pcm (16-bit, little-endian, resampled to a rate; in its
+    compact form if packed)."""
     added = [T.StructField("payload", T.BinaryType()), T.StructField("format", T.IntegerType()), T.StructField("pcm", T.BinaryType())]
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*kept, *added])
@@ -166,7 +210,8 @@ def decode_media(df: DataFrame, to: int = 16000, media: str = "media") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, media):
             files = [None if m is None else parse_wav(m) for m in part.column(media).to_pylist()]
-            pcm = [f and resample(decoded(f[0], f[2]), f[1], to).astype("<i2").tobytes() for f in files]
+            form = compact if packed else lambda x: x.astype("<i2").tobytes()
+            pcm = [f and form(resample(decoded(f[0], f[2]), f[1], to).astype(np.int16)) for f in files]
             columns = [pa.array([f and f[2] for f in files], pa.binary()), pa.array([f and f[0] for f in files], pa.int32()), pa.array(pcm, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns], names=[f.name for f in schema.fields])
 
@@ -181,14 +226,16 @@ def store_pcm(df: DataFrame, name: str = "pcm") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_features(df: DataFrame, pcm: str = "pcm") -> DataFrame:
-    """df with feature instead of pcm: peak, root mean square and sign changes of the stored PCM, and its checksum."""
+def with_features(df: DataFrame, pcm: str = "pcm", packed: bool = False) -> DataFrame:
+    """df with feature instead of pcm: peak, root mean square and sign changes of the stored PCM, and its checksum. packed: the
+    column has its compact form."""
     kept = [f for f in df.schema.fields if f.name not in (pcm, "feature")]
     schema = T.StructType([*kept, T.StructField("feature", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, pcm, 4 * CHUNK_CHARS):
-            made = feature_strings(part.column(pcm).to_pylist())
+        for part in slices(batches, pcm, CHUNK_CHARS if packed else 4 * CHUNK_CHARS):
+            stored = part.column(pcm).to_pylist()
+            made = feature_strings([x and expanded(x).astype("<i2").tobytes() for x in stored] if packed else stored)
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(made, pa.string())], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)

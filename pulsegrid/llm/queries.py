@@ -52,7 +52,7 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.encode_media(only(table(spark, sf_dir, "documents"), "doc_id", "text")), "media")
     size, payload = F.length("payload"), F.col("payload")
-    digests = media.decode_media(stored).select(
+    digests = media.decode_media(stored, packed=True).select(
         "doc_id",
         "n_bytes",
         size.cast("long").alias("payload_bytes"),
@@ -63,7 +63,7 @@ def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "format",
         "pcm",
     )
-    return media.with_features(media.store_pcm(digests))
+    return media.with_features(media.store_pcm(digests), packed=True)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

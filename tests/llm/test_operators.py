@@ -553,6 +553,17 @@ def test_repeated_ids_keep_the_sample_bounded_and_copies_stay(spark):
 
 
 # ---------------------------------------------------------------- 7: media
+def test_compact_pcm_is_without_loss():
+    rng = np.random.default_rng(6)
+    few = rng.integers(-32768, 32768, 200).astype(np.int16)
+    made = [rng.integers(-32768, 32768, n).astype(np.int16) for n in (1, 2, 3, 64, 257, 10_001)] + [few[rng.integers(0, 200, n)] for n in (1, 100, 9000)]
+    made += [media.resample(x, 8000, 16000) for x in made] + [np.array([-32768, 32767] * 40, np.int16)]
+    for pcm in made:
+        assert (media.expanded(media.compact(pcm)) == pcm).all()
+    voice = media.resample(media.mulaw_table()[rng.integers(0, 256, 5000)].astype(np.int16), 8000, 16000)
+    assert len(media.compact(voice)) < 5000 + 600
+
+
 def test_audio_round_trip(spark, texts, tmp_path):
     got = {r.doc_id: r for r in q.op7_telephony_audio(spark, write_tables(spark, tmp_path / "d", texts)).collect()}
     for i, t in enumerate(texts):
