@@ -169,7 +169,7 @@ def compact(pcm: np.ndarray) -> bytes:
     differ = odd - middles(even)[: len(odd)]
     used = np.unique(even) if len(even) < 4096 else np.flatnonzero(np.bincount(even.view(np.uint16), minlength=1 << 16)).astype(np.uint16).view(np.int16)
     flags = (PALETTE if len(used) <= 256 else 0) | (ODD if differ.any() else 0)
-    body = even.astype("<i2").tobytes()
+    body = even.astype("<i2").view(np.uint8).reshape(-1, 2).T.tobytes()  # low bytes, then high ones
     if flags & PALETTE:
         place = np.zeros(1 << 16, np.uint8)
         place[used.view(np.uint16)] = np.arange(len(used))
@@ -192,7 +192,7 @@ def expanded(data: bytes) -> np.ndarray:
         even = used[np.frombuffer(data, np.uint8, size, at + 2 * values)]
         at += 2 * values + size
     else:
-        even = np.frombuffer(data, "<i2", size, at)
+        even = np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * size, at).reshape(2, -1).T).view("<i2").ravel()
         at += 2 * size
     out = np.empty(n, np.int16)
     out[::2] = even
@@ -218,11 +218,11 @@ def decode_media(df: DataFrame, to: int = 16000, media: str = "media", packed: b
     return df.mapInArrow(run, schema)
 
 
-def store_pcm(df: DataFrame, name: str = "pcm") -> DataFrame:
-    """df with its pcm column, written to the shared folder in a compact form and read back."""
+def stored(df: DataFrame, name: str = "media") -> DataFrame:
+    """df with its media or PCM, written to the shared folder, well compressed, and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

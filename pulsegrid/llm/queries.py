@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, language_model, licenses, media, merkle, mixing, passages, personal, quality, repetitions, simhash, token_files, urls
-from .common import only, table, written
+from .common import only, table
 
 #: The places of public vocabularies; a parameter of every operator that reads one.
 RANKS_50K = "byte_bpe_50k.tiktoken"
@@ -50,9 +50,9 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = written(media.encode_media(only(table(spark, sf_dir, "documents"), "doc_id", "text")), "media")
+    files = media.stored(media.encode_media(only(table(spark, sf_dir, "documents"), "doc_id", "text")))
     size, payload = F.length("payload"), F.col("payload")
-    digests = media.decode_media(stored, packed=True).select(
+    digests = media.decode_media(files, packed=True).select(
         "doc_id",
         "n_bytes",
         size.cast("long").alias("payload_bytes"),
@@ -63,7 +63,7 @@ def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "format",
         "pcm",
     )
-    return media.with_features(media.store_pcm(digests), packed=True)
+    return media.with_features(media.stored(digests, "pcm"), packed=True)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -583,7 +583,7 @@ def test_columns_of_every_format_decode_and_bad_files_give_null(spark):
     rows = [(t, media.wav(data, t)) for t in (media.MULAW, media.ALAW, media.IMA_ADPCM)]
     rows += [(0, None), (0, b""), (0, b"RIFF"), (0, media.wav(data)[:30]), (0, media.wav(data, 99)), (1, media.wav(data)[:-100]), (0, b"x" * 500), (0, media.wav(data, rate=0))]
     df = spark.createDataFrame(rows, "tag int, media binary").withColumn("format", F.lit("own")).withColumn("feature", F.lit(1))
-    for r in media.with_features(media.store_pcm(media.decode_media(df))).collect():
+    for r in media.with_features(media.stored(media.decode_media(df), "pcm")).collect():
         if not r.tag:
             assert r.payload is None and r.feature is None and r.format is None
         elif r.tag > 1:
