@@ -17,6 +17,9 @@ block was added or cut, one end of the text is as it was. So drop_near_duplicate
 of the whole text (WHOLE, radius 4) and of the first and the last words (EDGES of either, radius 2), as many words as the largest
 numbers of a geometric scale below half the text's; texts that differ by a fifth in length share such a number. What these tables
 link are candidates: each link is verified by the exact similarity of the five-word shingle sets, 0.8 or more.
+A spanning forest of a bucket holds few of its pairs, and edits can take a pair out of every table's reach. So an exact way for
+the rest follows (remaining_pairs): a set similarity join by prefixes finds every pair of texts of different components that can be
+so similar, and those are verified as well. Together they are the components of all pairs at or above the similarity.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts that have no shingle in common but are both
 without words are alike. Rows that share a doc_id are all returned, each by its own text; a row with a null doc_id belongs to the
@@ -28,12 +31,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, compressed_texts, only, written
@@ -192,6 +196,8 @@ def near_duplicates(docs: DataFrame, words: int, radius: int = 4) -> DataFrame:
 # ---------------------------------------------------------------- near duplicates by verified similarity
 WHOLE, EDGES, EDGE_RADIUS = 4, 3, 2
 SHINGLE, SIMILARITY = 5, 0.8
+#: Texts that the order of shingles is taken from, and shingles that it moves to the end.
+SAMPLE, COMMON = 20_000, 200_000
 #: Ratio of the scale of word numbers for the ends of a text: EDGES steps span a difference of a quarter in length.
 SCALE = 1.12
 _STEPS = np.unique(np.rint(SCALE ** np.arange(260)).astype(np.int64))
@@ -257,6 +263,78 @@ def verified(edges: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return both.select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long")
 
 
+def edge_texts(edges: DataFrame, texts_of: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(doc_id, z) of the texts that are an end of an edge, named by their hash; one document of each text gives it."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(texts_of.select("h", F.col("named").alias("doc_id")), "h")
+    named = compressed_texts(hashed, ends.select("doc_id"), "h")
+    return written(named.join(ends, ["doc_id", "h"]).select(F.col("h").alias("doc_id"), "z").dropDuplicates(["doc_id"]), "simhash-named")
+
+
+def common_shingles(hashed: DataFrame, n: int) -> np.ndarray:
+    """Hashes of shingles that stand in several texts of a sample of about SAMPLE of the n texts, most frequent first, COMMON at most.
+    They only order the shingles of a text: any order gives the same pairs, a good one fewer candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in texts]).view(np.int64))], names=["s"])
+
+    sample = hashed.filter(F.pmod(F.xxhash64("h"), F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["h"]).select("text")
+    found = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).filter("c > 2")
+    rows = found.orderBy(F.desc("c"), "s").limit(COMMON).toPandas()
+    return rows["s"].to_numpy(np.int64)
+
+
+def prefix_size(n: int, least: float) -> int:
+    """Of n shingles in order, those of which a set at least so similar must hold one among its own."""
+    return n - ceil(least * n - 1e-6) + 1
+
+
+def shingle_prefixes(hashed: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """(s, node, n, i): the first shingles of each text (h: node), of all its n ones, by their number in the order of
+    all texts: rare ones first, the most frequent last. A text without words has one shingle of its own kind."""
+    by_hash = np.argsort(common)
+    shared = hashed.sparkSession.sparkContext.broadcast((common[by_hash], len(common) - by_hash))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for batch, texts in chunks(batches):
+            sets, sizes, takes = [], [], []
+            for t in texts:
+                own = shingle_set(t).view(np.int64)
+                own = own if len(own) else np.zeros(1, np.int64)
+                at = np.searchsorted(known, own)
+                late = np.where(np.append(known, 0)[at] == own, np.append(rank, 0)[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                first = own[np.lexsort((own, late))][: prefix_size(len(own), least)]
+                sets.append(first)
+                sizes.append(len(own))
+                takes.append(len(first))
+            takes = np.array(takes)
+            of = np.repeat(np.arange(len(texts)), takes)
+            places = np.arange(len(of)) - np.repeat(np.cumsum(takes) - takes, takes)
+            columns = [pa.array(np.concatenate(sets)), batch.column("h").take(pa.array(of)), pa.array(np.array(sizes, np.int32)[of]), pa.array(places.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["s", "node", "n", "i"])
+
+    return hashed.select("h", "text").mapInArrow(run, "s long, node long, n int, i int")
+
+
+def remaining_pairs(hashed: DataFrame, texts_of: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(u, v): every pair of texts (hashed: doc_id, text, h) of different components (roots: node, root) that can be at least so similar.
+    Two such sets share a shingle among the first of both, in any order that all texts have in common, and after the first one
+    they share enough are left on both sides. Pairs within a component need no link."""
+    first = shingle_prefixes(hashed, common_shingles(hashed, texts_of.count()), least)
+    of_s = Window.partitionBy("s")
+    met = first.select("*", F.min("node").over(of_s).alias("a"), F.max("node").over(of_s).alias("b")).filter("a != b").drop("a", "b")
+    met = written(met.distinct(), "simhash-prefixes")
+    owned = met.join(roots, "node", "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("c"))
+    apart = owned.select("*", F.min("c").over(of_s).alias("a"), F.max("c").over(of_s).alias("b")).filter("a != b").drop("a", "b")
+    apart = written(apart, "simhash-apart")
+    other = apart.toDF("s", "other", "on", "oi", "oc")
+    left = F.least(F.col("n") - F.col("i"), F.col("on") - F.col("oi"))
+    possible = (left >= least / (1 + least) * (F.col("n") + F.col("on")) - 1e-6) & (F.least("n", "on") >= least * F.greatest("n", "on") - 1e-6)
+    pairs = apart.join(other, "s").filter((F.col("node") > F.col("other")) & (F.col("c") != F.col("oc")) & possible)
+    return written(pairs.select(F.col("node").alias("u"), F.col("other").alias("v")).distinct(), "simhash-rest")
+
+
 def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, component_id, first) of all documents with a doc_id; a document is a doc_id with a text (of hash h). Texts are
     linked whose five-word shingle sets are at least so similar; component_id is the smallest doc_id of a component, and first is true
@@ -283,11 +361,11 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = near.join(of_a, ["part", "a"]).join(of_b, ["part", "b"]).select("u", "v")
     edges = edges.union(valued.join(heads, ["part", "fp"]).filter("node != head").select("node", "head"))
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "simhash-candidates")
-    # one document of each text gives it
-    ends = edges.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(texts_of.select("h", F.col("named").alias("doc_id")), "h")
-    named = compressed_texts(hashed, ends.select("doc_id"), "h")
-    texts = named.join(ends, ["doc_id", "h"]).select(F.col("h").alias("doc_id"), "z").dropDuplicates(["doc_id"])
-    roots = connected_components(verified(edges, written(texts, "simhash-named"), least), "u", "v")
+    passed = verified(edges, edge_texts(edges, texts_of, hashed), least)
+    roots = written(connected_components(passed, "u", "v"), "simhash-first")
+    rest = remaining_pairs(hashed, texts_of, roots, least)
+    passed = verified(rest, edge_texts(rest, texts_of, hashed), least)
+    roots = connected_components(roots.toDF("u", "v").union(passed), "u", "v")
     of_text = texts_of.select("h", "named").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "named", F.coalesce("root", "h").alias("component"))
     least_doc = of_text.groupBy("component").agg(F.min(F.struct(F.col("named").alias("doc_id"), "h")).alias("kept"))
     known = of_text.join(least_doc, "component").select("h", "kept")

@@ -484,6 +484,34 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert set(got) <= linked
 
 
+def test_no_pair_of_similar_texts_is_missed(spark, monkeypatch):
+    """Scattered edits beside added words, and groups that share half their words: no bucket of fingerprints holds every pair."""
+    rng = random.Random(23)
+    made = [None, "", " ", "\u2003", "one two", "ONE  two", "one two three"]
+    for k in range(120):
+        words = random_words(rng, 150)
+        edited = [w if rng.random() > 0.012 else "zz" for w in words]
+        at = rng.randrange(150)
+        made += [" ".join(words), " ".join(edited[:at] + random_words(rng, 10 + k % 8) + edited[at:])]
+    lead = random_words(rng, 60)
+    for _ in range(12):
+        own = lead + random_words(rng, 60)
+        made += [" ".join(own), " ".join(own[:40] + own[45:])]
+    rows = [(i, t) for i, t in enumerate(made)]
+    sets = [set(simhash.shingle_set(t or "").tolist()) for t in made]
+    root = list(range(len(made)))
+    for i, j in combinations(range(len(made)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or a and b and len(a & b) / len(a | b) >= 0.8:
+            root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == dict(enumerate(root))
+    # without the fingerprints' links the set join alone finds them
+    monkeypatch.setattr(simhash, "links", lambda values, radius: spark.createDataFrame([], "part int, a long, b long"))
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == dict(enumerate(root))
+
+
 # ---------------------------------------------------------------- 6: mixing
 def test_rates_meet_the_targets_and_toxic_documents_go(spark):
     rng = random.Random(8)
