@@ -365,6 +365,23 @@ def test_parts_of_an_alignment_that_are_alike():
         assert {k for k in range(0, 15, 2)} <= kept  # every stretch of equal words is in a part
 
 
+def test_exact_repeats_are_found_whatever_other_documents_have_their_seeds(spark):
+    """Each passage stands whole in one document; others before and after it quote all of it but a word at either end or more."""
+    rng = random.Random(41)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], {}
+    for n in range(50, 56):
+        shared = fresh(n)
+        parts = [shared[:48], shared[-48:], shared[1:47], shared[3:49]]
+        for part in (*parts, shared, *parts):
+            texts.append(fresh(20) + part + fresh(20))
+        want[len(texts)] = (len(texts) - len(parts) - 1, 30, 30 + n)
+        texts.append(fresh(30) + shared + fresh(30))
+    rows = passages.passages(frame(spark, [" ".join(t) for t in texts])).collect()
+    assert {r.doc_id: (r.source, r.start, r.end) for r in rows} == want
+    assert all(r.n_equal == r.end - r.start for r in rows)
+
+
 def test_fuzzy_passages_are_mostly_found(spark):
     rng = random.Random(12)
     for n, share, least in ((80, 0.1, 0.9), (120, 0.15, 0.85)):
