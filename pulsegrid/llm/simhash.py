@@ -18,8 +18,9 @@ of the whole text (WHOLE, radius 4) and of the first and the last words (EDGES o
 numbers of a geometric scale below half the text's; texts that differ by a fifth in length share such a number. What these tables
 link are candidates: each link is verified by the exact similarity of the five-word shingle sets, 0.8 or more.
 A spanning forest of a bucket holds few of its pairs, and edits can take a pair out of every table's reach. So an exact way for
-the rest follows (remaining_pairs): a set similarity join by prefixes finds every pair of texts of different components that can be
-so similar, and those are verified as well. Together they are the components of all pairs at or above the similarity.
+the rest follows: a set similarity join by prefixes of the shingles (first_shingles, remaining_pairs) finds every pair of texts of
+different components that can be so similar, and those are verified as well. Each text meets the smallest one with a shingle first; only
+pairs that are still in different components then follow. Together they are the components of all pairs at or above the similarity.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts that have no shingle in common but are both
 without words are alike. Rows that share a doc_id are all returned, each by its own text; a row with a null doc_id belongs to the
@@ -40,8 +41,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, compressed_texts, only, written
+from .common import chunks, compressed_texts, only, slices, word_hashes, written
 from .components import connected_components
+from .passages import shingle_hashes
 
 #: Fingerprints of a bucket that one task compares directly.
 DIRECT = 4096
@@ -196,8 +198,8 @@ def near_duplicates(docs: DataFrame, words: int, radius: int = 4) -> DataFrame:
 # ---------------------------------------------------------------- near duplicates by verified similarity
 WHOLE, EDGES, EDGE_RADIUS = 4, 3, 2
 SHINGLE, SIMILARITY = 5, 0.8
-#: Texts that the order of shingles is taken from, and shingles that it moves to the end.
-SAMPLE, COMMON = 20_000, 200_000
+#: Share of all shingles that tells first which texts can have a partner, and further rounds that do by all shingles.
+LOW, ROUNDS = 0.32, 2
 #: Ratio of the scale of word numbers for the ends of a text: EDGES steps span a difference of a quarter in length.
 SCALE = 1.12
 _STEPS = np.unique(np.rint(SCALE ** np.arange(260)).astype(np.int64))
@@ -264,71 +266,83 @@ def verified(edges: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
 
 def edge_texts(edges: DataFrame, texts_of: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(doc_id, z) of the texts that are an end of an edge, named by their hash; one document of each text gives it."""
-    ends = edges.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(texts_of.select("h", F.col("named").alias("doc_id")), "h")
+    """(doc_id, z) of the texts that are an end of an edge, named by their hash."""
+    return node_texts(edges.select(F.explode(F.array("u", "v")).alias("h")).distinct(), texts_of, hashed)
+
+
+def node_texts(nodes: DataFrame, texts_of: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(doc_id, z) of the texts (h), named by their hash; one document of each text gives it."""
+    ends = nodes.join(texts_of.select("h", F.col("named").alias("doc_id")), "h")
     named = compressed_texts(hashed, ends.select("doc_id"), "h")
     return written(named.join(ends, ["doc_id", "h"]).select(F.col("h").alias("doc_id"), "z").dropDuplicates(["doc_id"]), "simhash-named")
 
 
-def common_shingles(hashed: DataFrame, n: int) -> np.ndarray:
-    """Hashes of shingles that stand in several texts of a sample of about SAMPLE of the n texts, most frequent first, COMMON at most.
-    They only order the shingles of a text: any order gives the same pairs, a good one fewer candidates."""
+def prefix_size(n: int, least: float) -> int:
+    """Of n shingles, in any order, those of which a set at least so similar must hold one."""
+    return n - ceil(least * n - 1e-6) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in texts]).view(np.int64))], names=["s"])
 
-    sample = hashed.filter(F.pmod(F.xxhash64("h"), F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["h"]).select("text")
-    found = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).filter("c > 2")
-    rows = found.orderBy(F.desc("c"), "s").limit(COMMON).toPandas()
-    return rows["s"].to_numpy(np.int64)
+def low_shingles(hashed: DataFrame, least: float) -> DataFrame:
+    """(s, node, need): the shingles of each text (h: node) whose hash is below LOW of all, and how many shingles that no other
+    text has are too many for a text at least so similar. Hashes are quick ones: if two meet, a text is looked at further."""
+    most = np.uint64(int(LOW * 2**64))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            word, sizes = word_hashes(texts)
+            value = shingle_hashes(word, SHINGLE) if len(word) >= SHINGLE else word[:0]
+            owner = np.repeat(np.arange(len(texts)), sizes)[: len(value)]
+            inside = np.arange(len(value)) - (np.cumsum(sizes) - sizes)[owner]
+            at = np.flatnonzero((value < most) & (inside + SHINGLE <= sizes[owner]))
+            rows = pa.array(owner[at])
+            needs = np.array([prefix_size(max(1, n - SHINGLE + 1), least) for n in sizes.tolist()], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), batch.column("h").take(rows), pa.array(needs[owner[at]])], names=["s", "node", "need"])
 
-def prefix_size(n: int, least: float) -> int:
-    """Of n shingles in order, those of which a set at least so similar must hold one among its own."""
-    return n - ceil(least * n - 1e-6) + 1
+    return hashed.select("h", "text").mapInArrow(run, "s long, node long, need int")
 
 
-def shingle_prefixes(hashed: DataFrame, common: np.ndarray, least: float) -> DataFrame:
-    """(s, node, n, i): the first shingles of each text (h: node), of all its n ones, by their number in the order of
-    all texts: rare ones first, the most frequent last. A text without words has one shingle of its own kind."""
-    by_hash = np.argsort(common)
-    shared = hashed.sparkSession.sparkContext.broadcast((common[by_hash], len(common) - by_hash))
+def full_shingles(texts: DataFrame) -> DataFrame:
+    """(s, node, n): all n shingles of each text (doc_id: node, z). A text without words has one shingle of its own kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
-        for batch, texts in chunks(batches):
-            sets, sizes, takes = [], [], []
-            for t in texts:
-                own = shingle_set(t).view(np.int64)
-                own = own if len(own) else np.zeros(1, np.int64)
-                at = np.searchsorted(known, own)
-                late = np.where(np.append(known, 0)[at] == own, np.append(rank, 0)[at], 0) if len(known) else np.zeros(len(own), np.int64)
-                first = own[np.lexsort((own, late))][: prefix_size(len(own), least)]
-                sets.append(first)
-                sizes.append(len(own))
-                takes.append(len(first))
-            takes = np.array(takes)
-            of = np.repeat(np.arange(len(texts)), takes)
-            places = np.arange(len(of)) - np.repeat(np.cumsum(takes) - takes, takes)
-            columns = [pa.array(np.concatenate(sets)), batch.column("h").take(pa.array(of)), pa.array(np.array(sizes, np.int32)[of]), pa.array(places.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["s", "node", "n", "i"])
-
-    return hashed.select("h", "text").mapInArrow(run, "s long, node long, n int, i int")
-
-
-def remaining_pairs(hashed: DataFrame, texts_of: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(u, v): every pair of texts (hashed: doc_id, text, h) of different components (roots: node, root) that can be at least so similar.
-    Two such sets share a shingle among the first of both, in any order that all texts have in common, and after the first one
-    they share enough are left on both sides. Pairs within a component need no link."""
-    first = shingle_prefixes(hashed, common_shingles(hashed, texts_of.count()), least)
-    of_s = Window.partitionBy("s")
-    met = first.select("*", F.min("node").over(of_s).alias("a"), F.max("node").over(of_s).alias("b")).filter("a != b").drop("a", "b")
-    met = written(met.distinct(), "simhash-prefixes")
-    owned = met.join(roots, "node", "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("c"))
-    apart = owned.select("*", F.min("c").over(of_s).alias("a"), F.max("c").over(of_s).alias("b")).filter("a != b").drop("a", "b")
-    apart = written(apart, "simhash-apart")
-    other = apart.toDF("s", "other", "on", "oi", "oc")
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "z"):
+            sets = [shingle_set(unpack.decompress(z.as_py()).decode()).view(np.int64) for z in batch.column("z")]
+            sets = [own if len(own) else np.zeros(1, np.int64) for own in sets]
+            sizes = np.array([len(own) for own in sets])
+            of = np.repeat(np.arange(len(sets)), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), batch.column("doc_id").take(pa.array(of)), pa.array(sizes[of].astype(np.int32))], names=["s", "node", "n"])
+
+    return texts.mapInArrow(run, "s long, node long, n int")
+
+
+def first_shingles(hashed: DataFrame, texts_of: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(s, node, n, i): of the texts (hashed: doc_id, text, h) that can have a partner in another component (roots: node, root) the
+    first shingles, by their place i among all n of the text, in one order of all shingles. A text shares least * n of its shingles with
+    each partner, so texts of which more are nobody else's have none: first told by the shingles of smallest hash, then by all shingles,
+    which must be in texts of two components. Of what is left, shingles of the fewest texts come first. Two sets at least so similar
+    share a shingle among the first of both."""
+    lone = low_shingles(hashed, least).groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("b"), F.max("need").alias("need")).filter("node = b")
+    free = lone.groupBy("node").agg(F.count("*").alias("own"), F.max("need").alias("need")).filter("own >= need").select(F.col("node").alias("h"))
+    held = written(texts_of.select("h").join(free, "h", "left_anti"), "simhash-held")
+    owned = full_shingles(node_texts(held, texts_of, hashed)).join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("c"))
+    rows = written(owned, "simhash-shingles")
+    for _ in range(ROUNDS):  # each leaves fewer texts, whose shingles then stand in fewer of them
+        shared = rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("texts")).filter("a != b").select("s", "texts")
+        met = rows.select("s", "node", "n", "c").join(shared, "s")
+        enough = met.groupBy("node").agg(F.count("*").alias("met"), F.max("n").alias("n")).filter(F.col("met") >= F.ceil(least * F.col("n") - 1e-6)).select("node", "met")
+        rows = written(met.join(enough, "node"), "simhash-shared")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("texts", "s")) - 1 + F.col("n") - F.col("met")
+    return written(rows.select("s", "node", "n", place.alias("i")).filter(F.col("i") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6)), "simhash-apart")
+
+
+def remaining_pairs(first: DataFrame, roots: DataFrame, least: float, heads: bool) -> DataFrame:
+    """(u, v): the pairs of texts of different components (roots: node, root) that share one of their first shingles and can be at
+    least so similar: after the shingle they have enough left on both sides. All of them, or with heads only those of a text with the
+    smallest one that has the shingle: no more rows than there are shingles."""
+    apart = first.join(roots, "node", "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("c"))
+    other = apart.groupBy("s").agg(F.min(F.struct("node", "n", "i", "c")).alias("o")).select("s", "o.*") if heads else apart.select("s", "node", "n", "i", "c")
+    other = other.toDF("s", "other", "on", "oi", "oc")
     left = F.least(F.col("n") - F.col("i"), F.col("on") - F.col("oi"))
     possible = (left >= least / (1 + least) * (F.col("n") + F.col("on")) - 1e-6) & (F.least("n", "on") >= least * F.greatest("n", "on") - 1e-6)
     pairs = apart.join(other, "s").filter((F.col("node") > F.col("other")) & (F.col("c") != F.col("oc")) & possible)
@@ -363,9 +377,11 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "simhash-candidates")
     passed = verified(edges, edge_texts(edges, texts_of, hashed), least)
     roots = written(connected_components(passed, "u", "v"), "simhash-first")
-    rest = remaining_pairs(hashed, texts_of, roots, least)
-    passed = verified(rest, edge_texts(rest, texts_of, hashed), least)
-    roots = connected_components(roots.toDF("u", "v").union(passed), "u", "v")
+    first = first_shingles(hashed, texts_of, roots, least)
+    for heads in (True, False):  # what a large group's heads link needs no pair of its own any more
+        rest = remaining_pairs(first, roots, least, heads)
+        passed = verified(rest, edge_texts(rest, texts_of, hashed), least)
+        roots = written(connected_components(roots.toDF("u", "v").union(passed), "u", "v"), "simhash-roots")
     of_text = texts_of.select("h", "named").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "named", F.coalesce("root", "h").alias("component"))
     least_doc = of_text.groupBy("component").agg(F.min(F.struct(F.col("named").alias("doc_id"), "h")).alias("kept"))
     known = of_text.join(least_doc, "component").select("h", "kept")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import bpe, language_model, licenses, media, mixing, passages, quality, registry, simhash, token_files, urls
 from pulsegrid.llm import queries as q
+from pulsegrid.llm.common import word_hashes
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -529,6 +530,30 @@ def test_no_pair_of_similar_texts_is_missed(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == dict(enumerate(root))
 
 
+def test_pairs_to_verify_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """A large group of alike texts that no fingerprint links, and texts that share a passage, far from alike."""
+    rng = random.Random(29)
+    base, passage = random_words(rng, 300), random_words(rng, 60)
+    made = [" ".join(base[: 4 * k] + random_words(rng, 4) + base[4 * k + 4 :]) for k in range(70)]
+    made += [" ".join(random_words(rng, 60) + passage + random_words(rng, 60)) for _ in range(70)]
+    seen, real = [], simhash.verified
+    monkeypatch.setattr(simhash, "links", lambda values, radius: spark.createDataFrame([], "part int, a long, b long"))
+    monkeypatch.setattr(simhash, "verified", lambda edges, *args: seen.append(edges.count()) or real(edges, *args))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 70 else i for i in range(140)}
+    assert sum(seen) < 5 * 70, seen  # 70 * 69 / 2 pairs are alike
+
+
+def test_quick_hashes_of_words_are_those_of_split_words():
+    rng = random.Random(31)
+    texts = ["", " ", "A", "a b", "\x1c a\x0bB\tc\r\n", "\u00e9\u2003 x\x00y \u0130"] + [" ".join(random_words(rng, rng.randrange(40))) for _ in range(50)]
+    for some in ([], texts[:2], texts):
+        words, sizes = word_hashes(some)
+        split = [w for t in some for w in t.encode().lower().split()]
+        assert sizes.tolist() == [len(t.encode().lower().split()) for t in some] and len(words) == len(split)
+        assert len(set(zip(words.tolist(), split))) == len(set(words.tolist())) == len(set(split))
+
+
 # ---------------------------------------------------------------- 6: mixing
 def test_rates_meet_the_targets_and_toxic_documents_go(spark):
     rng = random.Random(8)
