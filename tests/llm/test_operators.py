@@ -544,6 +544,20 @@ def test_pairs_to_verify_do_not_grow_with_the_square_of_a_group(spark, monkeypat
     assert sum(seen) < 5 * 70, seen  # 70 * 69 / 2 pairs are alike
 
 
+def test_windows_of_a_seed_are_one_match(spark):
+    """A passage of many documents: a match for each of its long seeds, not one for each 50 words."""
+    rng = random.Random(37)
+    passage = random_words(rng, 200)
+    texts = [" ".join(random_words(rng, 60) + passage + random_words(rng, 60)) for _ in range(12)]
+    docs = passages.keyed(frame(spark, texts))
+    found = passages.matched(passages.seed_table(docs)).filter("wide AND many")
+    windows = passages.matched(passages.window_table(docs, found), windows=True)
+    assert {r.doc_id for r in windows.collect()} >= set(range(1, 12))
+    assert windows.count() < 2 * 11 * 200 / 4  # two for each of 151 windows and of 11 documents before
+    rows = passages.passages(frame(spark, texts)).collect()
+    assert {r.doc_id for r in rows if r.end - r.start >= 200} == set(range(1, 12))
+
+
 def test_quick_hashes_of_words_are_those_of_split_words():
     rng = random.Random(31)
     texts = ["", " ", "A", "a b", "\x1c a\x0bB\tc\r\n", "\u00e9\u2003 x\x00y \u0130"] + [" ".join(random_words(rng, rng.randrange(40))) for _ in range(50)]
