@@ -378,7 +378,7 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     passed = verified(edges, edge_texts(edges, texts_of, hashed), least)
     roots = written(connected_components(passed, "u", "v"), "simhash-first")
     first = first_shingles(hashed, texts_of, roots, least)
-    for heads in (True, False):  # what a large group's heads link needs no pair of its own any more
+    for heads in (True, False):  # what heads link needs no pair of its own any more
         rest = remaining_pairs(first, roots, least, heads)
         passed = verified(rest, edge_texts(rest, texts_of, hashed), least)
         roots = written(connected_components(roots.toDF("u", "v").union(passed), "u", "v"), "simhash-roots")
