@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, slices
+from .common import chunks, released, slices
 
 # ---------------------------------------------------------------- classes, symbols, automaton
 LETTER, NUMBER, OTHER, BLANK, WHITE, END = range(6)
@@ -332,6 +332,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True, d
                 columns += decode_rows(rows, vocabulary)
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
         vocabulary.cache.clear()
+        released()
 
     return df.mapInArrow(run, schema)
 

@@ -882,3 +882,25 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
         docs = after
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert last.count() == docs.count() and last.filter("NOT exact").count() == 0
+
+
+def test_a_worker_gives_its_free_memory_back():
+    import ctypes
+
+    import pyarrow as pa
+    from pulsegrid.llm import common
+
+    def used():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    for _, texts in common.chunks(iter([pa.RecordBatch.from_pydict({"text": ["some words of a text"]})])):
+        common.word_hashes(texts)
+        assert common._powers.cache_info().currsize == 1
+    assert common._powers.cache_info().currsize == 0
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        arrays = [np.ones(8000) for _ in range(2000)]  # 128 MB, and one array behind them that stays
+        before, last = used(), arrays.pop()
+        del arrays
+        common.released()
+        assert len(last) and used() < before - 100_000_000
