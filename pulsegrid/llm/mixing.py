@@ -21,7 +21,7 @@ apply_mix and not looked at.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, only, written
+from .common import chunks, only, released, written
 
 DOMAINS = ("clean", "low", "toxic")
 #: Labelled documents of each domain that the classifier is fitted on, at most.
 PER_DOMAIN = 1_500
 #: Documents of the sample that a word or run must be in to have a weight.
 LEAST_DOCS = 10
+#: Entries of the sample's matrix that a step of the fit takes at once; bounds the driver's memory.
+BLOCK = 1 << 17
 WORDS = 1 << 17
 BUCKETS = WORDS + (1 << 16)
 #: The last row of the weights but one: a bucket without weight.
@@ -124,9 +126,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DO
     return [(r["domain"], np.frombuffer(r["words"], np.int32).reshape(2, -1)) for r in rows]
 
 
+def cut_up(ends: np.ndarray, place: np.ndarray, value: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of whole documents, of about BLOCK entries each: the documents, where each begins, and views of their columns and values."""
+    begins = np.append(0, ends[:-1])
+    first = np.flatnonzero(np.diff(begins // BLOCK, prepend=-1))
+    rows = [slice(a, b) for a, b in zip(first, [*first[1:], len(ends)])]
+    spans = [slice(begins[r.start], ends[r.stop - 1]) for r in rows]
+    return [(r, begins[r] - own.start, place[own], value[own]) for r, own in zip(rows, spans)]
+
+
+def slopes(blocks: list[tuple[slice, np.ndarray, np.ndarray, np.ndarray]], point: np.ndarray, of: Callable[[slice, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The transposed matrix times what "of" makes of its product with the point; beside the matrix, only one block's products are in memory."""
+    out = np.zeros_like(point)
+    for rows, begins, at, v in blocks:
+        z = np.stack([np.add.reduceat(v * point[at, d], begins) for d in range(point.shape[1])], axis=1)
+        found = np.repeat(of(rows, z), np.diff(np.append(begins, len(v))), axis=0)
+        for d in range(point.shape[1]):
+            out[:, d] += np.bincount(at, v * found[:, d], len(out))
+    return out
+
+
 def fit(sample: Sequence[tuple[int, np.ndarray]], share: np.ndarray | None = None, steps: int = 60, decay: float = 1e-5) -> np.ndarray:
     """Weights (BUCKETS + 3, domains) of a softmax model, by accelerated gradient steps over columns
-    of like size. Domains weigh alike in the fit; the row BUCKETS is the intercept, the row NOTHING is zero, and the last row the
+    of like size. The driver holds the sample and one matrix of it, 12 bytes an entry. Domains weigh alike in the fit; the row BUCKETS is the intercept, the row NOTHING is zero, and the last row the
     logarithms of the domains' shares, by which posteriors follow the labels' own mix."""
     weights = np.zeros((BUCKETS + 3, len(DOMAINS)))
     if share is not None and share.any():
@@ -138,34 +160,44 @@ def fit(sample: Sequence[tuple[int, np.ndarray]], share: np.ndarray | None = Non
     if len(present) < 2:
         return weights.astype(np.float32)
     y = np.array([d for d, _ in sample])
-    often = np.bincount(np.concatenate([x[0] for _, x in sample]), minlength=BUCKETS) >= min(LEAST_DOCS, len(y) // 4)
-    total = np.array([x[1].sum() + 1.0 for _, x in sample])
-    sample = [(d, x[:, often[x[0]]]) for d, x in sample]
-    sizes = np.array([x.shape[1] + 1 for _, x in sample])
-    column = np.concatenate([np.append(x[0], BUCKETS) for _, x in sample])
-    row = np.repeat(np.arange(len(y)), sizes)
-    value = np.concatenate([np.append(x[1], 1) for _, x in sample]) / (total**POWER)[row]
-    used, place = np.unique(column, return_inverse=True)
+    docs = np.zeros(BUCKETS, np.int32)
+    for _, x in sample:
+        docs[x[0]] += 1
+    often = docs >= min(LEAST_DOCS, len(y) // 4)
+    used = np.append(np.flatnonzero(often & (docs > 0)), BUCKETS)
     n = len(used)
-    size = np.sqrt(np.bincount(place, value * value, n) / len(y))
+    column = np.zeros(BUCKETS, np.int32)
+    column[used[:-1]] = np.arange(n - 1)
+    total = np.array([x[1].sum() + 1.0 for _, x in sample]) ** POWER
+    ends = np.cumsum([np.count_nonzero(often[x[0]]) + 1 for _, x in sample])
+    place, value = np.full(ends[-1], n - 1, np.int32), np.empty(ends[-1])
+    for (_, x), all_of_it, begin, end in zip(sample, total, np.append(0, ends), ends):  # the intercept is a document's last
+        kept = often[x[0]]
+        place[begin : end - 1] = column[x[0][kept]]
+        value[begin:end] = np.append(x[1][kept], 1) / all_of_it
+    blocks = cut_up(ends, place, value)
+    size = np.sqrt(sum(np.bincount(at, v * v, n) for _, _, at, v in blocks) / len(y))
     scale = np.where(used == BUCKETS, 1.0, 1 / (size + 0.3 * np.median(size)))
-    value = value * scale[place]
-    alike = 1 / np.bincount(y, minlength=len(DOMAINS))[y].astype(float) / len(present)
-    way = np.random.default_rng(0).normal(size=n)
+    for _, _, at, v in blocks:
+        v *= scale[at]
+    alike = (1 / np.bincount(y, minlength=len(DOMAINS))[y].astype(float) / len(present))[:, None]
+    way = np.random.default_rng(0).normal(size=(n, 1))
     for _ in range(15):  # the largest curvature, by repeated products
-        way = np.bincount(place, value * (alike * np.bincount(row, value * way[place], len(y)))[row], n)
+        way = slopes(blocks, way, lambda rows, z: alike[rows] * z)
         largest = float(np.linalg.norm(way))
         way /= largest
-    own = ahead = np.zeros((n, len(DOMAINS)))
-    t = 1.0
-    for _ in range(steps):
-        z = np.stack([np.bincount(row, value * ahead[place, d], len(y)) for d in range(len(DOMAINS))], axis=1)
+
+    def missed(rows: slice, z: np.ndarray) -> np.ndarray:
         z[:, absent] = -50.0
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p *= alike[:, None]
-        slope = np.stack([np.bincount(place, value * p[row, d], n) for d in range(len(DOMAINS))], axis=1) + decay * ahead
+        p[np.arange(len(p)), y[rows]] -= 1
+        return p * alike[rows]
+
+    own = ahead = np.zeros((n, len(DOMAINS)))
+    t = 1.0
+    for _ in range(steps):
+        slope = slopes(blocks, ahead, missed) + decay * ahead
         last, own = own, ahead - slope / (0.5 * largest + decay)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead = own + (before - 1) / t * (own - last)
@@ -174,6 +206,15 @@ def fit(sample: Sequence[tuple[int, np.ndarray]], share: np.ndarray | None = Non
     return weights.astype(np.float32)
 
 
+def model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, bool]:
+    """Weights, and whether any document is labelled. The driver gives the sample's memory back before the work goes on."""
+    sample = labelled_sample(docs, labels)
+    weights, any_labelled = fit(sample, shares(labels)), bool(sample)
+    del sample
+    released()
+    return weights, any_labelled
+
+
 def posteriors(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Domain posteriors and tokens of each text."""
     words, word_at, runs, run_at, tokens = features(texts)
@@ -274,17 +315,17 @@ def with_rate(members: DataFrame, steps: Sequence[np.ndarray]) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """(doc_id, n_tokens, p, rate, copies) of every document; texts are read once for their posteriors."""
-    sample = labelled_sample(docs, labels)
-    found = memberships(only(docs, "doc_id", "text"), fit(sample, shares(labels)))
+    weights, any_labelled = model(docs, labels)
+    found = memberships(only(docs, "doc_id", "text"), weights)
     members = written(found.select("row.doc_id", "n_tokens", "p", "share"), "memberships")
-    return with_rate(members, fit_rates(members, targets if sample else {})[0]).drop("share")
+    return with_rate(members, fit_rates(members, targets if any_labelled else {})[0]).drop("share")
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """docs, each as many times as its copies say. Posteriors are
     computed again rather than joined, which would shuffle the texts."""
-    sample = labelled_sample(docs, labels)
-    members = memberships(docs, fit(sample, shares(labels)))
-    steps, _ = fit_rates(written(members.select("n_tokens", "p"), "memberships"), targets if sample else {})
+    weights, any_labelled = model(docs, labels)
+    members = memberships(docs, weights)
+    steps, _ = fit_rates(written(members.select("n_tokens", "p"), "memberships"), targets if any_labelled else {})
     once = with_rate(members, steps).filter("copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return once.select("row.*")

@@ -636,6 +636,25 @@ def test_repeated_ids_keep_the_sample_bounded_and_copies_stay(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_the_fit_holds_one_matrix_of_the_sample_whatever_its_blocks(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 3000, 2500) + 1500 * d, return_counts=True) for d in range(3) for _ in range(300)]
+    sample = [(i // 300, np.stack(x).astype(np.int32)) for i, x in enumerate(rows)]
+    sample[7] = (0, np.array([[mixing.BUCKETS - 1], [3]], np.int32))  # nothing of it is in enough documents
+    entries = sum(x.shape[1] for _, x in sample)
+    assert entries > 10 * mixing.BLOCK
+    tracemalloc.start()
+    whole = mixing.fit(sample, steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * entries, peak / entries
+    for block in (1, 1 << 30):
+        monkeypatch.setattr(mixing, "BLOCK", block)
+        assert np.allclose(mixing.fit(sample, steps=5), whole, rtol=1e-5, atol=1e-7)
+
+
 # ---------------------------------------------------------------- 7: media
 def test_compact_pcm_is_without_loss():
     rng = np.random.default_rng(6)
