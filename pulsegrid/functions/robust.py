@@ -40,6 +40,13 @@ def population_cv(total: Column, squares: Column, n: Column | float) -> Column:
     return F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0))) / mean
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as doubles, by zero as well: infinite, or NaN of zero by zero."""
+    a, b = a.cast("double"), b.cast("double")
+    by_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def linear_count(bits: Column, size: int = 64) -> Column:
     """Distinct values from a bitmap of so many bits; a full one counts as size."""
     ones = F.bit_count(bits)

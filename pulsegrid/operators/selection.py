@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.robust import quotient
+
 
 def top_rows(rows: DataFrame, n: int, order: list[Column], *by: str) -> DataFrame:
     """The first n rows of each group; Spark prunes by rank before the shuffle."""
@@ -37,12 +39,12 @@ def sparklines(events: DataFrame, hourly: DataFrame, known_until: Column, hours:
 
 
 def rollup_by_language(counts: DataFrame) -> DataFrame:
-    """Human, automated and all views of each language with rank and cumulative share of the human ones."""
+    """Human, automated and all views of each language with rank and cumulative share of the human ones; NaN where there are none."""
     sums = counts.groupBy("lang").agg(F.sum("views").alias("raw_views"), F.sum(F.when(~F.col("is_automated"), F.col("views")).otherwise(0)).alias("human_views"))
     order = Window.partitionBy("whole").orderBy(F.desc("human_views"), "lang")
     rows = sums.withColumn("whole", F.lit(1))  # a row a language
     total = F.sum("human_views").over(Window.partitionBy("whole"))
-    share = F.sum("human_views").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total
+    share = quotient(F.sum("human_views").over(order.rowsBetween(Window.unboundedPreceding, 0)), total)
     return rows.withColumns({"automated_views": F.col("raw_views") - F.col("human_views"), "rank": F.row_number().over(order), "cumulative_share": share}).drop("whole")
 
 
