@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffled, written
 
 
 def _stars(edges: DataFrame, lowest: DataFrame) -> DataFrame:
-    return edges.join(lowest, "u")
+    return edges.join(shuffled(lowest), "u")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -34,10 +34,10 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         # large star: the larger neighbours of a node go to the smallest node of its neighbourhood
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(shuffled(lowest), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = large.join(shuffled(least), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         now = written(small, "cc")
         last, mark = mark, _mark(now)
         if mark == last:

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, compressed_texts, only, slices, word_hashes, written
+from .common import chunks, compressed_texts, only, shuffled, slices, word_hashes, written
 from .components import connected_components
 from .passages import shingle_hashes
 
@@ -153,7 +153,7 @@ def links(values: DataFrame, radius: int, direct: int = DIRECT) -> DataFrame:
     dealt = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")  # each row becomes n
     keys = dealt.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp")
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(keys.join(sizes, ["t", "k"]), "simhash-buckets")
+    members = written(keys.join(shuffled(sizes), ["t", "k"]), "simhash-buckets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,7 @@ def links(values: DataFrame, radius: int, direct: int = DIRECT) -> DataFrame:
     middle = members.filter(F.col("n") > direct).withColumn("table", F.col("t") % n).join(F.broadcast(flips), "table")
     middle = middle.select("t", "k", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), "fp", "near")
     heads = middle.groupBy("t", "k", "mid").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("head"), F.count("*").alias("c")).filter("c > 1 AND head IS NOT NULL")
-    large = middle.join(heads, ["t", "k", "mid"]).filter("fp != head").select(F.expr(f"int(t div {n})").alias("part"), F.col("head").alias("a"), F.col("fp").alias("b"))
+    large = middle.join(shuffled(heads), ["t", "k", "mid"]).filter("fp != head").select(F.expr(f"int(t div {n})").alias("part"), F.col("head").alias("a"), F.col("fp").alias("b"))
     return small.union(large).select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -184,10 +184,10 @@ def components(prints: DataFrame, radius: int, direct: int = DIRECT) -> DataFram
     near = links(heads.select("part", "fp"), radius, direct)
     of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("u"))
     of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("v"))
-    edges = near.join(of_a, ["part", "a"]).join(of_b, ["part", "b"]).select("u", "v")
+    edges = near.join(shuffled(of_a), ["part", "a"]).join(shuffled(of_b), ["part", "b"]).select("u", "v")
     roots = connected_components(edges, "u", "v")
-    of_node = nodes.join(roots, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(written(of_node, "simhash-roots"), "fps")
+    of_node = nodes.join(shuffled(roots), "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(shuffled(written(of_node, "simhash-roots")), "fps")
 
 
 def near_duplicates(docs: DataFrame, words: int, radius: int = 4) -> DataFrame:
@@ -249,7 +249,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
 def verified(edges: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The edges (u, v) whose texts (doc_id, z) have shingle sets at least so similar. The texts of an edge meet in one
     row; a document in many edges spreads over partitions by the edge."""
-    both = edges.join(texts.withColumnsRenamed({"doc_id": "u", "z": "zu"}), "u").repartition("u", "v").join(texts.withColumnsRenamed({"doc_id": "v", "z": "zv"}), "v")
+    both = edges.join(shuffled(texts.withColumnsRenamed({"doc_id": "u", "z": "zu"})), "u").repartition("u", "v").join(shuffled(texts.withColumnsRenamed({"doc_id": "v", "z": "zv"})), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, last, own = zstandard.ZstdDecompressor(), None, None
@@ -272,9 +272,9 @@ def edge_texts(edges: DataFrame, texts_of: DataFrame, hashed: DataFrame) -> Data
 
 def node_texts(nodes: DataFrame, texts_of: DataFrame, hashed: DataFrame) -> DataFrame:
     """(doc_id, z) of the texts (h), named by their hash; one document of each text gives it."""
-    ends = nodes.join(texts_of.select("h", F.col("named").alias("doc_id")), "h")
+    ends = nodes.join(shuffled(texts_of.select("h", F.col("named").alias("doc_id"))), "h")
     named = compressed_texts(hashed, ends.select("doc_id"), "h")
-    return written(named.join(ends, ["doc_id", "h"]).select(F.col("h").alias("doc_id"), "z").dropDuplicates(["doc_id"]), "simhash-named")
+    return written(named.join(shuffled(ends), ["doc_id", "h"]).select(F.col("h").alias("doc_id"), "z").dropDuplicates(["doc_id"]), "simhash-named")
 
 
 def prefix_size(n: int, least: float) -> int:
@@ -324,14 +324,14 @@ def first_shingles(hashed: DataFrame, texts_of: DataFrame, roots: DataFrame, lea
     share a shingle among the first of both."""
     lone = low_shingles(hashed, least).groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("b"), F.max("need").alias("need")).filter("node = b")
     free = lone.groupBy("node").agg(F.count("*").alias("own"), F.max("need").alias("need")).filter("own >= need").select(F.col("node").alias("h"))
-    held = written(texts_of.select("h").join(free, "h", "left_anti"), "simhash-held")
-    owned = full_shingles(node_texts(held, texts_of, hashed)).join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("c"))
+    held = written(texts_of.select("h").join(shuffled(free), "h", "left_anti"), "simhash-held")
+    owned = full_shingles(node_texts(held, texts_of, hashed)).join(shuffled(roots), "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("c"))
     rows = written(owned, "simhash-shingles")
     for _ in range(ROUNDS):  # each leaves fewer texts, whose shingles then stand in fewer of them
         shared = rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("texts")).filter("a != b").select("s", "texts")
-        met = rows.select("s", "node", "n", "c").join(shared, "s")
+        met = rows.select("s", "node", "n", "c").join(shuffled(shared), "s")
         enough = met.groupBy("node").agg(F.count("*").alias("met"), F.max("n").alias("n")).filter(F.col("met") >= F.ceil(least * F.col("n") - 1e-6)).select("node", "met")
-        rows = written(met.join(enough, "node"), "simhash-shared")
+        rows = written(met.join(shuffled(enough), "node"), "simhash-shared")
     place = F.row_number().over(Window.partitionBy("node").orderBy("texts", "s")) - 1 + F.col("n") - F.col("met")
     return written(rows.select("s", "node", "n", place.alias("i")).filter(F.col("i") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6)), "simhash-apart")
 
@@ -340,12 +340,12 @@ def remaining_pairs(first: DataFrame, roots: DataFrame, least: float, heads: boo
     """(u, v): the pairs of texts of different components (roots: node, root) that share one of their first shingles and can be at
     least so similar: after the shingle they have enough left on both sides. All of them, or with heads only those of a text with the
     smallest one that has the shingle: no more rows than there are shingles."""
-    apart = first.join(roots, "node", "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("c"))
+    apart = first.join(shuffled(roots), "node", "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("c"))
     other = apart.groupBy("s").agg(F.min(F.struct("node", "n", "i", "c")).alias("o")).select("s", "o.*") if heads else apart.select("s", "node", "n", "i", "c")
     other = other.toDF("s", "other", "on", "oi", "oc")
     left = F.least(F.col("n") - F.col("i"), F.col("on") - F.col("oi"))
     possible = (left >= least / (1 + least) * (F.col("n") + F.col("on")) - 1e-6) & (F.least("n", "on") >= least * F.greatest("n", "on") - 1e-6)
-    pairs = apart.join(other, "s").filter((F.col("node") > F.col("other")) & (F.col("c") != F.col("oc")) & possible)
+    pairs = apart.join(shuffled(other), "s").filter((F.col("node") > F.col("other")) & (F.col("c") != F.col("oc")) & possible)
     return written(pairs.select(F.col("node").alias("u"), F.col("other").alias("v")).distinct(), "simhash-rest")
 
 
@@ -372,8 +372,8 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("u"))
     of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("v"))
     near = links(heads.filter(F.col("part") < WHOLE), 4).union(links(heads.filter(F.col("part") >= WHOLE), EDGE_RADIUS))
-    edges = near.join(of_a, ["part", "a"]).join(of_b, ["part", "b"]).select("u", "v")
-    edges = edges.union(valued.join(heads, ["part", "fp"]).filter("node != head").select("node", "head"))
+    edges = near.join(shuffled(of_a), ["part", "a"]).join(shuffled(of_b), ["part", "b"]).select("u", "v")
+    edges = edges.union(valued.join(shuffled(heads), ["part", "fp"]).filter("node != head").select("node", "head"))
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "simhash-candidates")
     passed = verified(edges, edge_texts(edges, texts_of, hashed), least)
     roots = written(connected_components(passed, "u", "v"), "simhash-first")
@@ -382,10 +382,10 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         rest = remaining_pairs(first, roots, least, heads)
         passed = verified(rest, edge_texts(rest, texts_of, hashed), least)
         roots = written(connected_components(roots.toDF("u", "v").union(passed), "u", "v"), "simhash-roots")
-    of_text = texts_of.select("h", "named").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "named", F.coalesce("root", "h").alias("component"))
+    of_text = texts_of.select("h", "named").join(shuffled(roots.withColumnRenamed("node", "h")), "h", "left").select("h", "named", F.coalesce("root", "h").alias("component"))
     least_doc = of_text.groupBy("component").agg(F.min(F.struct(F.col("named").alias("doc_id"), "h")).alias("kept"))
-    known = of_text.join(least_doc, "component").select("h", "kept")
-    found = prints.select("doc_id", "h").distinct().join(known, "h")
+    known = of_text.join(shuffled(least_doc), "component").select("h", "kept")
+    found = prints.select("doc_id", "h").distinct().join(shuffled(known), "h")
     return found.select("doc_id", "h", F.col("kept.doc_id").alias("component_id"), (F.struct("doc_id", "h") == F.col("kept")).alias("first"))
 
 
@@ -394,5 +394,5 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     share the doc_id alone are judged each by its own text; rows without a doc_id are kept."""
     gone = similar_documents(docs, least).filter("NOT first").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = packed.join(gone, (packed["row.doc_id"] == gone["_id"]) & (F.xxhash64(packed["row.text"]) == gone["_h"]), "left_anti")
+    kept = packed.join(shuffled(gone), (packed["row.doc_id"] == gone["_id"]) & (F.xxhash64(packed["row.text"]) == gone["_h"]), "left_anti")
     return kept.select("row.*")
