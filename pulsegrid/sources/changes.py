@@ -3,10 +3,11 @@
 A feed is a folder of JSON-lines segments, named `<number of the first event>-<its second>.jsonl`, as a relay of a change
 stream keeps them. An offset is the number of the next event, so a query that was stopped goes on at the event after its
 last one. A query without a checkpoint begins at the `position` option, or else replays the last `replay_minutes` before
-the newest event, or the whole feed with `replay_minutes` "all".
+the newest event, or the whole feed with `replay_minutes` "all". Segments of a feed grow with it, so that it has no more than SEGMENTS of
+them, and a replay no more batches, however many events there are.
 
 Options: path (a URI that pyarrow can open), position, replay_minutes (60), batch_events (events of a batch, rounded up to
-segments). A segment is one partition; events are parsed on the executors. An availableNow trigger asks a Python source
+segments). A segment is read in parts of PART events, each a partition; events are parsed on the executors. An availableNow trigger asks a Python source
 for its latest offset once, so it reads one batch: leave batch_events out there.
 
 Defined results: lines that are no JSON objects are skipped, but keep their number; unknown fields are ignored, missing
@@ -28,13 +29,17 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SCHEMA = "position long, event_id long, wiki string, namespace int, type string, bot boolean, title string, user string, comment string, tags array<string>, timestamp long, dt string"
 
 
+#: Segments of a feed about, events of one at least, and events of a partition at most.
+SEGMENTS, LEAST, PART = 256, 2000, 20_000
+
+
 def segment_name(first: int, second: int) -> str:
     return f"{first:015d}-{second:012d}.jsonl"
 
 
-def write_segments(events: DataFrame, path: str, order: list[str], seconds: str, size: int = 2000) -> None:
+def write_segments(events: DataFrame, path: str, order: list[str], seconds: str, size: int | None = None) -> None:
     """Write events as a feed, numbered by their order; seconds is the column with an event's second. Numbers are counts of the
-    ranges before and places within the own range."""
+    ranges before and places within the own range. size is the events of a segment; unset, it follows from all events."""
     ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ranged = ranged.persist()
     counts = dict(ranged.groupBy(F.shiftright("_at", 33)).count().collect())  # a row a range
@@ -42,25 +47,29 @@ def write_segments(events: DataFrame, path: str, order: list[str], seconds: str,
     for part in sorted(counts):
         before[part] = total
         total += counts[part]
+    size = size or max(LEAST, -(-total // SEGMENTS))
     first = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.shiftright("_at", 33)) if before else F.lit(0)
     numbered = ranged.withColumn("position", first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
     columns = [c for c in numbered.columns if c != "position"]
     lines = numbered.select("position", F.col(seconds).alias("_second"), F.to_json(F.struct(*columns)).alias("line"), F.floor(F.col("position") / size).alias("segment"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
+        files, top = fs.FileSystem.from_uri(path)
+        files.create_dir(top)
+        out, own, n = None, None, 0
         for b in batches:
             for position, second, line, segment in zip(*[c.to_pylist() for c in b.columns]):
-                parts.setdefault(segment, []).append((position, second, line))
-        for rows in parts.values():
-            rows.sort()
-            files, top = fs.FileSystem.from_uri(path)
-            files.create_dir(top)
-            with files.open_output_stream(f"{top}/{segment_name(rows[0][0], rows[0][1])}") as out:
-                out.write("".join(f"{line}\n" for _, _, line in rows).encode())
-        yield pa.RecordBatch.from_pydict({"segments": pa.array([len(parts)], pa.int64())})
-
-    lines.repartition("segment").mapInArrow(write, "segments long").agg(F.sum("segments")).collect()
+                if segment != own:
+                    if out:
+                        out.close()
+                    own, n = segment, n + 1
+                    out = files.open_output_stream(f"{top}/{segment_name(position, second)}", buffer_size=1 << 20)
+                out.write(f"{line}\n".encode())
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"segments": pa.array([n], pa.int64())})
+
+    lines.repartition("segment").sortWithinPartitions("segment", "position").mapInArrow(write, "segments long").agg(F.sum("segments")).collect()
     ranged.unpersist()
 
 
@@ -124,7 +133,8 @@ class ChangeReader(DataSourceStreamReader):
         found, low, high = self.segments(), start["position"], end["position"]
         self.last = high
         bounds = [s[0] for s in found[1:]] + [1 << 62]
-        return [Segment(name, max(low, first), min(high, bound)) for (first, _, name), bound in zip(found, bounds) if first < high and bound > low]
+        whole = [(name, max(low, first), min(high, bound)) for (first, _, name), bound in zip(found, bounds) if first < high and bound > low]
+        return [Segment(name, k, min(k + PART, end)) for name, begin, end in whole for k in range(begin, end, PART)]
 
     def read(self, partition: Segment) -> Iterator[tuple]:
         first = int(partition.name.split("-")[0])

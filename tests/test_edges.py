@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from pulsegrid.operators import evaluation, selection
+from pulsegrid.sources import changes
 
 
 def test_shares_of_no_human_views_are_nan_as_in_sql(spark):
@@ -26,3 +30,17 @@ def test_rank_tests_of_equal_values_or_empty_groups(spark):
     assert math.isnan(test([(True, 1)])[3])
     # a row of neither group moves the ranks of the others
     assert test([(None, 1), (True, 2), (False, 3)])[:3] == (1, 1, 1.0)
+
+
+def test_a_larger_feed_has_larger_segments_read_in_parts(spark, tmp_path, monkeypatch):
+    for name, value in (("LEAST", 10), ("SEGMENTS", 4), ("PART", 7)):
+        monkeypatch.setattr(changes, name, value)
+    for n, size in ((30, 10), (200, 50)):  # batches of a replay are segments: three and four
+        path = f"file://{tmp_path}/feed{n}"
+        changes.write_segments(spark.range(n).select(F.col("id").alias("event_id"), F.col("id").alias("timestamp")), path, ["timestamp"], "timestamp")
+        reader = changes.ChangeReader(T.StructType.fromDDL(changes.SCHEMA), {"path": path, "position": "3", "batch_events": "1"})
+        assert [s[0] for s in reader.segments()] == list(range(0, n, size))
+        assert reader.latestOffset() == {"position": size}
+        parts = reader.partitions({"position": 3}, {"position": n})
+        assert all(0 < p.high - p.low <= 7 for p in parts)
+        assert [(r[0], r[1]) for p in parts for r in reader.read(p)] == [(k, k) for k in range(3, n)]
