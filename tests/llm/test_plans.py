@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import components, simhash
+import random
+
+from pulsegrid.llm import components, passages, simhash
 
 
 def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
@@ -22,3 +24,28 @@ def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
     # the flips of a table's bits are of fixed size; a side that was exploded looks small to Spark and isn't
     assert [n for n, p in plans if p.count("BroadcastHashJoin") > p.count("flip#")] == []
     assert all("BroadcastHashJoin" not in p for n, p in plans if n in ("simhash-buckets", "result"))
+
+
+def test_an_inexact_passage_whose_seeds_all_have_other_documents(spark):
+    """Documents with one part of a passage are the first and the previous ones of every seed; the one with all of it is between them."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    for trial in range(3):
+        one, two = fresh(27), fresh(28)
+        apart = [f"{fresh(90)} {part} {fresh(90)}" for part in (one, two)]
+        whole = [f"{fresh(60)} {one} {fresh(1)} {two} {fresh(60)}" for _ in range(2)]
+        texts = [*apart, whole[0], *[f"{fresh(90)} {part} {fresh(90)}" for part in (one, two)], whole[1]]
+        rows = passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert [(r.doc_id, r.source, r.start, r.end, r.source_start, r.n_equal) for r in rows] == [(5, 2, 60, 116, 60, 55)]
+        left = {r.doc_id: r.text for r in passages.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert one not in left[5] and two not in left[5] and [left[i] for i in range(5)] == texts[:5]
+
+
+def test_copies_ask_for_no_further_documents(spark):
+    rng = random.Random(4)
+    text = " ".join(f"{rng.randrange(10**6):x}" for _ in range(150))
+    docs = passages.keyed(spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string"))
+    found = passages.matched(passages.written(passages.seed_table(docs), "seeds"))
+    first = passages.aligned(docs, passages.chain_table(passages.all_matches(docs, found)), 50, 0.8)
+    assert first.select("doc_id").distinct().count() == 39
+    assert passages.further_chains(docs, found, first).count() == 0
