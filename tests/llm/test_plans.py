@@ -49,3 +49,18 @@ def test_copies_ask_for_no_further_documents(spark):
     first = passages.aligned(docs, passages.chain_table(passages.all_matches(docs, found)), 50, 0.8)
     assert first.select("doc_id").distinct().count() == 39
     assert passages.further_chains(docs, found, first).count() == 0
+
+
+def test_the_pipeline_cuts_passages_of_further_documents(spark):
+    """The stage of the pipeline, over documents with their other columns: the third document with all of a passage is the source."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    one, two = fresh(29), fresh(26)
+    texts = [f"{fresh(90)} {part} {fresh(90)}" for part in (one, two)]
+    texts += [f"{fresh(60)} {one} {fresh(1)} {two} {fresh(60)}", *[f"{fresh(90)} {part} {fresh(90)}" for part in (one, two)], f"{fresh(60)} {one} {fresh(1)} {two} {fresh(60)}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["substring_dedup"]
+    left = {r.doc_id: r for r in stage(spark, docs, "").collect()}
+    assert [left[i].text for i in range(5)] == texts[:5] and len(left[5].text.split()) == 120 and left[5].n_chars == len(left[5].text)
